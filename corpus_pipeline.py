@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fluxgauge.llm import bpe, decontaminate, quality, simhash
 from fluxgauge.llm.common import table
-from fluxgauge.llm.queries import word_bpe_path
+from fluxgauge.llm.queries import vocabulary
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what stayed."""
-    return bpe.digests(docs, word_bpe_path())
+    return bpe.digests(docs, vocabulary("word_bpe_49k.json"))
 
 
 STAGES = [

@@ -33,7 +33,7 @@ import ahocorasick
 import regex
 from pyspark.sql import DataFrame
 
-from .common import per_text
+from .common import Memory, per_text
 
 #: Chunks and words whose encodings a worker remembers, and token pairs.
 CACHE_CHUNKS, CACHE_WORDS, CACHE_PAIRS = 120_000, 150_000, 500_000
@@ -248,23 +248,6 @@ def chunks(text: str) -> list[str]:
     return [c for c in SPACE.split(text) if c] if CONTROL.search(text) else text.split()
 
 
-class Memory(dict):
-    """Remembers at most 2 * most results: those of this generation, and those before it that come again."""
-
-    def __init__(self, make, most: int):
-        super().__init__()
-        self.make, self.most, self.old = make, most, {}
-
-    def __missing__(self, key):
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        if (value := self.old.get(key)) is None:
-            value = self.make(key)
-        self[key] = value
-        return value
-
-
 class Codec:
     """Encodes whole texts; remembers bounded numbers of chunks and of words."""
 

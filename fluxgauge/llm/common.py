@@ -128,3 +128,20 @@ def sliced(numbers: np.ndarray) -> list[int]:
     bits = np.unpackbits(numbers.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     packed = np.packbits(bits.T, axis=1, bitorder="little")
     return [int.from_bytes(row.tobytes(), "little") for row in packed]
+
+
+class Memory(dict):
+    """Remembers at most 2 * most results: those of this generation, and those before it that come again."""
+
+    def __init__(self, make: Callable, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        if (value := self.old.get(key)) is None:
+            value = self.make(key)
+        self[key] = value
+        return value

@@ -5,20 +5,43 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, quality, simhash
+from . import bpe, decontaminate, html_text, licenses, quality, sharding, simhash, token_counts, topk
 from .common import table
 
 #: Where the public vocabulary files are.
 TOKENIZERS = "/opt/tokenizers"
 
 
-def word_bpe_path() -> str:
+def vocabulary(name: str) -> str:
+    """A vocabulary file's path."""
     try:
         import public_tokenizers
     except ImportError:
-        return f"{TOKENIZERS}/word_bpe_49k.json"
-    return public_tokenizers.path("word_bpe_49k.json")
+        return f"{TOKENIZERS}/{name}"
+    return public_tokenizers.path(name)
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(topk.quantise(table(spark, sf_dir, "embeddings")))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.place(table(spark, sf_dir, "documents"), "doc_id")
+    return placed.select("doc_id", F.col("__slot").alias("slot"), F.col("__shard").alias("shard"))
 
 
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,11 +58,14 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(table(spark, sf_dir, "documents"), word_bpe_path())
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op7_simhash_dedup, op8_quality_classifier, op9_decontamination, op10_bpe]
+    found = [
+        op1_token_counts, op2_html_extraction, op4_topk_search, op5_license_scan, op6_sharding,
+        op7_simhash_dedup, op8_quality_classifier, op9_decontamination, op10_bpe,
+    ]
     return {f.__name__: f for f in found}
 
 
@@ -73,5 +99,72 @@ FROM dw d LEFT JOIN hits h ON d.doc_id = h.doc_id LEFT JOIN items i ON d.doc_id
 """
 
 
+OP4_SQL = """
+WITH ok AS (
+  SELECT vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id, cast(list_inner_product(cast(q.v AS DOUBLE[]), cast(d.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM ok q JOIN ok d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id
+)
+SELECT query_id, cast(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+) WHERE rank <= 20
+"""
+
+
+def op5_sql() -> str:
+    grams = ", ".join(
+        f"('{name}', {sum(found.values())}, '{gram}', {n})"
+        for name, text in sorted(licenses.TEMPLATES.items())
+        for found in (licenses.bigrams_of(text),)
+        for gram, n in found.items()
+    )
+    t = licenses.THRESHOLD
+    return f"""
+WITH tg(license, n, gram, k) AS (VALUES {grams}), t AS (SELECT DISTINCT license, n FROM tg),
+flat AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_replace({ASCII_LOWER}, '[\\x00-\\x09\\x0B-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g') AS f FROM documents
+), units AS (
+  SELECT DISTINCT r, doc_id, trim(regexp_replace(replace(p, chr(10), ' '), ' +', ' ', 'g')) AS p FROM (
+    SELECT r, doc_id, unnest(list_concat(
+      string_split(f, chr(10)), string_split_regex(f, '\\n *\\n'), [f])) AS p FROM flat)
+), sized AS (
+  SELECT *, row_number() OVER () AS u, string_split(p, ' ') AS w, len(string_split(p, ' ')) - 1 AS n FROM units
+), near AS (
+  SELECT s.*, t.license, t.n AS tn FROM sized s JOIN t
+    ON s.n >= 1 AND s.n >= t.n * {t} / (2 - {t}) - 1e-9 AND s.n <= t.n * (2 - {t}) / {t} + 1e-9
+), wanted AS (
+  SELECT DISTINCT u, w, n FROM near
+), ug AS (
+  SELECT u, gram, count(*) AS k FROM (SELECT u, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT u, w, unnest(range(1, n + 1)) AS i FROM wanted))
+  GROUP BY u, gram
+), dice AS (
+  SELECT near.u, near.doc_id, near.p, near.n, near.license, 2.0::DOUBLE * sum(least(ug.k, tg.k)) / (near.n + near.tn) AS score
+  FROM near JOIN ug ON near.u = ug.u JOIN tg ON tg.license = near.license AND tg.gram = ug.gram
+  GROUP BY near.u, near.doc_id, near.p, near.n, near.license, near.tn
+)
+SELECT doc_id, license, round(score, 6) AS score, cast(n AS BIGINT) AS n_bigrams, p AS passage FROM (
+  SELECT *, row_number() OVER (PARTITION BY u ORDER BY score DESC, license) AS best FROM dice WHERE score >= {t}
+) WHERE best = 1
+"""
+
+
+def op6_sql() -> str:
+    filled = " ".join(map(str, sharding.fill(sharding.SHARDS)))
+    return f"""
+SELECT doc_id, slot, 'shard-' || lpad(string_split('{filled}', ' ')[slot + 1], 2, '0') AS shard FROM (
+  SELECT doc_id, cast(cast('0x' || substr(md5(coalesce(cast(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT)
+    % {sharding.SLOTS} AS INTEGER) AS slot FROM documents)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontamination": OP9_SQL}
+    return {
+        "op4_topk_search": OP4_SQL,
+        "op5_license_scan": op5_sql(),
+        "op6_sharding": op6_sql(),
+        "op9_decontamination": OP9_SQL,
+    }
