@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, licenses, quality, sharding, simhash, token_counts, topk
+from . import bpe, decontaminate, html_text, licenses, lm_scoring, quality, sharding, simhash, token_counts, topk
 from .common import table
 
 #: Where the public vocabulary files are.
@@ -31,6 +31,10 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(topk.quantise(table(spark, sf_dir, "embeddings")))
 
@@ -63,7 +67,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        op1_token_counts, op2_html_extraction, op4_topk_search, op5_license_scan, op6_sharding,
+        op1_token_counts, op2_html_extraction, op3_lm_scoring, op4_topk_search, op5_license_scan, op6_sharding,
         op7_simhash_dedup, op8_quality_classifier, op9_decontamination, op10_bpe,
     ]
     return {f.__name__: f for f in found}
