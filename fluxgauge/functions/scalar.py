@@ -30,7 +30,7 @@ def ratio(a: Column, b: Column) -> Column:
 
 def clamp(x: Column, low: Column | float, high: Column | float) -> Column:
     low, high = (v if isinstance(v, Column) else F.lit(float(v)) for v in (low, high))
-    return F.least(F.greatest(x, low), high)
+    return F.when(x.isNotNull(), F.least(F.greatest(x, low), high))
 
 
 def adc_counts(v: Column, low: Column, high: Column) -> Column:

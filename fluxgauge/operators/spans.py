@@ -12,10 +12,10 @@ ALARM_PAD, SPAN_PAD = 0.2, 2.0
 
 def derive(readings: DataFrame, sensor: str, value: str, alarm_pad: float = ALARM_PAD, span_pad: float = SPAN_PAD) -> DataFrame:
     """sensor, low, high, alarm_low, alarm_high: observed range, padded; a constant counts as 1 wide."""
-    seen = readings.groupBy(sensor).agg(F.min(value).alias("a"), F.max(value).alias("b")).where(F.col("a").isNotNull())
-    width = F.when(F.col("b") > F.col("a"), F.col("b") - F.col("a")).otherwise(1.0)
+    seen = readings.groupBy(sensor).agg(F.min(value).alias("__a"), F.max(value).alias("__b")).where(F.col("__a").isNotNull())
+    width = F.when(F.col("__b") > F.col("__a"), F.col("__b") - F.col("__a")).otherwise(1.0)
     pads = {"low": -span_pad, "alarm_low": -alarm_pad, "alarm_high": alarm_pad, "high": span_pad}
-    ends = {n: F.round(F.col("a" if p < 0 else "b") + width * p, 6).alias(n) for n, p in pads.items()}
+    ends = {n: F.round(F.col("__a" if p < 0 else "__b") + width * p, 6).alias(n) for n, p in pads.items()}
     return seen.select(sensor, ends["low"], ends["high"], ends["alarm_low"], ends["alarm_high"])
 
 

@@ -38,9 +38,9 @@ def order_holds(split: DataFrame, by: list[str], step: str) -> DataFrame:
         return f(F.when(F.col("split") == name, F.col(step)))
 
     bounds = split.groupBy(*by).agg(
-        edge(F.max, "train").alias("a"), edge(F.min, "validation").alias("b"), edge(F.max, "validation").alias("c"), edge(F.min, "test").alias("d")
+        edge(F.max, "train").alias("__a"), edge(F.min, "validation").alias("__b"), edge(F.max, "validation").alias("__c"), edge(F.min, "test").alias("__d")
     )
-    ok = F.coalesce(F.col("a") < F.col("b"), F.lit(True)) & F.coalesce(F.col("c") < F.col("d"), F.lit(True))
+    ok = F.coalesce(F.col("__a") < F.col("__b"), F.lit(True)) & F.coalesce(F.col("__c") < F.col("__d"), F.lit(True))
     return bounds.select(*by, ok.alias("holds"))
 
 

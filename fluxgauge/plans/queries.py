@@ -269,7 +269,7 @@ def derive_spans(spark, sf_dir):
 
 
 @query(
-    f"""WITH e AS {EVENTS} SELECT event_id, cast(floor(least(greatest((v - low) * 65535.0 / (high - low), 0.0), 65535.0)) AS INTEGER) AS counts
+    f"""WITH e AS {EVENTS} SELECT event_id, CASE WHEN v - low IS NOT NULL THEN cast(floor(least(greatest((v - low) * 65535.0 / (high - low), 0.0), 65535.0)) AS INTEGER) END AS counts
   FROM e LEFT JOIN {SPANS} USING (sensor)"""
 )
 def adc_counts(spark, sf_dir):
