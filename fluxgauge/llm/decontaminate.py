@@ -276,6 +276,7 @@ def remove_spans(
 ) -> DataFrame:
     """docs with spans of `least` hit words or more cut from texts, and the rows beyond the share dropped."""
     found = scan(docs, benchmark, docs.columns, text_col, **options).where(~_contaminated(share))
+    names = docs.columns
 
     def run(batches):
         for batch in batches:
@@ -284,6 +285,6 @@ def remove_spans(
             for text, spans in zip(batch.column(text_col).to_pylist(), batch.column("__spans").to_pylist(), strict=True):
                 long = [x for a, b in zip(spans[::2], spans[1::2], strict=True) if b - a >= least for x in (a, b)]
                 texts.append(cut(text, long))
-            yield batch.set_column(at, text_col, pa.array(texts, pa.string())).select(docs.columns)
+            yield batch.set_column(at, text_col, pa.array(texts, pa.string())).select(names)
 
-    return found.select(*docs.columns, "__spans").mapInArrow(run, docs.schema)
+    return found.select(*names, "__spans").mapInArrow(run, docs.schema)
