@@ -49,8 +49,10 @@ LEFT_WORDS = set(
     "disqus consent cookie cookies gdpr footer foot header masthead menu menus nav navbar navigation newsletter notice notices "
     "overlay pager pagination popup modal promo promos promotion promoted recommended recommendations related reply replies "
     "respond share sharing sidebar sidebars sidenav signup login skip social sponsor sponsored sponsors subscribe subscription "
-    "toolbar topbar widget widgets aside".split()
+    "toolbar topbar widget widgets aside alert alerts disclaimer paywall privacy discussion feedback outbrain taboola".split()
 )
+#: Words of reader comments, which may be articles themselves.
+COMMENT_WORDS = set("comment comments disqus discussion reply replies respond".split())
 HARMLESS = set("has with no is without".split())
 GOOD_WORDS = set("article body content entry main post story text blog page".split())
 PARAGRAPHS = set("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 div section article main body".split())
@@ -158,9 +160,11 @@ def _measure(root: Node) -> list[Node]:
         node = stack.pop()
         order.append(node)
         stack += [c for c in reversed(node.children) if isinstance(c, Node)]
+    holders = [x for x in order if x.tag in ("article", "main")]
+    plain = [x for x in holders if not x.words & COMMENT_WORDS]
+    for node in plain or holders:
+        node.holds = True
     for node in reversed(order):
-        if node.tag in ("article", "main"):
-            node.holds = True
         node.text += sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str))
         if node.tag == "a":
             node.linked = node.text

@@ -107,6 +107,8 @@ def test_html_main_text(spark):
         ("<main><header><nav>m</nav></header><section><p>one</p></section><section><p>two</p></section></main>", "one\ntwo"),
         ("<div>" * 3000 + "<p>deep, text</p>", "deep, text"),
         ("plain", "plain"),
+        ("<article class=post><p>text</p></article><div id=comments><article class=comment-body><p>me, too</p></article></div>", "text"),
+        ("<article class='post comments-open'><p>text</p></article>", "text"),
         ("<article><table><tr><td>a<td>b<tr><td>c</table></article>", "a\nb\nc"),
     ],
 )
