@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..functions.windows import Series
-from ..operators import checks, coverage, detect, inject, kalman, labels, rules, spans, splits, stats, store
+from ..operators import checks, coverage, detect, features, inject, kalman, labels, rules, spans, splits, stats, store, studies
 from ..sources import archive
 from ..streaming import windows as stream
 
@@ -852,3 +852,122 @@ def top_3_values(spark, sf_dir):
 @query("SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 25")
 def top_25(spark, sf_dir):
     return read(spark, sf_dir, "events").orderBy(F.desc("value"), "event_id").limit(25).select("event_id", "value")
+
+
+# --- Studies.
+
+CLOSED = f"(SELECT * FROM {EPISODES} WHERE last IS NOT NULL)"
+
+
+@query(
+    f"""SELECT sensor, start, last, count(*) AS n_window, count(m) AS n_evaluable, count(CASE WHEN m < 0 THEN 1 END) AS n_violations,
+  cast(min(CASE WHEN m < 0 THEN step END) - start AS DOUBLE) AS first_delay FROM (SELECT e.*, r.step, CASE WHEN r.k > 20 THEN r.k - r.v END AS m
+  FROM {STEPS} r JOIN {CLOSED} e ON r.sensor = e.sensor AND r.step BETWEEN e.start AND e.last) GROUP BY sensor, start, last"""
+)
+def window_cells(spark, sf_dir):
+    rows = steps(events(spark, sf_dir)).withColumn("m", F.when(F.col("k") > 20, F.col("k") - F.col("v")))
+    got = studies.window_cells(rows, _episodes(rows).where("last IS NOT NULL"), ["sensor"], "m")
+    return got.withColumn("first_delay", F.col("first_delay").cast("double"))
+
+
+@query(
+    f"""WITH m AS (SELECT r.sensor, r.step, r.v > 60 AS f, e.start FROM {STEPS} r LEFT JOIN {CLOSED} e ON r.sensor = e.sensor
+  AND r.step BETWEEN e.start AND e.last), h AS (SELECT sensor, start, min(step - start) AS delay FROM m WHERE start IS NOT NULL AND f GROUP BY sensor, start)
+  SELECT a.g, n_episodes, n_detected, mean_delay, false_per_1000 FROM (SELECT sensor % 3 AS g, count(*) AS n_episodes, count(delay) AS n_detected,
+  {rs("avg(delay)")} AS mean_delay FROM {CLOSED} LEFT JOIN h USING (sensor, start) GROUP BY 1) a LEFT JOIN (SELECT sensor % 3 AS g,
+  {rs("1000.0 * count(CASE WHEN f THEN 1 END) / count(*)")} AS false_per_1000 FROM m WHERE start IS NULL GROUP BY 1) b ON a.g = b.g"""
+)
+def detection_stats(spark, sf_dir):
+    rows = steps(events(spark, sf_dir)).withColumns({"f": F.col("v") > 60, "g": F.col("sensor") % 3})
+    ep = _episodes(rows).where("last IS NOT NULL").withColumn("g", F.col("sensor") % 3)
+    got = studies.detections(rows, ep, ["sensor", "g"], "f", ["g"])
+    return got.withColumns({c: r(F.col(c)) for c in ("mean_delay", "false_per_1000")})
+
+
+@query(
+    f"""SELECT sensor, count(*) AS n_rows, count(CASE WHEN kind = 'error' THEN 1 END) AS n_bad, count(CASE WHEN v > 100 THEN 1 END) AS n_high,
+  count(CASE WHEN k > 50 THEN 1 END) AS n_labelled FROM {EVENTS} GROUP BY sensor"""
+)
+def run_summary(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return studies.run_summary(e, ["sensor"], n_bad=F.col("kind") == "error", n_high=F.col("v") > 100, n_labelled=F.col("k") > 50)
+
+
+_BANDS = {"v": (150.0, 300.0), "k": (90.0, 99.0)}
+
+
+@query(
+    "\nUNION ALL ".join(
+        f"SELECT sensor, '{c}' AS magnitude, cast(min({c}) AS DOUBLE) AS low, cast(max({c}) AS DOUBLE) AS high, max({c}) BETWEEN {a} AND {b} AS on_target FROM {EVENTS} GROUP BY sensor"
+        for c, (a, b) in _BANDS.items()
+    )
+)
+def response_extremes(spark, sf_dir):
+    return studies.extremes(events(spark, sf_dir), ["sensor"], _BANDS)
+
+
+@query(
+    f"""SELECT kind, min(n) AS least, max(n) AS most, count(*) AS n_runs FROM (SELECT kind, sensor, count(CASE WHEN v > 60 THEN 1 END) AS n
+  FROM {EVENTS} GROUP BY kind, sensor) GROUP BY kind"""
+)
+def violations_over_runs(spark, sf_dir):
+    return studies.spread_over_runs(events(spark, sf_dir), ["kind"], "sensor", F.col("v") > 60)
+
+
+@query(f"SELECT date_trunc('day', ts) AS window_start, count(*) AS n_rows, {rs('count(*) / 86400')} AS per_second FROM events GROUP BY 1")
+def throughput_rates(spark, sf_dir):
+    got = studies.throughput(read(spark, sf_dir, "events"), "ts", "1 day", 86400)
+    return _ntz(got.withColumn("per_second", r(F.col("per_second"))), "window_start")
+
+
+@query(
+    f"""SELECT l_returnflag, {rs("max(abs(x))")} AS worst, count(CASE WHEN abs(x) > 100.0 THEN 1 END) AS n_failures FROM (
+  SELECT l_returnflag, l_extendedprice * (l_discount - l_tax) - 10 * l_quantity AS x FROM lineitem) GROUP BY l_returnflag"""
+)
+def conservation(spark, sf_dir):
+    x = F.col("l_extendedprice") * (F.col("l_discount") - F.col("l_tax")) - 10 * F.col("l_quantity")
+    got = studies.conservation(read(spark, sf_dir, "lineitem"), ["l_returnflag"], x, 100.0)
+    return got.withColumn("worst", r(F.col("worst")))
+
+
+def _feature_sql() -> str:
+    """The 28 features in SQL: windows, runs, and the filter as a recursion."""
+    fs = {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
+    cols = [f"CASE WHEN count(v) {frame(n)} >= 3 THEN {rs(f'{f}(v) {frame(n)}')} END AS {k}_{n}" for n in features.WINDOWS for k, f in fs.items()]
+    cols += [f"lag(v, {k}) OVER ({W}) AS lag_{k}" for k in features.LAGS]
+    cols += [
+        f"{rs(f'(v - lag(v) OVER ({W})) / 180.0')} AS rate_of_change",
+        f"CASE WHEN count(v) {frame(10)} >= 3 THEN {rs(f'coalesce(regr_slope(v, rn) {frame(10)}, 0.0) / 180.0')} END AS slope_10",
+        f"list(v) {frame(10)} AS l", f"avg(v) {frame(10)} AS m", f"count(v) {frame(10)} AS c",
+        f"CASE WHEN count(v) {frame(10)} >= 3 THEN stddev_samp(v) {frame(10)} END AS s10",
+        f"CASE WHEN count(v) {frame(60)} >= 3 THEN stddev_samp(v) {frame(60)} END AS s60",
+        "cast(hour(ts) AS DOUBLE) AS hour_of_day", "cast(isodow(ts) - 1 AS DOUBLE) AS day_of_week",
+        f"{rs(chr(39).join(('avg(CASE WHEN kind = ', 'purchase', ' THEN v END) OVER (PARTITION BY rn)')))} AS power_level_pct",
+        f"sum(CASE WHEN v = pv THEN 0 ELSE 1 END) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g",
+    ]
+    plain = [c for c in features.feature_names() if c not in ("value", "variance_ratio", "zero_crossing_rate_10", "stuck_run_length") and not c.startswith("kalman")]
+    d = "list_filter(list_transform(l, lambda x: sign(x - m)), lambda g: g <> 0)"
+    return f"""WITH RECURSIVE {KALMAN.replace("FROM " + EVENTS, "FROM " + EVENTS)},
+w AS (SELECT sensor, event_id, ts, v AS value, {", ".join(cols)} FROM (SELECT *, lag(v) OVER ({W}) AS pv, cast(row_number() OVER ({W}) AS DOUBLE) AS rn FROM {EVENTS})),
+z AS (SELECT *, CASE WHEN c < 3 THEN NULL WHEN len(d) < 2 THEN 0.0 ELSE {rs("len(list_filter(range(1, len(d)), lambda i: d[i] <> d[i + 1])) / (len(d) - 1)")} END AS zero_crossing_rate_10,
+  row_number() OVER (PARTITION BY sensor, g ORDER BY ts, event_id) AS stuck_run_length FROM (SELECT *, {d} AS d FROM w))
+SELECT z.event_id, value, {", ".join(plain)}, {rs("CASE WHEN s60 > 0 THEN s10 / s60 END")} AS variance_ratio, zero_crossing_rate_10,
+  cast(stuck_run_length AS DOUBLE) AS stuck_run_length, (round(residual, 4) + 0.0) AS kalman_residual, (round(sigma, 4) + 0.0) AS kalman_uncertainty
+FROM z JOIN f ON z.sensor = f.sensor AND z.event_id = f.event_id"""
+
+
+@query(_feature_sql())
+def feature_table(spark, sf_dir):
+    """All 28 features of every reading."""
+    rows = steps(events(spark, sf_dir)).withColumns(
+        {"run_id": F.lit(0), "kind": F.when(F.col("kind") == "purchase", "position").otherwise(F.col("kind"))}
+    )
+    ids = rows.select("sensor", "step", "event_id")
+    got = features.feature_table(rows.drop("event_id", "s", "k"), "run_id", "sensor", "step", "ts", "v", "kind", 180.0).join(ids, ["sensor", "step"])
+    four = ("kalman_residual", "kalman_uncertainty")
+    as_is = ("value", "stuck_run_length", "hour_of_day", "day_of_week")
+    cols = [
+        (F.round(c, 4) + F.lit(0.0) if c in four else F.col(c).cast("double") if c in as_is or c.startswith("lag_") else r(F.col(c))).alias(c)
+        for c in features.feature_names()
+    ]
+    return got.select("event_id", *cols)
