@@ -214,7 +214,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
         .orderBy(F.xxhash64("__id"), "__id")
         .limit(sample)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(marked), F.col("doc_id") == F.col("__id"))
+    met = docs.select("doc_id", "text").join(F.broadcast(marked), F.col("doc_id") == F.col("__id"))
+    rows = met.groupBy("__id", "__y").agg(F.min("text").alias("text"))  # a repeated id counts once
 
     def make():
         return lambda texts: [[features(t) for t in texts]]
