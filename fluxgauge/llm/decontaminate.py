@@ -5,9 +5,9 @@ through it; the automaton's state is the longest suffix of the words read so far
 item. A position where that suffix has `window` words or more ends an occurrence of a window, and
 so does one where a whole shorter item is a suffix. All words of an occurrence are hit.
 
-The automaton is broadcast only in bounded parts: `MAX_WORDS` item words each, built in the worker
-from the part's items. A larger benchmark takes one pass for each part, in which hits add up; the
-documents are never shuffled.
+The items are broadcast only in bounded parts: `MAX_WORDS` item words each, from which the worker
+builds an automaton. A pass over the documents takes `AT_ONCE` parts; a larger benchmark takes several
+passes, with a checkpoint between, in which hits add up. The documents are never shuffled.
 
 Null and empty texts have no words and no hits. Items without words match nothing. An item without
 an id counts for hits but is not named; items with the same id are one item.
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import batched
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +28,8 @@ from .common import prepare, utf8
 WINDOW = 13
 #: Item words of one automaton: about 0.2 KB each, so at most some 50 MB in a worker.
 MAX_WORDS = 250_000
+#: Automata that a worker holds in one pass.
+AT_ONCE = 4
 #: Upper-case ASCII letters to lower case; what is no ASCII letter or digit, or beyond ASCII, to a space.
 NORMAL = bytes(
     b + 32 if 0x41 <= b <= 0x5A else 0x20 if b < 0x30 or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F else b for b in range(256)
@@ -205,22 +208,28 @@ def scan(
         F.array().cast("array<string>").alias("__items"),
     )
     schema = found.schema
-    for k, part in enumerate(parts(benchmark, text_col="text", most=most)):
+    for k, some in enumerate(batched(parts(benchmark, text_col="text", most=most), AT_ONCE)):
         if k:
             found = found.checkpoint()
-        shared = spark.sparkContext.broadcast((part, window))
+        shared = spark.sparkContext.broadcast((some, window))
 
         def run(batches, shared=shared):
-            automaton = Automaton(*shared.value)
+            some, window = shared.value
+            automata = [Automaton(part, window) for part in some]
             for batch in batches:
                 n_words, n_hit, spans, items = [], [], [], []
                 rows = zip(*(batch.column(c).to_pylist() for c in ("__text", "__spans", "__items")), strict=True)
                 for text, had, named in rows:
                     words = words_of(text)
-                    new, which = automaton.scan(words)
-                    if had:
-                        both, new = sorted([*new, *zip(had[::2], had[1::2], strict=True)], key=lambda s: s[1]), []
-                        for a, b in both:
+                    new, which = automata[0].scan(words)
+                    every = [*new, *zip(had[::2], had[1::2], strict=True)]
+                    for automaton in automata[1:]:
+                        more, also = automaton.scan(words)
+                        every += more
+                        which |= also
+                    if len(every) > len(new):
+                        new = []
+                        for a, b in sorted(every, key=lambda s: s[1]):
                             _add(new, a, b)
                     n_words.append(len(words))
                     n_hit.append(sum(b - a for a, b in new))
