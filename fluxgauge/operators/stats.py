@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +46,3 @@ def wide(df: DataFrame, ids: list[str], name: str, value: str, names: list[str])
     """Wide form with the columns given: the mean value of each name."""
     return df.groupBy(*ids).agg(*[F.avg(F.when(F.col(name) == n, F.col(value))).alias(n) for n in names])
 
-
-def any_of(conditions) -> object:
-    return reduce(lambda a, b: a | b, conditions)
