@@ -63,6 +63,15 @@ def backwards(readings: DataFrame, keys: list[str], order: list[str], step: str)
     return readings.withColumn("__back", F.lag(step).over(s.w) > F.col(step)).where("__back").drop("__back")
 
 
+def mismatched(manifest: DataFrame, found: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """keys and `what` of entries that aren't found ('missing'), aren't listed ('extra') or whose values differ ('differs')."""
+    a, b = F.struct(*values), F.struct(*[f"__{v}" for v in values])
+    listed = manifest.select(*keys, *values, F.lit(True).alias("__listed"))
+    there = found.select(*keys, *[F.col(v).alias(f"__{v}") for v in values], F.lit(True).alias("__there"))
+    what = F.when(F.col("__there").isNull(), "missing").when(F.col("__listed").isNull(), "extra").when(~a.eqNullSafe(b), "differs")
+    return listed.join(there, keys, "full").select(*keys, what.alias("what")).where("what IS NOT NULL")
+
+
 def require(df: DataFrame, columns: list[str]) -> DataFrame:
     """df, or an error that names the missing columns."""
     missing = [c for c in columns if c not in df.columns]

@@ -28,6 +28,15 @@ def label(readings: DataFrame, episodes: DataFrame, on: list[str], step: str = "
     return placed.join(binned, inside, "left").select(*[placed[c] for c in readings.columns], *extra)
 
 
+def merge_disjoint(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """The distinct keys of both, which must not share any: the job fails, naming one that they share."""
+    both = a.select(*keys, F.lit(1).alias("__side")).unionByName(b.select(*keys, F.lit(2).alias("__side")))
+    met = both.groupBy(*keys).agg(F.min("__side").alias("__a"), F.max("__side").alias("__b"))
+    named = F.concat(F.lit("in both: "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))
+    # A filter, so that the check stays in the plan whichever columns are read.
+    return met.where(F.when(F.col("__a") == F.col("__b"), F.lit(True)).otherwise(F.raise_error(named).cast("boolean"))).select(*keys)
+
+
 def guard_steps(episodes: DataFrame, guard: int, keys: list[str], last_step: str | None = None) -> DataFrame:
     """keys and step: all steps of the episodes and `guard` ones around each."""
     low, high = F.greatest(F.col("start") - guard, F.lit(0)), F.col("last") + guard

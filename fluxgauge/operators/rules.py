@@ -43,6 +43,12 @@ def voted(readings: DataFrame, roles: DataFrame, keys: list[str], channel: str,
     return met.groupBy(*keys, "role").agg(F.median(value).alias("value"))
 
 
+def single(roles: DataFrame, channel: str) -> DataFrame:
+    """roles in which one channel stands alone for each of its roles, so that others can't outvote it."""
+    mine = roles.where(F.col("channel") == channel).select("role")
+    return roles.join(mine, "role", "left_anti").unionByName(roles.where(F.col("channel") == channel).select("role", *[c for c in roles.columns if c != "role"]))
+
+
 def margins(rows: DataFrame, plant: Plant, s: Series, seconds: str) -> DataFrame:
     """rows (columns t_out, t_in, flow, flow_hot, flow_cold, p, flux, p_th) with a margin for each rule."""
     c = {n: F.col(n).cast("double") for n in ("t_out", "t_in", "flow", "flow_hot", "flow_cold", "p", "flux", "p_th")}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..functions.windows import Series
 from ..operators import checks, coverage, detect, features, inject, kalman, labels, rules, spans, splits, stats, store, studies
-from ..sources import archive
+from ..sources import archive, readings
 from ..streaming import windows as stream
 
 S = Series(("sensor",), ("ts", "event_id"))
@@ -971,3 +971,151 @@ def feature_table(spark, sf_dir):
         for c in features.feature_names()
     ]
     return got.select("event_id", *cols)
+
+
+# --- The physical rules, messages and checks across tables.
+
+_PLANT = rules.Plant(100.0, 2, 200.0, 1.0, [[4000.0, 4100.0], [5000.0, 5300.0]], [300.0, 330.0], 250.0, 100.0, 110.0, 80.0)
+
+
+def _instants(spark, sf_dir):
+    """Magnitudes of an instant, made from a reading's two channels."""
+    v, k = F.col("v"), F.col("k")
+    made = {
+        "t_out": 280 + v / 5, "t_in": 280 + k / 5, "flow": v - 10, "flow_hot": 50 + v / 50, "flow_cold": 50 + k / 50,
+        "p": 100 + k, "flux": k, "p_th": v,
+    }
+    return events(spark, sf_dir).withColumns(made)
+
+
+INSTANTS = f"""(SELECT *, 280 + v / 5 AS t_out, 280 + k / 5 AS t_in, v - 10 AS flow, 50 + v / 50 AS flow_hot, 50 + k / 50 AS flow_cold, 100 + k AS p, k AS flux, v AS p_th
+  FROM {EVENTS})"""
+RULE_MARGINS = f"""(SELECT sensor, kind, event_id,
+  CASE WHEN flux > 0 THEN 0.05 - abs(100.0 * flux / 100 - taken) / (100.0 * flux / 100) END AS energy_balance, t_out - t_in AS temperature_ordering,
+  10.0 - abs(CASE WHEN dt > 0 THEN (t_out - t_out_before) / dt END) AS heating_rate, least(flow, 100.0 - flow) AS flow_range, 4.5 - abs(p_th - flux) AS power_flux,
+  sat - t_out AS boiling, CASE WHEN abs(CASE WHEN dt > 0 THEN (t_avg - t_avg_before) / dt END) < 0.02 AND flow_hot + flow_cold > 0
+  THEN 0.055 - abs(flow_hot - flow_cold) / ((flow_hot + flow_cold) / 2) END AS mass_balance
+  FROM (SELECT *, 2 * flow * cp * (t_out - t_in) * 1e-6 AS taken FROM (SELECT *,
+  CASE WHEN u BETWEEN 0 AND 1 AND w BETWEEN 0 AND 1 THEN 4000 * (1 - u) * (1 - w) + 5000 * u * (1 - w) + 4100 * (1 - u) * w + 5300 * u * w END AS cp,
+  CASE WHEN w BETWEEN 0 AND 1 THEN 300 * (1 - w) + 330 * w END AS sat FROM (SELECT *, (t_avg - 250) / 100 AS u, (p - 110) / 80 AS w,
+  s - lag(s) OVER ({W}) AS dt, lag(t_out) OVER ({W}) AS t_out_before, lag(t_avg) OVER ({W}) AS t_avg_before
+  FROM (SELECT *, (t_out + t_in) / 2 AS t_avg FROM {INSTANTS})))))"""
+
+
+@query(f"SELECT event_id, {', '.join(f'{rs(n)} AS {n}' for n in rules.RULES)} FROM {RULE_MARGINS}")
+def physical_margins(spark, sf_dir):
+    """The signed distance of every instant to each of the seven rules' limits."""
+    got = rules.margins(_instants(spark, sf_dir), _PLANT, S, "s")
+    return got.select("event_id", *[r(F.col(n)).alias(n) for n in rules.RULES])
+
+
+@query(
+    "\nUNION ALL ".join(
+        f"SELECT kind, '{n}' AS rule, count(*) AS n_rows, count({n}) AS n_evaluable, count(CASE WHEN {n} < 0 THEN 1 END) AS n_violations FROM {RULE_MARGINS} GROUP BY kind"
+        for n in rules.RULES
+    )
+)
+def physical_report(spark, sf_dir):
+    """Evaluable and broken rules of each class."""
+    got = rules.margins(_instants(spark, sf_dir), _PLANT, S, "s")
+    return rules.report(got, {n: F.col(n) for n in rules.RULES}, ["kind"]).drop("rate")
+
+
+_ROLE = "CASE WHEN user_id % 3 = 0 THEN 'hot' ELSE 'cold' END"
+
+
+@query(
+    f"""SELECT hour, role, {rs("median(value)")} AS value FROM (SELECT date_trunc('hour', ts) AS hour, {_ROLE} AS role, value FROM events
+  WHERE user_id % 3 <> 0 OR user_id = 3) GROUP BY hour, role"""
+)
+def role_single_channel(spark, sf_dir):
+    e = read(spark, sf_dir, "events").withColumn("hour", F.date_trunc("hour", "ts").cast("timestamp_ntz")).withColumnRenamed("user_id", "channel")
+    roles = e.select("channel").distinct().withColumn("role", F.when(F.col("channel") % 3 == 0, "hot").otherwise("cold"))
+    got = rules.voted(e, rules.single(roles, 3), ["hour"], "channel", "value")
+    return got.withColumn("value", r(F.col("value")))
+
+
+@query(
+    f"""SELECT sensor, step, {rs("CASE WHEN step < 10 THEN 0.0 ELSE greatest(0.0, least(1.0, (step - 10) / (1.0 + sensor % 5), (2 * (1.0 + sensor % 5) + 7 - (step - 10)) / (1.0 + sensor % 5))) END")}
+  AS level FROM {STEPS}"""
+)
+def ramp_envelope(spark, sf_dir):
+    rise = (1 + F.col("sensor") % 5).cast("double")
+    level = scalar.ramp(F.col("step"), F.lit(10), rise, F.lit(7))
+    return steps(events(spark, sf_dir)).select("sensor", "step", r(level).alias("level"))
+
+
+_TYPE_SQL = "['thermocouple', 'pressure', 'flow', 'odd'][user_id % 4 + 1]"
+
+
+def _messages(spark, sf_dir):
+    """Readings as JSON messages: a fourth with an unknown type, some without a value, some tombstones."""
+    e, k = read(spark, sf_dir, "events"), F.get_json_object("props", "$.k").cast("int")
+    kinds = F.get(F.array(*map(F.lit, ("thermocouple", "pressure", "flow", "odd"))), (F.col("user_id") % 4).cast("int"))
+    value = F.when(F.col("event_id") % 7 != 0, F.col("value"))
+    nested = e.select(
+        F.col("event_id").cast("string").alias("reading_id"), F.col("ts").cast("timestamp").alias("timestamp"), F.lit("PLANT-01").alias("plant_id"),
+        F.struct(F.col("user_id").cast("string").alias("id"), kinds.alias("type"), F.lit("core").alias("location"), (k * 2.0 - 10).alias("elevation_m")).alias("sensor"),
+        F.struct(value.alias("value"), F.lit("bar").alias("unit"), F.lit("good").alias("quality"), (k * 600).alias("raw_counts")).alias("measurement"),
+        F.struct(F.lit("2024-01-01").cast("date").alias("calibration_date"), F.lit("2024-01-01").cast("date").alias("last_maintenance"), (k / 10).alias("drift_coefficient")).alias("metadata"),
+    )
+    sent = readings.encode(nested)
+    lost = F.get_json_object("value", "$.reading_id").cast("bigint") % 11 == 0
+    return sent.select("key", F.when(~lost, F.col("value")).alias("value"))
+
+
+_K = "cast(json_extract(props, '$.k') AS BIGINT)"
+
+
+@query(
+    f"""SELECT cast(user_id AS VARCHAR) AS sensor_id, epoch_us(ts) AS at_micros, CASE WHEN event_id % 7 <> 0 THEN value END AS value, cast({_K} * 600 AS INTEGER) AS raw_counts,
+  {_K} / 10.0 AS drift_coefficient, {_K} * 2.0 - 10 AS elevation_m FROM events WHERE event_id % 11 <> 0 AND user_id % 4 <> 3 AND {_K} * 2 - 10 <= 100"""
+)
+def message_roundtrip(spark, sf_dir):
+    """Valid messages' numbers after encoding and parsing."""
+    good, _ = readings.parse(_messages(spark, sf_dir))
+    return readings.numbers(good)
+
+
+@query(
+    f"""SELECT what, count(*) AS n FROM (SELECT unnest(CASE WHEN event_id % 11 = 0 THEN ['tombstone'] ELSE list_concat(
+  CASE WHEN user_id % 4 = 3 THEN ['sensor_type'] ELSE [] END, CASE WHEN {_K} * 2 - 10 > 100 THEN ['elevation'] ELSE [] END) END) AS what FROM events) GROUP BY what"""
+)
+def quarantine_reasons(spark, sf_dir):
+    """What keeps messages out, and how many."""
+    _, bad = readings.parse(_messages(spark, sf_dir))
+    return bad.select(F.explode("broken").alias("what")).groupBy("what").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT round(avg(covered), 7) + 0.0 AS covered_share, avg(covered) >= 0.9 AS passed FROM (SELECT CASE WHEN EXISTS (SELECT 1 FROM events e
+  WHERE e.event_type = k.event_type AND floor(e.value / 25.0) = b) THEN 1.0 ELSE 0.0 END AS covered FROM (SELECT DISTINCT event_type FROM events) k,
+  (SELECT unnest(range(0, 12)) AS b))"""
+)
+def coverage_gate(spark, sf_dir):
+    e = read(spark, sf_dir, "events").withColumn("bucket", F.floor(F.col("value") / 25.0))
+    cells = coverage.grid(kind=e.select("event_type").distinct(), bucket=spark.range(12).withColumnRenamed("id", "bucket"))
+    return coverage.gate(coverage.covered(cells, e, ["event_type", "bucket"]), 0.9).withColumn("covered_share", r(F.col("covered_share")))
+
+
+@query(f"SELECT DISTINCT sensor, step FROM {STEPS} WHERE v > 60 OR v < 10")
+def disjoint_labels(spark, sf_dir):
+    x = steps(events(spark, sf_dir))
+    return labels.merge_disjoint(x.where("v > 60"), x.where("v < 10"), ["sensor", "step"])
+
+
+@query(
+    """SELECT k AS o_orderkey, CASE WHEN f IS NULL THEN 'missing' WHEN n IS NULL THEN 'extra' ELSE 'differs' END AS what FROM (
+  SELECT coalesce(m.k, l.k) AS k, m.n, l.f FROM (SELECT o_orderkey AS k, 1 + o_orderkey % 7 AS n FROM orders WHERE o_orderkey % 10 <> 0) m FULL JOIN (
+  SELECT l_orderkey AS k, count(*) AS f FROM lineitem GROUP BY 1) l ON m.k = l.k) WHERE n IS DISTINCT FROM f"""
+)
+def manifest_check(spark, sf_dir):
+    """What a manifest of row counts lists against what is there."""
+    listed = read(spark, sf_dir, "orders").where("o_orderkey % 10 <> 0").selectExpr("o_orderkey", "1 + o_orderkey % 7 AS n")
+    there = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    return checks.mismatched(listed, there, ["o_orderkey"], ["n"])
+
+
+@query("SELECT p_partkey, regexp_full_match(p_name, '[A-Za-z0-9][A-Za-z0-9._-]*') AS valid FROM part")
+def safe_names(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", F.col("p_name").rlike(checks.PLANT_ID).alias("valid"))

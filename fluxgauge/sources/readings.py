@@ -13,8 +13,8 @@ SCHEMA = (
     "measurement struct<value: double, unit: string, quality: string, raw_counts: int>, "
     "metadata struct<calibration_date: date, last_maintenance: date, drift_coefficient: double>"
 )
-
-
+#: Times keep their microseconds on the wire.
+MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
 def parse(messages: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
@@ -50,7 +50,7 @@ def rules(root: str) -> dict[str, Column]:
 def encode(readings: DataFrame) -> DataFrame:
     """Readings as messages: key is the sensor, value the JSON."""
     names = [x.split(" ")[0] for x in ("reading_id", "timestamp", "plant_id", "sensor", "measurement", "metadata")]
-    return readings.select(F.col("sensor.id").alias("key"), F.to_json(F.struct(*names)).alias("value"))
+    return readings.select(F.col("sensor.id").alias("key"), F.to_json(F.struct(*names), {"timestampFormat": MICROS}).alias("value"))
 
 
 def numbers(readings: DataFrame) -> DataFrame:

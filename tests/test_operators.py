@@ -217,3 +217,22 @@ def test_injected_values_and_labels(spark):
     assert got.v.tolist() == [0, 1, 2, 2, 2, 5, 106, 7, 8, 9]
     assert got.label.tolist() == [None, None, None, "stuck", "stuck", None, "noise_spike", None, None, None]
     assert isinstance(got, pd.DataFrame)
+
+
+def test_disjoint_merge_refuses_shared_keys(spark):
+    a, b = spark.createDataFrame([("s", 1), ("s", 1), ("s", 2)], "k string, n int"), spark.createDataFrame([("s", 3)], "k string, n int")
+    assert sorted(r.n for r in labels.merge_disjoint(a, b, ["k", "n"]).collect()) == [1, 2, 3]
+    with pytest.raises(Exception, match="in both: s, 2"):
+        labels.merge_disjoint(a, b.unionByName(a.where("n = 2")), ["k", "n"]).count()
+
+
+def test_mismatched_names_all_three(spark):
+    listed = spark.createDataFrame([("a", 1, "x"), ("b", 2, None), ("c", 3, "z"), ("d", 4, "w")], "path string, n int, digest string")
+    there = spark.createDataFrame([("a", 1, "x"), ("b", 2, None), ("d", 4, "v"), ("e", 5, "u")], "path string, n int, digest string")
+    got = {r.path: r.what for r in checks.mismatched(listed, there, ["path"], ["n", "digest"]).collect()}
+    assert got == {"c": "missing", "d": "differs", "e": "extra"}
+
+
+def test_single_channel_replaces_its_role(spark):
+    roles = spark.createDataFrame([(1, "hot"), (2, "hot"), (3, "cold")], "channel int, role string")
+    assert sorted((r.channel, r.role) for r in rules.single(roles, 1).select("channel", "role").collect()) == [(1, "hot"), (3, "cold")]
