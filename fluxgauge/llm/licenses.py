@@ -8,6 +8,12 @@ therefore keyed by all sizes that they admit, and an equi-join of a passage's si
 broadcast table, which the templates bound, leaves its few candidates. Everything is built-in
 functions, and nothing is shuffled.
 
+Licences also stand across lines and paragraphs, in comments, and in the middle of lines. So what no
+passage above has matched is searched for windows: any run of words, of whatever lines, from one of a
+template's bigrams to another, that reaches the threshold. Of windows that overlap, that one counts which
+has the most bigrams in common, less those that it or the template has alone; so a whole header goes
+before a notice in it. A text is searched if it has one of `keywords`, without which no window can reach it.
+
 Null and empty texts, and passages of fewer than two words, match nothing. Of several templates that
 reach the threshold the best is given, of equal ones the first by name. Repeated rows repeat.
 """
@@ -78,6 +84,20 @@ TEMPLATES: dict[str, str] = {
 }
 
 
+_LGPL = _GPL.replace("GNU General", "GNU Lesser General")
+#: Templates of windows alone; without them these licences' texts would count as their nearest relatives'.
+WINDOW_TEMPLATES: dict[str, str] = {
+    "AGPL-3.0/header": _GPL.replace("GNU General", "GNU Affero General").format(3),
+    "BSD-3-Clause/text": f"""{_BSD} Neither the name of the copyright holder nor the names of its contributors may be used
+to endorse or promote products derived from this software without specific prior written permission.""",
+    "LGPL-2.1/header": _LGPL.replace("program", "library").format("2.1"),
+    "LGPL-3.0/header": _LGPL.format(3),
+    "LGPL-3.0/library": _LGPL.replace("program", "library").format(3),
+}
+#: Words that many texts have; they are keywords only where a template needs them.
+COMMON = frozenset("a an and any as at be by for free from in is it not of on or other person same that the this to under use which will with work you".split())
+
+
 def words_of(text: str) -> list[str]:
     """A template's words; for templates alone, texts are normalised by `passages`."""
     lower = text.translate(str.maketrans(UPPER, LOWER))
@@ -95,6 +115,25 @@ def sizes(n: int, threshold: float) -> range:
     return range(max(1, low), math.floor(n * (2 - threshold) / threshold + 1e-9) + 1)
 
 
+def keywords(templates: Mapping[str, str], threshold: float) -> list[str]:
+    """Words of which every text that reaches the threshold has one, long ones first.
+
+    c common bigrams of n reach it only if c >= n t / (2 - t). A template's words are taken until fewer
+    bigrams than that are without them.
+    """
+    found: set[str] = set()
+    for text in templates.values():
+        grams = bigrams_of(text)
+        left = {tuple(g.split(" ")): k for g, k in grams.items()}
+        least = sum(grams.values()) * threshold / (2 - threshold) - 1e-9
+        for w in sorted(set(words_of(text)), key=lambda w: (w in COMMON, w not in found, -len(w), w)):
+            if sum(left.values()) < least or not left:
+                break
+            left = {g: k for g, k in left.items() if w not in g}
+            found.add(w)
+    return sorted(w for w in found if not any(o != w and o in w for o in found))
+
+
 def by_size(spark: SparkSession, templates: Mapping[str, str], threshold: float) -> DataFrame:
     """Columns __n, __templates (array of license, n, bigrams, counts): the candidates of each size."""
     rows: dict[int, list] = {}
@@ -123,10 +162,152 @@ def scan(
     docs: DataFrame, keep: list[str], text_col: str = "text",
     templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """The columns of keep, license, score, n_bigrams and passage: each passage that reaches the threshold."""
+    """The columns of keep, license, score, n_bigrams and passage: each passage or window that reaches the threshold."""
+    return by_passage(docs, keep, text_col, templates, threshold).unionByName(by_window(docs, keep, text_col, templates, threshold))
+
+
+def grams_of(words: Column, n: Column) -> Column:
+    return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def common(t: Column, grams: Column) -> Column:
+    """Number of bigrams in common with a template, repeats included."""
+    shared = F.zip_with(t["bigrams"], t["counts"], lambda g, c: F.least(c, F.size(F.filter(grams, lambda b: b == g))))
+    return F.aggregate(shared, F.lit(0), lambda a, x: a + x)
+
+
+def by_window(docs: DataFrame, keep: list[str], text_col: str, templates: Mapping[str, str], threshold: float) -> DataFrame:
+    """Windows that reach the threshold, in what is left of each text without the passages that do."""
+    all_of = templates | WINDOW_TEMPLATES if templates is TEMPLATES else dict(templates)
+    rows = []
+    for name, text in sorted(all_of.items()):
+        grams = bigrams_of(text)
+        n = sum(grams.values())
+        if n:
+            rows.append((name, n, sizes(n, threshold)[0], sizes(n, threshold)[-1], name in templates, list(grams), list(grams.values())))
+    schema = "__all array<struct<license: string, n: int, low: int, high: int, own: boolean, bigrams: array<string>, counts: array<int>>>, __grams array<string>"
+    every = docs.sparkSession.createDataFrame([(rows, sorted({g for r in rows for g in r[5]}))], schema)
+    # More words than a window has, so that none goes over a matched passage.
+    gap = " \n" * (max((r[3] for r in rows), default=0) + 2) + " "
+    able = F.lit(False)
+    for w in keywords(all_of, threshold):
+        able = able | F.col("__lower").contains(w)
+
+    def plain(p: Column) -> Column:
+        return F.trim(F.regexp_replace(F.translate(p, "\n", " "), "  +", " "))
+
+    def sized(p: Column) -> Column:
+        words = F.split(p, " ")
+        return F.struct(p.alias("p"), (F.size(words) - 1).alias("n"), grams_of(words, F.size(words) - 1).alias("b"))
+
+    def able_of(t: Column, present: Column) -> Column:
+        """Whether enough of a template's bigrams are there; present has all templates' bigrams that are."""
+        seen = F.zip_with(t["bigrams"], t["counts"], lambda g, c: F.when(F.array_contains(present, g), c).otherwise(0))
+        return (F.size(present) > 0) & (F.aggregate(seen, F.lit(0), lambda a, x: a + x) >= t["low"])
+
+    def marked(u: Column) -> Column:
+        return F.struct(u["p"].alias("p"), u["n"].alias("n"), u["b"].alias("b"), F.array_intersect("__grams", u["b"]).alias("g"))
+
+    def matches(u: Column) -> Column:
+        fits = lambda t: t["own"] & (u["n"] >= t["low"]) & (u["n"] <= t["high"]) & able_of(t, u["g"])
+        return F.exists(F.filter("__all", fits), lambda t: 2.0 * common(t, u["b"]) / (u["n"] + t["n"]) >= threshold)
+
+    def left_of(p: Column) -> Column:
+        lines = F.transform(F.split(p, "\n"), lambda x: F.when(F.array_contains("__done", plain(x)), F.lit(gap)).otherwise(x))
+        return F.when(F.array_contains("__done", plain(p)), F.lit(gap)).otherwise(F.array_join(lines, " "))
+
+    def once(e: Column, name: str) -> list:
+        """Computed once, and not in each lambda that uses it."""
+        return ["*", F.explode(F.array(e)).alias(name)]
+
+    words = F.split("__rest", " ")
+    texts = (
+        docs.select(*keep, F.col(text_col).alias("__text"))
+        .select(*once(F.lower(F.col("__text").cast("string")), "__lower"))
+        .where(able)
+        .select(*keep, F.explode(F.array(normalised(F.col("__text")))).alias("__flat"))
+        .join(F.broadcast(every))
+        .select(*once(F.filter(F.transform(passages(F.col("__flat")), sized), lambda u: u["n"] >= 1), "__sized"))
+        .select(*once(F.transform("__sized", marked), "__units"))
+        .select(*once(F.transform(F.filter("__units", matches), lambda u: u["p"]), "__done"))
+        .where(~F.array_contains("__done", plain(F.col("__flat"))))
+        .select(*once(F.array_join(F.transform(F.split("__flat", r"\n *\n"), left_of), " "), "__left"))
+        # The gaps' line feeds are words.
+        .select(*once(F.trim(F.regexp_replace("__left", "  +", " ")), "__rest"))
+        .select(*once(words, "__w"))
+        .where(F.size("__w") > 1)
+        .select(*once(grams_of(F.col("__w"), F.size("__w") - 1), "__b"))
+        .select(*once(F.array_intersect("__grams", "__b"), "__present"))
+        .select(*once(F.filter("__all", lambda t: able_of(t, F.col("__present"))), "__able"))
+        .where(F.size("__able") > 0)
+    )
+
+    def marks(t: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(1), F.size("__b")), lambda i: F.array_contains(t["bigrams"], F.element_at("__b", i)))
+        return F.struct(t.alias("t"), at.alias("at"))
+
+    near = F.transform("__able", marks)
+
+    def windows(m: Column) -> Column:
+        t, at, k = m["t"], m["at"], F.size(m["at"])
+
+        def size(i: Column, j: Column) -> Column:
+            return F.element_at(at, j) - F.element_at(at, i) + 1
+
+        def of(i: Column) -> Column:
+            # A window can't have more in common than it has bigrams of the template.
+            able = F.filter(
+                F.sequence(i, F.least(k, i + t["high"] - 1)),
+                lambda j: (size(i, j) <= t["high"]) & (2.0 * (j - i + 1) / (size(i, j) + t["n"]) >= threshold),
+            )
+            shared = F.transform(
+                able,
+                lambda j: F.struct(
+                    common(t, F.slice("__b", F.element_at(at, i), size(i, j))).alias("c"), size(i, j).alias("n"),
+                    F.element_at(at, i).alias("s"), F.element_at(at, j).alias("e"),
+                ),
+            )
+            return F.transform(
+                shared,
+                lambda w: F.struct(
+                    (w["n"] + t["n"] - 3 * w["c"]).alias("loss"), (-2.0 * w["c"] / (w["n"] + t["n"])).alias("minus"),
+                    t["license"].alias("license"), w["s"].alias("s"), w["e"].alias("e"),
+                ),
+            )
+
+        return F.flatten(F.transform(F.sequence(F.lit(1), k), of))
+
+    every_window = F.filter(F.flatten(F.transform("__near", windows)), lambda w: w["minus"] <= -threshold)
+    none = F.array().cast("array<struct<loss: int, minus: double, license: string, s: int, e: int>>")
+    best = F.aggregate(
+        F.array_sort("__windows"),
+        none,
+        lambda kept, w: F.when(F.exists(kept, lambda x: (x["s"] <= w["e"]) & (w["s"] <= x["e"])), kept).otherwise(F.concat(kept, F.array(w))),
+    )
+    row = F.array_distinct(
+        F.transform(
+            "__best",
+            lambda w: F.struct(
+                w["license"].alias("license"),
+                F.round(-w["minus"], 6).alias("score"),
+                (w["e"] - w["s"] + 1).cast("bigint").alias("n_bigrams"),
+                F.array_join(F.slice("__w", w["s"], w["e"] - w["s"] + 2), " ").alias("passage"),
+            ),
+        )
+    )
+    return (
+        texts.select(*once(near, "__near"))
+        .select(*once(every_window, "__windows"))
+        .where(F.size("__windows") > 0)
+        .select(*once(best, "__best"))
+        .select(*keep, F.inline(row))
+    )
+
+
+def by_passage(docs: DataFrame, keep: list[str], text_col: str, templates: Mapping[str, str], threshold: float) -> DataFrame:
+    """Passages that reach the threshold."""
     candidates = by_size(docs.sparkSession, templates, threshold)
-    words = F.split("__p", " ")
-    grams = F.zip_with(F.slice(words, 1, F.col("__n")), F.slice(words, 2, F.col("__n")), lambda a, b: F.concat_ws(" ", a, b))
+    grams = grams_of(F.split("__p", " "), F.col("__n"))
     # explode() of one element keeps an expression from being put into the lambdas that use it.
     units = (
         docs.select(*keep, F.explode(F.array(normalised(F.col(text_col)))).alias("__flat"))
@@ -137,14 +318,8 @@ def scan(
         .select("*", F.explode(F.array(grams)).alias("__b"))
     )
 
-    def common(t: Column) -> Column:
-        shared = F.zip_with(
-            t["bigrams"], t["counts"], lambda g, c: F.least(c, F.size(F.filter(F.col("__b"), lambda b: b == g)))
-        )
-        return F.aggregate(shared, F.lit(0), lambda a, x: a + x)
-
     def scored(t: Column) -> Column:
-        dice = F.when(F.arrays_overlap(t["bigrams"], F.col("__b")), 2.0 * common(t) / (F.col("__n") + t["n"])).otherwise(0.0)
+        dice = F.when(F.arrays_overlap(t["bigrams"], F.col("__b")), 2.0 * common(t, F.col("__b")) / (F.col("__n") + t["n"])).otherwise(0.0)
         return F.struct((-dice).alias("minus"), t["license"].alias("license"))
 
     best = F.array_min(F.transform("__templates", scored))

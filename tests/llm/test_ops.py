@@ -240,6 +240,76 @@ def test_license_sizes_lose_nothing():
         assert able <= set(licenses.sizes(n, licenses.THRESHOLD))
 
 
+APACHE_HEADER = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License."""
+GPL_HEADER = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU {0}General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {0}General Public License for more details.
+
+You should have received a copy of the GNU {0}General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+BSD_FILE = """Copyright (c) 2020, Somebody
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
+ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+BSD_THIRD = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def test_licenses_across_lines_and_within_them(spark):
+    filler = sentences(40, 3)
+    heads = [APACHE_HEADER, GPL_HEADER.format(""), GPL_HEADER.format("Lesser "), GPL_HEADER.format("Affero "), BSD_FILE.format(""), BSD_FILE.format(BSD_THIRD)]
+    want = ["Apache-2.0/header", "GPL-3.0/header", "LGPL-3.0/header", "AGPL-3.0/header", "BSD-2-Clause/text", "BSD-3-Clause/text"]
+    texts = ["\n".join([*filler[:20], h, *filler[20:]]) for h in heads]
+    texts += ["It was released under the MIT License. " + filler[0], "Released under the MIT License.\n" + filler[1] + "\n\nthen " + filler[2], filler[3]]
+    found = {}
+    for r in licenses.scan(docs(spark, texts), ["doc_id"]).collect():
+        found.setdefault(r.doc_id, []).append((r.license, r.score, r.passage))
+    assert sorted(x[0] for x in found[0]) == ["Apache-2.0/header", "Apache-2.0/notice"]  # its first line is a passage of its own
+    for i, name in enumerate([*want, "MIT/notice", "MIT/notice"]):
+        assert i == 0 or [x[0] for x in found[i]] == [name], i
+        assert all(x[1] >= 0.85 for x in found[i])
+    assert found[6][0][1:] == (1.0, "released under the mit license") == found[7][0][1:]
+    assert 8 not in found
+
+
+def test_license_keywords_lose_nothing():
+    every = licenses.TEMPLATES | licenses.WINDOW_TEMPLATES
+    keys = licenses.keywords(every, licenses.THRESHOLD)
+    for text in every.values():
+        grams = licenses.bigrams_of(text)
+        without = sum(n for g, n in grams.items() if not any(k in w for w in g.split() for k in keys))
+        assert 2 * without / (without + sum(grams.values())) < licenses.THRESHOLD
+
+
 # 6
 
 
