@@ -1,35 +1,36 @@
-"""Language-model scores by logistic mixing of hashed-context bit predictors.
-
-A text is its words and one end. A word is coded as its bytes and a space, an end as a line feed;
-each byte is a path of bits in a Huffman tree. For every bit several contexts (the last one to four
-bytes of the word, and the whole word so far) hash to slots of tables that count zeros and ones.
-Their log odds are the inputs of a logistic mixer whose weights are gated by how much the two
-longest contexts have seen; an adaptive map refines its output. The sum over bits is the text's
-log probability, which bits_per_byte gives too.
-
-A context doesn't reach beyond its word, so a word costs the same wherever it stands, and all is
-done once for each distinct word instead of once for each token:
-
-1. `count`: one pass over the texts; words with their numbers in the training texts, by partial
-   counts. All words of all training texts count.
-2. `train`: the tables count the training words, each as often as it occurs, and add up over all
-   tasks in a shuffle by table block. Then the tasks go through the training words online: the mixer
-   predicts a batch, from tables less one occurrence of the word itself, and adapts its weights.
-   Weights are averaged over the tasks, in proportion to what each has seen. What goes to the driver
-   and out again is the tables, whose size is a parameter.
-3. `price`: the log probability of every distinct word.
-4. `learn_kinds`: texts are of a few kinds (languages, styles), with probabilities of their own for
-   the frequent words, the prices being their prior. The kinds are told apart on a bounded sample;
-   then a pass counts the words of all training texts for their kinds.
-5. `score`: a text's probability is the mixture over its possible kinds, which so adapts to the
-   words read before; and a word that the text has had is likelier to come again (an urn, for the
-   frequent words and for what stands for all others). Both are exact and do not need the order of
-   the words. Words that make up a 2**-20th of all tokens or more, so 2**20 words at most, are
-   broadcast; the rest meet their prices in a join on the word, and sums are gathered by text.
+"""Language-model scores by online logistic mixing of hashed-context bit predictors.
+
+A text is its words and one end. It is coded as a stream of bytes, each word with a space after it
+and a line feed for the end; each byte is a path of bits in a Huffman tree. For every bit of every
+token several hashed contexts predict: the last three bytes of the stream, the word so
+far, and the word so far with the word before it. Each has a table that counts zeros and ones in its
+slots; its log odds are an input of a logistic mixer. One more input comes from the two words before:
+the word that followed them most often in all training texts predicts the bits as long as it agrees.
+The mixer's weights are gated by how sure that word is and by how much the longest other context has
+seen; an adaptive map refines its output. The sum over bits is the text's log probability, which
+bits_per_byte gives too.
+
+The work, on Spark:
+
+1. Texts are dealt into batches by hashes of id and text and partition, so that a repeated task deals
+   alike. A batch sends the distinct (two words before, word) of its texts and its distinct words with
+   their counts to shards of the hash space; so a frequent phrase is one row of each batch. What is
+   gathered here grows with the input, and so does the number of shards.
+2. A shard adds up the counts of all training texts and answers: the word's count, and the following
+   word that is predicted, of which a training text's own occurrence is left out. Batches meet their
+   answers in a cogroup, and the coded streams with the answers are checkpointed.
+3. `train`: learners of some `LEARNER` bytes each go through their training texts online: predict a
+   slice, then learn from it (tables, weights, map). The tables' counts add up exactly over learners in
+   a shuffle by table block; weights are averaged in proportion to the bits seen. What goes to the
+   driver and out again is one table set, whose size is a parameter.
+4. `score`: one pass over the checkpointed streams with the model.
 
 base_score is the smoothed unigram score from the same counts. Null and empty texts have the end
-alone. Rows without an id are held out. Repeated rows stay. Without training texts all counts are 0
-and every bit costs one bit.
+alone. Rows without an id are held out. Repeated rows, and equal texts, get equal scores but for the
+training texts' own occurrences. Columns other than id and text play no part, whatever their names.
+Ids may be of any type. An empty table gives no rows. Without training texts all counts are 0 and
+every bit costs one bit. A text of any length is coded whole, some `PIECE` bytes at a time; a single
+word is held whole. The predicted following word reaches over a word's first eight bytes.
 """
 
 from __future__ import annotations
@@ -39,38 +40,37 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, StructField, StructType, _parse_datatype_string
 
 from .common import prepare, utf8
 
 END = b"\n"
+SPACE, FEED = 32, 10
 TABLE_BITS = 21
 BLOCK_BITS = 13
-#: Context lengths in bytes; 0 is the whole word so far.
-CONTEXTS = (1, 2, 3, 4, 0)
-#: Steps of how much a context has seen: of the whole word so far, and of the longest other one.
-WORD_STEPS, LONG_STEPS = 7, 4
-GATES = WORD_STEPS * LONG_STEPS
-#: Share of all tokens from which a word is broadcast.
-HOT_BITS = 20
-#: Share of the training tokens from which a word has probabilities of its own in each kind of text.
-FREQUENT_BITS = 18
-#: Kinds of text, the texts and words that they are first told apart by, and the weight of the words' prices in them.
-KINDS, KIND_SAMPLE, KIND_WORDS, KIND_PRIOR = 8, 4000, 2000, 10000.0
-SEED_TEXTS = 300
-#: What a word's probability counts against its earlier occurrences in the text.
-URN = 4000.0
-#: Words of a training task, about, and of a batch.
-TASK_WORDS, BATCH_WORDS = 1_000_000, 2048
+CONTEXTS = ("three bytes", "word so far", "word so far and word before")
+#: How sure a predicted byte is (0: there is none; else by counts, and by whether all was as predicted), and what the last context has seen.
+SURE, SEEN = 11, 5
+GATES = (2 * SURE - 1) * SEEN
+#: Guesses: by the two words before, and by the text so far.
+GUESSES = 2
+#: Places in a word that the predicted word's record tells apart.
+PLACES = 4
+#: Bytes of text in a batch, in a shard's share and in a learner's, about; and coded and learned at once.
+BATCH, SHARD, LEARNER = 1 << 20, 1 << 23, 1 << 25
+PIECE, SLICE = 1 << 18, 1 << 15
 DELTA, RATE, STEPS = 0.4, 0.05, 33
-#: A word's occurrences count in the mixer up to this number.
-MOST_WEIGHT = 1000
-_PHI, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint32(0x85EBCA6B)
+_PHI, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_KEY_BITS = 48
+_ONE = np.array([1, 1 << 32], np.uint64)
+_LOW, _HIGH, _DELTA = np.uint64(2**32 - 1), np.uint64(32), np.float32(DELTA)
 
 
 def training(id_col: str = "doc_id") -> Column:
@@ -78,38 +78,17 @@ def training(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 != 1, F.lit(False))
 
 
-def tokens(text: str | None) -> Counter:
-    """Words, ASCII letters in lower case, with their numbers; and one end."""
-    found = Counter(utf8(text).lower().split())
-    found[END] = 1
-    return found
+def tokens(text: str | None) -> list[bytes]:
+    """Words, ASCII letters in lower case, and the end."""
+    return [*utf8(text).lower().split(), END]
 
 
-def count(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """word, c (in training texts) and n (in all) of each distinct word, the end included."""
-    prepare(docs.sparkSession)
-    rows = docs.select(training(id_col).alias("t"), F.col(text_col).cast("string").alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: tuple[Counter, Counter] = (Counter(), Counter())
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h * _MIX
+    return (h ^ (h >> np.uint64(29))) * _PHI
 
-        def out():
-            for t, s in enumerate(sums):
-                n = np.fromiter(s.values(), np.int64, len(s))
-                yield pa.RecordBatch.from_arrays([pa.array(list(s), pa.binary()), pa.array(n * t), pa.array(n)], ["word", "c", "n"])
-                s.clear()
 
-        for batch in batches:
-            for t, text in zip(batch.column("t").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                s = sums[t]
-                s.update(utf8(text).lower().split())
-                s[END] += 1
-            if len(sums[0]) + len(sums[1]) > 400_000:
-                yield from out()
-        yield from out()
-
-    partial = rows.mapInArrow(run, "word binary, c bigint, n bigint")
-    return partial.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+# --- Bytes, words and contexts of a stream.
 
 
 class Code:
@@ -133,63 +112,179 @@ class Code:
                 todo += [(kid, [*path, (node - 255, bit)]) for bit, kid in enumerate(kids[node])]
         self.length = np.array([len(p) for p in paths])
         self.start = np.cumsum(self.length) - self.length
-        self.node = np.array([n for p in paths for n, _ in p], np.uint32)
+        self.node = np.array([n for p in paths for n, _ in p], np.uint32) * np.uint32(0x9E3779B1)
+        self.depth = np.concatenate([np.arange(len(p), dtype=np.int16) for p in paths])
         self.bit = np.array([b for p in paths for _, b in p], np.uint8)
+        #: Depth at which the paths of two bytes part.
+        bits = [[b for _, b in p] for p in paths]
+        self.common = np.array([[next((d for d, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), len(x)) for y in bits] for x in bits])
+
+
+class Words:
+    """Where a stream's tokens begin and end, their hashes and first eight bytes."""
+
+    def __init__(self, octets: np.ndarray):
+        self.end = np.flatnonzero((octets == SPACE) | (octets == FEED))
+        self.start = np.concatenate(([0], self.end[:-1] + 1)) if len(self.end) else self.end
+        n = len(self.end)
+        self.new_text = np.concatenate(([True], octets[self.end[:-1]] == FEED)) if n else np.empty(0, bool)
+        self.hash = np.empty(n, np.uint64)
+        for i, j in self.pieces():
+            a, b = self.start[i], self.end[j - 1] + 1
+            at = self.end[i:j] - a
+            self.hash[i:j] = _so_far(octets[a:b], self.start[i:j] - a, at)[1]
+        self.first8 = np.zeros(n, np.uint64)
+        size = self.end - self.start + 1
+        for k in range(8):
+            here = octets[np.minimum(self.start + k, len(octets) - 1)] if n else np.empty(0, np.uint8)
+            self.first8 = self.first8 << np.uint64(8) | np.where(k < size, here, 0).astype(np.uint64)
+        self.one = self.before(1)
+
+    def pieces(self, size: int = PIECE) -> Iterator[tuple[int, int]]:
+        """Runs of tokens: whole texts of about `size` bytes, or as much of a longer text, cut from its start on."""
+        first = np.append(np.flatnonzero(self.new_text), len(self.end))
+        k = 0
+        while k < len(first) - 1:
+            near = np.searchsorted(self.start, self.start[first[k]] + size)
+            last = int(np.searchsorted(first, near, "right")) - 1
+            if last > k:
+                yield int(first[k]), int(first[last])
+                k = last
+                continue
+            i, stop = int(first[k]), int(first[k + 1])
+            while i < stop:
+                j = min(stop, max(i + 1, int(np.searchsorted(self.start, self.start[i] + size))))
+                yield i, j
+                i = j
+            k += 1
+
+    def before(self, k: int) -> np.ndarray:
+        """The hash of the k-th token before each, 0 before the text."""
+        out = np.zeros(len(self.hash), np.uint64)
+        out[k:] = self.hash[:-k]
+        for d in range(k):
+            late = np.zeros(len(out), bool)
+            late[d:] = self.new_text[: len(out) - d]
+            out[late] = 0
+        return out
+
+    def keys(self) -> np.ndarray:
+        """Each token's context of two words before, as a number of _KEY_BITS bits."""
+        return _mixed(_mixed(self.one) + self.before(2)) >> np.uint64(64 - _KEY_BITS)
+
+
+def _powers(n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate(([np.uint64(1)], np.full(max(0, n), _PHI))))
+
+
+def _so_far(o: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For bytes of whole tokens: a hash of the token before each byte, the tokens' hashes, and each byte's token."""
+    of = np.repeat(np.arange(len(end)), end - start + 1)
+    place = np.arange(len(o)) - start[of]
+    x = (o.astype(np.uint64) + np.uint64(1)) * _powers(int(place.max(initial=0)))[place]
+    run = np.cumsum(x)
+    before = (run - x)[start]
+    return run - x - before[of], _mixed(run[end] - before), of
 
 
 @dataclass
-class Expanded:
-    """The bits of a batch of words: a slot for each context, the bit, and its word's place."""
+class Guess:
+    """A predicted byte for each byte, and the cell of its record: how sure it is (0: none is predicted), and the place in the word."""
+
+    byte: np.ndarray
+    sure: np.ndarray
+    place: np.ndarray
+
+    def of(self, s: slice) -> Guess:
+        return Guess(self.byte[s], self.sure[s], self.place[s])
+
+
+def contexts(octets: np.ndarray, w: Words, info: np.ndarray, i: int, j: int) -> tuple[np.ndarray, list[np.ndarray], list[Guess]]:
+    """The bytes of tokens i to j, for each a 32-bit hash of every context, and what the words before and the text itself predict."""
+    lead = max(0, i - 2)
+    a, b = w.start[lead], w.end[j - 1] + 1
+    o = octets[a:b]
+    start, end = w.start[lead:j] - a, w.end[lead:j] - a
+    so_far, _, of = _so_far(o, start, end)
+    at = np.arange(len(o))
+    place = at - start[of]
+    word = _mixed(so_far + place.astype(np.uint64))
+    # The first byte of each byte's text; of a text that began earlier, far away.
+    first = np.maximum.accumulate(np.where(w.new_text[lead:j], start, -8))[of]
+    x = o.astype(np.uint64) + np.uint64(1)
+    found, packed = [], np.zeros(len(o), np.uint64)
+    for k in range(1, 4):
+        y = np.full(len(o), FEED + 1, np.uint64)
+        y[k:] = x[:-k] if len(o) > k else 0
+        y[at - k < first] = FEED + 1
+        packed = packed << np.uint64(9) | y
+    found += [_mixed(packed), word, _mixed(word + w.one[lead:j][of])]
+    skip = w.start[i] - a
+    o, of, place = o[skip:], of[skip:] + lead, place[skip:]
+    near = np.minimum(place, PLACES - 1)
+    agree = info[of, 0]
+    follower = Guess(np.where(place < agree, o, info[of, 1]), np.where((place <= agree) & (place < 8), info[of, 2], 0), near)
+    own = word[skip:] + np.cumsum(w.new_text[i:j]).astype(np.uint64)[of - i] * _PHI
+    return o, [(h[skip:] >> np.uint64(32)).astype(np.uint32) for h in found], [follower, Guess(*_repeated(o, own), near)]
+
+
+def _repeated(o: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The byte that followed the last time the same word began so in this text, and how sure it is."""
+    n = len(o)
+    low = np.uint64(max(1, n - 1).bit_length())
+    order = np.sort(_mixed(key) >> low << low | np.arange(n, dtype=np.uint64))
+    at = (order & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+    new = np.concatenate(([True], (order[1:] ^ order[:-1]) >> low != 0)) if n else np.empty(0, bool)
+    rank = np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    byte = np.zeros(n, np.uint8)
+    byte[1:] = o[at[:-1]]
+    byte[new] = 0
+    again = np.zeros(n, bool)
+    again[2:] = o[at[1:-1]] == o[at[:-2]]
+    sure = np.where(rank > 0, 2 * _level(rank) - 1 + (again & (rank > 1)), 0)
+    out, sure_of = np.empty(n, np.uint8), np.empty(n, np.int64)
+    out[at], sure_of[at] = byte, sure
+    return out, sure_of
+
+
+def _level(n: np.ndarray) -> np.ndarray:
+    """0 to 5: nothing, then 1, 2, 4, 9 and 27 or more."""
+    return (n > 0).astype(np.int64) + (n > 1) + (n > 3) + (n > 8) + (n > 26)
+
+
+# --- The mixer.
 
-    slots: list[np.ndarray]
-    bit: np.ndarray
-    word: np.ndarray
-
-
-def expand(words: list[bytes], code: Code, table_bits: int) -> Expanded:
-    spelled = [w if w == END else w + b" " for w in words]
-    s = np.frombuffer(b"".join(spelled), np.uint8)
-    sizes = np.fromiter(map(len, spelled), np.int64, len(spelled))
-    first = np.cumsum(sizes) - sizes
-    of = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
-    place = np.arange(len(s)) - first[of]
-    x = s.astype(np.uint64) + np.uint64(1)
-    before = []
-    for k in range(1, max(CONTEXTS) + 1):  # the k-th byte before, 0 before the word
-        y = np.zeros(len(s), np.uint64)
-        y[k:] = x[:-k]
-        y[place < k] = 0
-        before.append(y)
-    hashes, packed = {}, np.zeros(len(s), np.uint64)
-    for k in range(max(CONTEXTS)):
-        packed = packed | before[k] << np.uint64(9 * k)
-        hashes[k + 1] = (packed + np.uint64(k + 1)) * _PHI >> np.uint64(32)
-    # The whole word so far: a polynomial hash, as a difference of running sums, scaled to the word's start.
-    power = np.cumprod(np.concatenate(([np.uint64(1)], np.full(max(1, int(sizes.max(initial=1))), _PHI))))
-    run = np.concatenate(([np.uint64(0)], np.cumsum(x * power[place])))
-    hashes[0] = ((run[:-1] - run[first[of]]) * _PHI + place.astype(np.uint64)) * _PHI >> np.uint64(32)
-    lengths = code.length[s]
-    rep = np.repeat(np.arange(len(s), dtype=np.int32), lengths)
-    path = np.arange(len(rep)) + np.repeat(code.start[s] - (np.cumsum(lengths) - lengths), lengths)
-    node = code.node[path] * np.uint32(0x9E3779B1)
-    shift = np.uint32(32 - table_bits)
-    slots = [((hashes[c].astype(np.uint32)[rep] ^ node) * _MIX >> shift).astype(np.int32) for c in CONTEXTS]
-    return Expanded(slots, code.bit[path], of[rep])
-
-
-#: Counts in tables are eighths of a power of two, one byte each; small ones are exact.
-_COUNT = np.round(2 ** (np.arange(256) / 8) - 1)
-_LOG = np.log(_COUNT + DELTA).astype(np.float32)
-_LOG_LESS = np.log(np.maximum(_COUNT - 1, 0) + DELTA).astype(np.float32)
-
-
-def _packed(n: np.ndarray) -> np.ndarray:
-    return np.minimum(np.rint(8 * np.log2(n + 1.0)), 255).astype(np.uint8)
 
+@dataclass
+class Bits:
+    """The bits of a slice: places in the tables, the bit, its byte, and the guesses' parts."""
 
-def _seen(n: np.ndarray) -> np.ndarray:
-    """0 to 6: nothing, then 1, 3, 9, 27, 81 and 243 or more."""
-    return np.searchsorted(np.array([1, 3, 9, 27, 81, 243]), n, "right")
+    slots: list[np.ndarray]
+    bit: np.ndarray
+    byte: np.ndarray
+    sure: list[np.ndarray]
+    cell: list[np.ndarray]  # twice that of the guess's record
+    right: list[np.ndarray]  # whether the guessed bit is the bit
+
+
+def expand(o: np.ndarray, hashes: list[np.ndarray], guesses: list[Guess], code: Code, table_bits: int) -> Bits:
+    lengths = code.length[o]
+    start = np.cumsum(lengths) - lengths
+    path = np.arange(int(lengths.sum())) + np.repeat(code.start[o] - start, lengths)
+    depth = code.depth.take(path)
+    node = code.node.take(path)
+    mask = np.uint32((1 << table_bits) - 1)
+    slots = [((np.repeat(h, lengths) + node) & mask).astype(np.intp) for h in hashes]
+    out = Bits(slots, code.bit.take(path), np.repeat(np.arange(len(o)), lengths), [], [], [])
+    for g in guesses:
+        # A guess is live until its path and the byte's part; one that is the byte itself never errs.
+        common = np.where(g.sure > 0, np.where(o == g.byte, 256, code.common[o, g.byte]), -1).astype(np.int16)
+        common = np.repeat(common, lengths)
+        live = depth <= common
+        out.sure.append(np.repeat(g.sure.astype(np.uint8), lengths) * live)
+        out.cell.append((np.repeat((2 * (g.sure * PLACES + g.place)).astype(np.uint8), lengths) * live).astype(np.intp))
+        out.right.append(depth < common)
+    return out
 
 
 def _squash(z: np.ndarray) -> np.ndarray:
@@ -197,417 +292,473 @@ def _squash(z: np.ndarray) -> np.ndarray:
 
 
 def _step(z: np.ndarray) -> np.ndarray:
-    return np.rint((np.clip(z, -8, 8) + 8) * ((STEPS - 1) / 16)).astype(np.int32)
-
-
-def _inputs(tables: list[np.ndarray], e: Expanded, less: bool) -> tuple[list[np.ndarray], np.ndarray]:
-    """The contexts' log odds and the gate of each bit; less: without one occurrence of the word itself."""
-    odds, seen = [], []
-    for t, x in zip(tables, e.slots, strict=True):
-        q = t[x]
-        zeros, ones = q[:, 0], q[:, 1]
-        if less:
-            one = e.bit == 1
-            odds.append(np.where(one, _LOG_LESS[ones], _LOG[ones]) - np.where(one, _LOG[zeros], _LOG_LESS[zeros]))
-        else:
-            odds.append(_LOG[ones] - _LOG[zeros])
-        seen.append(_COUNT[zeros] + _COUNT[ones] - less)
-    return odds, _seen(seen[-1]) * LONG_STEPS + np.minimum(_seen(seen[-2]), LONG_STEPS - 1)
+    return ((np.clip(z, -8, 8) + np.float32(8)) * np.float32((STEPS - 1) / 16) + np.float32(0.5)).astype(np.intp)
+
+
+def _seen(n: np.ndarray) -> np.ndarray:
+    """0 to 4: nothing, then 1, 3, 9 and 27 or more."""
+    return (n > 0).view(np.uint8) + (n > 2) + (n > 8) + (n > 26)
+
+
+def _guess_input(odds: np.ndarray, e: Bits, g: int) -> np.ndarray:
+    """Log odds of a one by a guess: those of its being right, turned by its bit; 0 without one."""
+    return odds.take(e.cell[g] + (e.right[g] == e.bit))
+
+
+def _gate(e: Bits, seen: np.ndarray) -> np.ndarray:
+    """By what the words before say, or else the text itself, and by what the last table has seen."""
+    text = e.sure[1] + np.uint8(SURE - 1) * (e.sure[1] > 0)
+    return (np.where(e.sure[0] > 0, e.sure[0], text) * np.uint8(SEEN) + seen).astype(np.intp)
+
+
+def _record_odds(record: np.ndarray) -> np.ndarray:
+    """Log odds of each guess's cells, for a guessed zero and one; none for cell 0, which no guess has."""
+    out = np.log((record[..., 1] + DELTA) / (record[..., 0] + DELTA)).astype(np.float32)
+    out[:, :PLACES] = 0
+    return np.stack((-out, out), axis=2).reshape(GUESSES, -1)
+
+
+def _slices(octets: np.ndarray, w: Words, info: np.ndarray, i: int, j: int, code: Code, table_bits: int) -> Iterator[tuple[slice, Bits]]:
+    o, hashes, guesses = contexts(octets, w, info, i, j)
+    for a in range(0, len(o), SLICE):
+        s = slice(a, min(a + SLICE, len(o)))
+        yield s, expand(o[s], [h[s] for h in hashes], [g.of(s) for g in guesses], code, table_bits)
 
 
 @dataclass
 class Model:
+    """Log odds of each table's slots, what the last table has seen, the record of predicted words, weights and map."""
+
     code: Code
     table_bits: int
-    tables: list[np.ndarray]  # numbers of zeros and ones, packed
-    weights: np.ndarray
+    odds: list[np.ndarray]
+    seen: np.ndarray
+    record: np.ndarray
+    weights: np.ndarray  # input x gate
     map: np.ndarray
 
-    def log10(self, words: list[bytes]) -> np.ndarray:
-        """Log probability of each word."""
-        out = np.zeros(len(words))
-        for a in range(0, len(words), BATCH_WORDS):
-            part = words[a : a + BATCH_WORDS]
-            e = expand(part, self.code, self.table_bits)
-            odds, gate = _inputs(self.tables, e, False)
-            z = sum(w[gate] * x for w, x in zip(self.weights.T, odds, strict=True))
-            p = (_squash(z) + self.map[gate * STEPS + _step(z)]) / 2
-            p = np.clip(np.where(e.bit == 1, p, 1 - p), 1e-7, 1 - 1e-7)
-            out[a : a + len(part)] = np.bincount(e.word, np.log10(p), len(part))
+    def log10_bits(self, e: Bits) -> np.ndarray:
+        """Log probability of each bit."""
+        gate = _gate(e, self.seen.take(e.slots[-1]))
+        inputs = [t.take(x) for t, x in zip(self.odds, e.slots, strict=True)] + [_guess_input(r, e, g) for g, r in enumerate(self.record)]
+        z = sum(w.take(gate) * x for w, x in zip(self.weights, inputs, strict=True))
+        p = (_squash(z) + self.map.take(gate * STEPS + _step(z))) / 2
+        p = np.where(e.bit, p, 1 - p)
+        return np.log10(np.clip(p, 1e-7, 1 - 1e-7))
+
+    def score(self, octets: np.ndarray, info: np.ndarray) -> np.ndarray:
+        """Log probability of each text of a stream."""
+        w = Words(octets)
+        texts = np.cumsum(w.new_text) - 1
+        out = np.zeros(int(texts[-1]) + 1 if len(texts) else 0)
+        for i, j in w.pieces():
+            of = np.repeat(texts[i:j], w.end[i:j] - w.start[i:j] + 1)
+            for s, e in _slices(octets, w, info, i, j, self.code, self.table_bits):
+                lp = np.bincount(e.byte, self.log10_bits(e), s.stop - s.start)
+                first = of[s.start]
+                out[first : of[s.stop - 1] + 1] += np.bincount(of[s] - first, lp)
         return out
 
 
-class Mixer:
-    """One task's mixer weights and refining map, learned online with the tables given."""
+class Learner:
+    """One task's tables, weights and map: it predicts a slice and then learns from it."""
 
-    def __init__(self, code: Code, table_bits: int, tables: list[np.ndarray]):
-        self.code, self.table_bits, self.tables = code, table_bits, tables
-        self.weights = np.tile(np.array([0.05] * (len(CONTEXTS) - 2) + [0.3, 0.6]), (GATES, 1))
+    def __init__(self, code: Code, table_bits: int):
+        self.code, self.table_bits = code, table_bits
+        # Numbers of zeros and ones of a slot, in the halves of one number.
+        self.tables = [np.zeros(1 << table_bits, np.uint64) for _ in CONTEXTS]
+        self.weights = np.tile(np.array([0.3, 0.3, 0.3, 0.5, 0.5]), (GATES, 1))
         self.slopes = np.zeros(self.weights.shape)
+        self.record = np.zeros((GUESSES, SURE * PLACES, 2))  # wrong, right
         self.map = np.zeros((GATES * STEPS, 2))
         self.bits = np.zeros(GATES)
 
-    def learn(self, words: list[bytes], counts: np.ndarray) -> None:
-        """Each word as often as it occurs, predicted as if this occurrence weren't in the tables."""
-        e = expand(words, self.code, self.table_bits)
-        weight = np.minimum(counts, MOST_WEIGHT)[e.word].astype(np.float64)
-        odds, gate = _inputs(self.tables, e, True)
-        z = sum(w[gate] * x for w, x in zip(self.weights.T.astype(np.float32), odds, strict=True))
-        wrong = (e.bit - _squash(z)) * weight
+    def learn(self, octets: np.ndarray, info: np.ndarray, mine: np.ndarray) -> None:
+        """A stream's texts, of those that mine marks, in their order."""
+        if not mine.any():
+            return
+        if not mine.all():
+            w = Words(octets)
+            texts = np.cumsum(w.new_text) - 1
+            keep = mine[texts]
+            octets, info = octets[np.repeat(keep, w.end - w.start + 1)], info[keep]
+        w = Words(octets)
+        for i, j in w.pieces():
+            for _, e in _slices(octets, w, info, i, j, self.code, self.table_bits):
+                self.step(e)
+
+    def step(self, e: Bits) -> None:
+        odds = []
+        for t, x in zip(self.tables, e.slots, strict=True):
+            n = t.take(x)
+            zeros, ones = (n & _LOW).astype(np.float32), (n >> _HIGH).astype(np.float32)
+            odds.append(np.log((ones + _DELTA) / (zeros + _DELTA)))
+        gate = _gate(e, _seen(zeros + ones))
+        odds += [_guess_input(r, e, g) for g, r in enumerate(_record_odds(self.record))]
+        weights = self.weights.T.astype(np.float32, order="C")
+        z = sum(w.take(gate) * x for w, x in zip(weights, odds, strict=True))
+        wrong = (e.bit - _squash(z)).astype(np.float64)
         for j, x in enumerate(odds):
             slope = np.bincount(gate, wrong * x, GATES)
             self.slopes[:, j] += slope**2
             self.weights[:, j] += RATE * slope / np.sqrt(self.slopes[:, j] + 1)
-        at = gate * STEPS + _step(z)
-        for b in (0, 1):
-            mine = e.bit == b
-            self.map[:, b] += np.bincount(at[mine], weight[mine], GATES * STEPS)
-        self.bits += np.bincount(gate, weight, GATES)
+        cell = 2 * (gate * STEPS + _step(z)) + e.bit
+        self.map += np.bincount(cell, minlength=self.map.size).reshape(self.map.shape)
+        for g, r in enumerate(self.record):
+            r += np.bincount(e.cell[g] + e.right[g], minlength=r.size).reshape(r.shape)
+        self.bits += np.bincount(gate, minlength=GATES)
+        one = _ONE.take(e.bit)
+        for t, x in zip(self.tables, e.slots, strict=True):
+            np.add.at(t, x, one)
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Add up the parts of each block; memory is the blocks', however many tasks sent them."""
-    sums: dict[tuple[int, int], np.ndarray] = {}
-    for batch in batches:
-        for k, b, part in zip(*(batch.column(c).to_pylist() for c in ("k", "b", "part")), strict=True):
-            n = len(part) // 10
-            have = sums.setdefault((k, b), np.zeros((1 << BLOCK_BITS, 2), np.int64))
-            have[np.frombuffer(part, "<u2", n)] += np.frombuffer(part, "<i4", 2 * n, 2 * n).reshape(-1, 2)
-    for (k, b), x in sums.items():
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k], pa.int32()), pa.array([b], pa.int32()), pa.array([_packed(x).tobytes()])], ["k", "b", "part"]
-        )
+# --- What the corpus gathers: words' counts, and the words that follow two others.
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    for batch in batches:
-        words, counts = batch.column("word").to_pylist(), batch.column("c").to_numpy()
-        for a in range(0, len(words), BATCH_WORDS):
-            yield words[a : a + BATCH_WORDS], counts[a : a + BATCH_WORDS]
-
-
-def train(words: DataFrame, total: int, distinct: int, table_bits: int = TABLE_BITS) -> Model:
-    """Learn from the words with c > 0; total and distinct are those of the training tokens."""
-    context = words.sparkSession.sparkContext
-    # Dealt and ordered by hashes of the words, so that neither other texts nor the tasks' timing matter.
-    tasks = max(1, round(distinct / TASK_WORDS))
-    known = words.where("c > 0").select("word", "c")
-    few = known.repartition(tasks, "word").sortWithinPartitions(F.xxhash64("word"), "word").checkpoint()
-
-    def bytes_of(batches):
-        sums = np.zeros(256)
-        for part, counts in _batches(batches):
-            spelled = [w if w == END else w + b" " for w in part]
-            each = np.repeat(counts, list(map(len, spelled)))
-            sums += np.bincount(np.frombuffer(b"".join(spelled), np.uint8), each, 256)
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at], pa.float64())], ["byte", "n"])
-
-    weights = np.zeros(256)
-    for r in known.mapInArrow(bytes_of, "byte int, n double").groupBy("byte").agg(F.sum("n").alias("n")).collect():
-        weights[r["byte"]] = r["n"]  # 256 rows at most
-    code = Code(np.maximum(weights / max(1.0, weights.sum() / 2**30), weights > 0).round())
-    shift = max(0, int(total).bit_length() - 30)  # so that a task's counts fit 32 bits
-    rules = context.broadcast((code, table_bits, shift))
-
-    def fill(batches):
-        code, table_bits, shift = rules.value
-        tables = None
-        for part, counts in _batches(batches):
-            if tables is None:
-                tables = [np.zeros((1 << table_bits, 2), np.int32) for _ in CONTEXTS]
-            e = expand(part, code, table_bits)
-            each = np.maximum(counts >> shift, 1).astype(np.int32)[e.word]
-            for t, x in zip(tables, e.slots, strict=True):
-                np.add.at(t.reshape(-1), 2 * x + e.bit, each)
-        size = 1 << BLOCK_BITS
-        for k, t in enumerate(tables or ()):
-            for b in range(0, len(t), size):
-                cut = t[b : b + size]
-                at = np.flatnonzero(cut.any(axis=1)).astype("<u2")
-                if len(at):
-                    row = at.tobytes() + cut[at].astype("<i4").tobytes()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([k], pa.int32()), pa.array([b // size], pa.int32()), pa.array([row])], ["k", "b", "part"]
-                    )
-
-    filled = few.mapInArrow(fill, "k int, b int, part binary").repartition("k", "b")
-    tables = [np.zeros((1 << table_bits, 2), np.uint8) for _ in CONTEXTS]
-    for r in filled.mapInArrow(_merge, "k int, b int, part binary").collect():  # the tables, whose size is fixed
-        at = r["b"] << BLOCK_BITS
-        cut = np.frombuffer(r["part"], np.uint8).reshape(-1, 2)
-        tables[r["k"]][at : at + len(cut)] = cut[: len(tables[r["k"]]) - at]
-    shared = context.broadcast((code, table_bits, tables))
-
-    def mix(batches):
-        mixer = None
-        for part, counts in _batches(batches):
-            mixer = mixer or Mixer(*shared.value)
-            mixer.learn(part, counts)
-        if mixer is not None:
-            values = np.concatenate(((mixer.weights * mixer.bits[:, None]).ravel(), mixer.bits, mixer.map.ravel()))
-            at = np.arange(len(values))
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(values)], ["at", "x"])
-
-    first = Mixer(*shared.value)
-    n = first.weights.size
-    sums = np.zeros(n + GATES + first.map.size)
-    for r in few.mapInArrow(mix, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
-        sums[r["at"]] = r["x"]  # a fixed number of rows
-    bits = sums[n : n + GATES, None]
-    w = np.where(bits > 0, sums[:n].reshape(first.weights.shape) / np.maximum(bits, 1e-9), first.weights)
-    seen = sums[n + GATES :].reshape(first.map.shape)
-    # The map starts from the identity, as if each cell had been seen a few times.
-    middle = _squash((np.tile(np.arange(STEPS), GATES) * 16 / (STEPS - 1)) - 8)
-    refined = ((seen[:, 1] + 8 * middle) / (seen.sum(axis=1) + 8)).astype(np.float32)
-    return Model(code, table_bits, tables, w.astype(np.float32), refined)
+def _planes(x: np.ndarray, octets: int) -> bytes:
+    """The lowest octets of each number, byte plane by byte plane, which packs better."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :octets].T).tobytes()
 
 
-def price(words: DataFrame, model: Model) -> DataFrame:
-    """words with lp, the model's log10 probability of each."""
-    shared = words.sparkSession.sparkContext.broadcast(model)
+def _numbers(data: bytes, octets: int) -> np.ndarray:
+    p = np.frombuffer(data, np.uint8).reshape(octets, -1)
+    out = np.zeros((p.shape[1], 8), np.uint8)
+    out[:, :octets] = p.T
+    return out.reshape(-1).view("<u8")
 
-    def run(batches):
-        m = shared.value
-        for batch in batches:
-            lp = m.log10(batch.column("word").to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lp)], [*batch.schema.names, "lp"])
 
-    return words.mapInArrow(run, "word binary, c bigint, n bigint, lp double")
+@dataclass
+class Asked:
+    """What a batch asks: its distinct (key, first eight bytes), sorted, and its distinct words by shard."""
+
+    octets: np.ndarray
+    words: Words
+    mine: np.ndarray  # texts that are learned from
+    key: np.ndarray
+    follower: np.ndarray
+    n: np.ndarray  # occurrences in training texts
+    inverse: np.ndarray
+    by_shard: dict[int, list[bytes]]
+    counts: Counter  # in training texts
+    each: list[Counter]  # of every text
+
+
+def _asked(batch: pa.Table, shards: int) -> Asked:
+    """A batch's texts in a fixed order, and what they ask."""
+    found = [tokens(t) for t in batch.column("text").to_pylist()]
+    octets = np.frombuffer(b"".join([b" ".join(t) for t in found]), np.uint8)
+    mine = ~batch.column("held").to_numpy(zero_copy_only=False).astype(bool)
+    w = Words(octets)
+    key, follower = w.keys(), w.first8
+    order = np.lexsort((follower, key))
+    k, f = key[order], follower[order]
+    new = np.concatenate(([True], (k[1:] != k[:-1]) | (f[1:] != f[:-1])))
+    place = np.cumsum(new) - 1
+    inverse = np.empty(len(order), np.int64)
+    inverse[order] = place
+    n = np.bincount(inverse, mine[np.cumsum(w.new_text) - 1], int(place[-1]) + 1).astype(np.int64)
+    each = [Counter(t) for t in found]
+    counts: Counter = Counter()
+    for t, c in zip(mine.tolist(), each, strict=True):
+        if t:
+            counts.update(c)
+        else:
+            counts.update(dict.fromkeys(c, 0))
+    by_shard: dict[int, list[bytes]] = {}
+    for x in counts:
+        by_shard.setdefault(crc32(x) % shards, []).append(x)
+    return Asked(octets, w, mine, k[new], f[new], n, inverse, by_shard, counts, each)
+
+
+def _shard_of(key: np.ndarray, shards: int) -> np.ndarray:
+    return key * np.uint64(shards) >> np.uint64(_KEY_BITS)
+
+
+ASK = "b bigint, shard bigint, key binary, follower binary, n binary, words binary, counts binary"
+ANSWER = "b bigint, shard bigint, held binary, own binary, counts binary, fresh bigint"
+SCORED = "held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, length bigint"
+PREPARED = (
+    "held array<boolean>, n_tokens array<bigint>, n_known array<bigint>, sums array<double>, size bigint, stream binary, "
+    "info binary, n_train bigint, fresh bigint, octets array<bigint>"
+)
+
+
+def _ask(shards: int):
+    def run(key: tuple, batch: pa.Table) -> pa.Table:
+        a = _asked(_ordered(batch), shards)
+        rows = []
+        cuts = np.searchsorted(_shard_of(a.key, shards), np.arange(shards + 1)) if shards < 4 * len(a.key) else None
+        some = range(shards) if cuts is not None else sorted({*_shard_of(a.key, shards).tolist(), *a.by_shard})
+        for s in some:
+            lo, hi = (cuts[s], cuts[s + 1]) if cuts is not None else np.searchsorted(_shard_of(a.key, shards), [s, s + 1])
+            words = a.by_shard.get(s, [])
+            if hi > lo or words:
+                counts = np.array([a.counts[x] for x in words], "<u4").tobytes()
+                rows.append((key[0].as_py(), s, _planes(a.key[lo:hi], 6), _planes(a.follower[lo:hi], 8), _planes(a.n[lo:hi], 4), b" ".join(words), counts))
+        kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 5)
+        names = ("b", "shard", "key", "follower", "n", "words", "counts")
+        return pa.table({c: pa.array(v, t) for c, v, t in zip(names, zip(*rows, strict=True), kinds, strict=True)})
+
+    return run
+
+
+def _ordered(batch: pa.Table) -> pa.Table:
+    """A batch's rows in an order that does not depend on how they came."""
+    return batch.sort_by([("h", "ascending"), ("text", "ascending")])
+
+
+def _follow(key: np.ndarray, follower: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each asked (key, follower): the predicted follower for other texts and for an occurrence counted in n.
+
+    Rows of three bytes: how many of the first eight bytes agree, the first that doesn't, and how sure.
+    """
+    order = np.lexsort((follower, key))
+    k, f = key[order], follower[order]
+    new = np.concatenate(([True], (k[1:] != k[:-1]) | (f[1:] != f[:-1])))
+    pair = np.cumsum(new) - 1
+    k, f = k[new], f[new]
+    m = np.bincount(pair, n[order]).astype(np.int64)
+    pair_of = np.empty(len(order), np.int64)
+    pair_of[order] = pair
+    # In each key the most frequent first, ties to the smaller.
+    rank = np.lexsort((f, -m, k))
+    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+    group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(k))))
+    total = np.bincount(group, m).astype(np.int64)
+    more = np.append(np.diff(np.append(first, len(k))) > 1, [])
+    best, second = rank[first], rank[np.minimum(first + 1, len(k) - 1)]
+    f1, n1 = f[best], m[best]
+    f2, n2 = f[second], np.where(more, m[second], 0)
+    g = group[pair_of]
+    own = best[g] == pair_of
+    held = _answer(follower, f1[g], n1[g], total[g])
+    less = n1[g] - own
+    swap = own & (n2[g] > 0) & ((n2[g] > less) | ((n2[g] == less) & (f2[g] < f1[g])))
+    return held, _answer(follower, np.where(swap, f2[g], f1[g]), np.where(swap, n2[g], less), np.maximum(total[g] - 1, 0))
+
+
+def _answer(actual: np.ndarray, guess: np.ndarray, n: np.ndarray, total: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(actual), 3), np.uint8)
+    other = (actual ^ guess).astype(">u8").view(np.uint8).reshape(-1, 8) != 0
+    agree = np.where(other.any(axis=1), other.argmax(axis=1), 8)
+    byte = guess.astype(">u8").view(np.uint8).reshape(-1, 8)[np.arange(len(actual)), np.minimum(agree, 7)]
+    sure = np.where(n > 0, 2 * _level(n) - 1 + (n == total), 0)
+    out[:, 0], out[:, 1], out[:, 2] = agree, byte, sure
+    out[sure == 0] = 0
+    return out
+
+
+def _reply(key: tuple, rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by("b")
+    b = rows.column("b").to_pylist()
+    keys = [_numbers(x, 6) for x in rows.column("key").to_pylist()]
+    sizes = np.cumsum([0, *map(len, keys)])
+    every = [np.concatenate([_numbers(x, o) for x in rows.column(c).to_pylist()]) for c, o in (("follower", 8), ("n", 4))]
+    none = np.zeros((0, 3), np.uint8)
+    held, own = _follow(np.concatenate(keys), *every) if sizes[-1] else (none, none)
+    words = [x.split(b" ") if x else [] for x in rows.column("words").to_pylist()]
+    counts = [np.frombuffer(x, "<u4") for x in rows.column("counts").to_pylist()]
+    total: dict[bytes, int] = {}
+    for w, c in zip(words, counts, strict=True):
+        for x, k in zip(w, c.tolist(), strict=True):
+            total[x] = total.get(x, 0) + k
+    seen: set[bytes] = set()
+    fresh = []
+    for w in words:
+        new = {x for x in w if total[x] and x not in seen}
+        seen |= new
+        fresh.append(len(new))
+    return pa.table({
+        "b": pa.array(b, pa.int64()), "shard": pa.array([key[0].as_py()] * len(b), pa.int64()),
+        "held": pa.array([np.ascontiguousarray(held[x:y].T).tobytes() for x, y in zip(sizes, sizes[1:], strict=False)], pa.binary()),
+        "own": pa.array([np.ascontiguousarray(own[x:y].T).tobytes() for x, y in zip(sizes, sizes[1:], strict=False)], pa.binary()),
+        "counts": pa.array([np.array([total[x] for x in w], "<i8").tobytes() for w in words], pa.binary()),
+        "fresh": pa.array(fresh, pa.int64()),
+    })
+
+
+def _prepared(shards: int, id_type: pa.DataType):
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        batch = _ordered(texts)
+        a = _asked(batch, shards)
+        answers = answers.sort_by("shard")
+        parts = {c: [np.frombuffer(x, np.uint8).reshape(3, -1).T for x in answers.column(c).to_pylist()] for c in ("held", "own")}
+        both = [np.concatenate(parts[c]) if parts[c] else np.zeros((0, 3), np.uint8) for c in ("held", "own")]
+        of = np.cumsum(a.words.new_text) - 1
+        info = np.where(a.mine[of][:, None], both[1][a.inverse], both[0][a.inverse])
+        known: dict[bytes, int] = {}
+        for s, c in zip(answers.column("shard").to_pylist(), answers.column("counts").to_pylist(), strict=True):
+            known.update(zip(a.by_shard.get(s, ()), np.frombuffer(c, "<i8").tolist(), strict=True))
+        log = {w: math.log10(c + 0.5) for w, c in known.items()}
+        texts_of = np.bincount(a.octets, minlength=256)
+        if not a.mine.all():
+            texts_of = np.bincount(a.octets[np.repeat(a.mine[of], a.words.end - a.words.start + 1)], minlength=256)
+        row = {
+            "ids": pa.array([batch.column("id").to_pylist()], pa.list_(id_type)),
+            "held": pa.array([(~a.mine).tolist()], pa.list_(pa.bool_())),
+            "n_tokens": pa.array([[sum(c.values()) for c in a.each]], pa.list_(pa.int64())),
+            "n_known": pa.array([[sum(k for w, k in c.items() if known[w]) for c in a.each]], pa.list_(pa.int64())),
+            "sums": pa.array([[math.fsum(k * log[w] for w, k in c.items()) for c in a.each]], pa.list_(pa.float64())),
+            "size": pa.array([len(a.octets)], pa.int64()),
+            "stream": pa.array([pa.compress(a.octets.tobytes(), "zstd", asbytes=True)], pa.binary()),
+            "info": pa.array([pa.compress(np.ascontiguousarray(info.T).tobytes(), "zstd", asbytes=True)], pa.binary()),
+            "n_train": pa.array([sum(a.counts.values())], pa.int64()),
+            "fresh": pa.array([sum(answers.column("fresh").to_pylist())], pa.int64()),
+            "octets": pa.array([texts_of.tolist()], pa.list_(pa.int64())),
+        }
+        return pa.table(row)
+
+    return run
+
+
+def gather(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Batches of coded texts with what the whole corpus says of their words, checkpointed."""
+    prepare(docs.sparkSession)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text) + 1), F.lit(0))).first()[0]
+    batches, shards = max(1, math.ceil(size / BATCH)), max(1, math.ceil(size / SHARD))
+    name = F.col(id_col).cast("string")
+    hashed = F.xxhash64(name, text, F.spark_partition_id())
+    rows = docs.select(F.col(id_col).alias("id"), (~training(id_col)).alias("held"), text.alias("text"), hashed.alias("h"))
+    rows = rows.withColumn("b", F.pmod("h", F.lit(batches)))
+    id_type = docs.schema[id_col].dataType
+    asked = rows.groupBy("b").applyInArrow(_ask(shards), ASK)
+    answers = asked.groupBy("shard").applyInArrow(_reply, ANSWER)
+    schema = StructType([StructField("ids", ArrayType(id_type)), *_parse_datatype_string(PREPARED).fields])
+    met = rows.groupBy("b").cogroup(answers.groupBy("b"))
+    return met.applyInArrow(_prepared(shards, to_arrow_type(id_type)), schema).checkpoint()
 
 
-def lgamma(x: np.ndarray) -> np.ndarray:
-    """Natural logarithm of the gamma function, for x > 0."""
-    less = sum(np.log(x + i) for i in range(6))
-    y = x + 6
-    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) - less
+def _unpacked(size: int, stream: bytes, info: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    octets = np.frombuffer(pa.decompress(stream, size, "zstd"), np.uint8)
+    return octets, np.ascontiguousarray(np.frombuffer(pa.decompress(info, 3 * n, "zstd"), np.uint8).reshape(3, -1).T)
 
 
-def urn_total(n: int) -> float:
-    return math.lgamma(URN + n) - math.lgamma(URN)
+def _rows(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    for k in range(batch.num_rows):
+        yield tuple(batch.column(c)[k].as_py() for c in names)
 
 
-@dataclass
-class Kinds:
-    """Kinds of text: each one's share and its probabilities of the frequent words, the last place being all others."""
-
-    place: dict[bytes, int]
-    share: np.ndarray
-    p: np.ndarray  # kind x place
-
-    def __post_init__(self) -> None:
-        self.first = np.log(URN * np.maximum(self.p, 1e-300)).T.copy()  # place x kind
-        self.prior = np.log(self.share)
-
-    def log(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Natural log of each kind's probability of a text's numbers of frequent words, in whatever order they come.
-
-        An urn: the i-th time a word counts as URN * p + i, so that words that came before are likelier.
-        """
-        out = self.prior + self.first[at].sum(axis=0) - urn_total(int(n.sum()))
-        more = n > 1
-        if more.any():
-            a = URN * self.p[:, at[more]]
-            out += (lgamma(a + n[more]) - lgamma(a + 1)).sum(axis=1)
-        return out
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add up the parts of each block and turn them to log odds; memory is the blocks', however many learners sent them."""
+    sums: dict[tuple[int, int], np.ndarray] = {}
+    for batch in batches:
+        for k, b, part in _rows(batch, "k", "b", "part"):
+            n = len(part) // 10
+            have = sums.setdefault((k, b), np.zeros((1 << BLOCK_BITS, 2), np.int64))
+            have[np.frombuffer(part, "<u2", n)] += np.frombuffer(part, "<u4", 2 * n, 2 * n).reshape(-1, 2)
+    for (k, b), x in sums.items():
+        l = np.log(x + DELTA)
+        data = (l[:, 1] - l[:, 0]).astype("<f4").tobytes() + _seen(x.sum(axis=1)).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([b], pa.int32()), pa.array([data])], ["k", "b", "part"])
 
-    def counts(self, found: Counter) -> tuple[np.ndarray, np.ndarray, dict[bytes, int]]:
-        """Places and numbers of a text's frequent words, and its other words."""
-        place = self.place
-        at, n, rest = [], [], {}
-        for w, k in found.items():
-            i = place.get(w)
-            if i is None:
-                rest[w] = k
-            else:
-                at.append(i)
-                n.append(k)
-        if rest:
-            at.append(len(place))
-            n.append(sum(rest.values()))
-        return np.array(at, np.int64), np.array(n, np.int64), rest
-
-
-def sort_kinds(texts: list[Counter], place: dict[bytes, int], p: np.ndarray) -> Kinds:
-    """Kinds of some texts by expectation maximisation."""
-    one = Kinds(place, np.ones(1), p[None, :])
-    if not texts:
-        return one
-    x = np.zeros((len(texts), len(p)), np.float32)
-    for i, t in enumerate(texts):
-        at, n, _ = one.counts(t)
-        x[i, at] = np.sqrt(n)  # a text's repetitions say little about its kind
-    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    # Seeds: texts that together come nearest to all, each chosen for what it adds.
-    like = unit @ unit[:SEED_TEXTS].T
-    near, seeds = np.zeros(len(texts), np.float32), []
-    for _ in range(min(KINDS, like.shape[1])):
-        seeds.append(int(np.argmax(np.maximum(near[:, None], like).sum(axis=0))))
-        near = np.maximum(near, like[:, seeds[-1]])
-    member = np.eye(len(seeds))[np.argmax(unit @ unit[seeds].T, axis=1)]
-    for _ in range(12):
-        sums = member.T @ x
-        q = (sums + KIND_PRIOR * p) / (sums.sum(axis=1, keepdims=True) + KIND_PRIOR)
-        share = (member.sum(axis=0) + 1) / (len(texts) + len(seeds))
-        z = x @ np.log(q).T + np.log(share)
-        member = np.exp(z - z.max(axis=1, keepdims=True))
-        member /= member.sum(axis=1, keepdims=True)
-    return Kinds(place, share, q)
-
-
-def learn_kinds(docs: DataFrame, place: dict[bytes, int], p: np.ndarray, id_col: str, text_col: str) -> Kinds:
-    """Kinds from a bounded sample of training texts; then the words of every training text count for its kind."""
-    spark = docs.sparkSession
-    rows = docs.where(training(id_col)).select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"))
-    chosen = rows.select("__id").distinct().orderBy(F.xxhash64("__id"), "__id").limit(KIND_SAMPLE)
-    sample = rows.join(F.broadcast(chosen), "__id").groupBy("__id").agg(F.max("text").alias("text"))
-    texts = [tokens(r["text"]) for r in sample.orderBy(F.xxhash64("__id"), "__id").limit(KIND_SAMPLE).toLocalIterator()]
-    few = dict(list(place.items())[:KIND_WORDS])
-    rough = np.append(p[: len(few)], max(1e-9, 1 - p[: len(few)].sum()))
-    first = sort_kinds(texts, few, rough)
-    shared = spark.sparkContext.broadcast((first, place))
 
-    def run(batches):
-        kinds, place = shared.value
-        sums = np.zeros((len(kinds.share), len(place) + 1))
-        texts = np.zeros(len(kinds.share))
-        whole = Kinds(place, kinds.share, np.ones((1, len(place) + 1)))
-        logs, few = np.log(kinds.p), len(kinds.place)
+def train(gathered: DataFrame, table_bits: int = TABLE_BITS, learner: int = LEARNER) -> tuple[Model, int, int]:
+    """The model, the number of training tokens and that of distinct ones."""
+    spark = gathered.sparkSession
+    context = spark.sparkContext
+
+    def totals(batches):
+        sums = np.zeros(259, np.int64)
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                at, n, _ = whole.counts(tokens(text))
-                # The sample's words are the first places; all others count as one there.
-                near = at < few
-                x = np.sqrt(np.append(n[near], n[~near].sum()))
-                k = int(np.argmax(kinds.prior + logs[:, np.append(at[near], few)] @ x))
-                texts[k] += 1
-                sums[k, at] += n
-        k, at = np.nonzero(sums)
-        some = np.flatnonzero(texts)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate((k, some)), pa.int32()),
-                pa.array(np.concatenate((at, np.full(len(some), -1))), pa.int32()),
-                pa.array(np.concatenate((sums[k, at], texts[some]))),
-            ],
-            ["k", "at", "n"],
-        )
-
-    counted = rows.select("text").mapInArrow(run, "k int, at int, n double").groupBy("k", "at").agg(F.sum("n").alias("n"))
-    sums, texts_of = np.zeros((len(first.share), len(p))), np.zeros(len(first.share))
-    for r in counted.toLocalIterator():  # KINDS * 2**FREQUENT_BITS rows at most
-        if r["at"] < 0:
-            texts_of[r["k"]] = r["n"]
-        else:
-            sums[r["k"], r["at"]] = r["n"]
-    q = (sums + KIND_PRIOR * p) / (sums.sum(axis=1, keepdims=True) + KIND_PRIOR)
-    return Kinds(place, (texts_of + 1) / (texts_of.sum() + len(texts_of)), q)
+            for octets, n, v, size in _rows(batch, "octets", "n_train", "fresh", "size"):
+                sums[:256] += np.array(octets)
+                sums[256:] += n, v, size
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at])], ["at", "n"])
+
+    sums = np.zeros(259, np.int64)
+    counted = gathered.select("octets", "n_train", "fresh", "size").mapInArrow(totals, "at int, n bigint")
+    for r in counted.groupBy("at").agg(F.sum("n").alias("n")).collect():  # 259 rows at most
+        sums[r["at"]] = r["n"]
+    code = Code(sums[:256])
+    shared = context.broadcast((code, table_bits))
+
+    def learn(batches):
+        mine = None
+        for batch in batches:
+            for size, stream, info, n, held in _rows(batch, "size", "stream", "info", "n_tokens", "held"):
+                mine = mine or Learner(*shared.value)
+                mine.learn(*_unpacked(size, stream, info, sum(n)), ~np.array(held))
+        if mine is None:
+            return
+        block = 1 << BLOCK_BITS
+        for k, t in enumerate(mine.tables):
+            for b in range(0, len(t), block):
+                cut = t[b : b + block]
+                at = np.flatnonzero(cut).astype("<u2")
+                if len(at):
+                    row = at.tobytes() + cut[at].astype("<u8").tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([b // block], pa.int32()), pa.array([row])], ["k", "b", "part"])
+        values = np.concatenate(((mine.weights * mine.bits[:, None]).ravel(), mine.bits, mine.map.ravel(), mine.record.ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([0], pa.int32()), pa.array([values.astype("<f8").tobytes()])], ["k", "b", "part"])
+
+    learners = max(1, round(int(sums[258]) / learner))
+    learned = gathered.select("size", "stream", "info", "n_tokens", "held").coalesce(learners)
+    sent = learned.mapInArrow(learn, "k int, b int, part binary").repartition("k", "b").checkpoint()
+    first = Learner(code, BLOCK_BITS)
+    n = first.weights.size
+
+    def add(batches):
+        total = None
+        for batch in batches:
+            for (part,) in _rows(batch, "part"):
+                x = np.frombuffer(part, "<f8")
+                total = x.copy() if total is None else total + x
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["part"])
+
+    values = np.zeros(n + GATES + first.map.size + first.record.size)
+    for r in sent.where("k < 0").select("part").mapInArrow(add, "part binary").collect():  # a row of each partition that has any
+        values += np.frombuffer(r["part"], "<f8")
+    weights, bits, seen, record = np.split(values, np.cumsum([n, GATES, first.map.size]))
+    w = np.where(bits[:, None] > 0, weights.reshape(first.weights.shape) / np.maximum(bits[:, None], 1), first.weights)
+    odds = [np.zeros(1 << table_bits, np.float32) for _ in CONTEXTS]
+    last = np.zeros(1 << table_bits, np.uint8)
+    for r in sent.where("k >= 0").mapInArrow(_merge, "k int, b int, part binary").collect():  # the tables, whose size is fixed
+        at = r["b"] << BLOCK_BITS
+        size = min(1 << BLOCK_BITS, (1 << table_bits) - at)
+        odds[r["k"]][at : at + size] = np.frombuffer(r["part"], "<f4", size)
+        if r["k"] == len(CONTEXTS) - 1:
+            last[at : at + size] = np.frombuffer(r["part"], np.uint8, size, 4 << BLOCK_BITS)
+    # The map starts from the identity, as if each cell had been seen a few times.
+    middle = _squash((np.tile(np.arange(STEPS), GATES) * 16 / (STEPS - 1)) - 8)
+    seen = seen.reshape(first.map.shape)
+    refined = ((seen[:, 1] + 8 * middle) / (seen.sum(axis=1) + 8)).astype(np.float32)
+    record = _record_odds(record.reshape(first.record.shape))
+    model = Model(code, table_bits, odds, last, record, w.T.astype(np.float32, order="C"), refined)
+    return model, int(sums[256]), int(sums[257])
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bits: int = TABLE_BITS) -> DataFrame:
     """Scores of all texts, learned from the training ones."""
-    spark = docs.sparkSession
-    prepare(spark)
-    words = count(docs, id_col, text_col).checkpoint()
-    sums = words.agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1)), F.sum("n")).first()
-    total, distinct, every = (int(x or 0) for x in sums)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16384")  # words are short
-    try:
-        priced = price(words, train(words, total, distinct, table_bits)).checkpoint()
-    finally:
-        prepare(spark)
-    # At most 2**HOT_BITS words, as each makes up such a share of all tokens.
-    hot = priced.where(F.col("n") >= max(every / 2**HOT_BITS, 1)).orderBy(F.desc("c"), "word")
-    known = {bytes(r["word"]): (r["c"], r["lp"]) for r in hot.toLocalIterator()}
-    frequent = [w for w, (c, _) in known.items() if c and c >= total / 2**FREQUENT_BITS]
-    p = np.maximum(10.0 ** np.array([known[w][1] for w in frequent]), 1e-30)
-    p *= min(1.0, 0.999 / max(p.sum(), 1e-9))
-    others = 1 - p.sum()
-    kinds = learn_kinds(docs, {w: i for i, w in enumerate(frequent)}, np.append(p, others), id_col, text_col)
-    less = math.log10(others)
+    gathered = gather(docs, id_col, text_col)
+    model, total, distinct = train(gathered, table_bits)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     z = math.log10(total + 0.5 * (distinct + 1))
-    shared = spark.sparkContext.broadcast((known, kinds))
-    rows = docs.select(F.col(id_col).alias("__id"), (~training(id_col)).alias("__out"), F.col(text_col).cast("string").alias("__text"))
-    id_type = rows.schema["__id"].dataType.simpleString()
-    id_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
-    names = ("key", "__id", "__out", "word", "k", "known", "base", "lp", "octets")
-    kinds_of = (pa.int64(), id_arrow, pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
+    id_type = docs.schema[id_col].dataType
+    arrow = to_arrow_type(id_type)
 
     def run(batches):
-        known, kinds = shared.value
-        log10, ln10 = math.log10, math.log(10)
-        first = log10(URN) - less
-        prices = {w: (log10(c + 0.5), lp + first, int(c > 0)) for w, (c, lp) in known.items() if w not in kinds.place}
-        of_place = np.array([log10(known[w][0] + 0.5) for w in kinds.place] + [0.0])
-        key = TaskContext.get().partitionId() << 40
+        m = shared.value
         for batch in batches:
-            texts: list[tuple] = []
-            tail_words, tail_counts, tails = [], [], []
-            rows = zip(*(batch.column(c).to_pylist() for c in ("__id", "__out", "__text")), strict=True)
-            for i, held, text in rows:
-                key += 1
-                octets = len(b" ".join(utf8(text).split()))
-                at, numbers, rest = kinds.counts(tokens(text))
-                logs = kinds.log(at, numbers)
-                top = logs.max()
-                lp = (top + math.log(np.exp(logs - top).sum())) / ln10
-                base = float(of_place[at] @ numbers)
-                n = int(numbers.sum())
-                n_known = n
-                if rest:
-                    others = int(numbers[-1])
-                    n_known -= others
-                    lp -= urn_total(others) / ln10
-                before = len(tail_words)
-                for w, k in rest.items():
-                    q = prices.get(w)
-                    if q is None:
-                        tail_words.append(w)
-                        tail_counts.append(k)
-                        continue
-                    base += k * q[0]
-                    n_known += k * q[2]
-                    lp += q[1]
-                    if k > 1:
-                        a = URN * 10 ** (q[1] - first - less)
-                        lp += (math.lgamma(a + k) - math.lgamma(a + 1)) / ln10
-                tails.append(len(tail_words) - before)
-                # A word of its own for the text's row, which no text has.
-                texts.append((key, i, held, b"\n%d" % key, n, n_known, base, lp, octets))
-            own = [pa.array(v, t) for v, t in zip(zip(*texts, strict=True), kinds_of, strict=True)]
-            if own:
-                yield pa.RecordBatch.from_arrays(own, names)
-            keys = np.repeat(np.array([t[0] for t in texts], np.int64), tails)
-            given = {"key": pa.array(keys), "word": pa.array(tail_words, pa.binary()), "k": pa.array(tail_counts, pa.int64())}
-            none = [given.get(c, None) for c in names]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), t) if v is None else v for v, t in zip(none, kinds_of, strict=True)], names)
-
-    schema = f"key bigint, __id {id_type}, __out boolean, word binary, k bigint, known bigint, base double, lp double, octets bigint"
-    sent = rows.mapInArrow(run, schema)
-    rare = priced.select("word", "c", F.col("lp").alias("w_lp"))
-    met = sent.join(rare, "word", "left")
-    tail = F.col("__out").isNull()
-    first = F.lit(math.log10(URN) - less) + F.col("w_lp")
-    again = F.when(
-        F.col("k") > 1,
-        F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.col("k") - 1), F.lit(0.0), lambda a, i: a + F.log10(i + F.pow(F.lit(10.0), first))),
-    ).otherwise(0.0)
-    texts = met.groupBy("key").agg(
-        F.max("__id").alias("doc_id"),
-        F.max("__out").alias("held_out"),
-        F.max(F.when(~tail, F.col("k"))).alias("n_tokens"),
-        F.sum(F.when(tail, F.when(F.col("c") > 0, F.col("k")).otherwise(0)).otherwise(F.col("known"))).alias("n_known"),
-        F.sum(F.when(tail, F.col("k") * F.log10(F.col("c") + F.lit(0.5))).otherwise(F.col("base"))).alias("sum"),
-        F.sum(F.when(tail, first + again).otherwise(F.col("lp"))).alias("score"),
-        F.max("octets").alias("octets"),
-    )
-    return texts.select(
-        F.col("doc_id").alias(id_col),
-        "held_out",
-        "n_tokens",
-        "n_known",
-        F.lit(total).cast("bigint").alias("train_tokens"),
-        (F.col("sum") - F.col("n_tokens") * F.lit(z)).alias("base_score"),
-        "score",
-        (-F.col("score") * F.lit(math.log2(10)) / F.greatest(F.col("octets"), F.lit(1))).alias("bits_per_byte"),
-    )
+            for size, stream, info, ids, held, n, known, sums in _rows(batch, "size", "stream", "info", "ids", "held", "n_tokens", "n_known", "sums"):
+                octets, info = _unpacked(size, stream, info, sum(n))
+                lp = m.score(octets, info)
+                # The bytes of a text are those of its words, joined by spaces.
+                ends = np.flatnonzero(octets == FEED)
+                length = np.maximum(np.diff(np.concatenate(([-1], ends))) - 2, 0)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(ids, arrow), pa.array(held), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
+                        pa.array(np.array(sums) - np.array(n) * z), pa.array(lp), pa.array(length),
+                    ],
+                    ["id", "held_out", "n_tokens", "n_known", "base_score", "score", "length"],
+                )
+
+    schema = StructType([StructField("id", id_type), *_parse_datatype_string(SCORED).fields])
+    names = ("size", "stream", "info", "ids", "held", "n_tokens", "n_known", "sums")
+    return gathered.select(*names).mapInArrow(run, schema).select(
+        F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score",
+        (-F.col("score") * F.lit(math.log2(10)) / F.greatest("length", F.lit(1))).alias("bits_per_byte"),
+    )
