@@ -2,13 +2,16 @@
 
 A text is its words and one end. It is coded as a stream of bytes, each word with a space after it
 and a line feed for the end; each byte is a path of bits in a Huffman tree. For every bit of every
-token several hashed contexts predict: the last three bytes of the stream, the word so
-far, and the word so far with the word before it. Each has a table that counts zeros and ones in its
-slots; its log odds are an input of a logistic mixer. One more input comes from the two words before:
-the word that followed them most often in all training texts predicts the bits as long as it agrees.
-The mixer's weights are gated by how sure that word is and by how much the longest other context has
-seen; an adaptive map refines its output. The sum over bits is the text's log probability, which
-bits_per_byte gives too.
+token four hashed contexts predict:
+
+* the last three bytes of the stream, and the word so far; each has a table that counts the zeros and
+  ones of all training texts in its slots, and its log odds are an input of a logistic mixer;
+* the two words before: the word that followed them most often in all training texts predicts the
+  bits as long as it agrees, with the odds by which words as sure as it have been right;
+* the word so far in the text itself: what followed when a word of this text last began so.
+
+The mixer's weights are gated by how sure the last two are; an adaptive map refines its output. The sum
+over bits is the text's log probability, which bits_per_byte gives too.
 
 The work, on Spark:
 
@@ -37,10 +40,9 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -55,16 +57,16 @@ END = b"\n"
 SPACE, FEED = 32, 10
 TABLE_BITS = 21
 BLOCK_BITS = 13
-CONTEXTS = ("three bytes", "word so far", "word so far and word before")
-#: How sure a predicted byte is (0: there is none; else by counts, and by whether all was as predicted), and what the last context has seen.
-SURE, SEEN = 11, 5
-GATES = (2 * SURE - 1) * SEEN
+CONTEXTS = ("three bytes", "word so far")
+#: How sure a predicted byte is (0: there is none; else by counts, and by whether all was as predicted).
+SURE = 11
+GATES = 2 * SURE - 1
 #: Guesses: by the two words before, and by the text so far.
 GUESSES = 2
 #: Places in a word that the predicted word's record tells apart.
 PLACES = 4
 #: Bytes of text in a batch, in a shard's share and in a learner's, about; and coded and learned at once.
-BATCH, SHARD, LEARNER = 1 << 20, 1 << 23, 1 << 25
+BATCH, SHARD, LEARNER = 1 << 22, 1 << 23, 1 << 25
 PIECE, SLICE = 1 << 18, 1 << 15
 DELTA, RATE, STEPS = 0.4, 0.05, 33
 _PHI, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -113,17 +115,20 @@ class Code:
         self.length = np.array([len(p) for p in paths])
         self.start = np.cumsum(self.length) - self.length
         self.node = np.array([n for p in paths for n, _ in p], np.uint32) * np.uint32(0x9E3779B1)
-        self.depth = np.concatenate([np.arange(len(p), dtype=np.int16) for p in paths])
         self.bit = np.array([b for p in paths for _, b in p], np.uint8)
+        depth = np.concatenate([np.arange(len(p), dtype=np.uint64) for p in paths])
+        #: All of them in one number: node, depth, bit.
+        self.step = self.node.astype(np.uint64) | depth << np.uint64(32) | self.bit.astype(np.uint64) << np.uint64(48)
         #: Depth at which the paths of two bytes part.
         bits = [[b for _, b in p] for p in paths]
         self.common = np.array([[next((d for d, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), len(x)) for y in bits] for x in bits])
 
 
 class Words:
-    """Where a stream's tokens begin and end, their hashes and first eight bytes."""
+    """Where a stream's tokens begin and end, and their hashes."""
 
     def __init__(self, octets: np.ndarray):
+        self.octets = octets
         self.end = np.flatnonzero((octets == SPACE) | (octets == FEED))
         self.start = np.concatenate(([0], self.end[:-1] + 1)) if len(self.end) else self.end
         n = len(self.end)
@@ -133,11 +138,6 @@ class Words:
             a, b = self.start[i], self.end[j - 1] + 1
             at = self.end[i:j] - a
             self.hash[i:j] = _so_far(octets[a:b], self.start[i:j] - a, at)[1]
-        self.first8 = np.zeros(n, np.uint64)
-        size = self.end - self.start + 1
-        for k in range(8):
-            here = octets[np.minimum(self.start + k, len(octets) - 1)] if n else np.empty(0, np.uint8)
-            self.first8 = self.first8 << np.uint64(8) | np.where(k < size, here, 0).astype(np.uint64)
         self.one = self.before(1)
 
     def pieces(self, size: int = PIECE) -> Iterator[tuple[int, int]]:
@@ -168,6 +168,12 @@ class Words:
             out[late] = 0
         return out
 
+    def first8(self) -> np.ndarray:
+        """Each token's first eight bytes as a number, zeros after its end."""
+        at = self.start[:, None] + np.arange(8)
+        found = np.where(at <= self.end[:, None], self.octets.take(at, mode="clip"), 0).astype(np.uint8)
+        return np.ascontiguousarray(found).view(">u8").reshape(-1).astype(np.uint64)
+
     def keys(self) -> np.ndarray:
         """Each token's context of two words before, as a number of _KEY_BITS bits."""
         return _mixed(_mixed(self.one) + self.before(2)) >> np.uint64(64 - _KEY_BITS)
@@ -218,7 +224,7 @@ def contexts(octets: np.ndarray, w: Words, info: np.ndarray, i: int, j: int) ->
         y[k:] = x[:-k] if len(o) > k else 0
         y[at - k < first] = FEED + 1
         packed = packed << np.uint64(9) | y
-    found += [_mixed(packed), word, _mixed(word + w.one[lead:j][of])]
+    found += [_mixed(packed), word]
     skip = w.start[i] - a
     o, of, place = o[skip:], of[skip:] + lead, place[skip:]
     near = np.minimum(place, PLACES - 1)
@@ -271,19 +277,21 @@ def expand(o: np.ndarray, hashes: list[np.ndarray], guesses: list[Guess], code:
     lengths = code.length[o]
     start = np.cumsum(lengths) - lengths
     path = np.arange(int(lengths.sum())) + np.repeat(code.start[o] - start, lengths)
-    depth = code.depth.take(path)
-    node = code.node.take(path)
+    steps = code.step.take(path)
+    parts = steps.view(np.uint16).reshape(-1, 4)
+    depth, bit = np.ascontiguousarray(parts[:, 2]), parts[:, 3].astype(np.uint8)
+    node = steps.astype(np.uint32)
     mask = np.uint32((1 << table_bits) - 1)
     slots = [((np.repeat(h, lengths) + node) & mask).astype(np.intp) for h in hashes]
-    out = Bits(slots, code.bit.take(path), np.repeat(np.arange(len(o)), lengths), [], [], [])
+    out = Bits(slots, bit, np.repeat(np.arange(len(o)), lengths), [], [], [])
     for g in guesses:
         # A guess is live until its path and the byte's part; one that is the byte itself never errs.
-        common = np.where(g.sure > 0, np.where(o == g.byte, 256, code.common[o, g.byte]), -1).astype(np.int16)
-        common = np.repeat(common, lengths)
-        live = depth <= common
+        until = np.where(g.sure > 0, np.where(o == g.byte, 256, code.common[o, g.byte] + 1), 0).astype(np.uint16)
+        until = np.repeat(until, lengths)
+        live = depth < until
         out.sure.append(np.repeat(g.sure.astype(np.uint8), lengths) * live)
         out.cell.append((np.repeat((2 * (g.sure * PLACES + g.place)).astype(np.uint8), lengths) * live).astype(np.intp))
-        out.right.append(depth < common)
+        out.right.append(depth + np.uint16(1) < until)
     return out
 
 
@@ -295,20 +303,15 @@ def _step(z: np.ndarray) -> np.ndarray:
     return ((np.clip(z, -8, 8) + np.float32(8)) * np.float32((STEPS - 1) / 16) + np.float32(0.5)).astype(np.intp)
 
 
-def _seen(n: np.ndarray) -> np.ndarray:
-    """0 to 4: nothing, then 1, 3, 9 and 27 or more."""
-    return (n > 0).view(np.uint8) + (n > 2) + (n > 8) + (n > 26)
-
-
 def _guess_input(odds: np.ndarray, e: Bits, g: int) -> np.ndarray:
     """Log odds of a one by a guess: those of its being right, turned by its bit; 0 without one."""
     return odds.take(e.cell[g] + (e.right[g] == e.bit))
 
 
-def _gate(e: Bits, seen: np.ndarray) -> np.ndarray:
-    """By what the words before say, or else the text itself, and by what the last table has seen."""
+def _gate(e: Bits) -> np.ndarray:
+    """By how sure the words before are, or else the text itself."""
     text = e.sure[1] + np.uint8(SURE - 1) * (e.sure[1] > 0)
-    return (np.where(e.sure[0] > 0, e.sure[0], text) * np.uint8(SEEN) + seen).astype(np.intp)
+    return np.where(e.sure[0] > 0, e.sure[0], text).astype(np.intp)
 
 
 def _record_odds(record: np.ndarray) -> np.ndarray:
@@ -327,19 +330,18 @@ def _slices(octets: np.ndarray, w: Words, info: np.ndarray, i: int, j: int, code
 
 @dataclass
 class Model:
-    """Log odds of each table's slots, what the last table has seen, the record of predicted words, weights and map."""
+    """Log odds of each table's slots and of the guesses' cells, weights and map."""
 
     code: Code
     table_bits: int
     odds: list[np.ndarray]
-    seen: np.ndarray
     record: np.ndarray
     weights: np.ndarray  # input x gate
     map: np.ndarray
 
     def log10_bits(self, e: Bits) -> np.ndarray:
         """Log probability of each bit."""
-        gate = _gate(e, self.seen.take(e.slots[-1]))
+        gate = _gate(e)
         inputs = [t.take(x) for t, x in zip(self.odds, e.slots, strict=True)] + [_guess_input(r, e, g) for g, r in enumerate(self.record)]
         z = sum(w.take(gate) * x for w, x in zip(self.weights, inputs, strict=True))
         p = (_squash(z) + self.map.take(gate * STEPS + _step(z))) / 2
@@ -367,7 +369,7 @@ class Learner:
         self.code, self.table_bits = code, table_bits
         # Numbers of zeros and ones of a slot, in the halves of one number.
         self.tables = [np.zeros(1 << table_bits, np.uint64) for _ in CONTEXTS]
-        self.weights = np.tile(np.array([0.3, 0.3, 0.3, 0.5, 0.5]), (GATES, 1))
+        self.weights = np.tile(np.array([0.3, 0.3, 0.5, 0.5]), (GATES, 1))
         self.slopes = np.zeros(self.weights.shape)
         self.record = np.zeros((GUESSES, SURE * PLACES, 2))  # wrong, right
         self.map = np.zeros((GATES * STEPS, 2))
@@ -393,7 +395,7 @@ class Learner:
             n = t.take(x)
             zeros, ones = (n & _LOW).astype(np.float32), (n >> _HIGH).astype(np.float32)
             odds.append(np.log((ones + _DELTA) / (zeros + _DELTA)))
-        gate = _gate(e, _seen(zeros + ones))
+        gate = _gate(e)
         odds += [_guess_input(r, e, g) for g, r in enumerate(_record_odds(self.record))]
         weights = self.weights.T.astype(np.float32, order="C")
         z = sum(w.take(gate) * x for w, x in zip(weights, odds, strict=True))
@@ -415,66 +417,93 @@ class Learner:
 # --- What the corpus gathers: words' counts, and the words that follow two others.
 
 
-def _planes(x: np.ndarray, octets: int) -> bytes:
-    """The lowest octets of each number, byte plane by byte plane, which packs better."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :octets].T).tobytes()
+def _packed(x: np.ndarray, octets: int) -> bytes:
+    """The lowest octets of each number, plane by plane, compressed."""
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :octets].T)
+    return pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
-def _numbers(data: bytes, octets: int) -> np.ndarray:
-    p = np.frombuffer(data, np.uint8).reshape(octets, -1)
-    out = np.zeros((p.shape[1], 8), np.uint8)
+def _numbers(data: bytes, octets: int, n: int) -> np.ndarray:
+    p = np.frombuffer(pa.decompress(data, n * octets, "zstd"), np.uint8).reshape(octets, n)
+    out = np.zeros((n, 8), np.uint8)
     out[:, :octets] = p.T
     return out.reshape(-1).view("<u8")
 
 
 @dataclass
 class Asked:
-    """What a batch asks: its distinct (key, first eight bytes), sorted, and its distinct words by shard."""
+    """What a batch asks: its distinct (key, first eight bytes) in the order of keys, and its distinct words in that of hashes."""
 
     octets: np.ndarray
     words: Words
     mine: np.ndarray  # texts that are learned from
+    text: np.ndarray  # of each token
     key: np.ndarray
     follower: np.ndarray
     n: np.ndarray  # occurrences in training texts
     inverse: np.ndarray
-    by_shard: dict[int, list[bytes]]
-    counts: Counter  # in training texts
-    each: list[Counter]  # of every text
+    word: np.ndarray  # a token of each distinct word
+    word_n: np.ndarray  # occurrences in training texts
+    word_inverse: np.ndarray
+
+
+def _order(x: np.ndarray, bits: int, *then: np.ndarray) -> np.ndarray:
+    """Places in the order of x, numbers of so many bits, and where x are equal in that of `then`.
+
+    One sort of numbers that carry their places; only what is together in the leading bits is sorted again.
+    """
+    n = len(x)
+    low = max(1, n - 1).bit_length()
+    lead = x << np.uint64(64 - bits) >> np.uint64(low) << np.uint64(low)
+    both = np.sort(lead | np.arange(n, dtype=np.uint64))
+    order = (both & np.uint64((1 << low) - 1)).astype(np.int64)
+    if then and n:
+        new = np.ones(n + 1, bool)
+        new[1:-1] = (both[1:] ^ both[:-1]) >> np.uint64(low) != 0
+        again = np.flatnonzero(~(new[:-1] & new[1:]))
+        if len(again):
+            some = order[again]
+            order[again] = some[np.lexsort((*(y[some] for y in reversed(then)), x[some]))]
+    return order
+
+
+def _distinct(order: np.ndarray, *of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first of each run of equal values in an order, and each place's run."""
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for x in of:
+        y = x[order]
+        new[1:] |= y[1:] != y[:-1]
+    inverse = np.empty(len(order), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return order[new], inverse
 
 
-def _asked(batch: pa.Table, shards: int) -> Asked:
-    """A batch's texts in a fixed order, and what they ask."""
-    found = [tokens(t) for t in batch.column("text").to_pylist()]
-    octets = np.frombuffer(b"".join([b" ".join(t) for t in found]), np.uint8)
+def _asked(batch: pa.Table) -> Asked:
+    found = [b" ".join(tokens(t)) for t in batch.column("text").to_pylist()]
+    octets = np.frombuffer(b"".join(found), np.uint8)
     mine = ~batch.column("held").to_numpy(zero_copy_only=False).astype(bool)
     w = Words(octets)
-    key, follower = w.keys(), w.first8
-    order = np.lexsort((follower, key))
-    k, f = key[order], follower[order]
-    new = np.concatenate(([True], (k[1:] != k[:-1]) | (f[1:] != f[:-1])))
-    place = np.cumsum(new) - 1
-    inverse = np.empty(len(order), np.int64)
-    inverse[order] = place
-    n = np.bincount(inverse, mine[np.cumsum(w.new_text) - 1], int(place[-1]) + 1).astype(np.int64)
-    each = [Counter(t) for t in found]
-    counts: Counter = Counter()
-    for t, c in zip(mine.tolist(), each, strict=True):
-        if t:
-            counts.update(c)
-        else:
-            counts.update(dict.fromkeys(c, 0))
-    by_shard: dict[int, list[bytes]] = {}
-    for x in counts:
-        by_shard.setdefault(crc32(x) % shards, []).append(x)
-    return Asked(octets, w, mine, k[new], f[new], n, inverse, by_shard, counts, each)
-
-
-def _shard_of(key: np.ndarray, shards: int) -> np.ndarray:
-    return key * np.uint64(shards) >> np.uint64(_KEY_BITS)
-
-
-ASK = "b bigint, shard bigint, key binary, follower binary, n binary, words binary, counts binary"
+    text = np.cumsum(w.new_text) - 1
+    weight = mine[text]
+    key = w.keys()
+    first8 = w.first8()
+    at, inverse = _distinct(_order(key, _KEY_BITS, first8), key, first8)
+    # Words whose hashes begin alike may come twice, which changes no sum.
+    word, word_inverse = _distinct(_order(w.hash, 64), w.hash)
+    return Asked(
+        octets, w, mine, text, key[at], first8[at], np.bincount(inverse, weight, len(at)).astype(np.int64), inverse,
+        word, np.bincount(word_inverse, weight, len(word)).astype(np.int64), word_inverse,
+    )
+
+
+def _cuts(x: np.ndarray, bits: int, shards: int) -> np.ndarray:
+    """Where each shard's part of the sorted numbers of so many bits begins."""
+    of = (x >> np.uint64(bits - 32)) * np.uint64(shards) >> np.uint64(32)
+    return np.searchsorted(of, np.arange(shards + 1, dtype=np.uint64))
+
+
+ASK = "b bigint, shard bigint, n_keys bigint, key binary, follower binary, n binary, n_words bigint, words binary, counts binary"
 ANSWER = "b bigint, shard bigint, held binary, own binary, counts binary, fresh bigint"
 SCORED = "held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, length bigint"
 PREPARED = (
@@ -485,20 +514,23 @@ PREPARED = (
 
 def _ask(shards: int):
     def run(key: tuple, batch: pa.Table) -> pa.Table:
-        a = _asked(_ordered(batch), shards)
+        a = _asked(_ordered(batch))
+        w = a.words
+        hashes, starts, ends = w.hash[a.word], w.start[a.word].tolist(), (w.end[a.word] + 1).tolist()
+        keys, words = _cuts(a.key, _KEY_BITS, shards), _cuts(hashes, 64, shards)
+        raw = a.octets.tobytes()
         rows = []
-        cuts = np.searchsorted(_shard_of(a.key, shards), np.arange(shards + 1)) if shards < 4 * len(a.key) else None
-        some = range(shards) if cuts is not None else sorted({*_shard_of(a.key, shards).tolist(), *a.by_shard})
-        for s in some:
-            lo, hi = (cuts[s], cuts[s + 1]) if cuts is not None else np.searchsorted(_shard_of(a.key, shards), [s, s + 1])
-            words = a.by_shard.get(s, [])
-            if hi > lo or words:
-                counts = np.array([a.counts[x] for x in words], "<u4").tobytes()
-                rows.append((key[0].as_py(), s, _planes(a.key[lo:hi], 6), _planes(a.follower[lo:hi], 8), _planes(a.n[lo:hi], 4), b" ".join(words), counts))
-        kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 5)
-        names = ("b", "shard", "key", "follower", "n", "words", "counts")
-        return pa.table({c: pa.array(v, t) for c, v, t in zip(names, zip(*rows, strict=True), kinds, strict=True)})
-
+        for s in np.flatnonzero((np.diff(keys) > 0) | (np.diff(words) > 0)).tolist():
+            x, y = slice(keys[s], keys[s + 1]), slice(words[s], words[s + 1])
+            texts = b"".join([raw[i:j] for i, j in zip(starts[y], ends[y], strict=True)])
+            rows.append((
+                key[0].as_py(), s, x.stop - x.start, _packed(np.diff(a.key[x], prepend=np.uint64(0)), 6), _packed(a.follower[x], 8),
+                _packed(a.n[x], 4), len(texts), pa.compress(texts, "zstd", asbytes=True), a.word_n[y].astype("<u4").tobytes(),
+            ))
+        schema = pa.schema(list(zip([c.split()[0] for c in ASK.split(", ")], (i8, i8, i8, bi, bi, bi, i8, bi, bi), strict=True)))
+        return pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    i8, bi = pa.int64(), pa.binary()
     return run
 
 
@@ -512,16 +544,11 @@ def _follow(key: np.ndarray, follower: np.ndarray, n: np.ndarray) -> tuple[np.nd
 
     Rows of three bytes: how many of the first eight bytes agree, the first that doesn't, and how sure.
     """
-    order = np.lexsort((follower, key))
-    k, f = key[order], follower[order]
-    new = np.concatenate(([True], (k[1:] != k[:-1]) | (f[1:] != f[:-1])))
-    pair = np.cumsum(new) - 1
-    k, f = k[new], f[new]
-    m = np.bincount(pair, n[order]).astype(np.int64)
-    pair_of = np.empty(len(order), np.int64)
-    pair_of[order] = pair
+    at, pair_of = _distinct(_order(key, _KEY_BITS, follower), key, follower)
+    k, f = key[at], follower[at]
+    m = np.bincount(pair_of, n, len(k)).astype(np.int64)
     # In each key the most frequent first, ties to the smaller.
-    rank = np.lexsort((f, -m, k))
+    rank = _order(k, _KEY_BITS, -m, f)
     first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
     group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(k))))
     total = np.bincount(group, m).astype(np.int64)
@@ -548,65 +575,72 @@ def _answer(actual: np.ndarray, guess: np.ndarray, n: np.ndarray, total: np.ndar
     return out
 
 
+_EVERY_WORD = re.compile(rb"[^ \n]* |\n")
+
+
 def _reply(key: tuple, rows: pa.Table) -> pa.Table:
     rows = rows.sort_by("b")
     b = rows.column("b").to_pylist()
-    keys = [_numbers(x, 6) for x in rows.column("key").to_pylist()]
-    sizes = np.cumsum([0, *map(len, keys)])
-    every = [np.concatenate([_numbers(x, o) for x in rows.column(c).to_pylist()]) for c, o in (("follower", 8), ("n", 4))]
+    sizes = rows.column("n_keys").to_pylist()
+    key_of, follower, n = (
+        [_numbers(x, o, k) for x, k in zip(rows.column(c).to_pylist(), sizes, strict=True)] for c, o in (("key", 6), ("follower", 8), ("n", 4))
+    )
+    cuts = np.cumsum([0, *sizes])
     none = np.zeros((0, 3), np.uint8)
-    held, own = _follow(np.concatenate(keys), *every) if sizes[-1] else (none, none)
-    words = [x.split(b" ") if x else [] for x in rows.column("words").to_pylist()]
-    counts = [np.frombuffer(x, "<u4") for x in rows.column("counts").to_pylist()]
+    held, own = _follow(np.concatenate([np.cumsum(x) for x in key_of]), np.concatenate(follower), np.concatenate(n)) if cuts[-1] else (none, none)
+    packed = zip(rows.column("words").to_pylist(), rows.column("n_words").to_pylist(), strict=True)
+    words = [_EVERY_WORD.findall(pa.decompress(x, k, "zstd", asbytes=True)) for x, k in packed]
     total: dict[bytes, int] = {}
-    for w, c in zip(words, counts, strict=True):
-        for x, k in zip(w, c.tolist(), strict=True):
+    for w, c in zip(words, rows.column("counts").to_pylist(), strict=True):
+        for x, k in zip(w, np.frombuffer(c, "<u4").tolist(), strict=True):
             total[x] = total.get(x, 0) + k
     seen: set[bytes] = set()
     fresh = []
-    for w in words:
-        new = {x for x in w if total[x] and x not in seen}
+    for w in words:  # a training word is new in the first batch that has it
+        new = {x for x in w if total[x]} - seen
         seen |= new
         fresh.append(len(new))
+
+    def parts(x: np.ndarray) -> pa.Array:
+        return pa.array([pa.compress(np.ascontiguousarray(x[i:j].T).tobytes(), "zstd", asbytes=True) for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary())
+
     return pa.table({
-        "b": pa.array(b, pa.int64()), "shard": pa.array([key[0].as_py()] * len(b), pa.int64()),
-        "held": pa.array([np.ascontiguousarray(held[x:y].T).tobytes() for x, y in zip(sizes, sizes[1:], strict=False)], pa.binary()),
-        "own": pa.array([np.ascontiguousarray(own[x:y].T).tobytes() for x, y in zip(sizes, sizes[1:], strict=False)], pa.binary()),
-        "counts": pa.array([np.array([total[x] for x in w], "<i8").tobytes() for w in words], pa.binary()),
-        "fresh": pa.array(fresh, pa.int64()),
+        "b": pa.array(b, pa.int64()), "shard": pa.array([key[0].as_py()] * len(b), pa.int64()), "held": parts(held), "own": parts(own),
+        "counts": pa.array([np.array([total[x] for x in w], "<i8").tobytes() for w in words], pa.binary()), "fresh": pa.array(fresh, pa.int64()),
     })
 
 
 def _prepared(shards: int, id_type: pa.DataType):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         batch = _ordered(texts)
-        a = _asked(batch, shards)
+        a = _asked(batch)
         answers = answers.sort_by("shard")
-        parts = {c: [np.frombuffer(x, np.uint8).reshape(3, -1).T for x in answers.column(c).to_pylist()] for c in ("held", "own")}
-        both = [np.concatenate(parts[c]) if parts[c] else np.zeros((0, 3), np.uint8) for c in ("held", "own")]
-        of = np.cumsum(a.words.new_text) - 1
-        info = np.where(a.mine[of][:, None], both[1][a.inverse], both[0][a.inverse])
-        known: dict[bytes, int] = {}
-        for s, c in zip(answers.column("shard").to_pylist(), answers.column("counts").to_pylist(), strict=True):
-            known.update(zip(a.by_shard.get(s, ()), np.frombuffer(c, "<i8").tolist(), strict=True))
-        log = {w: math.log10(c + 0.5) for w, c in known.items()}
-        texts_of = np.bincount(a.octets, minlength=256)
+        cuts = np.diff(_cuts(a.key, _KEY_BITS, shards))[answers.column("shard").to_numpy()]
+
+        def whole(name: str) -> np.ndarray:
+            parts = zip(answers.column(name).to_pylist(), cuts.tolist(), strict=True)
+            return np.concatenate([np.frombuffer(pa.decompress(x, 3 * k, "zstd"), np.uint8).reshape(3, -1).T for x, k in parts])
+
+        info = np.where(a.mine[a.text][:, None], whole("own")[a.inverse], whole("held")[a.inverse])
+        counts = np.concatenate([np.frombuffer(x, "<i8") for x in answers.column("counts").to_pylist()])
+        n = len(a.mine)
+        octets = a.octets
         if not a.mine.all():
-            texts_of = np.bincount(a.octets[np.repeat(a.mine[of], a.words.end - a.words.start + 1)], minlength=256)
-        row = {
+            octets = octets[np.repeat(a.mine[a.text], a.words.end - a.words.start + 1)]
+        lists = pa.list_(pa.int64())
+        return pa.table({
             "ids": pa.array([batch.column("id").to_pylist()], pa.list_(id_type)),
-            "held": pa.array([(~a.mine).tolist()], pa.list_(pa.bool_())),
-            "n_tokens": pa.array([[sum(c.values()) for c in a.each]], pa.list_(pa.int64())),
-            "n_known": pa.array([[sum(k for w, k in c.items() if known[w]) for c in a.each]], pa.list_(pa.int64())),
-            "sums": pa.array([[math.fsum(k * log[w] for w, k in c.items()) for c in a.each]], pa.list_(pa.float64())),
+            "held": pa.array([~a.mine], pa.list_(pa.bool_())),
+            "n_tokens": pa.array([np.bincount(a.text, minlength=n)], lists),
+            "n_known": pa.array([np.bincount(a.text, (counts > 0)[a.word_inverse], n).astype(np.int64)], lists),
+            "sums": pa.array([np.bincount(a.text, np.log10(counts + 0.5)[a.word_inverse], n)], pa.list_(pa.float64())),
             "size": pa.array([len(a.octets)], pa.int64()),
             "stream": pa.array([pa.compress(a.octets.tobytes(), "zstd", asbytes=True)], pa.binary()),
             "info": pa.array([pa.compress(np.ascontiguousarray(info.T).tobytes(), "zstd", asbytes=True)], pa.binary()),
-            "n_train": pa.array([sum(a.counts.values())], pa.int64()),
+            "n_train": pa.array([int(a.word_n.sum())], pa.int64()),
             "fresh": pa.array([sum(answers.column("fresh").to_pylist())], pa.int64()),
-            "octets": pa.array([texts_of.tolist()], pa.list_(pa.int64())),
-        }
-        return pa.table(row)
+            "octets": pa.array([np.bincount(octets, minlength=256)], lists),
+        })
 
     return run
 
@@ -639,18 +673,30 @@ def _rows(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
         yield tuple(batch.column(c)[k].as_py() for c in names)
 
 
+PARTS = "k int, b int, n bigint, part binary"
+
+
+def _part(k: int, b: int, n: int, data: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([b], pa.int32()), pa.array([n]), pa.array([data])], ["k", "b", "n", "part"])
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Add up the parts of each block and turn them to log odds; memory is the blocks', however many learners sent them."""
+    """Add up the parts of each block and turn counts to log odds; memory is the blocks', however many learners sent them."""
     sums: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
-        for k, b, part in _rows(batch, "k", "b", "part"):
-            n = len(part) // 10
+        for k, b, n, part in _rows(batch, "k", "b", "n", "part"):
+            if k < 0:
+                x = np.frombuffer(part, "<f8")
+                sums[k, b] = sums[k, b] + x if (k, b) in sums else x
+                continue
             have = sums.setdefault((k, b), np.zeros((1 << BLOCK_BITS, 2), np.int64))
-            have[np.frombuffer(part, "<u2", n)] += np.frombuffer(part, "<u4", 2 * n, 2 * n).reshape(-1, 2)
+            x = _numbers(part, 8, 2 * n)
+            have[np.cumsum(x[:n])] += x[n:].view("<u4").reshape(-1, 2)
     for (k, b), x in sums.items():
-        l = np.log(x + DELTA)
-        data = (l[:, 1] - l[:, 0]).astype("<f4").tobytes() + _seen(x.sum(axis=1)).tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([b], pa.int32()), pa.array([data])], ["k", "b", "part"])
+        if k >= 0:
+            l = np.log(x + DELTA)
+            data = (l[:, 1] - l[:, 0]).astype("<f4").tobytes()
+        yield _part(k, b, len(x), data if k >= 0 else x.tobytes())
 
 
 def train(gathered: DataFrame, table_bits: int = TABLE_BITS, learner: int = LEARNER) -> tuple[Model, int, int]:
@@ -686,47 +732,35 @@ def train(gathered: DataFrame, table_bits: int = TABLE_BITS, learner: int = LEAR
         for k, t in enumerate(mine.tables):
             for b in range(0, len(t), block):
                 cut = t[b : b + block]
-                at = np.flatnonzero(cut).astype("<u2")
+                at = np.flatnonzero(cut).astype(np.uint64)
                 if len(at):
-                    row = at.tobytes() + cut[at].astype("<u8").tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([b // block], pa.int32()), pa.array([row])], ["k", "b", "part"])
+                    # Places as differences, and both counts in one number.
+                    yield _part(k, b // block, len(at), _packed(np.concatenate((np.diff(at, prepend=np.uint64(0)), cut[at.astype(np.intp)])), 8))
         values = np.concatenate(((mine.weights * mine.bits[:, None]).ravel(), mine.bits, mine.map.ravel(), mine.record.ravel()))
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([0], pa.int32()), pa.array([values.astype("<f8").tobytes()])], ["k", "b", "part"])
+        yield _part(-1, 0, len(values), values.astype("<f8").tobytes())
 
     learners = max(1, round(int(sums[258]) / learner))
     learned = gathered.select("size", "stream", "info", "n_tokens", "held").coalesce(learners)
-    sent = learned.mapInArrow(learn, "k int, b int, part binary").repartition("k", "b").checkpoint()
+    sent = learned.mapInArrow(learn, PARTS).repartition("k", "b").mapInArrow(_merge, PARTS)
     first = Learner(code, BLOCK_BITS)
     n = first.weights.size
-
-    def add(batches):
-        total = None
-        for batch in batches:
-            for (part,) in _rows(batch, "part"):
-                x = np.frombuffer(part, "<f8")
-                total = x.copy() if total is None else total + x
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["part"])
-
     values = np.zeros(n + GATES + first.map.size + first.record.size)
-    for r in sent.where("k < 0").select("part").mapInArrow(add, "part binary").collect():  # a row of each partition that has any
-        values += np.frombuffer(r["part"], "<f8")
-    weights, bits, seen, record = np.split(values, np.cumsum([n, GATES, first.map.size]))
-    w = np.where(bits[:, None] > 0, weights.reshape(first.weights.shape) / np.maximum(bits[:, None], 1), first.weights)
     odds = [np.zeros(1 << table_bits, np.float32) for _ in CONTEXTS]
-    last = np.zeros(1 << table_bits, np.uint8)
-    for r in sent.where("k >= 0").mapInArrow(_merge, "k int, b int, part binary").collect():  # the tables, whose size is fixed
+    for r in sent.collect():  # the tables, whose size is fixed
+        if r["k"] < 0:
+            values = np.frombuffer(r["part"], "<f8")
+            continue
         at = r["b"] << BLOCK_BITS
         size = min(1 << BLOCK_BITS, (1 << table_bits) - at)
         odds[r["k"]][at : at + size] = np.frombuffer(r["part"], "<f4", size)
-        if r["k"] == len(CONTEXTS) - 1:
-            last[at : at + size] = np.frombuffer(r["part"], np.uint8, size, 4 << BLOCK_BITS)
+    weights, bits, seen, record = np.split(values, np.cumsum([n, GATES, first.map.size]))
+    w = np.where(bits[:, None] > 0, weights.reshape(first.weights.shape) / np.maximum(bits[:, None], 1), first.weights)
     # The map starts from the identity, as if each cell had been seen a few times.
     middle = _squash((np.tile(np.arange(STEPS), GATES) * 16 / (STEPS - 1)) - 8)
     seen = seen.reshape(first.map.shape)
     refined = ((seen[:, 1] + 8 * middle) / (seen.sum(axis=1) + 8)).astype(np.float32)
     record = _record_odds(record.reshape(first.record.shape))
-    model = Model(code, table_bits, odds, last, record, w.T.astype(np.float32, order="C"), refined)
+    model = Model(code, table_bits, odds, record, w.T.astype(np.float32, order="C"), refined)
     return model, int(sums[256]), int(sums[257])
 
 

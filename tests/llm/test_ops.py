@@ -181,7 +181,7 @@ def plain_bits(text, code, info, bits):
         return (h ^ h >> 29) * phi & m64
 
     words = [w + b" " for w in lm_scoring.tokens(text)[:-1]] + [b"\n"]
-    stream, at, before = b"".join(words), 0, 0
+    stream, at = b"".join(words), 0
     last: dict[bytes, list[int]] = {}  # what followed each beginning of a word in this text
     out = []
     level = lambda n: 1 + sum(n >= x for x in (2, 4, 9, 27))
@@ -191,7 +191,7 @@ def plain_bits(text, code, info, bits):
         for place, c in enumerate(w):
             three = [stream[at - k] + 1 if at >= k else 11 for k in (1, 2, 3)]
             word = mixed(so_far + place & m64)
-            hashes = [mixed(three[0] << 18 | three[1] << 9 | three[2]), word, mixed(word + before & m64)]
+            hashes = [mixed(three[0] << 18 | three[1] << 9 | three[2]), word]
             seen = last.setdefault(w[:place], [])
             guesses = [(0, 0), (0, 0)]
             if sure and place <= agree and place < 8:
@@ -211,7 +211,6 @@ def plain_bits(text, code, info, bits):
             so_far = so_far + (c + 1) * power & m64
             power = power * phi & m64
             at += 1
-        before = mixed(so_far)
     return out
 
 
@@ -222,8 +221,7 @@ def plain_score(text, m, info):
         for g, (sure, place, right) in enumerate(guesses):
             odds = float(m.record[g][2 * (sure * lm_scoring.PLACES + place) + 1]) if sure else 0.0
             x.append(odds if right == bool(bit) else -odds)
-        level = guesses[0][0] or (guesses[1][0] + lm_scoring.SURE - 1 if guesses[1][0] else 0)
-        gate = level * lm_scoring.SEEN + int(m.seen[slots[-1]])
+        gate = guesses[0][0] or (guesses[1][0] + lm_scoring.SURE - 1 if guesses[1][0] else 0)
         z = sum(float(m.weights[j][gate]) * v for j, v in enumerate(x))
         step = int((min(max(z, -8), 8) + 8) * (lm_scoring.STEPS - 1) / 16 + 0.5)
         p = (1 / (1 + math.exp(-z)) + float(m.map[gate * lm_scoring.STEPS + step])) / 2
@@ -237,7 +235,7 @@ def random_model(code, bits, seed=0):
     record = lm_scoring._record_odds(rng.random((lm_scoring.GUESSES, lm_scoring.SURE * lm_scoring.PLACES, 2)) * 9)
     weights = rng.random((len(odds) + lm_scoring.GUESSES, lm_scoring.GATES)).astype(np.float32) * 0.5
     middle = lm_scoring._squash(np.tile(np.arange(lm_scoring.STEPS), lm_scoring.GATES) / 2 - 8).astype(np.float32)
-    return lm_scoring.Model(code, bits, odds, rng.integers(0, 5, 1 << bits).astype(np.uint8), record, weights, middle)
+    return lm_scoring.Model(code, bits, odds, record, weights, middle)
 
 
 def stream(texts):
@@ -250,8 +248,8 @@ def test_lm_scores_are_those_of_a_plain_loop(monkeypatch):
     w = lm_scoring.Words(o)
     rng = np.random.default_rng(2)
     # Words before predict what follows: here the right word, another, or none.
-    first8 = w.first8 ^ np.where(rng.random(len(w.end)) < 0.5, 0, rng.integers(0, 1 << 63, len(w.end), dtype=np.uint64))
-    info = lm_scoring._answer(w.first8, first8, rng.integers(0, 40, len(w.end)), np.full(len(w.end), 20))
+    first8 = w.first8() ^ np.where(rng.random(len(w.end)) < 0.5, 0, rng.integers(0, 1 << 63, len(w.end), dtype=np.uint64))
+    info = lm_scoring._answer(w.first8(), first8, rng.integers(0, 40, len(w.end)), np.full(len(w.end), 20))
     m = random_model(lm_scoring.Code(np.bincount(o, minlength=256)), 12)
     of = np.cumsum(w.new_text) - 1
     want = [plain_score(t, m, info[of == k]) for k, t in enumerate(texts)]
