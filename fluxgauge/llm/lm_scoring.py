@@ -33,7 +33,7 @@ alone. Rows without an id are held out. Repeated rows, and equal texts, get equa
 training texts' own occurrences. Columns other than id and text play no part, whatever their names.
 Ids may be of any type. An empty table gives no rows. Without training texts all counts are 0 and
 every bit costs one bit. A text of any length is coded whole, some `PIECE` bytes at a time; a single
-word is held whole. The predicted following word reaches over a word's first eight bytes.
+word is held whole. The predicted following word reaches over a word's first four bytes; what the text itself predicts over all.
 """
 
 from __future__ import annotations
@@ -70,7 +70,8 @@ BATCH, SHARD, LEARNER = 1 << 22, 1 << 23, 1 << 25
 PIECE, SLICE = 1 << 18, 1 << 15
 DELTA, RATE, STEPS = 0.4, 0.05, 33
 _PHI, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_KEY_BITS = 48
+#: Bits of a context of two words before, and bytes of the following word that are gathered and predicted.
+_KEY_BITS, LETTERS = 48, 4
 _ONE = np.array([1, 1 << 32], np.uint64)
 _LOW, _HIGH, _DELTA = np.uint64(2**32 - 1), np.uint64(32), np.float32(DELTA)
 
@@ -168,11 +169,13 @@ class Words:
             out[late] = 0
         return out
 
-    def first8(self) -> np.ndarray:
-        """Each token's first eight bytes as a number, zeros after its end."""
-        at = self.start[:, None] + np.arange(8)
-        found = np.where(at <= self.end[:, None], self.octets.take(at, mode="clip"), 0).astype(np.uint8)
-        return np.ascontiguousarray(found).view(">u8").reshape(-1).astype(np.uint64)
+    def letters(self) -> np.ndarray:
+        """Each token's first LETTERS bytes as a number, zeros after its end."""
+        out = np.zeros(len(self.end), np.uint64)
+        for k in range(LETTERS):
+            here = np.where(self.start + k <= self.end, self.octets.take(self.start + k, mode="clip"), 0)
+            out = out << np.uint64(8) | here.astype(np.uint64)
+        return out
 
     def keys(self) -> np.ndarray:
         """Each token's context of two words before, as a number of _KEY_BITS bits."""
@@ -215,21 +218,22 @@ def contexts(octets: np.ndarray, w: Words, info: np.ndarray, i: int, j: int) ->
     at = np.arange(len(o))
     place = at - start[of]
     word = _mixed(so_far + place.astype(np.uint64))
-    # The first byte of each byte's text; of a text that began earlier, far away.
-    first = np.maximum.accumulate(np.where(w.new_text[lead:j], start, -8))[of]
-    x = o.astype(np.uint64) + np.uint64(1)
-    found, packed = [], np.zeros(len(o), np.uint64)
-    for k in range(1, 4):
-        y = np.full(len(o), FEED + 1, np.uint64)
-        y[k:] = x[:-k] if len(o) > k else 0
-        y[at - k < first] = FEED + 1
-        packed = packed << np.uint64(9) | y
-    found += [_mixed(packed), word]
+    # The three bytes before, line feeds before a text begins.
+    back, first = np.full(len(o) + 3, FEED, np.uint8), start[w.new_text[lead:j]]
+    back[3:] = o
+    three = np.zeros(len(o), np.uint32)
+    for k in (1, 2, 3):
+        y = back[3 - k : len(back) - k].copy()
+        for d in range(k):
+            late = first + d
+            y[late[late < len(o)]] = FEED
+        three = three << np.uint32(8) | y
+    found = [_mixed(three.astype(np.uint64)), word]
     skip = w.start[i] - a
     o, of, place = o[skip:], of[skip:] + lead, place[skip:]
     near = np.minimum(place, PLACES - 1)
     agree = info[of, 0]
-    follower = Guess(np.where(place < agree, o, info[of, 1]), np.where((place <= agree) & (place < 8), info[of, 2], 0), near)
+    follower = Guess(np.where(place < agree, o, info[of, 1]), np.where((place <= agree) & (place < LETTERS), info[of, 2], 0), near)
     own = word[skip:] + np.cumsum(w.new_text[i:j]).astype(np.uint64)[of - i] * _PHI
     return o, [(h[skip:] >> np.uint64(32)).astype(np.uint32) for h in found], [follower, Guess(*_repeated(o, own), near)]
 
@@ -432,7 +436,7 @@ def _numbers(data: bytes, octets: int, n: int) -> np.ndarray:
 
 @dataclass
 class Asked:
-    """What a batch asks: its distinct (key, first eight bytes) in the order of keys, and its distinct words in that of hashes."""
+    """What a batch asks: its distinct (key, first letters) in the order of keys, and its distinct words in that of hashes."""
 
     octets: np.ndarray
     words: Words
@@ -487,12 +491,12 @@ def _asked(batch: pa.Table) -> Asked:
     text = np.cumsum(w.new_text) - 1
     weight = mine[text]
     key = w.keys()
-    first8 = w.first8()
-    at, inverse = _distinct(_order(key, _KEY_BITS, first8), key, first8)
+    letters = w.letters()
+    at, inverse = _distinct(_order(key, _KEY_BITS, letters), key, letters)
     # Words whose hashes begin alike may come twice, which changes no sum.
     word, word_inverse = _distinct(_order(w.hash, 64), w.hash)
     return Asked(
-        octets, w, mine, text, key[at], first8[at], np.bincount(inverse, weight, len(at)).astype(np.int64), inverse,
+        octets, w, mine, text, key[at], letters[at], np.bincount(inverse, weight, len(at)).astype(np.int64), inverse,
         word, np.bincount(word_inverse, weight, len(word)).astype(np.int64), word_inverse,
     )
 
@@ -503,7 +507,7 @@ def _cuts(x: np.ndarray, bits: int, shards: int) -> np.ndarray:
     return np.searchsorted(of, np.arange(shards + 1, dtype=np.uint64))
 
 
-ASK = "b bigint, shard bigint, n_keys bigint, key binary, follower binary, n binary, n_words bigint, words binary, counts binary"
+ASK = "b bigint, shard bigint, n_keys bigint, key binary, follower binary, n binary, n_words bigint, n_letters bigint, words binary, counts binary"
 ANSWER = "b bigint, shard bigint, held binary, own binary, counts binary, fresh bigint"
 SCORED = "held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, length bigint"
 PREPARED = (
@@ -524,10 +528,10 @@ def _ask(shards: int):
             x, y = slice(keys[s], keys[s + 1]), slice(words[s], words[s + 1])
             texts = b"".join([raw[i:j] for i, j in zip(starts[y], ends[y], strict=True)])
             rows.append((
-                key[0].as_py(), s, x.stop - x.start, _packed(np.diff(a.key[x], prepend=np.uint64(0)), 6), _packed(a.follower[x], 8),
-                _packed(a.n[x], 4), len(texts), pa.compress(texts, "zstd", asbytes=True), a.word_n[y].astype("<u4").tobytes(),
+                key[0].as_py(), s, x.stop - x.start, _packed(np.diff(a.key[x], prepend=np.uint64(0)), 6), _packed(a.follower[x], LETTERS),
+                _packed(a.n[x], 4), y.stop - y.start, len(texts), pa.compress(texts, "zstd", asbytes=True), _packed(a.word_n[y], 4),
             ))
-        schema = pa.schema(list(zip([c.split()[0] for c in ASK.split(", ")], (i8, i8, i8, bi, bi, bi, i8, bi, bi), strict=True)))
+        schema = pa.schema(list(zip([c.split()[0] for c in ASK.split(", ")], (i8, i8, i8, bi, bi, bi, i8, i8, bi, bi), strict=True)))
         return pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     i8, bi = pa.int64(), pa.binary()
@@ -542,7 +546,7 @@ def _ordered(batch: pa.Table) -> pa.Table:
 def _follow(key: np.ndarray, follower: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each asked (key, follower): the predicted follower for other texts and for an occurrence counted in n.
 
-    Rows of three bytes: how many of the first eight bytes agree, the first that doesn't, and how sure.
+    Rows of three bytes: how many of the first LETTERS bytes agree, the first that doesn't, and how sure.
     """
     at, pair_of = _distinct(_order(key, _KEY_BITS, follower), key, follower)
     k, f = key[at], follower[at]
@@ -566,9 +570,9 @@ def _follow(key: np.ndarray, follower: np.ndarray, n: np.ndarray) -> tuple[np.nd
 
 def _answer(actual: np.ndarray, guess: np.ndarray, n: np.ndarray, total: np.ndarray) -> np.ndarray:
     out = np.zeros((len(actual), 3), np.uint8)
-    other = (actual ^ guess).astype(">u8").view(np.uint8).reshape(-1, 8) != 0
-    agree = np.where(other.any(axis=1), other.argmax(axis=1), 8)
-    byte = guess.astype(">u8").view(np.uint8).reshape(-1, 8)[np.arange(len(actual)), np.minimum(agree, 7)]
+    other = (actual ^ guess) << np.uint64(64 - 8 * LETTERS)
+    agree = sum((other >> np.uint64(64 - 8 * k) == 0).astype(np.uint64) for k in range(1, LETTERS + 1))
+    byte = guess >> (np.uint64(8) * (np.uint64(LETTERS - 1) - np.minimum(agree, np.uint64(LETTERS - 1)))) & np.uint64(255)
     sure = np.where(n > 0, 2 * _level(n) - 1 + (n == total), 0)
     out[:, 0], out[:, 1], out[:, 2] = agree, byte, sure
     out[sure == 0] = 0
@@ -583,16 +587,16 @@ def _reply(key: tuple, rows: pa.Table) -> pa.Table:
     b = rows.column("b").to_pylist()
     sizes = rows.column("n_keys").to_pylist()
     key_of, follower, n = (
-        [_numbers(x, o, k) for x, k in zip(rows.column(c).to_pylist(), sizes, strict=True)] for c, o in (("key", 6), ("follower", 8), ("n", 4))
+        [_numbers(x, o, k) for x, k in zip(rows.column(c).to_pylist(), sizes, strict=True)] for c, o in (("key", 6), ("follower", LETTERS), ("n", 4))
     )
     cuts = np.cumsum([0, *sizes])
     none = np.zeros((0, 3), np.uint8)
     held, own = _follow(np.concatenate([np.cumsum(x) for x in key_of]), np.concatenate(follower), np.concatenate(n)) if cuts[-1] else (none, none)
-    packed = zip(rows.column("words").to_pylist(), rows.column("n_words").to_pylist(), strict=True)
+    packed = zip(rows.column("words").to_pylist(), rows.column("n_letters").to_pylist(), strict=True)
     words = [_EVERY_WORD.findall(pa.decompress(x, k, "zstd", asbytes=True)) for x, k in packed]
     total: dict[bytes, int] = {}
     for w, c in zip(words, rows.column("counts").to_pylist(), strict=True):
-        for x, k in zip(w, np.frombuffer(c, "<u4").tolist(), strict=True):
+        for x, k in zip(w, _numbers(c, 4, len(w)).tolist(), strict=True):
             total[x] = total.get(x, 0) + k
     seen: set[bytes] = set()
     fresh = []
@@ -606,7 +610,7 @@ def _reply(key: tuple, rows: pa.Table) -> pa.Table:
 
     return pa.table({
         "b": pa.array(b, pa.int64()), "shard": pa.array([key[0].as_py()] * len(b), pa.int64()), "held": parts(held), "own": parts(own),
-        "counts": pa.array([np.array([total[x] for x in w], "<i8").tobytes() for w in words], pa.binary()), "fresh": pa.array(fresh, pa.int64()),
+        "counts": pa.array([_packed(np.array([total[x] for x in w], np.int64), 8) for w in words], pa.binary()), "fresh": pa.array(fresh, pa.int64()),
     })
 
 
@@ -622,7 +626,8 @@ def _prepared(shards: int, id_type: pa.DataType):
             return np.concatenate([np.frombuffer(pa.decompress(x, 3 * k, "zstd"), np.uint8).reshape(3, -1).T for x, k in parts])
 
         info = np.where(a.mine[a.text][:, None], whole("own")[a.inverse], whole("held")[a.inverse])
-        counts = np.concatenate([np.frombuffer(x, "<i8") for x in answers.column("counts").to_pylist()])
+        sizes = np.diff(_cuts(a.words.hash[a.word], 64, shards))[answers.column("shard").to_numpy()]
+        counts = np.concatenate([_numbers(x, 8, k) for x, k in zip(answers.column("counts").to_pylist(), sizes.tolist(), strict=True)])
         n = len(a.mine)
         octets = a.octets
         if not a.mine.all():

@@ -189,12 +189,12 @@ def plain_bits(text, code, info, bits):
     for w, (agree, other, sure) in zip(words, info.tolist(), strict=True):
         so_far, power = 0, 1
         for place, c in enumerate(w):
-            three = [stream[at - k] + 1 if at >= k else 11 for k in (1, 2, 3)]
+            three = [stream[at - k] if at >= k else 10 for k in (1, 2, 3)]
             word = mixed(so_far + place & m64)
-            hashes = [mixed(three[0] << 18 | three[1] << 9 | three[2]), word]
+            hashes = [mixed(three[0] << 16 | three[1] << 8 | three[2]), word]
             seen = last.setdefault(w[:place], [])
             guesses = [(0, 0), (0, 0)]
-            if sure and place <= agree and place < 8:
+            if sure and place <= agree and place < lm_scoring.LETTERS:
                 guesses[0] = (sure, w[place] if place < agree else other)
             if seen:
                 guesses[1] = (2 * level(len(seen)) - 1 + (len(seen) > 1 and seen[-1] == seen[-2]), seen[-1])
@@ -248,8 +248,8 @@ def test_lm_scores_are_those_of_a_plain_loop(monkeypatch):
     w = lm_scoring.Words(o)
     rng = np.random.default_rng(2)
     # Words before predict what follows: here the right word, another, or none.
-    first8 = w.first8() ^ np.where(rng.random(len(w.end)) < 0.5, 0, rng.integers(0, 1 << 63, len(w.end), dtype=np.uint64))
-    info = lm_scoring._answer(w.first8(), first8, rng.integers(0, 40, len(w.end)), np.full(len(w.end), 20))
+    other = w.letters() ^ np.where(rng.random(len(w.end)) < 0.5, 0, rng.integers(0, 1 << 32, len(w.end), dtype=np.uint64))
+    info = lm_scoring._answer(w.letters(), other, rng.integers(0, 40, len(w.end)), np.full(len(w.end), 20))
     m = random_model(lm_scoring.Code(np.bincount(o, minlength=256)), 12)
     of = np.cumsum(w.new_text) - 1
     want = [plain_score(t, m, info[of == k]) for k, t in enumerate(texts)]
@@ -291,7 +291,7 @@ def test_lm_probabilities_add_up():
 
 def test_lm_following_words_equal_brute_force():
     rng = np.random.default_rng(9)
-    key, follower = rng.integers(0, 6, 300).astype(np.uint64), rng.integers(1, 5, 300).astype(np.uint64) << np.uint64(56)
+    key, follower = rng.integers(0, 6, 300).astype(np.uint64), rng.integers(1, 5, 300).astype(np.uint64) << np.uint64(8)
     n = rng.integers(0, 3, 300)
     held, own = lm_scoring._follow(key, follower, n)
     for i in range(300):
