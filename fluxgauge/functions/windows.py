@@ -60,23 +60,26 @@ class Series:
         return F.when(dt > 0, (x - self.lag(x, 1)) / dt)
 
     def slope(self, x: Column, n: int, interval: float) -> Column:
-        """Least-squares slope over a window's places; 0 for a window of one."""
+        """Least-squares slope over a window's places; 0 for a window of one, null for one that lacks a value."""
         # regr_slope over a place that starts at 0 in each series.
         place = (F.row_number().over(self.w) - 1).cast("double")
         w = self.last(n)
         xy, sx, sy = F.sum(x * place).over(w), F.sum(F.when(x.isNotNull(), place)).over(w), F.sum(x).over(w)
         sxx, c = F.sum(F.when(x.isNotNull(), place * place)).over(w), F.count(x).over(w)
-        return F.coalesce(ratio(c * xy - sx * sy, (c * sxx - sx * sx) * interval), F.lit(0.0))
+        return F.when(c == F.count(F.lit(1)).over(w), F.coalesce(ratio(c * xy - sx * sy, (c * sxx - sx * sx) * interval), F.lit(0.0)))
 
     def variance_ratio(self, x: Column, short: int, long: int) -> Column:
         """Standard deviation of a short window to that of a long one; null where the long one is 0."""
         return ratio(self.std(x, short), self.std(x, long))
 
     def zero_crossings(self, x: Column, n: int) -> Column:
-        """Crossings of the window's own mean to the transitions there are; values on the mean are skipped."""
-        values = F.collect_list(x).over(self.last(n))
-        mean = F.avg(x).over(self.last(n))
-        return crossings(values, mean)
+        """Crossings of the window's own mean to the transitions there are; values on the mean are skipped.
+
+        A window that lacks a value has no mean of its own, and every transition counts.
+        """
+        w = self.last(n)
+        values, places = F.collect_list(x).over(w), F.count(F.lit(1)).over(w)
+        return F.when(F.size(values) < places, F.when(places > 1, 1.0).otherwise(0.0)).otherwise(crossings(values, F.avg(x).over(w)))
 
     def starts_run(self, x: Column) -> Column:
         """Whether a value differs from the one before; a null is like nothing."""

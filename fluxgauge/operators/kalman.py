@@ -94,11 +94,3 @@ def run_filter(
             yield pd.concat([batch, got], axis=1)
 
     return named.mapInPandas(run, schema)
-
-
-def forward_filled(filtered: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Residual and sigma of the last valid reading, for rows without one."""
-    from ..functions.windows import Series
-
-    s = Series(tuple(keys), tuple(order))
-    return filtered.withColumns({c: s.carried(F.col(c)) for c in ("residual", "sigma")})

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.detect import DRIFT_LIMIT, DRIFT_STEPS, RATE_LIMIT, STUCK_RUN
+from ..operators.detect import DRIFT_LIMIT, DRIFT_STEPS, NAMES, RATE_LIMIT, STUCK_RUN, alert_id
 from ..operators.kalman import FLAG_SIGMAS, Filter
 
 STATE = (
@@ -113,7 +113,13 @@ def write_both(batch: DataFrame, validated: str, alerts: str, epoch: int) -> Non
     try:
         batch.write.mode("overwrite").parquet(f"{validated}/epoch={epoch}")
         faults = batch.select("reading_id", "sensor_id", "at", F.explode(F.arrays_zip("fault_types", "severities", "confidences")).alias("f"))
-        rows = faults.select("reading_id", "sensor_id", "at", F.col("f.fault_types").alias("fault_type"), F.col("f.severities").alias("severity"), F.col("f.confidences").alias("confidence"))
+        names = F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])
+        rows = faults.select(
+            "reading_id", "sensor_id", "at", F.col("f.fault_types").alias("fault_type"), F.col("f.severities").alias("severity"),
+            F.col("f.confidences").alias("confidence"), names[F.col("f.fault_types")].alias("detector"),
+        )
+        # A reading has each fault once here.
+        rows = rows.select(alert_id(F.col("reading_id"), F.col("fault_type"), F.col("detector"), F.lit(0)).alias("alert_id"), "*")
         rows.write.mode("overwrite").parquet(f"{alerts}/epoch={epoch}")
     finally:
         batch.unpersist()

@@ -47,8 +47,43 @@ def test_crossings_skip_values_on_the_mean(spark):
 
 def test_runs_break_at_nulls(spark):
     df = detect.run_length(series(spark, [1.0, 1.0, None, 1.0, 1.0, 1.0]), S, "v")
-    assert column(df, "run") == [1, 2, None, 1, 2, 3]
-
+    assert column(df, "run") == [1, 2, 1, 1, 2, 3]
+
+
+def test_repeats_pass_nulls_by(spark):
+    df = detect.repeats(series(spark, [1.0, 1.0, None, 1.0, 1.25, 1.0, None]), S, "v")
+    assert column(df, "run") == [1, 2, None, 3, 1, 1, None]
+    df = detect.repeats(series(spark, [1.0, 1.0, None, 1.0, 1.25, 1.0]), S, "v", 0.25)
+    assert column(df, "run") == [1, 2, None, 3, 4, 5]
+
+
+def test_pairs_are_aligned_by_time(spark):
+    rows = [(i, "a", 10.0 * i, float(i % 5)) for i in range(30)] + [(100 + i, "b", 10.0 * i, float(i % 5) if i < 20 else 4.0 - i % 5) for i in range(30) if i != 7]
+    rows += [(500, "c", 0.0, 1.0), (501, "a", 300.0, None)]
+    df = spark.createDataFrame(rows, "reading bigint, sensor string, at double, v double")
+    pairs = spark.createDataFrame([("a", "b", 1.0), ("a", "c", 1.0)], "a string, b string, expected double")
+    got = {r.reading: r.fault.magnitude for r in detect.decoupled(df, pairs, (), "sensor", "reading", "at", "v").collect()}
+    a = {r[2]: r[3] for r in rows if r[1] == "a" and r[3] is not None}
+    want = {}
+    seen = {"a": {}, "b": {}}
+    for reading, sensor, at, v in sorted((r for r in rows if r[1] != "c" and r[3] is not None), key=lambda r: (r[2], r[1])):
+        seen[sensor][at] = v
+        both = [t for t in seen["a"] if t in seen["b"]]
+        if len(both) >= 3:
+            far = abs(np.corrcoef([a[t] for t in both], [seen["b"][t] for t in both])[0, 1] - 1)
+            if far > 0.3:
+                want[reading] = far
+    assert got.keys() == want.keys() and len(got) > 5 and all(got[k] == pytest.approx(want[k]) for k in got)
+
+
+def test_alert_ids_are_the_fixed_ones(spark):
+    judged = spark.sql(
+        """SELECT 'r1' AS reading, array(named_struct('fault_type', 'drift_correlated', 'detector', 'CrossCorrelationChecker'),
+        named_struct('fault_type', 'drift_correlated', 'detector', 'CrossCorrelationChecker')) AS faults"""
+    )
+    got = [(r.alert_id, r.occurrence) for r in detect.alerts(judged, "reading").orderBy("occurrence").collect()]
+    key = "r1|drift_correlated|CrossCorrelationChecker"
+    assert got == [(str(uuid.uuid5(detect.ALERTS, key)), 0), (str(uuid.uuid5(detect.ALERTS, key + "|1")), 1)]
 
 def test_uuid5(spark):
     keys = ["a|b", "", "é"]
@@ -127,6 +162,43 @@ def test_feature_table_has_28_features_and_does_not_cross_runs(spark):
     assert last.slope_10 == pytest.approx(1 / 60) and last.mean_10 == pytest.approx(106.5) and last.power_level_pct == 111.0
 
 
+def test_features_of_missing_readings(spark):
+    rows = [(0, i, "q", f"2024-01-01 00:{i:02d}:00", v, "flow") for i, v in enumerate([1.0, 9.0, None, 9.0, float("inf"), 9.0, 9.0])]
+    df = spark.createDataFrame(rows, "run_id int, step bigint, sensor string, at string, value double, kind string").withColumn("at", F.col("at").cast("timestamp"))
+    got = features.feature_table(df, "run_id", "sensor", "step", "at", "value", "kind", 60.0).toPandas().sort_values("step")
+    want = brute_filter([1.0, 9.0, None, 9.0, None, 9.0, 9.0], [60.0 * i for i in range(7)])
+    ratio = [np.nan if a is None else a / b for a, b in want]
+    assert np.allclose(got.kalman_residual, ratio, equal_nan=True) and got.kalman_residual[1] == pytest.approx(8 / np.sqrt(1001 + 3600 * 1000 + 1e-6 * 60**3 / 3))
+    assert np.allclose(got.kalman_uncertainty, [np.nan if b is None else b for _, b in want], equal_nan=True)
+    assert got.stuck_run_length.tolist() == [1, 1, 1, 1, 1, 1, 2]
+    assert got.zero_crossing_rate_10.isna().tolist() == [True, True, True, False, False, False, False] and (got.zero_crossing_rate_10[3:] == 1).all()
+    assert got.slope_10.isna().all() and got.mean_10[5] == 7.0 and got.power_level_pct.isna().all()
+
+
+def test_features_do_not_depend_on_batches(spark):
+    rng = np.random.default_rng(3)
+    rows = [(run, i, tag, 60.0 * i, float(np.round(rng.normal(), 1)) if rng.random() > 0.1 else None, "position") for run in (0, 1) for tag in "pqr" for i in range(150)]
+    df = spark.createDataFrame(rows, "run_id int, step bigint, sensor string, at double, value double, kind string").withColumn("at", F.col("at").cast("timestamp"))
+    frames = []
+    for n in ("10000", "7", "64"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        got = features.feature_table(df, "run_id", "sensor", "step", "at", "value", "kind", 60.0, pairs=(("p", "q"),)).toPandas()
+        frames.append(got.sort_values(["run_id", "sensor", "step"]).reset_index(drop=True))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pd.testing.assert_frame_equal(frames[0], frames[1])
+    pd.testing.assert_frame_equal(frames[0], frames[2])
+    mine = pd.DataFrame(rows, columns=["run_id", "step", "sensor", "at", "value", "kind"])
+    for (run, tag), g in mine.groupby(["run_id", "sensor"]):
+        f = frames[0][(frames[0].run_id == run) & (frames[0].sensor == tag)]
+        v = g.value.reset_index(drop=True)
+        for n in (10, 20, 60):
+            w = v.rolling(n, min_periods=3)
+            for name, x in (("mean", w.mean()), ("std", w.std()), ("min", w.min()), ("max", w.max())):
+                assert np.allclose(f[f"{name}_{n}"], x, equal_nan=True)
+        both = [mine[(mine.run_id == run) & (mine.sensor == t)].value.reset_index(drop=True) for t in "pq"]
+        assert np.allclose(f["cross_correlation_p__q"], both[0].rolling(10, min_periods=3).corr(both[1]), equal_nan=True)
+
+
 def test_spans_of_a_constant_are_one_wide(spark):
     got = spans.derive(series(spark, [5.0, 5.0]), "sensor", "v").first()
     assert (got.low, got.alarm_low, got.alarm_high, got.high) == (3.0, 4.8, 5.2, 7.0)
