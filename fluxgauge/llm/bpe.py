@@ -8,16 +8,21 @@ every token encodes to itself, which is checked for each token used):
   there and stands rightly beside the last token of what comes before it;
 * the encoding of a string cut at one of its token borders is the encoding of both parts.
 
-An Aho-Corasick automaton of the tokens lists what ends at each place, the longest first. So for every place the transducer finds one token and where it began. A later token begins at most
-`lookahead` symbols, the longest token's length, before its end: what all of the last `lookahead`
-places have in common of their chains can no longer change, is emitted and forgotten. Memory is
-that window, however long a word is.
+An Aho-Corasick automaton of the tokens lists what ends at each place, the longest first. So for every
+place the transducer finds one token and where it began. A later token begins at most `lookahead`
+symbols before its end, which the merge list bounds: what all of the last `lookahead` places have in
+common of their chains can no longer change, is emitted and forgotten. Memory is that window, however
+long a word is; texts are normalised and split some `SEGMENT` characters at a time, so beside the text
+itself only a bounded number of its tokens is held. (A text without white space is normalised whole.)
 
-Decoding feeds tokens' bytes to an incremental UTF-8 decoder.
+Decoding is a state machine that ids are fed to: either it feeds their bytes to an incremental UTF-8
+decoder, or it gives their written forms as the tokenizers library does for a file without a decoder,
+which joins them by spaces. `digests` hashes ids and what they decode to as they come.
 
 The files' rules around the merges (normalisation, splitting, added tokens, a suffix on the last
-symbol of a word) are those of the tokenizers library for a file without a decoder: `decode` there
-joins the tokens' written forms by spaces. Null and empty texts have no tokens.
+symbol of a word) are the library's. Null and empty texts have no tokens. Rows with equal texts or
+ids have equal results each; an empty table gives no rows. Columns other than id and text play no
+part, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +32,9 @@ import hashlib
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import ahocorasick
 import regex
@@ -39,6 +46,8 @@ from .common import Memory, per_text
 CACHE_CHUNKS, CACHE_WORDS, CACHE_PAIRS = 120_000, 150_000, 500_000
 #: Characters of a word that are read at once, and places kept before settled tokens leave.
 BLOCK = 2048
+#: Characters of a text that are normalised and split at once, and of the longest chunk that is remembered.
+SEGMENT, REMEMBERED = 1 << 16, 64
 #: Stands for the end-of-word suffix after a word's last character.
 END = "\0"
 #: Unicode's white space.
@@ -80,7 +89,8 @@ class Vocabulary:
         self._last: dict[str, tuple[str, str, int] | None] = {}
         self._edges: tuple[dict, dict] = ({}, {})
         self.mark = END if self.end else ""
-        self.lookahead = sufficient_lookahead(self.ids, self.end)
+        self.lookahead = sufficient_lookahead(merges, self.end)
+        self.names = {i: str(i) for i in self.texts}
         self.pairs: dict[int, bool] = {}
         self.matches = self._automaton()
 
@@ -155,9 +165,15 @@ class Vocabulary:
         return known
 
 
-def sufficient_lookahead(ids: dict[str, int], end: str = "") -> int:
-    """Symbols of the longest token: no token that ends later begins before the last so many places."""
-    return max(len(t) - len(end) * (bool(end) and t.endswith(end)) for t in ids)
+def sufficient_lookahead(merges: list[tuple[str, str]], end: str = "") -> int:
+    """Symbols of the longest token that the merges make: no token that ends later begins before the last so many places.
+
+    A merge's token has as many symbols as its two parts; what no merge makes is one symbol.
+    """
+    size: dict[str, int] = {}
+    for a, b in merges:
+        size[a + b] = size.get(a, 1) + size.get(b, 1)
+    return max(size.values(), default=1) + (1 if end else 0)
 
 
 class Encoder:
@@ -228,14 +244,15 @@ class Encoder:
         return self._chain(len(self.found) - 1)
 
 
-def encode_word(word: str, v: Vocabulary) -> list[int]:
-    """The tokens of one word, which the splitter made."""
-    written = (word if word.isascii() and word.isprintable() else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(v.byte)) + v.mark
+def encode_word(word: str, v: Vocabulary) -> Iterator[list[int]]:
+    """The tokens of one word, which the splitter made, as they are settled."""
     encoder = Encoder(v)
-    out: list[int] = []
-    for at in range(0, len(written), BLOCK):
-        out += encoder.feed(written[at : at + BLOCK])
-    return out + encoder.finish()
+    for at in range(0, len(word), BLOCK):
+        part = word[at : at + BLOCK]
+        written = part if part.isascii() and part.isprintable() else part.encode("utf-8", "surrogatepass").decode("latin-1").translate(v.byte)
+        if ids := encoder.feed(written + v.mark if at + BLOCK >= len(word) else written):
+            yield ids
+    yield encoder.finish()
 
 
 def chunks(text: str) -> list[str]:
@@ -248,55 +265,70 @@ def chunks(text: str) -> list[str]:
     return [c for c in SPACE.split(text) if c] if CONTROL.search(text) else text.split()
 
 
+def segments(text: str, a: int, b: int) -> Iterator[str]:
+    """text[a:b] in parts of about SEGMENT characters, cut at white space: each is normalised and split by itself."""
+    while a < b:
+        cut = b
+        if b - a > SEGMENT and (m := SPACE.search(text, a + SEGMENT, b)):
+            cut = m.end()
+        yield text[a:cut]
+        a = cut
+
+
 class Codec:
-    """Encodes whole texts; remembers bounded numbers of chunks and of words."""
+    """Encodes whole texts, a bounded number of tokens at a time; remembers bounded numbers of short chunks and words."""
 
     def __init__(self, v: Vocabulary):
         self.v = v
         self.known = Memory(self._chunk, CACHE_CHUNKS)
         self.words = Memory(self._word, CACHE_WORDS)
 
-    def _word(self, word: str) -> tuple[int, str, str]:
-        """Number of tokens, their ids and their written forms, space-joined."""
-        tokens, texts = encode_word(word, self.v), self.v.texts
-        return len(tokens), " ".join(map(str, tokens)), " ".join([texts[t] for t in tokens])
-
-    def _chunk(self, chunk: str) -> tuple[int, str, str]:
-        """The same for the words of a chunk."""
-        words = self.words
-        parts = [words[w] for w in self.v.words.findall(chunk)]
-        if len(parts) == 1:
-            return parts[0]
-        return sum(p[0] for p in parts), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
-
-    def encode(self, text: str | None) -> tuple[int, str, str]:
-        """Of a whole text, as chunk() for a part."""
-        text, v = text or "", self.v
-        found: list[tuple[int, str, str]] = []
+    def _word(self, word: str) -> list[int]:
+        return [i for ids in encode_word(word, self.v) for i in ids]
+
+    def _chunk(self, chunk: str) -> list[int]:
+        """The tokens of a chunk's words."""
+        parts = [self.words[w] for w in self.v.words.findall(chunk)]
+        return parts[0] if len(parts) == 1 else [i for p in parts for i in p]
+
+    def _long(self, chunk: str) -> Iterator[list[int]]:
+        for m in self.v.words.finditer(chunk):
+            if m.end() - m.start() <= REMEMBERED:
+                yield self.words[m[0]]
+            else:
+                yield from encode_word(m[0], self.v)
+
+    def encode(self, text: str | None) -> Iterator[list[int]]:
+        """The ids of a whole text, in lists of bounded size."""
+        text, v, known = text or "", self.v, self.known
         at = 0
         marks = v.special.finditer(text) if v.special else ()
-        cuts = [(m.start(), m.end(), m[0]) for m in marks] + [(len(text), len(text), None)]
-        known = self.known
-        for a, b, mark in cuts:
-            found += [known[c] for c in chunks(text[at:a])]
+        for a, b, mark in chain(((m.start(), m.end(), m[0]) for m in marks), [(len(text), len(text), None)]):
+            for part in segments(text, at, a):
+                found: list[int] = []
+                for c in chunks(part):
+                    if len(c) <= REMEMBERED:
+                        found += known[c]
+                    else:
+                        yield found
+                        found = []
+                        yield from self._long(c)
+                yield found
             if mark is not None:
-                found.append((1, str(v.added[mark]), mark))
+                yield [v.added[mark]]
             at = b
-        if not found:
-            return 0, "", ""
-        counts, ids, forms = zip(*found, strict=True)
-        return sum(counts), " ".join(ids), " ".join(forms)
-
-    def written(self, ids: list[int]) -> str:
-        """The library's decode(ids, skip_special_tokens=False) for a file without decoder."""
-        return " ".join(self.v.texts[i] for i in ids)
 
 
 class Decoder:
-    """Incremental state machine from token ids to text; word ends become spaces."""
+    """Incremental state machine from token ids to text.
 
-    def __init__(self, v: Vocabulary):
-        self.v = v
+    Its state is what an incomplete character has had of bytes; word ends become spaces. With `forms` it gives what the
+    library's decode does for a file without decoder: the tokens' written forms, with a space before each but the first,
+    so that the state is whether there was one.
+    """
+
+    def __init__(self, v: Vocabulary, forms: bool = False):
+        self.v, self.forms, self.started = v, forms, False
         self.byte = {c: b for b, c in v.byte.items()}  # of printable characters
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
 
@@ -308,6 +340,16 @@ class Decoder:
         stem = written[: -len(self.v.end)] if ends else written
         return self.utf8.decode(bytes(self.byte[c] for c in stem)) + (" " if ends else "")
 
+    def feed(self, ids: list[int]) -> str:
+        """The text that some more ids add."""
+        if not self.forms:
+            return "".join(map(self.push, ids))
+        if not ids:
+            return ""
+        out = " ".join(map(self.v.texts.__getitem__, ids))
+        out, self.started = (" " + out if self.started else out), True
+        return out
+
     def finish(self) -> str:
         return self.utf8.decode(b"", final=True)
 
@@ -325,8 +367,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         c = codec(path)
 
         def run(texts):
-            rows = [c.encode(t) for t in texts]
-            return [[r[0] for r in rows], [[int(x) for x in r[1].split()] for r in rows]]
+            rows = [[i for ids in c.encode(t) for i in ids] for t in texts]
+            return [list(map(len, rows)), rows]
 
         return run
 
@@ -342,7 +384,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
 
         def text(ids):
             d = Decoder(v)
-            return "".join([*(d.push(int(i)) for i in (ids or "").split()), d.finish()])
+            return d.feed(list(map(int, (ids or "").split()))) + d.finish()
 
         return lambda rows: [[text(r) for r in rows]]
 
@@ -350,22 +392,24 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     return per_text(flat, [id_col], "ids", "text string", make)
 
 
+def digest(c: Codec, text: str | None) -> tuple[int, str, str]:
+    """Number of tokens, and SHA-256 of the ids and of what they decode to; neither is ever held whole."""
+    n, ids_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
+    decoder, name = Decoder(c.v, forms=True), c.v.names.__getitem__
+    for ids in c.encode(text):
+        if ids:
+            ids_hash.update(((" " if n else "") + " ".join(map(name, ids))).encode())
+            text_hash.update(decoder.feed(ids).encode("utf-8", "surrogatepass"))
+            n += len(ids)
+    return n, ids_hash.hexdigest(), text_hash.hexdigest()
+
+
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per text: number of tokens, and SHA-256 of the ids (decimal, space-joined) and of the decoded text."""
+    """Per text: number of tokens, and SHA-256 of the ids (decimal, space-joined) and of the text decoded from them."""
 
     def make():
         c = codec(path)
-
-        def run(texts):
-            counts, ids, decoded = [], [], []
-            for t in texts:
-                n, i, d = c.encode(t)
-                counts.append(n)
-                ids.append(hashlib.sha256(i.encode()).hexdigest())
-                decoded.append(hashlib.sha256(d.encode("utf-8", "surrogatepass")).hexdigest())
-            return [counts, ids, decoded]
-
-        return run
+        return lambda texts: list(zip(*(digest(c, t) for t in texts), strict=True)) or [[], [], []]
 
     schema = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     return per_text(docs, [id_col], text_col, schema, make)

@@ -676,12 +676,32 @@ def test_bpe_keeps_constant_memory():
     for at in range(0, len(word), 500):
         out += e.feed(word[at : at + 500])
         most = max(most, len(e.found))
-    e.feed(bpe.END) if False else None
     assert most < 2 * bpe.BLOCK + 500 and sum(len(v.texts[t]) for t in out) > len(word) - 2 * bpe.BLOCK
 
 
+def test_bpe_digest_decodes_ids_a_few_at_a_time(monkeypatch):
+    c = bpe.codec(vocabulary("word_bpe_49k.json"))
+    text = " ".join(sentences(40, 21)) + " " + "ab" * 20000 + "<|endoftext|> end é"
+    ids = [i for part in c.encode(text) for i in part]
+    assert max(map(len, c.encode(text))) <= bpe.SEGMENT and max(map(len, c.encode("thein" * 40000))) < 2 * bpe.BLOCK + bpe.BLOCK
+    fed = []
+    feed = bpe.Decoder.feed
+    monkeypatch.setattr(bpe.Decoder, "feed", lambda self, part: fed.extend(part) or feed(self, part))
+    n, ids_hash, text_hash = bpe.digest(c, text)
+    assert fed == ids and n == len(ids) and ids_hash == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+    assert text_hash == hashlib.sha256(" ".join(c.v.texts[i] for i in ids).encode()).hexdigest()
+    monkeypatch.setattr(bpe, "SEGMENT", 50)
+    assert bpe.digest(c, text) == (n, ids_hash, text_hash)
+
+
+def test_bpe_lookahead_follows_the_merges():
+    assert bpe.sufficient_lookahead([("a", "b"), ("ab", "c"), ("abc", "ab")]) == 5 and bpe.sufficient_lookahead([]) == 1
+    v = bpe.codec(vocabulary("word_bpe_49k.json")).v
+    assert v.lookahead >= max(len(v.symbols(t)) for t in v.ids if t not in v.added)
+
+
 def test_decoder_is_incremental():
     v = bpe.codec(vocabulary("word_bpe_49k.json")).v
-    ids = [t for w in ("日本", "é") for t in bpe.encode_word(w, v)]
+    ids = [t for w in ("日本", "é") for part in bpe.encode_word(w, v) for t in part]
     d = bpe.Decoder(v)
     assert "".join([*(d.push(t) for t in ids), d.finish()]) == "日本 é "
