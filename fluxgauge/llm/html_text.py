@@ -1,18 +1,22 @@
 """Main text of web pages by tree scoring.
 
-A page becomes a tree (unclosed and crossed tags as browsers mend them, roughly). What is not the
-article is left out by element, by role and by the words of its class and id. Every paragraph then
-has points for itself, its commas and its length, and passes them to its ancestors, fewer the
-farther they are; an ancestor's sum is discounted by its link density. The best container is the
-article, with siblings that score well themselves. Its text comes out block by block.
-
-Null and empty pages, and pages without a paragraph, have the empty text. Repeated rows stay.
+A page becomes a tree (unclosed and crossed tags as browsers mend them, roughly). Menus, forms, notices
+and the like are left out by element, by role, and where the whole name of a box (class or id) says so.
+Every paragraph then has points for itself, its commas and its length, and passes them to its ancestors,
+fewer the farther they are; an ancestor's sum is discounted by its link density. The best container is
+the article (if it is in an article element, that one), with siblings that score well themselves; of
+equal ones the first counts. Its text comes out block by block, links, formulas and all.
+
+Null and empty pages have the empty text; so have pages of which everything is left out. Pages of any
+length and depth take time in proportion. Repeated rows stay; an empty table gives no rows. Only the
+columns asked for and the page are read, whatever the others' names.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame
 
@@ -41,7 +45,7 @@ IMPLIED = {
 }
 #: What is never part of an article.
 LEFT_OUT = RAW | set(
-    "head nav footer aside form button select input dialog menu object embed canvas audio video svg math map search".split()
+    "head nav footer aside form button select input dialog menu search".split()
 )
 LEFT_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 LEFT_WORDS = set(
@@ -51,6 +55,13 @@ LEFT_WORDS = set(
     "respond share sharing sidebar sidebars sidenav signup login skip social sponsor sponsored sponsors subscribe subscription "
     "toolbar topbar widget widgets aside alert alerts disclaimer paywall privacy discussion feedback outbrain taboola".split()
 )
+#: Words that stand beside these in a name without changing what it says.
+FILLER = set(
+    "area bar block body bottom box btn button buttons col column container content cta fixed form global group holder icons inline inner item items "
+    "js left link links list main module name note page panel post primary right row section site slot top tray unit wrap wrapper".split()
+)
+#: Elements whose names count: boxes, not paragraphs or words of the article.
+BOXES = set("div section ul ol dl table header figure span article main center details fieldset".split())
 #: Words of reader comments, which may be articles themselves.
 COMMENT_WORDS = set("comment comments disqus discussion reply replies respond".split())
 HARMLESS = set("has with no is without".split())
@@ -60,12 +71,13 @@ NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Node:
-    __slots__ = ("tag", "words", "out", "parent", "children", "text", "linked", "points", "holds")
+    __slots__ = ("tag", "words", "left", "out", "parent", "children", "text", "linked", "links", "points", "holds")
 
     def __init__(self, tag: str, parent: Node | None, words: set[str] = frozenset(), out: bool = False):
         self.tag, self.parent, self.words, self.out = tag, parent, words, out
         self.children: list[Node | str] = []
-        self.text = self.linked = 0  # characters of text below, and of those in links
+        self.text = self.linked = self.links = 0  # characters of text below, those in links, and the links
+        self.left = False  # its name says that it is no article
         self.points = 0.0
         self.holds = False  # an article or main element, or is one
 
@@ -76,39 +88,83 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape((m[2] or "").strip("\"'")) for m in ATTRIBUTE.finditer(raw)}
 
 
-def _start(tag: str, raw: str, parent: Node) -> Node:
-    words, out = set(), tag in LEFT_OUT
+def _start(tag: str, raw: str, parent: Node, in_article: bool) -> Node:
+    words, left, out = set(), False, tag in LEFT_OUT
     if tag == "header":
-        up = parent
-        while up is not None and up.tag not in ("article", "main"):
-            up = up.parent
-        out = up is None  # an article's own header holds its title
+        out = not in_article  # an article's own header holds its title
     if raw and not out:
         a = _attributes(raw)
         if a:
             for name in f"{a.get('class', '')} {a.get('id', '')}".split():
-                parts = [x.lower() for x in NAME_PARTS.findall(name)]
-                if not HARMLESS & set(parts):
-                    words.update(parts)
+                parts = {x.lower() for x in NAME_PARTS.findall(name)}
+                if not HARMLESS & parts:
+                    words |= parts
+                    # All of a name must say so: related-work is no list of related pages.
+                    left |= bool(parts & LEFT_WORDS) and parts <= LEFT_WORDS | FILLER
             out = (
                 "hidden" in a
                 or a.get("aria-hidden", "").lower() == "true"
                 or "display:none" in a.get("style", "").replace(" ", "").lower()
                 or a.get("role", "").lower() in LEFT_ROLES
             ) and tag not in ("html", "body")
-    return Node(tag, parent, words, out)
+    node = Node(tag, parent, words, out)
+    node.left = left and tag in BOXES
+    return node
+
+
+class _Open:
+    """The open elements, by depth and by tag, so that what an end tag ends is found at once."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.of: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, node: Node) -> None:
+        self.of.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def close(self, depth: int) -> None:
+        """End the element at a depth and all within it."""
+        while len(self.stack) > depth:
+            node = self.stack.pop()
+            self.of[node.tag].pop()
+            if node.tag in BLOCK:
+                self.blocks.pop()
+
+    def nearest(self, tags) -> int:
+        return max((self.of[t][-1] for t in tags if self.of.get(t)), default=0)
+
+    def end(self, tag: str) -> None:
+        depth = self.nearest((tag,))
+        # Crossed tags: a block isn't ended by an inline one.
+        if depth and (tag in BLOCK or not self.blocks or self.blocks[-1] < depth):
+            self.close(depth)
+
+    def imply(self, tag: str) -> None:
+        """End what a start tag ends."""
+        if tag in CLOSES_P and self.blocks and self.stack[self.blocks[-1]].tag == "p":
+            self.close(self.blocks[-1])
+        if tag in IMPLIED:
+            ended, bounds = IMPLIED[tag]
+            bound = self.nearest(bounds)
+            found = [d[bisect_right(d, bound)] for t in ended if (d := self.of.get(t)) and d[-1] > bound]
+            if found:
+                self.close(min(found))
 
 
 def parse(page: str) -> Node:
     """The tree of a page, comments and raw content left out."""
     root = Node("#root", None)
-    here, at = root, 0
+    opened, at = _Open(root), 0
     n = len(page)
     while at < n:
         m = TOKEN.search(page, at)
         end = m.start() if m else n
         if end > at:
-            here.children.append(html.unescape(page[at:end]))
+            opened.stack[-1].children.append(html.unescape(page[at:end]))
         if not m:
             break
         at = m.end()
@@ -116,40 +172,19 @@ def parse(page: str) -> Node:
             continue
         tag, closing, raw = name.lower(), m[1] or m[4], m[3] or m[6] or ""
         if closing:
-            up = here
-            while up is not root and up.tag != tag:
-                if tag not in BLOCK and up.tag in BLOCK:  # crossed tags: a block isn't ended by an inline one
-                    up = root
-                    break
-                up = up.parent
-            if up is not root:
-                here = up.parent
+            opened.end(tag)
             continue
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
             at = close.end() if close else n
             continue
-        if tag in CLOSES_P:
-            up = here
-            while up is not root and up.tag != "p" and (up.tag not in BLOCK):
-                up = up.parent
-            if up.tag == "p":
-                here = up.parent
-        if tag in IMPLIED:
-            ended, bounds = IMPLIED[tag]
-            up, last = here, None
-            while up is not root and up.tag not in bounds:
-                if up.tag in ended:
-                    last = up
-                up = up.parent
-            if last is not None:
-                here = last.parent
-        node = _start(tag, raw, here)
+        opened.imply(tag)
+        here = opened.stack[-1]
+        node = _start(tag, raw, here, bool(opened.nearest(("article", "main"))))
         here.children.append(node)
-        if tag not in VOID and not raw.endswith("/"):
-            here = node
-        elif tag not in VOID and tag in BLOCK:
-            here = node  # a slash doesn't end these
+        # A slash doesn't end a block.
+        if tag not in VOID and (tag in BLOCK or not raw.endswith("/")):
+            opened.push(node)
     return root
 
 
@@ -168,13 +203,15 @@ def _measure(root: Node) -> list[Node]:
         node.text += sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str))
         if node.tag == "a":
             node.linked = node.text
-        # A class name counts against an element unless the article itself is in it.
-        if node.words & LEFT_WORDS and not node.holds and node.tag not in ("html", "body"):
+            node.links += 1
+        # A name counts against an element unless the article itself is in it.
+        if node.left and not node.holds:
             node.out = True
         up = node.parent
         if up is not None and not node.out:
             up.text += node.text
             up.linked += node.linked
+            up.links += node.links
             up.holds |= node.holds
     return order
 
@@ -184,20 +221,11 @@ def _density(node: Node) -> float:
 
 
 def _left(node: Node) -> bool:
-    """Whether a node inside the article is left out: also a list or box of little but links."""
+    """Whether a node beside the article is left out: also a list or box of little but links."""
     if node.out:
         return True
     boxes = node.tag in ("ul", "ol", "div", "section", "table", "dl")
-    return boxes and not node.holds and node.text > 0 and _density(node) > 0.8 and _links(node) > 1
-
-
-def _links(node: Node) -> int:
-    found, stack = 0, [node]
-    while stack:
-        x = stack.pop()
-        found += x.tag == "a"
-        stack += [c for c in x.children if isinstance(c, Node)]
-    return found
+    return boxes and not node.holds and node.text > 0 and _density(node) > 0.8 and node.links > 1
 
 
 def _own_text(node: Node) -> str:
@@ -281,7 +309,7 @@ def blocks(node: Node) -> list[str]:
             flush()
         elif isinstance(x, str):
             parts.append(x)
-        elif x is node or not _left(x):
+        elif x is node or not x.out:
             if x.tag == "br":
                 parts.append(" ")
             if x.tag in BLOCK:

@@ -110,12 +110,31 @@ def test_html_main_text(spark):
         ("<article class=post><p>text</p></article><div id=comments><article class=comment-body><p>me, too</p></article></div>", "text"),
         ("<article class='post comments-open'><p>text</p></article>", "text"),
         ("<article><table><tr><td>a<td>b<tr><td>c</table></article>", "a\nb\nc"),
+        ("<article><p>text</p><ul><li><a href=1>source one</a><li><a href=2>source two</a></ul></article>", "text\nsource one\nsource two"),
+        ("<article><p>if <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then</p><object>seen</object></article>", "if x=2 then\nseen"),
+        ("<article><p class='notice-period'>a month</p><p class=share>of all</p><section class=related-work><p>others</p></section></article>", "a month\nof all\nothers"),
+        ("<article><p>text</p><div class='cookie-notice'>ok?</div><div class=share-buttons>tweet</div><ul class=related-links><li>x</ul></article>", "text"),
+        ("<i><div><b>a</i>b</div>c", "ab"),
     ],
 )
 def test_html_cases(page, want):
     assert html_text.main_text(page) == want
 
 
+@pytest.mark.parametrize("page", ["<article><p>x</p>" + "<b>" * 50000 + "</i>" * 50000, "<i><div>" + "<b>" * 50000 + "</i>" * 50000, "<ul>" * 50000 + "<li>" * 50000])
+def test_html_time_is_linear(page):
+    import time
+
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 20  # quadratic time is minutes
+
+
+def test_html_ties_go_to_the_first():
+    box = "<div><p>one, two, three, four, five, six, seven</p></div>"
+    assert html_text.main_text(f"<section>{box}</section><section>{box.replace('one', 'uno')}</section>").startswith("one")
+
+
 # 3
 
 
