@@ -105,15 +105,15 @@ FROM dw d LEFT JOIN hits h ON d.doc_id = h.doc_id LEFT JOIN items i ON d.doc_id
 
 OP4_SQL = """
 WITH ok AS (
-  SELECT vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, d.vec_id, cast(list_inner_product(cast(q.v AS DOUBLE[]), cast(d.v AS DOUBLE[])) AS BIGINT) AS score
-  FROM ok q JOIN ok d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id
+  SELECT q.r, q.vec_id AS query_id, d.vec_id, cast(list_inner_product(cast(q.v AS DOUBLE[]), cast(d.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM ok q JOIN ok d ON q.vec_id % 20 = 0 AND q.r <> d.r
 )
 SELECT query_id, cast(rank AS INTEGER) AS rank, vec_id, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM scored
 ) WHERE rank <= 20
 """
 

@@ -346,26 +346,51 @@ def test_topk_equals_brute_force(spark):
     rng = np.random.default_rng(4)
     n, dims = 700, 12
     x = np.round(rng.normal(size=(n, dims)) * (rng.random((n, 1)) * 3), 1).astype(np.float32)
-    rows = [(i, [float(v) for v in x[i]], 1) for i in range(n)]
-    rows += [(5000, None, 1), (5020, [1.0, None], 1), (5040, [float("nan")] * dims, 1), (5060, [float("inf")] * dims, 1), (None, [1.0] * dims, 1)]
-    rows.append(rows[7])
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, score int")
-    got = topk.search(topk.quantise(df), tile=256).toPandas()
+    ids = [*range(n - 2), 40, 45]  # two ids come twice
+    names = "vec_id bigint, embedding array<float>, score int, row string, tile string, floor double, wide int"
+    rows = [(i, [float(c) for c in v], 1, "a", "b", 0.5, 3) for i, v in zip(ids, x, strict=True)]
+    odd = [(5000, None), (5020, [1.0, None]), (5040, [float("nan")] * dims), (5060, [float("inf")] * dims), (None, [1.0] * dims)]
+    df = spark.createDataFrame(rows + [(*r, 1, "a", "b", 0.5, 3) for r in odd], names)
     q = np.floor(64 * x.astype(float)).astype(np.int64)
-    assert set(got["query_id"]) == set(range(0, n, 20))
-    for i in range(0, n, 20):
-        s = q @ q[i]
-        order = [j for j in np.lexsort((np.arange(n), -s)) if j != i][:20]
-        mine = got[got["query_id"] == i].sort_values("rank")
-        assert mine["vec_id"].tolist() == order and mine["score"].tolist() == s[order].tolist() and mine["rank"].tolist() == list(range(1, 21))
+    want = []
+    for i in range(n):
+        if ids[i] % 20 == 0:
+            s = q @ q[i]
+            order = [j for j in np.lexsort((ids, -s)) if j != i][:20]
+            want += [(ids[i], k + 1, ids[j], int(s[j])) for k, j in enumerate(order)]
+    for tile in (256, 100_000):
+        got = topk.search(topk.quantise(df), tile=tile).collect()
+        assert sorted(map(tuple, got)) == sorted(want)
 
 
 def test_topk_prunes_and_breaks_ties():
     d = np.zeros((1000, 3), np.int64)
     d[600:603] = 7
-    top = topk.best(np.array([-1]), np.array([[1, 1, 1]]), np.arange(1000), d, 5, 100)
-    keys = np.sort(top[0])[::-1]
-    assert [int(-((-k) // 1000)) * 1000 - int(k) for k in keys] == [600, 601, 602, 0, 1]
+    t = topk.Tile(np.arange(1000), np.arange(1000), d, 100)
+    top = t.best(np.array([-1]), np.array([[1, 1, 1]]), 5)
+    ids, scores = t.scores(np.sort(top[0])[::-1])
+    assert ids.tolist() == [600, 601, 602, 0, 1] and scores.tolist() == [21, 21, 21, 0, 0]
+
+
+def test_topk_prunes_clustered_vectors():
+    rng = np.random.default_rng(1)
+    x = np.floor(64 * (np.repeat(rng.normal(size=(32, 24)) * 2, 256, axis=0) + 0.2 * rng.normal(size=(8192, 24)))).astype(np.int64)
+    x = x[rng.permutation(len(x))]
+    order = topk._together(x.astype(float))
+    t = topk.Tile(order, order, x[order])
+    top = t.best(np.arange(0, len(x), 20), x[::20], 20)
+    assert t.pruned > 0.5 * (t.scored + t.pruned)
+    ids, _ = t.scores(top)
+    for k, i in enumerate(range(0, len(x), 20)):
+        s = x @ x[i]
+        s[i] = -(1 << 60)
+        assert sorted(s[ids[k]].tolist()) == sorted(np.sort(s)[-20:].tolist())
+
+
+def test_topk_refuses_scores_that_do_not_fit():
+    big = np.full((2, 2), 1 << 24, np.int64)
+    with pytest.raises(ValueError, match="don't fit"):
+        topk.Tile(np.arange(2), np.arange(2), big).best(np.arange(2), big, 1)
 
 
 def test_topk_fewer_than_k(spark):
