@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -20,16 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches, and make sure that there is a checkpoint folder.
-
-    On a cluster the folder is the shared one that spark.checkpoint.dir names; a local one
-    is used only where that setting is missing, as in tests.
-    """
+    """Bound the Arrow batches, and make sure that there is a checkpoint folder."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which all machines share; one of this machine only if there is no other."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "checkpoints"))
+    if named := context.getConf().get("spark.checkpoint.dir"):
+        return named
+    if not re.match(r"local(\[|$)", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    return f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
 
 
 def per_text(
@@ -45,7 +50,10 @@ def per_text(
     the new columns' values, in the order of new_schema.
     """
     prepare(docs.sparkSession)
-    picked = docs.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias("__text"))
+    text_name = "text"
+    while text_name in keep:
+        text_name += "_"
+    picked = docs.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias(text_name))
     fields = ", ".join(f"`{c}` {picked.schema[c].dataType.simpleString()}" for c in keep)
     types = docs.sparkSession.createDataFrame([], new_schema).schema
     names = [f.name for f in types]
@@ -54,7 +62,7 @@ def per_text(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            columns = f(batch.column("__text").to_pylist())
+            columns = f(batch.column(text_name).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in keep] + [pa.array(v, k) for v, k in zip(columns, kinds, strict=True)],
                 [*keep, *names],

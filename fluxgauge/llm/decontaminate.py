@@ -9,7 +9,8 @@ The items are broadcast only in bounded parts: `MAX_WORDS` item words each, from
 builds an automaton. A pass over the documents takes `AT_ONCE` parts; a larger benchmark takes several
 passes, with a checkpoint between, in which hits add up. The documents are never shuffled.
 
-Null and empty texts have no words and no hits. Items without words match nothing. An item without
+Null and empty texts have no words and no hits; an empty table or benchmark finds none. A text of any
+length is scanned whole. Repeated rows stay. Other columns may have any names. Items without words match nothing. An item without
 an id counts for hits but is not named; items with the same id are one item.
 """
 
@@ -197,15 +198,15 @@ def scan(
     window: int = WINDOW,
     most: int = MAX_WORDS,
 ) -> DataFrame:
-    """The columns of keep, and __n_words, __n_hit, __spans (word numbers: start, end, start, ...), __items."""
+    """row (a struct of the columns of keep), n_words, n_hit, spans (word numbers: start, end, start, ...), items."""
     spark = docs.sparkSession
     prepare(spark)
     found = docs.select(
-        *keep,
-        F.col(text_col).cast("string").alias("__text"),
-        *[F.lit(0).cast("bigint").alias(c) for c in ("__n_words", "__n_hit")],
-        F.array().cast("array<bigint>").alias("__spans"),
-        F.array().cast("array<string>").alias("__items"),
+        F.struct(*keep).alias("row"),
+        F.col(text_col).cast("string").alias("text"),
+        *[F.lit(0).cast("bigint").alias(c) for c in ("n_words", "n_hit")],
+        F.array().cast("array<bigint>").alias("spans"),
+        F.array().cast("array<string>").alias("items"),
     )
     schema = found.schema
     for k, some in enumerate(batched(parts(benchmark, text_col="text", most=most), AT_ONCE)):
@@ -218,7 +219,7 @@ def scan(
             automata = [Automaton(part, window) for part in some]
             for batch in batches:
                 n_words, n_hit, spans, items = [], [], [], []
-                rows = zip(*(batch.column(c).to_pylist() for c in ("__text", "__spans", "__items")), strict=True)
+                rows = zip(*(batch.column(c).to_pylist() for c in ("text", "spans", "items")), strict=True)
                 for text, had, named in rows:
                     words = words_of(text)
                     new, which = automata[0].scan(words)
@@ -235,7 +236,7 @@ def scan(
                     n_hit.append(sum(b - a for a, b in new))
                     spans.append([x for s in new for x in s])
                     items.append(sorted({*named, *(x for x in which if x is not None)}))
-                values = dict(zip(("__n_words", "__n_hit", "__spans", "__items"), (n_words, n_hit, spans, items), strict=True))
+                values = dict(zip(("n_words", "n_hit", "spans", "items"), (n_words, n_hit, spans, items), strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(values[f.name], f.type) if f.name in values else batch.column(f.name) for f in batch.schema],
                     schema=batch.schema,
@@ -246,17 +247,17 @@ def scan(
 
 
 def _contaminated(share: int):
-    return (F.col("__n_hit") > 0) & (F.lit(share) * F.col("__n_hit") >= F.col("__n_words"))
+    return (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", share: int = 20, **options) -> DataFrame:
     """Per document: words, hit words, items found, and whether a share-th of its words or more are hit."""
-    named = F.array_sort(F.col("__items"))
+    named = F.array_sort(F.col("items"))
     return scan(docs, benchmark, [id_col], **options).select(
-        id_col,
-        F.col("__n_words").alias("n_words"),
-        F.col("__n_hit").alias("n_hit"),
-        F.size("__items").cast("bigint").alias("n_items"),
+        F.col("row")[id_col].alias(id_col),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.concat_ws(",", named), 256).alias("items_sha256"),
         _contaminated(share).alias("contaminated"),
     )
@@ -264,7 +265,7 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", share:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: int = 20, **options) -> DataFrame:
     """docs without the contaminated rows."""
-    return scan(docs, benchmark, docs.columns, **options).where(~_contaminated(share)).select(*docs.columns)
+    return scan(docs, benchmark, docs.columns, **options).where(~_contaminated(share)).select("row.*")
 
 
 def cut(text: str | None, spans: list[int]) -> str | None:
@@ -285,15 +286,17 @@ def remove_spans(
 ) -> DataFrame:
     """docs with spans of `least` hit words or more cut from texts, and the rows beyond the share dropped."""
     found = scan(docs, benchmark, docs.columns, text_col, **options).where(~_contaminated(share))
-    names = docs.columns
 
     def run(batches):
         for batch in batches:
-            at = batch.schema.get_field_index(text_col)
+            row = batch.column("row")
+            at = row.type.get_field_index(text_col)
             texts = []
-            for text, spans in zip(batch.column(text_col).to_pylist(), batch.column("__spans").to_pylist(), strict=True):
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 long = [x for a, b in zip(spans[::2], spans[1::2], strict=True) if b - a >= least for x in (a, b)]
                 texts.append(cut(text, long))
-            yield batch.set_column(at, text_col, pa.array(texts, pa.string())).select(names)
+            columns = row.flatten()
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, [f.name for f in row.type])
 
-    return found.select(*names, "__spans").mapInArrow(run, docs.schema)
+    return found.select("row", "text", "spans").mapInArrow(run, docs.schema)

@@ -14,7 +14,8 @@ template's bigrams to another, that reaches the threshold. Of windows that overl
 has the most bigrams in common, less those that it or the template has alone; so a whole header goes
 before a notice in it. A text is searched if it has one of `keywords`, without which no window can reach it.
 
-Null and empty texts, and passages of fewer than two words, match nothing. Of several templates that
+Null and empty texts, and passages of fewer than two words, match nothing; an empty table has no rows. A
+text of any length is scanned whole. Columns may have any names. Of several templates that
 reach the threshold the best is given, of equal ones the first by name. Repeated rows repeat.
 """
 
@@ -163,7 +164,9 @@ def scan(
     templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD,
 ) -> DataFrame:
     """The columns of keep, license, score, n_bigrams and passage: each passage or window that reaches the threshold."""
-    return by_passage(docs, keep, text_col, templates, threshold).unionByName(by_window(docs, keep, text_col, templates, threshold))
+    rows = docs.select(F.struct(*keep).alias("__row"), F.col(text_col).alias("__text"))
+    found = [f(rows, ["__row"], "__text", templates, threshold) for f in (by_passage, by_window)]
+    return found[0].unionByName(found[1]).select("__row.*", "license", "score", "n_bigrams", "passage")
 
 
 def grams_of(words: Column, n: Column) -> Column:

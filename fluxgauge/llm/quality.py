@@ -9,7 +9,9 @@ After that the pairs whose residuals separate best get tables in the same way.
 Learning takes at most `SAMPLE` labelled rows, those whose ids have the smallest hashes; only their
 numbers go to the driver. Scoring is one pass over all texts and shuffles nothing.
 
-Null and empty texts have zeros for all numbers and get a score like any other. A row without an id
+Null and empty texts have zeros for all numbers and get a score like any other; a text of any length is
+counted whole, and an empty table gives no rows. Of labelled ids with equal hashes the smaller is taken.
+Repeated rows stay, but count once in learning. Columns other than id, text and label play no part. A row without an id
 is never learned from. An id with several labels has their mean, rounded. Without labelled rows, or
 with labels of one kind only, every score is the share of label 1, smoothed by a half each way.
 """

@@ -9,7 +9,8 @@ A key's slot is its hash modulo the table's size. The table has a fixed number o
 so it is broadcast, and a row's place costs one lookup. Nothing is shuffled, and a source with a
 third of all rows is spread like any other since its rows have their own keys.
 
-A null key is placed as the empty string is. Repeated keys go to the same shard.
+A null key is placed as the empty string is. Repeated keys go to the same shard. A key of any length is
+hashed whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -61,9 +62,10 @@ def lookup(spark: SparkSession, shards: list[str] = SHARDS, slots: int = SLOTS)
 
 
 def place(df: DataFrame, key: str, shards: list[str] = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """df's rows with the columns __slot and __shard."""
+    """df's rows with the columns __slot and __shard, which replace such columns that df has."""
+    df = df.withColumn("__slot", slot(F.col(key), slots)).drop("__shard")
     found = lookup(df.sparkSession, shards, slots).select(F.col("slot").alias("__slot"), F.col("shard").alias("__shard"))
-    return df.withColumn("__slot", slot(F.col(key), slots)).join(F.broadcast(found), "__slot")
+    return df.join(F.broadcast(found), "__slot")
 
 
 def write(df: DataFrame, key: str, path: str, shards: list[str] = SHARDS, slots: int = SLOTS, files: int = 8) -> None:

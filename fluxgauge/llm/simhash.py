@@ -15,7 +15,9 @@ A text's fingerprint has 64 bits; two texts are linked if their fingerprints dif
 4. `components`: star contraction over the links.
 
 Null and empty texts have the fingerprint zero, as texts without words do, and are linked like any
-other. A null id takes part in its component but is never its smallest id. Repeated rows stay.
+other. A null id takes part in its component but is never its smallest id. Repeated rows stay; an empty
+table gives no rows. A text of any length is hashed whole. Columns other than id and text play no part,
+whatever their names, and `keep_first` returns them as they are.
 """
 
 from __future__ import annotations
@@ -199,10 +201,10 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Of repeated rows with that id one stays. Rows without an id can't be told apart by it and stay.
     """
     found = components(docs, id_col, text_col)
-    chosen = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
-    kept = docs.join(chosen, docs[id_col] == chosen["__kept"], "left_semi")
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(id_col).orderBy(F.xxhash64(F.col(text_col)))
-    one = kept.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
-    return one.unionByName(docs.where(F.col(id_col).isNull()))
+    key = F.col(id_col)
+    chosen = found.where(key == F.col("component_id")).select(key.alias("kept")).distinct()
+    rows = docs.select(key.alias("key"), F.xxhash64(text_col).alias("order"), F.struct(*docs.columns).alias("row"))
+    kept = rows.join(chosen, rows["key"] == chosen["kept"], "left_semi")
+    # A partial aggregate, so that an id's repeated rows are never in one place.
+    one = kept.groupBy("key").agg(F.min_by("row", "order").alias("row")).select("row.*")
+    return one.unionByName(docs.where(key.isNull()))

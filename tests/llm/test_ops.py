@@ -53,6 +53,33 @@ def test_empty_tables(spark, op):
     assert EMPTY[op](docs(spark, [])).count() == 0
 
 
+INTERNAL = (
+    "id h b held text_ row key order kept n_words n_hit spans items __text __n __kept __items __p __flat __row __slot __shard __best "
+    "fingerprint component_id tile q_tile floor word stream info shard"
+).split()
+
+
+def test_columns_may_have_the_names_that_operators_use(spark):
+    d = docs(spark, ["a b c d e f"] * 3 + ["Released under the MIT License."] + sentences(6, 30)).withColumns({c: F.lit(c) for c in INTERNAL})
+    bench = d.limit(1).withColumnRenamed("doc_id", "item_id")
+    labels = d.select("doc_id", (F.col("doc_id") % 2).alias("quality"), *INTERNAL)
+    found = [
+        token_counts.count(d, vocabulary("piece_bpe_32k.model")), lm_scoring.score(d, table_bits=12), simhash.components(d),
+        bpe.digests(d, vocabulary("word_bpe_49k.json")), decontaminate.report(d, bench), quality.score(d, quality.train(d, labels)),
+    ]
+    assert [x.count() for x in found] == [10] * len(found)
+    for kept in (simhash.keep_first(d), decontaminate.drop_contaminated(d, bench), decontaminate.remove_spans(d, bench), quality.keep_good(d, quality.train(d, labels))):
+        assert kept.columns == d.columns and all(r["__n"] == "__n" and r["row"] == "row" for r in kept.collect())
+    assert simhash.keep_first(d).count() == 8 and decontaminate.drop_contaminated(d, bench).count() == 7
+    some = licenses.scan(d, ["doc_id", "__p", "__row", "__text"]).collect()
+    assert [(r.doc_id, r["__p"], r["__row"], r.license) for r in some] == [(3, "__p", "__row", "MIT/notice")]
+    assert sharding.place(d, "doc_id").where("__shard LIKE 'shard-%'").count() == 10
+    vectors = d.select(F.col("doc_id").alias("vec_id"), F.array(F.lit(1.0)).alias("embedding"), *INTERNAL)
+    assert topk.search(topk.quantise(vectors)).count() == 9
+    pages = d.select(F.col("doc_id").alias("page_id"), F.col("text").alias("html"), *INTERNAL)
+    assert html_text.extract(pages, ["page_id"]).count() == 10
+
+
 def test_all_are_registered():
     assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in queries())] == []
     assert set(oracle_sql()) <= set(queries())
