@@ -6,13 +6,12 @@ folder and reads them back, so that a lost executor costs no earlier stage.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from fluxgauge.llm import bpe, decontaminate, quality, simhash
-from fluxgauge.llm.common import table
+from fluxgauge.llm.common import shared_folder, table
 from fluxgauge.llm.queries import vocabulary
 
 
@@ -48,8 +47,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/checkpoints"
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}_{name}"
