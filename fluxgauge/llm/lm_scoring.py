@@ -70,8 +70,8 @@ BATCH, SHARD, LEARNER = 1 << 22, 1 << 23, 1 << 25
 PIECE, SLICE = 1 << 18, 1 << 15
 DELTA, RATE, STEPS = 0.4, 0.05, 33
 _PHI, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-#: Bits of a context of two words before, and bytes of the following word that are gathered and predicted.
-_KEY_BITS, LETTERS = 48, 4
+#: Bytes of the following word that are gathered and predicted.
+LETTERS = 4
 _ONE = np.array([1, 1 << 32], np.uint64)
 _LOW, _HIGH, _DELTA = np.uint64(2**32 - 1), np.uint64(32), np.float32(DELTA)
 
@@ -177,9 +177,9 @@ class Words:
             out = out << np.uint64(8) | here.astype(np.uint64)
         return out
 
-    def keys(self) -> np.ndarray:
-        """Each token's context of two words before, as a number of _KEY_BITS bits."""
-        return _mixed(_mixed(self.one) + self.before(2)) >> np.uint64(64 - _KEY_BITS)
+    def keys(self, bits: int) -> np.ndarray:
+        """Each token's context of two words before, as a number of so many bits."""
+        return _mixed(_mixed(self.one) + self.before(2)) >> np.uint64(64 - bits)
 
 
 def _powers(n: int) -> np.ndarray:
@@ -444,7 +444,7 @@ class Asked:
     text: np.ndarray  # of each token
     key: np.ndarray
     follower: np.ndarray
-    n: np.ndarray  # occurrences in training texts
+    n: np.ndarray  # twice the occurrences in training texts, and 1 if other texts have it
     inverse: np.ndarray
     word: np.ndarray  # a token of each distinct word
     word_n: np.ndarray  # occurrences in training texts
@@ -483,20 +483,26 @@ def _distinct(order: np.ndarray, *of: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return order[new], inverse
 
 
-def _asked(batch: pa.Table) -> Asked:
+def key_bits(size: int) -> int:
+    """Bits of a context in a corpus of so many bytes: few of those that a shard has fall together."""
+    return min(64, max(40, 10 + size.bit_length()))
+
+
+def _asked(batch: pa.Table, bits: int) -> Asked:
     found = [b" ".join(tokens(t)) for t in batch.column("text").to_pylist()]
     octets = np.frombuffer(b"".join(found), np.uint8)
     mine = ~batch.column("held").to_numpy(zero_copy_only=False).astype(bool)
     w = Words(octets)
     text = np.cumsum(w.new_text) - 1
     weight = mine[text]
-    key = w.keys()
+    key = w.keys(bits)
     letters = w.letters()
-    at, inverse = _distinct(_order(key, _KEY_BITS, letters), key, letters)
+    at, inverse = _distinct(_order(key, bits, letters), key, letters)
     # Words whose hashes begin alike may come twice, which changes no sum.
     word, word_inverse = _distinct(_order(w.hash, 64), w.hash)
     return Asked(
-        octets, w, mine, text, key[at], letters[at], np.bincount(inverse, weight, len(at)).astype(np.int64), inverse,
+        octets, w, mine, text, key[at], letters[at],
+        2 * np.bincount(inverse, weight, len(at)).astype(np.int64) + (np.bincount(inverse, ~weight, len(at)) > 0), inverse,
         word, np.bincount(word_inverse, weight, len(word)).astype(np.int64), word_inverse,
     )
 
@@ -516,19 +522,19 @@ PREPARED = (
 )
 
 
-def _ask(shards: int):
+def _ask(shards: int, bits: int):
     def run(key: tuple, batch: pa.Table) -> pa.Table:
-        a = _asked(_ordered(batch))
+        a = _asked(_ordered(batch), bits)
         w = a.words
         hashes, starts, ends = w.hash[a.word], w.start[a.word].tolist(), (w.end[a.word] + 1).tolist()
-        keys, words = _cuts(a.key, _KEY_BITS, shards), _cuts(hashes, 64, shards)
+        keys, words = _cuts(a.key, bits, shards), _cuts(hashes, 64, shards)
         raw = a.octets.tobytes()
         rows = []
         for s in np.flatnonzero((np.diff(keys) > 0) | (np.diff(words) > 0)).tolist():
             x, y = slice(keys[s], keys[s + 1]), slice(words[s], words[s + 1])
             texts = b"".join([raw[i:j] for i, j in zip(starts[y], ends[y], strict=True)])
             rows.append((
-                key[0].as_py(), s, x.stop - x.start, _packed(np.diff(a.key[x], prepend=np.uint64(0)), 6), _packed(a.follower[x], LETTERS),
+                key[0].as_py(), s, x.stop - x.start, _packed(np.diff(a.key[x], prepend=np.uint64(0)), (bits + 7) // 8), _packed(a.follower[x], LETTERS),
                 _packed(a.n[x], 4), y.stop - y.start, len(texts), pa.compress(texts, "zstd", asbytes=True), _packed(a.word_n[y], 4),
             ))
         schema = pa.schema(list(zip([c.split()[0] for c in ASK.split(", ")], (i8, i8, i8, bi, bi, bi, i8, i8, bi, bi), strict=True)))
@@ -543,16 +549,16 @@ def _ordered(batch: pa.Table) -> pa.Table:
     return batch.sort_by([("h", "ascending"), ("text", "ascending")])
 
 
-def _follow(key: np.ndarray, follower: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _follow(key: np.ndarray, follower: np.ndarray, n: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """For each asked (key, follower): the predicted follower for other texts and for an occurrence counted in n.
 
     Rows of three bytes: how many of the first LETTERS bytes agree, the first that doesn't, and how sure.
     """
-    at, pair_of = _distinct(_order(key, _KEY_BITS, follower), key, follower)
+    at, pair_of = _distinct(_order(key, bits, follower), key, follower)
     k, f = key[at], follower[at]
     m = np.bincount(pair_of, n, len(k)).astype(np.int64)
     # In each key the most frequent first, ties to the smaller.
-    rank = _order(k, _KEY_BITS, -m, f)
+    rank = _order(k, bits, -m, f)
     first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
     group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(k))))
     total = np.bincount(group, m).astype(np.int64)
@@ -582,44 +588,52 @@ def _answer(actual: np.ndarray, guess: np.ndarray, n: np.ndarray, total: np.ndar
 _EVERY_WORD = re.compile(rb"[^ \n]* |\n")
 
 
-def _reply(key: tuple, rows: pa.Table) -> pa.Table:
-    rows = rows.sort_by("b")
-    b = rows.column("b").to_pylist()
-    sizes = rows.column("n_keys").to_pylist()
-    key_of, follower, n = (
-        [_numbers(x, o, k) for x, k in zip(rows.column(c).to_pylist(), sizes, strict=True)] for c, o in (("key", 6), ("follower", LETTERS), ("n", 4))
-    )
-    cuts = np.cumsum([0, *sizes])
-    none = np.zeros((0, 3), np.uint8)
-    held, own = _follow(np.concatenate([np.cumsum(x) for x in key_of]), np.concatenate(follower), np.concatenate(n)) if cuts[-1] else (none, none)
-    packed = zip(rows.column("words").to_pylist(), rows.column("n_letters").to_pylist(), strict=True)
-    words = [_EVERY_WORD.findall(pa.decompress(x, k, "zstd", asbytes=True)) for x, k in packed]
-    total: dict[bytes, int] = {}
-    for w, c in zip(words, rows.column("counts").to_pylist(), strict=True):
-        for x, k in zip(w, _numbers(c, 4, len(w)).tolist(), strict=True):
-            total[x] = total.get(x, 0) + k
-    seen: set[bytes] = set()
-    fresh = []
-    for w in words:  # a training word is new in the first batch that has it
-        new = {x for x in w if total[x]} - seen
-        seen |= new
-        fresh.append(len(new))
-
-    def parts(x: np.ndarray) -> pa.Array:
-        return pa.array([pa.compress(np.ascontiguousarray(x[i:j].T).tobytes(), "zstd", asbytes=True) for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary())
-
-    return pa.table({
-        "b": pa.array(b, pa.int64()), "shard": pa.array([key[0].as_py()] * len(b), pa.int64()), "held": parts(held), "own": parts(own),
-        "counts": pa.array([_packed(np.array([total[x] for x in w], np.int64), 8) for w in words], pa.binary()), "fresh": pa.array(fresh, pa.int64()),
-    })
-
-
-def _prepared(shards: int, id_type: pa.DataType):
+def _reply(bits: int):
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("b")
+        b = rows.column("b").to_pylist()
+        sizes = rows.column("n_keys").to_pylist()
+        key_of, follower, n = (
+            [_numbers(x, o, k) for x, k in zip(rows.column(c).to_pylist(), sizes, strict=True)] for c, o in (("key", (bits + 7) // 8), ("follower", LETTERS), ("n", 4))
+        )
+        cuts = np.cumsum([0, *sizes])
+        none = np.zeros((0, 3), np.uint8)
+        held = own = none
+        if cuts[-1]:
+            every = np.concatenate(n).astype(np.int64)
+            held, own = _follow(np.concatenate([np.cumsum(x) for x in key_of]), np.concatenate(follower), every >> 1, bits)
+            # Answers that nobody reads pack to nothing.
+            held[every & 1 == 0], own[every < 2] = 0, 0
+        packed = zip(rows.column("words").to_pylist(), rows.column("n_letters").to_pylist(), strict=True)
+        words = [_EVERY_WORD.findall(pa.decompress(x, k, "zstd", asbytes=True)) for x, k in packed]
+        total: dict[bytes, int] = {}
+        for w, c in zip(words, rows.column("counts").to_pylist(), strict=True):
+            for x, k in zip(w, _numbers(c, 4, len(w)).tolist(), strict=True):
+                total[x] = total.get(x, 0) + k
+        seen: set[bytes] = set()
+        fresh = []
+        for w in words:  # a training word is new in the first batch that has it
+            new = {x for x in w if total[x]} - seen
+            seen |= new
+            fresh.append(len(new))
+
+        def parts(x: np.ndarray) -> pa.Array:
+            return pa.array([pa.compress(np.ascontiguousarray(x[i:j].T).tobytes(), "zstd", asbytes=True) for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary())
+
+        return pa.table({
+            "b": pa.array(b, pa.int64()), "shard": pa.array([key[0].as_py()] * len(b), pa.int64()), "held": parts(held), "own": parts(own),
+            "counts": pa.array([_packed(np.array([total[x] for x in w], np.int64), 8) for w in words], pa.binary()), "fresh": pa.array(fresh, pa.int64()),
+        })
+
+    return run
+
+
+def _prepared(shards: int, bits: int, id_type: pa.DataType):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         batch = _ordered(texts)
-        a = _asked(batch)
+        a = _asked(batch, bits)
         answers = answers.sort_by("shard")
-        cuts = np.diff(_cuts(a.key, _KEY_BITS, shards))[answers.column("shard").to_numpy()]
+        cuts = np.diff(_cuts(a.key, bits, shards))[answers.column("shard").to_numpy()]
 
         def whole(name: str) -> np.ndarray:
             parts = zip(answers.column(name).to_pylist(), cuts.tolist(), strict=True)
@@ -656,16 +670,17 @@ def gather(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text) + 1), F.lit(0))).first()[0]
     batches, shards = max(1, math.ceil(size / BATCH)), max(1, math.ceil(size / SHARD))
+    bits = key_bits(int(size))
     name = F.col(id_col).cast("string")
     hashed = F.xxhash64(name, text, F.spark_partition_id())
     rows = docs.select(F.col(id_col).alias("id"), (~training(id_col)).alias("held"), text.alias("text"), hashed.alias("h"))
     rows = rows.withColumn("b", F.pmod("h", F.lit(batches)))
     id_type = docs.schema[id_col].dataType
-    asked = rows.groupBy("b").applyInArrow(_ask(shards), ASK)
-    answers = asked.groupBy("shard").applyInArrow(_reply, ANSWER)
+    asked = rows.groupBy("b").applyInArrow(_ask(shards, bits), ASK)
+    answers = asked.groupBy("shard").applyInArrow(_reply(bits), ANSWER)
     schema = StructType([StructField("ids", ArrayType(id_type)), *_parse_datatype_string(PREPARED).fields])
     met = rows.groupBy("b").cogroup(answers.groupBy("b"))
-    return met.applyInArrow(_prepared(shards, to_arrow_type(id_type)), schema).checkpoint()
+    return met.applyInArrow(_prepared(shards, bits, to_arrow_type(id_type)), schema).checkpoint()
 
 
 def _unpacked(size: int, stream: bytes, info: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
