@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Severities from least to worst.
@@ -45,6 +45,39 @@ def confidence(magnitude: Column, threshold: Column | float, saturation: float)
     return F.when(t <= 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 0.5 + 0.5 * F.greatest(excess, F.lit(0.0))))
 
 
+def utc(df: DataFrame, column: str, naive: str = "reject") -> DataFrame:
+    """df with the column as an instant. A time without a zone is an error, or taken as UTC if naive is 'utc'."""
+    kind = df.schema[column].dataType.typeName()
+    if kind == "timestamp":
+        return df
+    if kind != "timestamp_ntz":
+        raise TypeError(f"{column} is no time")
+    if naive != "utc":
+        raise ValueError(f"{column} has no zone, so its instant is unknown")
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(column))
+    return df.withColumn(column, F.timestamp_micros(micros))
+
+
+def curve(xs: list[float], ys: list[float], x: Column) -> Column:
+    """Linear interpolation on a rising curve of a few points (such as saturation pressure by temperature); null off it."""
+    if len(xs) != len(ys) or any(a >= b for a, b in zip(xs, xs[1:], strict=False)):
+        raise ValueError("a curve has as many values as places, which rise")
+    pieces = [
+        F.when((x >= a) & (x <= b), F.lit(float(u)) + (x - a) / (b - a) * (v - u))
+        for a, b, u, v in zip(xs, xs[1:], ys, ys[1:], strict=False)
+    ]
+    return F.coalesce(*pieces)
+
+
+def aliased_period(period: Column, interval: float) -> Column:
+    """The period that an oscillation seems to have at a cadence; null if it seems to stand still or has no period."""
+    if interval <= 0:
+        raise ValueError("a cadence is above zero")
+    turns = ratio(F.lit(float(interval)), period)  # for each sample
+    folded = F.abs(turns - F.floor(turns + 0.5)) / interval
+    return F.when((period > 0) & (folded >= 1e-12), 1.0 / folded)
+
+
 def severity_rank(severity: Column) -> Column:
     """0 to 3, null for what is no severity."""
     return F.coalesce(*[F.when(severity == s, F.lit(k)) for k, s in enumerate(SEVERITIES)])

@@ -35,6 +35,11 @@ class Series:
     def rolling(self, f, x: Column, n: int) -> Column:
         return F.when(F.count(x).over(self.last(n)) >= self.least, f(x).over(self.last(n)))
 
+    def reduced(self, f, x: Column, n: int) -> Column:
+        """f (from an array column to a column) of the values that a window holds, in order."""
+        w = self.last(n)
+        return F.when(F.count(x).over(w) >= self.least, f(F.collect_list(x).over(w)))
+
     def mean(self, x: Column, n: int) -> Column:
         return self.rolling(F.avg, x, n)
 

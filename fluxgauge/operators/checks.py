@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from itertools import zip_longest
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.windows import Series
 
@@ -72,6 +74,38 @@ def mismatched(manifest: DataFrame, found: DataFrame, keys: list[str], values: l
     return listed.join(there, keys, "full").select(*keys, what.alias("what")).where("what IS NOT NULL")
 
 
+def resolve_sensors(sensors: DataFrame, types: list[str], without: list[str], expected: int, sensor: str = "sensor_id", kind: str = "sensor_type") -> list[str]:
+    """The sensors of the types, but those named, sorted; another number than expected is an error.
+
+    sensors has a row for each sensor at least; distinct ones are a dimension of the plant and come to the driver.
+    """
+    picked = sensors.where(F.col(kind).isin(types) & ~F.col(sensor).isin(without)).select(sensor).distinct()
+    found = sorted(r[0] for r in picked.limit(expected + 1).collect())
+    if len(found) != expected:
+        n = "more" if len(found) > expected else str(len(found))
+        raise ValueError(f"{n} sensors of the types are there, {expected} are expected")
+    return found
+
+
+def same_schema(df: DataFrame, schema: StructType) -> DataFrame:
+    """df, or an error: columns, their order and their types must be those of the schema."""
+    a, b = ([(f.name, f.dataType.simpleString()) for f in s.fields] for s in (df.schema, schema))
+    if a != b:
+        off = [f"{y} (found {x})" for x, y in zip_longest(a, b) if x != y]
+        raise ValueError(f"other columns than expected: {', '.join(off[:5])}")
+    return df
+
+
+def sound(dimension: DataFrame, rules: Mapping[str, Column], key: str) -> DataFrame:
+    """A small dimension, or an error that names its first defect: a repeated key or a broken rule."""
+    twice = repeated(dimension, [key]).select(F.col(key).cast("string"), F.lit("repeated").alias("rule"))
+    broken = violations(dimension, rules, [key]).select(F.col(key).cast("string"), "rule")
+    first = twice.unionByName(broken).orderBy(key, "rule").first()
+    if first is not None:
+        raise ValueError(f"{key} {first[0]}: {first[1]}")
+    return dimension
+
+
 def require(df: DataFrame, columns: list[str]) -> DataFrame:
     """df, or an error that names the missing columns."""
     missing = [c for c in columns if c not in df.columns]

@@ -20,6 +20,12 @@ def covered(cells: DataFrame, rows: DataFrame, axes: list[str], **aggs: Column)
     return out.withColumn("covered", F.col("n_rows").isNotNull()).withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
 
 
+def dense(rows: DataFrame, step: list[str], channel: str, channels: list[str]) -> DataFrame:
+    """rows and a row (with nulls) for every channel that a step lacks; channels is the resolved, bounded list."""
+    every = rows.select(*step).distinct().withColumn(channel, F.explode(F.array(*[F.lit(c) for c in channels])))
+    return every.join(rows, [*step, channel], "left").select(*rows.columns)
+
+
 def by_scope(rows: DataFrame, scope: str, axes: list[str], **aggs: Column) -> DataFrame:
     """The aggregates for every scope and over all of them (scope null), in one pass."""
     sets = [[F.col(scope), *map(F.col, axes)], list(map(F.col, axes))]
@@ -27,6 +33,12 @@ def by_scope(rows: DataFrame, scope: str, axes: list[str], **aggs: Column) -> Da
     return out
 
 
+def typed_gate(cells: DataFrame, share: float, kind: str, kinds: int) -> DataFrame:
+    """covered_share, the kinds that any cell covers, and whether all of them are and the share reaches the gate."""
+    part, n = F.avg(F.col("covered").cast("double")), F.countDistinct(F.when(F.col("covered"), F.col(kind)))
+    return cells.agg(part.alias("covered_share"), n.alias("n_kinds"), ((part >= share) & (n == kinds)).alias("passed"))
+
+
 def gate(cells: DataFrame, share: float) -> DataFrame:
     """covered_share and whether it reaches the gate."""
     part = F.avg(F.col("covered").cast("double"))

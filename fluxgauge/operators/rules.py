@@ -73,6 +73,22 @@ def margins(rows: DataFrame, plant: Plant, s: Series, seconds: str) -> DataFrame
     return rows.withColumns(found)
 
 
+def heating_margins(channels: DataFrame, s: Series, value: str, seconds: str, limit: float, instant: list[str]) -> DataFrame:
+    """instant and the margin of its fastest channel: one channel that heats or cools too fast breaks the rule.
+
+    channels has a row for each channel and instant; s names a channel's rows. No channel with a rate, no margin.
+    """
+    rate = F.abs(s.rate(F.col(value).cast("double"), F.col(seconds)))
+    return channels.withColumn("__m", limit - rate).groupBy(*instant).agg(F.min("__m").alias("heating_rate"))
+
+
+def flow_margins(channels: DataFrame, value: str, pump_max: float, loops: int, instant: list[str]) -> DataFrame:
+    """instant and the margin of the channel that is nearest to no flow or beyond its pump's."""
+    flow = F.col(value).cast("double")
+    margin = F.when(flow.isNotNull(), F.least(flow, pump_max / loops - flow))
+    return channels.groupBy(*instant).agg(F.min(margin).alias("flow_range"))
+
+
 RULES = ("energy_balance", "temperature_ordering", "heating_rate", "flow_range", "power_flux", "boiling", "mass_balance")
 
 

@@ -30,6 +30,19 @@ def latest(rows: DataFrame, keys: list[str], at: str, tie: str) -> DataFrame:
     return best.select(*keys, "__r.*")
 
 
+def materialize(rows: DataFrame, path: str, keys: list[str], at: str, tie: str, version: int) -> DataFrame:
+    """Merge rows into the table of latest rows under path: its version `version` from the one before.
+
+    Versions are whole folders, so that a version that is written again replaces itself and readers of the
+    one before are left alone.
+    """
+    spark = rows.sparkSession
+    before = spark.read.schema(rows.schema).parquet(f"{path}/version={version - 1}") if version else None
+    both = rows if before is None else before.unionByName(rows)
+    latest(both, keys, at, tie).select(*rows.columns).write.mode("overwrite").parquet(f"{path}/version={version}")
+    return spark.read.schema(rows.schema).parquet(f"{path}/version={version}")
+
+
 def served(asked: DataFrame, last: DataFrame, keys: list[str], at: str, now: Column, ttl: float) -> DataFrame:
     """asked with its latest row and `verdict`: fresh (a row of exactly the time to live is), stale or missing."""
     age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col(at).cast("timestamp"))
@@ -38,9 +51,21 @@ def served(asked: DataFrame, last: DataFrame, keys: list[str], at: str, now: Col
 
 
 def end_to_end(runs: DataFrame, run: str, steps: str, gap: int = 1) -> DataFrame:
-    """runs (one row for each) with `offset`, so that their steps follow each other; by length of name, then name."""
-    w = Window.orderBy(F.length(F.col(run).cast("string")), run).rowsBetween(Window.unboundedPreceding, -1)
-    return runs.withColumn("offset", F.coalesce(F.sum(F.col(steps) + gap).over(w), F.lit(0)).cast("bigint"))
+    """runs (one row for each) with `offset`, so that their steps follow each other; by length of name, then name.
+
+    Names of one length are in the order of all but their last three letters, so lengths are summed up
+    over those beginnings first (one row for some hundred runs) and over the runs of a beginning then.
+    """
+    name = F.col(run).cast("string")
+    size, start = F.length(name).alias("__size"), F.expr(f"left(cast(`{run}` AS string), greatest(length(cast(`{run}` AS string)) - 3, 0))").alias("__start")
+    cut = runs.select("*", size, start)
+    far = cut.groupBy("__size", "__start").agg(F.sum(F.col(steps) + gap).alias("__sum"))
+    w = Window.orderBy("__size", "__start").rowsBetween(Window.unboundedPreceding, -1)
+    far = far.select("__size", "__start", F.coalesce(F.sum("__sum").over(w), F.lit(0)).alias("__far"))
+    near = Window.partitionBy("__size", "__start").orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
+    own = F.coalesce(F.sum(F.col(steps) + gap).over(near), F.lit(0))
+    met = cut.withColumn("__own", own).join(far, ["__size", "__start"])
+    return met.select(*runs.columns, (F.col("__far") + F.col("__own")).cast("bigint").alias("offset"))
 
 
 def rebased(rows: DataFrame, at: str, anchor: str) -> DataFrame:

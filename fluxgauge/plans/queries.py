@@ -1199,3 +1199,86 @@ def manifest_check(spark, sf_dir):
 @query("SELECT p_partkey, regexp_full_match(p_name, '[A-Za-z0-9][A-Za-z0-9._-]*') AS valid FROM part")
 def safe_names(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", F.col("p_name").rlike(checks.PLANT_ID).alias("valid"))
+
+
+# --- Any channel, dense grids, curves, reducers and rates by phase.
+
+
+@query(
+    f"""SELECT hour, {rs("min(10.0 - abs(CASE WHEN dt > 0 THEN (v - before) / dt END))")} AS heating_rate FROM (
+  SELECT date_trunc('hour', ts) AS hour, v, lag(v) OVER ({W}) AS before, s - lag(s) OVER ({W}) AS dt FROM {EVENTS}) GROUP BY hour"""
+)
+def heating_any_channel(spark, sf_dir):
+    """Of each hour, how far its fastest channel is from the limit of heating."""
+    e = events(spark, sf_dir).withColumn("hour", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
+    return rules.heating_margins(e, S, "v", "s", 10.0, ["hour"]).withColumn("heating_rate", r(F.col("heating_rate")))
+
+
+@query(
+    f"""SELECT date_trunc('hour', ts) AS hour, {rs("min(CASE WHEN v IS NOT NULL THEN least(v, 100.0 - v) END)")} AS flow_range FROM {EVENTS} GROUP BY 1"""
+)
+def flow_any_channel(spark, sf_dir):
+    e = events(spark, sf_dir).withColumn("hour", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
+    return rules.flow_margins(e, "v", 200.0, 2, ["hour"]).withColumn("flow_range", r(F.col("flow_range")))
+
+
+_CELLS = "(SELECT date_trunc('hour', ts) AS hour, user_id % 40 AS channel, max(value) AS value FROM events GROUP BY 1, 2)"
+
+
+@query(
+    f"""SELECT hour, channel, value FROM (SELECT DISTINCT hour FROM {_CELLS}) CROSS JOIN (SELECT unnest(range(0, 40)) AS channel) LEFT JOIN {_CELLS} USING (hour, channel)"""
+)
+def dense_grid(spark, sf_dir):
+    """A cell for every channel of every hour, null where no channel reported."""
+    e = read(spark, sf_dir, "events")
+    cells = e.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), (F.col("user_id") % 40).alias("channel")).agg(F.max("value").alias("value"))
+    return coverage.dense(cells, ["hour"], "channel", list(range(40)))
+
+
+@query(
+    f"""SELECT split, cast(sum(c) AS BIGINT) AS n_rows, count(*) AS n_classes, count(*) = (SELECT count(DISTINCT event_type) FROM events) AS all_classes, min(c) >= 100 AS enough
+  FROM (SELECT split, event_type, count(*) AS c FROM {SPLIT} GROUP BY split, event_type) GROUP BY split"""
+)
+def split_gates(spark, sf_dir):
+    return splits.gates(_split(spark, sf_dir), ["event_type"], "ts", 100)
+
+
+_CURVE = ([0.0, 40.0, 75.0, 300.0], [1.0, 2.5, 9.0, 80.0])
+
+
+@query(
+    f"""SELECT event_id, {rs("CASE WHEN value BETWEEN 0 AND 40 THEN 1.0 + value / 40.0 * 1.5 WHEN value BETWEEN 40 AND 75 THEN 2.5 + (value - 40) / 35.0 * 6.5 WHEN value BETWEEN 75 AND 300 THEN 9.0 + (value - 75) / 225.0 * 71.0 END")}
+  AS pressure FROM events"""
+)
+def saturation_pressure(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", r(scalar.curve(*_CURVE, F.col("value"))).alias("pressure"))
+
+
+@query(
+    f"""SELECT event_id, {rs("CASE WHEN value > 0 AND folded >= 1e-12 THEN 1.0 / folded END")} AS seen FROM (
+  SELECT event_id, value, abs(7.0 / value - floor(7.0 / value + 0.5)) / 7.0 AS folded FROM events)"""
+)
+def aliased_periods(spark, sf_dir):
+    """The period that a sampled oscillation of a reading's period seems to have."""
+    seen = scalar.aliased_period(F.col("value"), 7.0)
+    return read(spark, sf_dir, "events").select("event_id", r(seen).alias("seen"))
+
+
+@query(f"SELECT event_id, CASE WHEN count(v) {frame(9)} >= 3 THEN list_sort(list(v) {frame(9)})[5] END AS fifth FROM {EVENTS}")
+def window_reducer(spark, sf_dir):
+    """Any function of a window's values: here their fifth from below."""
+    fifth = S.reduced(lambda a: F.get(F.sort_array(a), F.lit(4)), F.col("v"), 9)
+    return events(spark, sf_dir).select("event_id", fifth.alias("fifth"))
+
+
+@query(
+    f"""WITH RECURSIVE {JUDGED}, ap_n AS (SELECT event_id, count(*) AS n_pairs FROM ap GROUP BY event_id), phased AS (
+  SELECT j.event_id % 3 = 0 AS hold, kind, {" + ".join(f"CASE WHEN {c} IS NOT NULL THEN 1 ELSE 0 END" for c in _FAULTS.values())} + coalesce(n_pairs, 0) AS n
+  FROM j LEFT JOIN ap_n ON ap_n.event_id = j.event_id)
+  SELECT kind, {rs("1000.0 * sum(n) / count(*)")} AS per_1000, {rs("1000.0 * sum(CASE WHEN hold THEN n END) / count(CASE WHEN hold THEN 1 END)")} AS per_1000_hold,
+  {rs("1000.0 * sum(CASE WHEN NOT hold THEN n END) / count(CASE WHEN NOT hold THEN 1 END)")} AS per_1000_ramp FROM phased GROUP BY kind"""
+)
+def alert_rates_by_phase(spark, sf_dir):
+    hold = F.col("event_id") % 3 == 0
+    got = detect.alert_rates(_judged(spark, sf_dir), ["kind"], {"hold": hold, "ramp": ~hold})
+    return got.select("kind", *[r(F.col(c)).alias(c) for c in got.columns if c != "kind"])

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.checks import PLANT_ID, QUALITIES, SENSOR_TYPES
+from ..functions.scalar import clean
+from ..operators.checks import PLANT_ID, QUALITIES, SENSOR_TYPES, require
 
 SCHEMA = (
     "reading_id string, timestamp timestamp, plant_id string, "
@@ -47,10 +48,32 @@ def rules(root: str) -> dict[str, Column]:
     }
 
 
-def encode(readings: DataFrame) -> DataFrame:
-    """Readings as messages: key is the sensor, value the JSON."""
+def nested(
+    flat: DataFrame, calibrated: str = "2023-06-01", maintained: str = "2023-12-01", drift: float = 0.0001
+) -> DataFrame:
+    """Flat rows as readings of the contract, every row one; NaN is no value. The metadata are a run's constants."""
+    require(flat, ["reading_id", "timestamp", "plant_id", "sensor_id", "sensor_type", "sensor_location", "elevation_m", "value", "unit", "quality", "raw_counts"])
+    text = {c: F.col(c).cast("string") for c in ("sensor_id", "sensor_type", "sensor_location", "unit", "quality")}
+    return flat.select(
+        F.col("reading_id").cast("string").alias("reading_id"), F.col("timestamp").cast("timestamp").alias("timestamp"), F.col("plant_id").cast("string").alias("plant_id"),
+        F.struct(
+            text["sensor_id"].alias("id"), text["sensor_type"].alias("type"), text["sensor_location"].alias("location"),
+            F.col("elevation_m").cast("double").alias("elevation_m"),
+        ).alias("sensor"),
+        F.struct(
+            clean(F.col("value")).alias("value"), text["unit"].alias("unit"), text["quality"].alias("quality"), F.col("raw_counts").cast("int").alias("raw_counts")
+        ).alias("measurement"),
+        F.struct(
+            F.lit(calibrated).cast("date").alias("calibration_date"), F.lit(maintained).cast("date").alias("last_maintenance"),
+            F.lit(float(drift)).alias("drift_coefficient"),
+        ).alias("metadata"),
+    )
+
+
+def encode(readings: DataFrame, *more: str) -> DataFrame:
+    """Readings as messages: key is the sensor, value the JSON; and the columns of more."""
     names = [x.split(" ")[0] for x in ("reading_id", "timestamp", "plant_id", "sensor", "measurement", "metadata")]
-    return readings.select(F.col("sensor.id").alias("key"), F.to_json(F.struct(*names), {"timestampFormat": MICROS}).alias("value"))
+    return readings.select(F.col("sensor.id").alias("key"), F.to_json(F.struct(*names), {"timestampFormat": MICROS}).alias("value"), *more)
 
 
 def numbers(readings: DataFrame) -> DataFrame:

@@ -6,6 +6,15 @@ import json
 import math
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def write_matrix(long: DataFrame, path: str, row: str, column: str, value: str, names: list[str]) -> None:
+    """A matrix of names by names as one CSV file with row labels, from long rows; absent cells are empty."""
+    wide = long.where(F.col(row).isin(names)).groupBy(row).pivot(column, names).agg(F.first(value))
+    place = F.array_position(F.array(*map(F.lit, names)), F.col(row))
+    ordered = wide.select(F.col(row).alias("name"), *[F.col(f"`{n}`") for n in names]).orderBy(place).coalesce(1)
+    ordered.write.mode("overwrite").option("header", "true").csv(path)
 
 
 def to_json(df: DataFrame, order: list[str], most: int = 10_000) -> str:

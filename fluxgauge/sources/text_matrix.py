@@ -34,6 +34,23 @@ def read(spark: SparkSession, path: str, width: int = 52, pattern: str = r"d(\d+
     return cells.select("file_class", step.cast("bigint").alias("step"), channel.alias("channel"), F.col("cell").cast("double").alias("value"))
 
 
+#: Channels of the measured kinds (from 0), and the units.
+PRESSURES, TEMPERATURES, ANALYSES, MEASURED = (6, 12, 15), (8, 10, 17, 20, 21), 22, 41
+UNITS = {"thermocouple": "celsius", "pressure": "bar", "flow": "kg_s", "normalized": "normalized", "position": "percent"}
+
+
+def described(cells: DataFrame) -> DataFrame:
+    """cells with sensor_type, unit and sensor_location by channel."""
+    c = F.col("channel")
+    kind = (
+        F.when(c >= MEASURED, "position").when(c >= ANALYSES, "normalized").when(c.isin(*PRESSURES), "pressure")
+        .when(c.isin(*TEMPERATURES), "thermocouple").otherwise("flow")
+    )
+    place = F.when(c >= MEASURED, "core").when(c >= ANALYSES, "containment").when(c >= 10, "secondary_loop").otherwise("primary_loop")
+    units = F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair])
+    return cells.withColumns({"sensor_type": kind, "unit": units[kind], "sensor_location": place})
+
+
 def adapt(cells: DataFrame, prefix: str, start: str, interval: int, measured: int = 41) -> DataFrame:
     """Cells as readings: sensor names, times at a fixed cadence, and elevations by channel."""
     name = F.when(

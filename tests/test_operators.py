@@ -308,3 +308,100 @@ def test_mismatched_names_all_three(spark):
 def test_single_channel_replaces_its_role(spark):
     roles = spark.createDataFrame([(1, "hot"), (2, "hot"), (3, "cold")], "channel int, role string")
     assert sorted((r.channel, r.role) for r in rules.single(roles, 1).select("channel", "role").collect()) == [(1, "hot"), (3, "cold")]
+
+
+def test_ranks_survive_outliers_ties_and_nulls(spark):
+    rows = [("a", 1e12), *[("a", float(i)) for i in range(300)], ("b", 5.0), ("c", -1.0), ("c", -2.0)]
+    df = spark.createDataFrame(rows, "k string, step double")
+    got = {(r.k, r.step): (r["__r"], r["__n"]) for r in splits.ranked(df, ["k"], "step").collect()}
+    assert got == {("a", 1e12): (300, 301), **{("a", float(i)): (i, 301) for i in range(300)}, ("b", 5.0): (0, 1), ("c", -1.0): (1, 2), ("c", -2.0): (0, 2)}
+    whole = splits.ranked(df.select(F.col("step").cast("bigint").cast("timestamp").alias("at"), "k").where("k = 'c'"), ["k"], "at").orderBy("at").collect()
+    assert [r["__r"] for r in whole] == [0, 1]
+
+
+def test_runs_end_to_end_in_the_order_of_names(spark):
+    names = [str(i) for i in range(0, 3000, 7)] + ["x", "", "abcd"]
+    got = store.end_to_end(spark.createDataFrame([(n, len(n) + 2) for n in names], "run string, n int"), "run", "n")
+    want, at = {}, 0
+    for n in sorted(names, key=lambda n: (len(n), n)):
+        want[n], at = at, at + len(n) + 3
+    assert {r.run: r.offset for r in got.collect()} == want
+
+
+def test_latest_rows_are_merged_by_version(spark, tmp_path):
+    rows = [spark.createDataFrame(x, "k string, at int, tie int, v int") for x in ([("a", 1, 0, 1), ("b", 5, 0, 2)], [("a", 2, 0, 3), ("b", 4, 0, 4)])]
+    store.materialize(rows[0], str(tmp_path), ["k"], "at", "tie", 0)
+    for _ in range(2):
+        got = store.materialize(rows[1], str(tmp_path), ["k"], "at", "tie", 1)
+        assert {r.k: r.v for r in got.collect()} == {"a": 3, "b": 2}
+
+
+def test_any_channel_breaks_a_rule(spark):
+    df = spark.createDataFrame([("a", 0, 1.0), ("a", 1, 2.0), ("b", 0, 1.0), ("b", 1, 50.0), ("c", 1, None)], "sensor string, step bigint, v double")
+    hot = rules.heating_margins(df, S, "v", "step", 10.0, ["step"])
+    assert {r.step: r.heating_rate for r in hot.collect()} == {0: None, 1: -39.0}
+    assert {r.step: r.flow_range for r in rules.flow_margins(df, "v", 80.0, 2, ["step"]).collect()} == {0: 1.0, 1: -10.0}
+
+
+def test_sensors_are_resolved_or_refused(spark):
+    df = spark.createDataFrame([("b", "flow"), ("a", "flow"), ("c", "pressure"), ("a", "flow"), ("d", "flow")], "sensor_id string, sensor_type string")
+    assert checks.resolve_sensors(df, ["flow"], ["d"], 2) == ["a", "b"]
+    for n in (1, 3):
+        with pytest.raises(ValueError, match="expected"):
+            checks.resolve_sensors(df, ["flow"], ["d"], n)
+
+
+def test_dimension_names_its_first_defect(spark):
+    df = spark.createDataFrame([("b", 1), ("a", None), ("b", 2)], "id string, x int")
+    with pytest.raises(ValueError, match="a: positive"):
+        checks.sound(df, {"positive": F.col("x") > 0}, "id")
+    with pytest.raises(ValueError, match="b: repeated"):
+        checks.sound(df.where("x > 0"), {"positive": F.col("x") > 0}, "id")
+
+
+def test_times_without_a_zone(spark):
+    df = spark.sql("SELECT timestamp_ntz '2024-01-01 05:00:00' AS a, timestamp '2024-01-01 05:00:00+02:00' AS b")
+    with pytest.raises(ValueError, match="zone"):
+        scalar.utc(df, "a")
+    assert scalar.utc(df, "a", "utc").select(F.unix_micros("a")).first()[0] == 1704085200_000_000
+    assert scalar.utc(df, "b") is df
+
+
+def test_aliases_and_curves(spark):
+    df = spark.createDataFrame([(180.0,), (270.0,), (100.0,), (0.0,), (None,)], "x double")
+    got = [r[0] for r in df.select(scalar.aliased_period(F.col("x"), 180.0)).collect()]
+    assert got[0] is None and got[1] == pytest.approx(540.0) and got[2] == pytest.approx(900.0) and got[3:] == [None, None]
+    assert [r[0] for r in df.select(scalar.curve([100.0, 200.0], [1.0, 2.0], F.col("x"))).collect()] == [1.8, None, 1.0, None, None]
+
+
+def test_dense_cells(spark):
+    df = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "step int, sensor string, v double")
+    got = {(r.step, r.sensor): r.v for r in coverage.dense(df, ["step"], "sensor", ["a", "b"]).collect()}
+    assert got == {(1, "a"): 1.0, (1, "b"): None, (2, "a"): None, (2, "b"): 2.0}
+
+
+def test_intermittent_starts_lost_at_its_rail_and_toggles(spark):
+    df = spark.range(4000).select(F.lit("s").alias("sensor"), F.col("id").alias("step"), F.lit(5.0).alias("v"))
+    ep = spark.createDataFrame([("s", 10, 3009, 1.0, 0.2, 0.3, 0.0, 9.0)], "sensor string, start long, last long, direction double, p_enter double, p_exit double, low double, high double")
+    got = inject.intermittent(df, ep, "sensor", "step", "v", 7).orderBy("step").toPandas()
+    assert not got.invalid[:10].any() and not got.invalid[3010:].any() and got.invalid[10] and got.v[10] == 9.0
+    inside = got[10:3010]
+    assert (inside.v[~inside.invalid] == 5.0).all() and set(inside.v[inside.invalid]) == {0.0, 9.0} and (got.true_value == 5.0).all()
+    was, now = inside.invalid.to_numpy()[:-1], inside.invalid.to_numpy()[1:]
+    assert abs((~now[was]).mean() - 0.3) < 0.04 and abs(now[~was].mean() - 0.2) < 0.04
+    rail = inside.v.to_numpy()
+    assert (rail[1:][was & now] == rail[:-1][was & now]).all()
+
+
+def test_noise_is_gaussian_and_repeats(spark):
+    df = spark.range(20000).select(F.col("id").alias("step"), F.lit(1.0).alias("v"))
+    made = inject.noisy(df, ["step"], "v", F.lit(2.0), 3)
+    x = np.array([r.v for r in made.orderBy("step").collect()])
+    assert abs(x.mean() - 1) < 0.05 and abs(x.std() - 2) < 0.05
+    again = np.array([r.v for r in made.repartition(7).orderBy("step").collect()])
+    assert (x == again).all()
+
+
+def test_a_gate_needs_all_kinds(spark):
+    df = spark.createDataFrame([("a", True), ("a", False), ("b", False)], "kind string, covered boolean")
+    assert coverage.typed_gate(df, 0.3, "kind", 1).first().passed and not coverage.typed_gate(df, 0.3, "kind", 2).first().passed

@@ -1,14 +1,18 @@
 """Sources, sinks and streams; a stream's verdicts are those of the batch."""
 
+import hashlib
 import json
+import pathlib
+from datetime import UTC, datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from fluxgauge.functions.windows import Series
 from fluxgauge.operators import detect, spans
-from fluxgauge.sources import archive, kafka, readings, reports, text_matrix
-from fluxgauge.streaming import judge, windows
+from fluxgauge.sources import archive, kafka, port, readings, reports, text_matrix, versioned
+from fluxgauge.streaming import judge, loop, windows
 
 
 def test_text_matrix_turns_and_refuses(spark, tmp_path):
@@ -124,3 +128,104 @@ def test_stream_windows_and_dedup(spark, sf, tmp_path):
     q.awaitTermination()
     batch = windows.windowed(windows.with_watermark(e, "ts", "1 hour"), "ts", "1 hour", None, ["event_type"], n=F.count("*"))
     assert spark.table("hours").exceptAll(batch).count() == 0 and spark.table("hours").count() == batch.count()
+
+
+def test_versions_and_types_are_checked(spark, tmp_path):
+    df, path = spark.createDataFrame([(1, "a")], "k int, v string"), str(tmp_path / "t")
+    with pytest.raises(ValueError, match="zone"):
+        versioned.write(df, path, datetime(2024, 1, 1))
+    versioned.write(df, path, datetime(2024, 1, 1, tzinfo=UTC))
+    got = versioned.read(spark, path, df.schema)
+    assert got.collect() == df.collect() and got.schema["k"].metadata["created_at"].startswith("2024-01-01")
+    with pytest.raises(ValueError, match="version 1, not 2"):
+        versioned.read(spark, path, df.schema, "2")
+    with pytest.raises(ValueError, match="other columns"):
+        versioned.read(spark, path, df.selectExpr("cast(k AS bigint) AS k", "v").schema)
+
+
+def test_runs_have_a_manifest(spark, tmp_path):
+    df, path = spark.createDataFrame([("x", 1, i, float(i)) for i in range(3)] + [("y", 2, 0, 0.0)], "scenario string, seed int, run int, v double"), str(tmp_path / "runs")
+    for _ in range(2):
+        versioned.write_runs(df, path, ["scenario", "seed", "run"])
+    listed = {r.path: (r.bytes, r.sha256) for r in versioned.manifest(spark, path).collect()}
+    files = list(pathlib.Path(path).rglob("*.parquet"))
+    assert len(files) == 4 and listed == {str(f.relative_to(path)): (f.stat().st_size, hashlib.sha256(f.read_bytes()).hexdigest()) for f in files}
+
+
+class FolderRuns:
+    schema = "run string, v double"
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def list(self):
+        names = sorted(f.name for f in pathlib.Path(self.folder).iterdir())
+        if not names:
+            raise FileNotFoundError("no run")
+        return names
+
+    def read(self, run):
+        values = [float(x) for x in (pathlib.Path(self.folder) / run).read_text().split()]
+        yield pa.RecordBatch.from_pydict({"run": [run] * len(values), "v": values})
+
+
+def test_a_pluggable_source_is_read_and_followed(spark, tmp_path):
+    pytest.importorskip("pyspark.cloudpickle").register_pickle_by_value(__import__(__name__, fromlist=["x"]))
+    runs = tmp_path / "runs"
+    runs.mkdir()
+    (runs / "r1").write_text("1 2")
+    port.register(spark, "folder_runs", FolderRuns(str(runs)))
+    assert sorted(map(tuple, spark.read.format("folder_runs").load().collect())) == [("r1", 1.0), ("r1", 2.0)]
+
+    def follow():
+        q = spark.readStream.format("folder_runs").load().writeStream.format("parquet").option("path", str(tmp_path / "out"))
+        q = q.option("checkpointLocation", str(tmp_path / "cp")).trigger(once=True).start()
+        q.awaitTermination()
+        return sorted(r.v for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert follow() == [1.0, 2.0]
+    (runs / "r2").write_text("3")
+    assert follow() == [1.0, 2.0, 3.0]
+
+
+def test_records_are_judged_from_end_to_end(spark, tmp_path):
+    flat = spark.range(12).selectExpr(
+        "concat('r', id) AS reading_id", "timestamp_seconds(180 * id) AS timestamp", "'P-1' AS plant_id", "'S1' AS sensor_id", "'flow' AS sensor_type",
+        "'core' AS sensor_location", "1.0 AS elevation_m", "if(id = 5, double('NaN'), 7.0D) AS value", "'kg_s' AS unit", "if(id = 5, 'missing', 'good') AS quality", "1 AS raw_counts",
+    )
+    stored = readings.nested(flat).withColumn("run_id", F.lit("run"))
+    replay = loop.replay(stored)
+    assert [r.key for r in replay.collect()] == ["S1"] * 12
+    lost = replay.limit(1).withColumn("value", F.lit(None).cast("string"))
+    replay.union(lost).coalesce(1).write.parquet(str(tmp_path / "records"))
+    bounds = spark.createDataFrame([("S1", 0.0, 1.0, 9.0, 10.0)], "sensor_id string, low double, alarm_low double, alarm_high double, high double")
+    source = spark.readStream.schema(replay.schema).parquet(str(tmp_path / "records"))
+    loop.start(source, bounds, str(tmp_path / "valid"), str(tmp_path / "alerts"), str(tmp_path / "cp")).awaitTermination()
+    got = {r.reading_id: r.fault_types for r in spark.read.parquet(str(tmp_path / "valid")).collect()}
+    assert len(got) == 12 and got["r5"] == [] and got["r7"] == [] and got["r8"] == ["stuck"]
+    assert spark.read.parquet(str(tmp_path / "alerts")).count() == sum(map(len, got.values()))
+    _, bad = loop.taken(spark.read.parquet(str(tmp_path / "records")), bounds)
+    assert [r.broken for r in bad.collect()] == [["tombstone"]]
+
+
+def test_settings_of_a_connection():
+    with pytest.raises(ValueError, match="SERVERS"):
+        kafka.Connection.of({})
+    c = kafka.Connection.of({"KAFKA_SERVERS": "h:1", "KAFKA_PROTOCOL": "SSL", "KAFKA_KEYSTORE": "/k", "KAFKA_USERNAME": ""})
+    assert c.options()["kafka.ssl.keystore.location"] == "/k"
+    for wrong in ({"keystore": "/k"}, {"username": "u"}, {"protocol": "SSL", "keystore_password": "x"}, {"protocol": "SASL_PLAINTEXT", "username": "u", "password": "p", "truststore": "/t"}):
+        with pytest.raises(ValueError):
+            kafka.Connection("h:1", **wrong)
+    assert "maxOffsetsPerTrigger" not in kafka.source_options(c, "t") and kafka.source_options(c, "t", 9)["maxOffsetsPerTrigger"] == "9"
+
+
+def test_matrix_file_and_descriptions(spark, tmp_path):
+    long = spark.createDataFrame([("b", "a", 0.5), ("a", "a", 1.0), ("a", "b", 0.5)], "x string, y string, r double")
+    reports.write_matrix(long, str(tmp_path / "m"), "x", "y", "r", ["a", "b"])
+    (file,) = (tmp_path / "m").glob("*.csv")
+    assert file.read_text() == "name,a,b\na,1.0,0.5\nb,0.5,\n"
+    got = text_matrix.described(spark.range(52).withColumnRenamed("id", "channel")).orderBy("channel").collect()
+    assert [(r.sensor_type, r.unit, r.sensor_location) for r in (got[0], got[6], got[8], got[22], got[51])] == [
+        ("flow", "kg_s", "primary_loop"), ("pressure", "bar", "primary_loop"), ("thermocouple", "celsius", "primary_loop"),
+        ("normalized", "normalized", "containment"), ("position", "percent", "core"),
+    ]
