@@ -322,7 +322,10 @@ def by_passage(docs: DataFrame, keep: list[str], text_col: str, templates: Mappi
     )
 
     def scored(t: Column) -> Column:
-        dice = F.when(F.arrays_overlap(t["bigrams"], F.col("__b")), 2.0 * common(t, F.col("__b")) / (F.col("__n") + t["n"])).otherwise(0.0)
+        # Repeats can't add more to the different bigrams in common than the template has.
+        most = F.size(F.array_intersect(t["bigrams"], F.col("__b"))) + t["n"] - F.size(t["bigrams"])
+        able = 2.0 * most / (F.col("__n") + t["n"]) >= threshold
+        dice = F.when(able, 2.0 * common(t, F.col("__b")) / (F.col("__n") + t["n"])).otherwise(0.0)
         return F.struct((-dice).alias("minus"), t["license"].alias("license"))
 
     best = F.array_min(F.transform("__templates", scored))
