@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, licenses, lm_scoring, quality, sharding, simhash, token_counts, topk
+from . import (
+    bpe, conversations, decontaminate, html_text, lexical, licenses, lm_scoring, mixing, quality, sharding, simhash, token_counts, topk,
+)
 from .common import table
 
 #: Where the public vocabulary files are.
@@ -65,10 +67,23 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(conversations.damage(table(spark, sf_dir, "conversations")), F.col("copies"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_token_counts, op2_html_extraction, op3_lm_scoring, op4_topk_search, op5_license_scan, op6_sharding,
         op7_simhash_dedup, op8_quality_classifier, op9_decontamination, op10_bpe,
+        op11_mixing, op12_conversation_repair, op13_lexical_search,
     ]
     return {f.__name__: f for f in found}
 
@@ -165,10 +180,91 @@ SELECT doc_id, slot, 'shard-' || lpad(string_split('{filled}', ' ')[slot + 1], 2
 """
 
 
+#: CRC-32 of a text, bit by bit.
+CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(k) + 1), lambda i: ascii(substr(k, i, 1))::BIGINT)),
+  lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+
+OP12_SQL = f"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(cast(conv_id AS VARCHAR), ' ') || ':' || coalesce(cast(turn AS VARCHAR), ' ') AS k FROM conversations
+), drawn AS (
+  SELECT conv_id, turn, role, text, {CRC32} % 20 AS f FROM keyed
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+    CASE f WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM drawn
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged
+), marked AS (
+  SELECT *, left(role, 1) AS c, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+    NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank,
+    count_if(again AND NOT blank) AS duplicate, count_if(cut AND NOT again AND NOT blank) AS truncated,
+    count_if(before || '>' || c NOT IN ('s>u', 'u>a', 'a>u')) AS illegal, max(i) AS n FROM marked GROUP BY conv_id
+), leads(state, c, next) AS (
+  VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)
+), wants(state, next, role) AS (
+  VALUES (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')
+), inserts(state, next, price, letters, said) AS (
+  VALUES (0, 0, 0, '', []), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 2, 'I', ['user:']), (0, 3, 4, 'II', ['user:', 'assistant:']),
+    (1, 2, 2, 'I', ['user:']), (1, 3, 4, 'II', ['user:', 'assistant:']), (2, 3, 2, 'I', ['assistant:']), (3, 2, 2, 'I', ['user:'])
+), edits AS (
+  SELECT conv_id, i, state, state AS next, 3 AS price, 'D' AS letter, cast([] AS VARCHAR[]) AS said FROM marked, (SELECT DISTINCT state FROM wants)
+  UNION ALL
+  SELECT conv_id, i, state, next, cast(cut AS INTEGER), 'K', [marked.role || ':' || text] FROM marked JOIN leads USING (c) WHERE NOT blank AND NOT again
+  UNION ALL
+  SELECT conv_id, i, state, next, 2 + cast(cut AS INTEGER), 'R', [wants.role || ':' || text] FROM marked, wants WHERE NOT blank AND NOT again
+), paths AS (
+  SELECT conv_id, 0::BIGINT AS i, next AS state, {{'cost': price, 'audit': letters, 'said': cast(said AS VARCHAR[])}} AS best
+  FROM (SELECT DISTINCT conv_id FROM conversations), inserts WHERE state = 0
+  UNION ALL
+  SELECT p.conv_id, p.i + 1, x.next, min({{'cost': p.best.cost + e.price + x.price, 'audit': p.best.audit || e.letter || x.letters,
+    'said': p.best.said || e.said || cast(x.said AS VARCHAR[])}})
+  FROM paths p JOIN edits e ON p.conv_id IS NOT DISTINCT FROM e.conv_id AND e.i = p.i + 1 AND e.state = p.state JOIN inserts x ON x.state = e.next
+  GROUP BY p.conv_id, p.i, x.next
+), ended AS (
+  SELECT p.conv_id, min(p.best) AS best FROM paths p LEFT JOIN counted n ON p.conv_id IS NOT DISTINCT FROM n.conv_id
+  WHERE p.i = coalesce(n.n, 0) AND p.state IN (0, 3) GROUP BY p.conv_id
+)
+SELECT e.conv_id, cast(coalesce(gaps, 0) AS BIGINT) AS gaps, cast(coalesce(blank, 0) AS BIGINT) AS blank, cast(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+  cast(coalesce(truncated, 0) AS BIGINT) AS truncated, cast(coalesce(illegal, 0) AS BIGINT) AS illegal, cast(e.best.cost AS BIGINT) AS cost, e.best.audit AS audit,
+  sha256(coalesce(array_to_string(e.best.said, chr(10)), '')) AS repaired_sha256
+FROM ended e LEFT JOIN counted n ON e.conv_id IS NOT DISTINCT FROM n.conv_id
+"""
+
+OP13_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce({ASCII_LOWER}, ''), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), b AS (
+  SELECT row_number() OVER () AS q, item_id, regexp_extract_all(coalesce({ASCII_LOWER}, ''), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
+), total AS (
+  SELECT count(*)::BIGINT AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0
+), tf AS (
+  SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY r, doc_id, n, term
+), df AS (
+  SELECT term, floor(1000 * ln((2 * total.n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY term, total.n
+), asked AS (
+  SELECT q, item_id, term, count(*) AS c FROM (SELECT q, item_id, unnest(w) AS term FROM b) GROUP BY q, item_id, term
+), scored AS (
+  SELECT q, item_id, r, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * tf.n * total.n) // total.l))))::BIGINT AS score
+  FROM asked JOIN tf USING (term) JOIN df USING (term), total GROUP BY q, item_id, r, doc_id
+)
+SELECT item_id, cast(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0
+) WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_topk_search": OP4_SQL,
         "op5_license_scan": op5_sql(),
         "op6_sharding": op6_sql(),
         "op9_decontamination": OP9_SQL,
+        "op12_conversation_repair": OP12_SQL,
+        "op13_lexical_search": OP13_SQL,
     }
