@@ -4,8 +4,9 @@ A document's terms are the maximal runs of ASCII letters and digits and of all c
 lower-cased. The index has a row for a range of documents: their ids and numbers of terms, one dictionary, and the
 range cut into blocks of BLOCK documents. A block has a forward index (each document's terms and how often it
 has them) and for each of its terms the most occurrences in one document and the fewest terms of a document that has it,
-from which the highest score that a term can bring there follows for any statistics. Documents of like length
-are neighbours in a range, which makes these maxima tight.
+from which the highest score that a term can bring there follows for any statistics. Documents of like terms and of
+like length are neighbours in a range (by the signs of the leading principal components of hashed counts, then by length):
+a block of one language or subject has high maxima for its own terms alone.
 
 A search reads the index three times: for the statistics of the items' terms (two totals, and partial sums of a count
 for each term), for a first threshold (each item's best k scores in every range's block of the highest bound), and
@@ -26,6 +27,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,9 @@ from pyspark.sql import functions as F
 
 from .common import prepare
 
-BLOCK, RANGE = 64, 512
+BLOCK, RANGE = 64, 1024
+#: Cells of hashed counts, and principal components, by which a range's documents are put together.
+HASHED, AXES = 256, 3
 #: Occurrences of terms in a range: a range ends before it has more, unless it is one document.
 WORDS = 2_000_000
 TERMS, CELLS = 250_000, 8_000_000
@@ -62,9 +66,22 @@ def _wide(b: bytes) -> np.ndarray:
     return np.frombuffer(b, "<i8" if b[0] == 8 else f"<u{b[0]}", offset=1).astype(np.int64)
 
 
+def _together(found: list[tuple]) -> list[tuple]:
+    """Documents (id, number of terms, term counts) in an order in which like ones are near."""
+    if len(found) < 3:
+        return found
+    x = np.zeros((len(found), HASHED))
+    for row, (_, n, counts) in zip(x, found, strict=True):
+        np.add.at(row, [crc32(w) % HASHED for w in counts], np.fromiter(counts.values(), float, len(counts)) / n)
+    x -= x.mean(axis=0)
+    axes = np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :AXES]
+    cells = ((x @ axes) > 0) @ (1 << np.arange(AXES)[::-1])
+    return [found[i] for i in np.lexsort((np.arange(len(found)), [n for _, n, _ in found], cells))]
+
+
 def _range(found: list[tuple], block: int) -> tuple:
     """An index row of documents (id, number of terms, term counts)."""
-    found.sort(key=lambda d: d[1])
+    found = _together(found)
     words: dict[bytes, int] = {}
     terms, times, ends, tops, most, least, top_ends = [], [], [], [], [], [], []
     df: Counter = Counter()
@@ -80,7 +97,8 @@ def _range(found: list[tuple], block: int) -> tuple:
             for t, c in zip(numbers, counts.values(), strict=True):
                 if c > high.get(t, 0):
                     high[t] = c
-                low.setdefault(t, n)  # documents come from the shortest on
+                if n < low.get(t, n + 1):
+                    low[t] = n
         tops += high
         most += high.values()
         least += low.values()
