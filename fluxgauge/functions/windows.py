@@ -36,9 +36,10 @@ class Series:
         return F.when(F.count(x).over(self.last(n)) >= self.least, f(x).over(self.last(n)))
 
     def reduced(self, f, x: Column, n: int) -> Column:
-        """f (from an array column to a column) of the values that a window holds, in order."""
+        """f (from an array column to a column) of a window's places, in order; a missing value is a null in its place."""
         w = self.last(n)
-        return F.when(F.count(x).over(w) >= self.least, f(F.collect_list(x).over(w)))
+        places = F.collect_list(F.struct(x.alias("x"))).over(w)
+        return F.when(F.count(x).over(w) >= self.least, f(F.transform(places, lambda p: p["x"])))
 
     def mean(self, x: Column, n: int) -> Column:
         return self.rolling(F.avg, x, n)

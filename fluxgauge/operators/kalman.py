@@ -7,12 +7,9 @@ one filter's state from batch to batch. No series is gathered in memory, however
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 START_VARIANCE = 1000.0
 PROCESS_NOISE, OBSERVATION_NOISE = 1e-6, 1.0
@@ -72,25 +69,22 @@ def run_filter(
     readings: DataFrame, keys: list[str], order: list[str], seconds: str, value: str, q: float = PROCESS_NOISE, r: float = OBSERVATION_NOISE
 ) -> DataFrame:
     """readings with residual, sigma, velocity, anomaly, kept and steps; nulls don't move a filter and have none."""
-    named = readings.repartition(*keys).sortWithinPartitions(*keys, *order)
-    new = "residual double, sigma double, velocity double, anomaly boolean, kept boolean, steps bigint"
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in readings.schema) + ", " + new
+    from .tracks import by_series
+
+    def begin():
+        f = Filter(q, r)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, f = None, Filter(q, r)
-        for batch in batches:
+        def follow(at: list[float], x: list[float | None]) -> list[tuple]:
             out = []
-            for *k, at, v in zip(*(batch[c] for c in keys), batch[seconds], batch[value], strict=True):
-                if k != key:
-                    key, f = k, Filter(q, r)
+            for t, v in zip(at, x, strict=True):
                 if v is None or not math.isfinite(v):
                     out.append((None, None, None, None, None, f.steps))
                 else:
-                    residual, sigma, anomaly, kept = f.step(v, at)
+                    residual, sigma, anomaly, kept = f.step(v, t)
                     out.append((residual, sigma, f.v, anomaly, kept, f.steps))
-            names = ["residual", "sigma", "velocity", "anomaly", "kept", "steps"]
-            got = pd.DataFrame(out, columns=names, index=batch.index)
-            got = got.astype({"residual": float, "sigma": float, "velocity": float, "anomaly": "boolean", "kept": "boolean"})
-            yield pd.concat([batch, got], axis=1)
+            return out
 
-    return named.mapInPandas(run, schema)
+        return follow
+
+    new = "residual double, sigma double, velocity double, anomaly boolean, kept boolean, steps bigint"
+    return by_series(readings, keys, order, [seconds, value], new, begin)

@@ -601,6 +601,35 @@ def alert_ids(spark, sf_dir):
     return detect.alerts(_judged(spark, sf_dir), "event_id").select("alert_id", "event_id", "fault_type", "detector", "occurrence")
 
 
+def _told(fault: str, numbers: dict[str, str], rows: str) -> str:
+    names, values = ", ".join(f"'{n}'" for n in numbers), ", ".join(f"cast({x} AS DOUBLE)" for x in numbers.values())
+    return f"SELECT event_id, '{fault}' AS fault_type, unnest([{names}]) AS name, unnest([{values}]) AS value FROM {rows}"
+
+
+_EVIDENCE = " UNION ALL ".join([
+    _told("stuck", {"run_length": "run", "window_size": "3", "tolerance": "0", "value": "v"}, "jm WHERE run >= 3"),
+    _told("noise_spike", {"rate_envelope_fractions_per_second": "rate", "limit": "0.00001", "delta": "v - lv", "elapsed_seconds": "s - ls"}, "jm WHERE rate > 0.00001"),
+    _told("bias_out_of_range", {"value": "v", "alarm_min": "alarm_low", "alarm_max": "alarm_high", "excess": "ex", "outside_calibrated_span": "v < low OR v > high"},
+          f"(SELECT jm.*, alarm_low, alarm_high FROM jm JOIN {SPANS} USING (sensor)) WHERE ex > 0"),
+    _told("drift_correlated", {"observed_pearson": "r", "expected_pearson": "expected", "deviation": "abs(r - expected)"}, "pc WHERE n >= 3 AND p > 0 AND abs(r - expected) > 0.3"),
+    _told("kalman_anomaly", {"normalized_residual": "residual / sigma", "residual": "residual", "innovation_sigma": "sigma", "k_sigma": "3", "filter_was_initialized": "kept"}, "f WHERE anomaly"),
+    _told("sensor_drift", {"drift_envelope_fractions_per_hour": "drift", "limit": "11", "velocity_units_per_second": "vel", "steps_observed": "rn"},
+          "(SELECT jk.*, vel, rn FROM jk JOIN f USING (event_id)) WHERE drift > 11"),
+])
+
+
+@query(
+    f"""WITH RECURSIVE {JUDGED} SELECT event_id, fault_type, name, CASE WHEN fault_type IN ('kalman_anomaly', 'sensor_drift') THEN round(value, 4) ELSE round(value, 7) END + 0.0 AS value
+  FROM ({_EVIDENCE})"""
+)
+def alert_evidence(spark, sf_dir):
+    """The numbers that led to each alert, by name."""
+    told = detect.alerts(_judged(spark, sf_dir), "event_id").select("event_id", "fault_type", F.explode("evidence").alias("name", "value"))
+    coarse = F.col("fault_type").isin("kalman_anomaly", "sensor_drift")
+    value = F.when(coarse, F.round("value", 4)).otherwise(F.round("value", 7)) + F.lit(0.0)
+    return told.select("event_id", "fault_type", "name", value.alias("value"))
+
+
 @query(
     """SELECT event_id, event_type, cast(row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS BIGINT) AS occurrence FROM events"""
 )
@@ -1264,11 +1293,24 @@ def aliased_periods(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", r(seen).alias("seen"))
 
 
-@query(f"SELECT event_id, CASE WHEN count(v) {frame(9)} >= 3 THEN list_sort(list(v) {frame(9)})[5] END AS fifth FROM {EVENTS}")
+_GAPPED = f"(SELECT *, CASE WHEN event_id % 13 <> 0 THEN v END AS x FROM {EVENTS})"
+
+
+@query(
+    f"""SELECT event_id, CASE WHEN n >= 3 THEN list_sort(list_filter(l, lambda y: y IS NOT NULL))[5] END AS fifth,
+  CASE WHEN n >= 3 THEN cast(coalesce(list_position(list_transform(l, lambda y: y IS NULL), TRUE), 0) AS BIGINT) END AS gap_place,
+  CASE WHEN n >= 3 THEN {rs("list_sum(list_transform(l, lambda y, i: i * coalesce(y, 0.0)))")} END AS weighted
+  FROM (SELECT event_id, list(x) {frame(10)} AS l, count(x) {frame(10)} AS n FROM {_GAPPED})"""
+)
 def window_reducer(spark, sf_dir):
-    """Any function of a window's values: here their fifth from below."""
-    fifth = S.reduced(lambda a: F.get(F.sort_array(a), F.lit(4)), F.col("v"), 9)
-    return events(spark, sf_dir).select("event_id", fifth.alias("fifth"))
+    """Any function of a window's places, missing values among them: the fifth from below, the first gap's place, a sum weighted by places."""
+    x = F.when(F.col("event_id") % 13 != 0, F.col("v"))
+    reduced = {
+        "fifth": lambda l: F.get(F.array_sort(F.filter(l, lambda y: y.isNotNull())), F.lit(4)),
+        "gap_place": lambda l: F.array_position(F.transform(l, lambda y: y.isNull()), True),
+        "weighted": lambda l: r(F.aggregate(F.transform(l, lambda y, i: (i + 1) * F.coalesce(y, F.lit(0.0))), F.lit(0.0), lambda a, y: a + y)),
+    }
+    return events(spark, sf_dir).select("event_id", *[S.reduced(f, x, 10).alias(name) for name, f in reduced.items()])
 
 
 @query(

@@ -1,125 +1,159 @@
-"""The detectors on a stream: the same verdicts as in batch, with state for each sensor.
+"""The detectors on a stream: the verdicts of `detect.all_faults`, with state for each sensor and each pair of a run.
 
-A sensor's readings are judged in order of their time. A reading from another run than the last one,
-or from before it, starts the sensor's state anew.
+A micro-batch's readings fan out: each goes to its sensor, and to every pair that its sensor is in. A pair's state (two
+lists of the last readings) is that of one run, so runs that overlap in a batch don't meet in it; what a pair finds goes on to
+the reading's sensor in the same micro-batch, where the verdict is made. A sensor's readings are judged in the order of
+their offsets, or of their time and id where there are none. A reading from another run than the last one, or from before
+it, starts the sensor's state anew; one from before its sensor's last makes a pair forget that sensor.
+
+Both processors need the RocksDB state store (`spark.sql.streaming.stateStore.providerClass`), which `session` sets.
+Pairs of runs that are over keep their state unless `forget` says after how many seconds it goes.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from dataclasses import astuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from ..operators.detect import DRIFT_LIMIT, DRIFT_STEPS, NAMES, RATE_LIMIT, STUCK_RUN, alert_id
-from ..operators.kalman import FLAG_SIGMAS, Filter
-
-STATE = (
-    "run_id string, last double, last_at double, run bigint, q double, r double, x double, v double, "
-    "pxx double, pxv double, pvv double, k_at double, steps bigint"
-)
-OUTPUT = (
-    "sensor_id string, reading_id string, at double, value double, quality string, "
-    "fault_types array<string>, severities array<string>, confidences array<double>, resets bigint"
-)
-
-
-def confidence(magnitude: float, threshold: float, saturation: float) -> float:
-    if threshold <= 0:
-        return 1.0
-    return min(1.0, 0.5 + 0.5 * max((magnitude / threshold - 1) / max(saturation - 1, 1e-9), 0.0))
-
-
-class Judge:
-    """One sensor's detectors; the state is a flat tuple."""
-
-    def __init__(self, state: tuple | None = None):
-        self.run_id, self.last, self.last_at, self.run, *rest = state or (None, None, None, 0)
-        self.filter = Filter(*rest) if rest else Filter()
-
-    def state(self) -> tuple:
-        return (self.run_id, self.last, self.last_at, self.run, *astuple(self.filter))
-
-    def check(self, value: float, at: float, span: tuple[float, float, float, float] | None) -> list[tuple[str, str, float]]:
-        """Faults of one reading: (type, severity, confidence), in the detectors' order."""
-        found = []
-        self.run = self.run + 1 if value == self.last else 1
-        if self.run >= STUCK_RUN:
-            n = self.run / STUCK_RUN
-            found.append(("stuck", "critical" if n >= 4 else "high" if n >= 2 else "medium", confidence(self.run, STUCK_RUN, 3.0)))
-        width = span[2] - span[1] if span else 0.0
-        if span and width > 0:
-            dt = at - self.last_at if self.last_at is not None else 0.0
-            if dt > 0 and self.last is not None:
-                rate = abs(value - self.last) / (width * dt)
-                if rate > RATE_LIMIT:
-                    found.append(("noise_spike", "high" if rate > 5 * RATE_LIMIT else "medium", confidence(rate, RATE_LIMIT, 5.0)))
-            excess = max(span[1] - value, value - span[2])
-            if excess > 0:
-                outside = value < span[0] or value > span[3]
-                severity = "critical" if outside else "high" if excess > 0.25 * width else "medium"
-                found.append(("bias_out_of_range", severity, confidence(excess + width, width, 2.0)))
-        residual, sigma, anomaly, kept = self.filter.step(value, at)
-        if anomaly:
-            found.append(("kalman_anomaly", "medium" if kept else "high", confidence(abs(residual / sigma), FLAG_SIGMAS, 3.0)))
-        if span and width > 0 and self.filter.steps >= DRIFT_STEPS:
-            rate = abs(self.filter.v) * 3600 / width
-            if rate > DRIFT_LIMIT:
-                found.append(("sensor_drift", "high" if rate > 5 * DRIFT_LIMIT else "medium", confidence(rate, DRIFT_LIMIT, 5.0)))
-        self.last, self.last_at = value, at
-        return found
-
-
-def _judge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    judge = Judge(state.get if state.exists else None)
-    rows = pd.concat(list(frames), ignore_index=True)  # one sensor's readings of one micro-batch
-    out = []
-    for r in rows.sort_values(["at", "reading_id"], kind="stable").itertuples():
-        resets = 0
-        back = judge.last_at is not None and r.at < judge.last_at
-        if judge.run_id is not None and (r.run_id != judge.run_id or back):
-            judge, resets = Judge(), 1
-        judge.run_id = r.run_id
-        span = None if r.low is None or math.isnan(r.low) else (r.low, r.alarm_low, r.alarm_high, r.high)
-        if r.value is None or not math.isfinite(r.value):
-            out.append((key[0], r.reading_id, r.at, None, r.quality, [], [], [], resets))
-            continue
-        found = judge.check(r.value, r.at, span)
-        severities = [s for _, s, _ in found]
-        quality = "bad" if "critical" in severities else "suspect" if found else r.quality
-        out.append((key[0], r.reading_id, r.at, r.value, quality, [f for f, _, _ in found], severities, [c for _, _, c in found], resets))
-    state.update(judge.state())
-    names = [c.split(" ")[0] for c in OUTPUT.split(", ")]
-    yield pd.DataFrame(out, columns=names)
-
-
-def judged(readings: DataFrame) -> DataFrame:
-    """Streamed readings (sensor_id, reading_id, run_id, at in seconds, value, quality, and the four bounds of a span) with verdicts."""
-    picked = readings.select(
-        F.col("sensor_id").cast("string").alias("sensor_id"), F.col("reading_id").cast("string").alias("reading_id"),
-        F.col("run_id").cast("string").alias("run_id"), F.col("at").cast("double").alias("at"), F.col("value").cast("double").alias("value"),
-        "quality", *[F.col(c).cast("double").alias(c) for c in ("low", "alarm_low", "alarm_high", "high")],
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from ..operators import detect, tracks
+
+BOUNDS = ("low", "alarm_low", "alarm_high", "high")
+SOURCE = {"source_topic": "string", "source_partition": "int", "source_offset": "bigint"}
+READING = "sensor_id string, reading_id string, run_id string, at double, value double, quality string, " + ", ".join(f"{c} {k}" for c, k in SOURCE.items())
+SPAN = ", ".join(f"{c} double" for c in BOUNDS)
+SEEN = "pair bigint, a string, b string, expected double, observed double"
+
+
+def _sorted(frame: pd.DataFrame) -> pd.DataFrame:
+    """In the order of offsets, of time and id where there are none."""
+    by = ["source_offset"] if frame["source_offset"].notna().all() else ["at", "reading_id"]
+    return frame.sort_values(by, kind="stable", ignore_index=True)
+
+
+class SensorProcessor(StatefulProcessor):
+    """A sensor's track; its rows are readings, and what pairs saw after one of them (rows with a pair)."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("track", f"run_id string, seen_at double, {tracks.STATE}")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        run_id, seen_at, *state = self.held.get() if self.held.exists() else (None, None)
+        track = tracks.Track(tuple(state) or None)
+        frame = pd.concat(list(rows), ignore_index=True)  # one sensor's rows of a micro-batch
+        of_pairs = frame[frame["pair"].notna()]
+        seen: dict[str, list] = {}
+        for reading, *found in zip(*(of_pairs[c].tolist() for c in ("reading_id", "pair", "a", "b", "expected", "observed")), strict=True):
+            seen.setdefault(reading, []).append((int(found[0]), *found[1:]))
+        frame = _sorted(frame[frame["pair"].isna()])
+        if not len(frame):
+            return
+        runs, times = frame["run_id"].fillna(""), frame["at"]
+        before, earlier = runs.shift(fill_value=run_id if run_id is not None else runs.iloc[0]), times.shift(fill_value=seen_at if seen_at is not None else times.iloc[0])
+        anew = ((runs != before) | (times < earlier)).to_numpy()
+        values = [v if v == v else None for v in frame["value"].tolist()]
+        at, near = times.tolist(), frame["near"].fillna(0.0).tolist()
+        numbers: list[tuple] = []
+        cuts = [0, *(i for i in np.flatnonzero(anew).tolist() if i), len(frame)]
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            if anew[a]:
+                track = tracks.Track()
+            numbers += track.follow(at[a:z], values[a:z], near[a:z])
+        self.held.update((runs.iloc[-1], at[-1], *track.state()))
+        out = frame.drop(columns=["near", "pair", "a", "b", "expected", "observed"])
+        for (name, kind), column in zip((c.split(" ") for c in tracks.NUMBERS.split(", ")), zip(*numbers, strict=True), strict=True):
+            out[name] = pd.array(column, {"bigint": "Int64", "double": "Float64", "boolean": "boolean"}[kind])
+        out["seen"] = [sorted(seen.get(r, ())) for r in frame["reading_id"]]
+        out["resets"] = anew.astype(int)
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+class PairProcessor(StatefulProcessor):
+    """The last readings of a pair's sensors in one run."""
+
+    def __init__(self, n: int, forget: int | None):
+        self.n, self.forget = n, forget
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        life = None if self.forget is None else 1000 * self.forget
+        self.sides = [handle.getListState(name, "at double, x double", life) for name in ("first", "second")]
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = [list(s.get()) if s.exists() else [] for s in self.sides]
+        pair = detect.Pair(self.n, *([[r[k] for r in side] for side in held] for k in (0, 1)))
+        frame = pd.concat(list(rows), ignore_index=True).sort_values(["at", "sensor_id", "reading_id"], kind="stable", ignore_index=True)
+        side, at = frame["side"].to_numpy(), frame["at"].to_numpy(float)
+        for k in (0, 1):
+            mine = at[side == k]
+            if len(mine) and len(pair.at[k]) and mine[0] < pair.at[k][-1]:
+                pair.forget(k)
+        observed = pair.observe(side, at, frame["value"].to_numpy(float))
+        for k, s in enumerate(self.sides):
+            if len(pair.at[k]):
+                s.put(list(zip(pair.at[k].tolist(), pair.x[k].tolist(), strict=True)))
+        out = frame[["sensor_id", "reading_id", "pair", "a", "b", "expected"]].assign(observed=observed)
+        yield out[~np.isnan(observed)]
+
+    def close(self) -> None:
+        pass
+
+
+def judged(
+    readings: DataFrame, pairs: DataFrame | None = None, tolerance: float = 0.0, stuck_run: int = detect.STUCK_RUN, rate_limit: float = detect.RATE_LIMIT,
+    n: int = detect.PAIR_READINGS, limit: float = detect.CORRELATION_LIMIT, forget: int | None = None,
+) -> DataFrame:
+    """Streamed readings with verdicts: their columns, the numbers of their track, faults, quality and resets.
+
+    readings have sensor_id, reading_id, run_id, at (seconds), value, quality and the four bounds of a span, and perhaps
+    source_topic, source_partition and source_offset; pairs (a bounded table) has a, b and expected.
+    """
+    there = [F.col(c) if c in readings.columns else F.lit(None).cast(k).alias(c) for c, k in SOURCE.items()]
+    x = F.col("value").cast("double")
+    rows = readings.select(
+        *[F.col(c).cast("string").alias(c) for c in ("sensor_id", "reading_id", "run_id")], F.col("at").cast("double").alias("at"),
+        F.when(F.abs(x) < float("inf"), x).alias("value"), "quality", *there, *[F.col(c).cast("double").alias(c) for c in BOUNDS],
     )
-    return picked.groupBy("sensor_id").applyInPandasWithState(_judge, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def write_both(batch: DataFrame, validated: str, alerts: str, epoch: int) -> None:
+    mode = "None" if forget is None else "ProcessingTime"
+    width = F.col("alarm_high") - F.col("alarm_low")
+    nothing = [F.lit(None).cast(c.split(" ")[1]).alias(c.split(" ")[0]) for c in SEEN.split(", ")]
+    met = rows.select("*", F.coalesce(width * tolerance, F.lit(0.0)).alias("near"), *nothing)
+    if pairs is not None:
+        fan = rows.where("value IS NOT NULL").join(F.broadcast(detect.sided(pairs, "sensor_id")), "sensor_id")
+        fan = fan.select("run_id", "pair", "a", "b", "expected", "side", "sensor_id", "reading_id", "at", "value")
+        saw = fan.groupBy("run_id", "a", "b").transformWithStateInPandas(PairProcessor(n, forget), f"sensor_id string, reading_id string, {SEEN}", "Append", mode)
+        saw = saw.where(F.abs(F.col("observed") - F.col("expected")) > limit)
+        met = met.unionByName(saw, allowMissingColumns=True)
+    schema = f"{READING}, {SPAN}, {tracks.NUMBERS}, seen array<struct<{SEEN.replace(' ', ': ').replace(',:', ',')}>>, resets bigint"
+    followed = met.groupBy("sensor_id").transformWithStateInPandas(SensorProcessor(), schema, "Append", mode)
+    of_pairs = F.transform("seen", lambda p: detect.apart(limit, lambda name: p[name]))
+    near = F.coalesce(width * tolerance, F.lit(0.0))
+    return detect.verdict(followed, "value", of_pairs, stuck_run, rate_limit, near).drop("seen", *BOUNDS)
+
+
+def flat(judged: DataFrame) -> DataFrame:
+    """Verdicts with their faults' types, severities and confidences as lists beside the faults."""
+    lists = {"fault_types": "fault_type", "severities": "severity", "confidences": "confidence"}
+    return judged.withColumns({c: F.col("faults")[f] for c, f in lists.items()})
+
+
+def alerts(judged: DataFrame) -> DataFrame:
+    """An event for each fault: its id, reading, sensor, run, the fault with its evidence, the reading's time as detected_at, and where the reading came from."""
+    rows = detect.alerts(judged, "reading_id", ("sensor_id", "run_id", "at", *SOURCE))
+    return rows.withColumn("detected_at", F.timestamp_micros(F.round(F.col("at") * 1e6).cast("bigint")))
+
+
+def write_both(batch: DataFrame, validated: str, alert_folder: str, epoch: int) -> None:
     """For foreachBatch: all judged readings, and an alert for each fault; an epoch written again replaces itself."""
     batch.persist()
     try:
-        batch.write.mode("overwrite").parquet(f"{validated}/epoch={epoch}")
-        faults = batch.select("reading_id", "sensor_id", "at", F.explode(F.arrays_zip("fault_types", "severities", "confidences")).alias("f"))
-        names = F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])
-        rows = faults.select(
-            "reading_id", "sensor_id", "at", F.col("f.fault_types").alias("fault_type"), F.col("f.severities").alias("severity"),
-            F.col("f.confidences").alias("confidence"), names[F.col("f.fault_types")].alias("detector"),
-        )
-        # A reading has each fault once here.
-        rows = rows.select(alert_id(F.col("reading_id"), F.col("fault_type"), F.col("detector"), F.lit(0)).alias("alert_id"), "*")
-        rows.write.mode("overwrite").parquet(f"{alerts}/epoch={epoch}")
+        flat(batch).write.mode("overwrite").parquet(f"{validated}/epoch={epoch}")
+        alerts(batch).write.mode("overwrite").parquet(f"{alert_folder}/epoch={epoch}")
     finally:
         batch.unpersist()
