@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fluxgauge.functions import scalar
 from fluxgauge.functions.windows import Series
-from fluxgauge.operators import checks, coverage, detect, features, inject, kalman, labels, rules, spans, splits, store
+from fluxgauge.operators import checks, coverage, detect, features, inject, kalman, labels, rules, spans, splits, store, tracks
 
 S = Series(("sensor",), ("step",))
 
@@ -51,10 +51,34 @@ def test_runs_break_at_nulls(spark):
 
 
 def test_repeats_pass_nulls_by(spark):
-    df = detect.repeats(series(spark, [1.0, 1.0, None, 1.0, 1.25, 1.0, None]), S, "v")
-    assert column(df, "run") == [1, 2, None, 3, 1, 1, None]
-    df = detect.repeats(series(spark, [1.0, 1.0, None, 1.0, 1.25, 1.0]), S, "v", 0.25)
-    assert column(df, "run") == [1, 2, None, 3, 4, 5]
+    def runs(values, near):
+        df = series(spark, values).withColumns({"s": F.col("step").cast("double"), "near": F.lit(near)})
+        return column(tracks.tracked(df, ["sensor"], ["step"], "s", "v", "near"), "run")
+
+    assert runs([1.0, 1.0, None, 1.0, 1.25, 1.0, None], 0.0) == [1, 2, None, 3, 1, 1, None]
+    assert runs([1.0, 1.0, None, 1.0, 1.25, 1.0], 0.25) == [1, 2, None, 3, 4, 5]
+
+
+def test_pairs_with_repeated_instants_and_long_series():
+    """The last hundred readings of both sides, one instant's later values in place, against a plain loop; chunks don't matter."""
+    rng = np.random.default_rng(3)
+    n = 3000
+    side = rng.integers(0, 2, n)
+    at = np.sort(rng.integers(0, 1200, n)).astype(float)
+    x = np.round(rng.normal(size=n), 1)
+    x[500:900] = 7.0
+    whole, parts = detect.Pair(20), detect.Pair(20)
+    got = whole.observe(side, at, x)
+    cut = np.concatenate([parts.observe(side[a : a + 137], at[a : a + 137], x[a : a + 137]) for a in range(0, n, 137)])
+    assert np.array_equal(got, cut, equal_nan=True)
+    mine, other = [], []
+    for i in range(n):
+        (other if side[i] else mine).append((at[i], x[i]))
+        last = {t: v for t, v in other[-20:]}
+        both = [(v, last[t]) for t, v in mine[-20:] if t in last]
+        a, b = zip(*both, strict=True) if both else ((), ())
+        want = np.nan if len(both) < 3 or len(set(a)) < 2 or len(set(b)) < 2 else np.corrcoef(a, b)[0, 1]
+        assert (np.isnan(want) and np.isnan(got[i])) or abs(want - got[i]) < 1e-9
 
 
 def test_pairs_are_aligned_by_time(spark):
