@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..functions.windows import Series
-from ..operators import checks, coverage, detect, features, inject, kalman, labels, rules, spans, splits, stats, store, studies
+from ..operators import checks, coverage, detect, features, inject, kalman, labels, placement, rules, spans, splits, stats, store, studies
 from ..sources import archive, readings
 from ..streaming import windows as stream
 
@@ -1324,3 +1324,76 @@ def alert_rates_by_phase(spark, sf_dir):
     hold = F.col("event_id") % 3 == 0
     got = detect.alert_rates(_judged(spark, sf_dir), ["kind"], {"hold": hold, "ramp": ~hold})
     return got.select("kind", *[r(F.col(c)).alias(c) for c in got.columns if c != "kind"])
+
+
+# --- Placement of injected faults.
+
+PLAN = placement.Plan(3, 2, {"freeze": (9, 14), "offset": (4, 10), "spike": (1, 1), "ramp": (8, 12)}, guard=3)
+SEED = 20260721
+_PLACE_ROWS = f"""(SELECT cast(sensor % 12 AS BIGINT) AS sensor, v, cast(row_number() OVER (PARTITION BY sensor % 12 ORDER BY ts, event_id) - 1 AS BIGINT) AS step FROM {EVENTS})"""
+
+
+def _draw_sql(seed: int, *keys: str) -> str:
+    return f"cast('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(f'cast({k} AS VARCHAR)' for k in keys)})), 1, 15) AS BIGINT)"
+
+
+def _between_sql(number: str, low: float, high: float) -> str:
+    return f"({low}::DOUBLE + {high - low}::DOUBLE * (({number} >> 8) / {1 << 52}::DOUBLE))"
+
+
+_LENGTH = " ".join(f"WHEN '{k}' THEN {low} + d1 % {high - low + 1}" for k, (low, high) in PLAN.lengths.items())
+_KIND_OF = "CASE place // 3 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(PLAN.lengths)) + " END"
+PLACED = f"""rd AS {_PLACE_ROWS}, tl AS (SELECT sensor, count(*) AS n_steps FROM rd GROUP BY sensor),
+tg AS (SELECT sensor, n_steps, {_KIND_OF} AS kind FROM (SELECT *, row_number() OVER (ORDER BY {_draw_sql(SEED, "sensor")}, sensor) - 1 AS place FROM tl) WHERE place < 12),
+ee AS (SELECT *, {_draw_sql(SEED + 1, "sensor", "episode")} AS d1, {_draw_sql(SEED + 2, "sensor", "episode")} AS d2, {_draw_sql(SEED + 3, "sensor", "episode")} AS d3,
+  {_draw_sql(SEED + 4, "sensor", "episode")} AS d4, n_steps // 2 AS seg FROM tg, (SELECT unnest([0, 1]) AS episode)),
+el AS (SELECT *, CASE kind {_LENGTH} END AS len FROM ee),
+es AS (SELECT *, episode * seg + 3 + d2 % ((episode + 1) * seg - 3 - len - (episode * seg + 3) + 1) AS start FROM el),
+ep AS (SELECT sensor, kind, episode, n_steps - 1 AS last_step, cast(start AS BIGINT) AS start, cast(start + len - 1 AS BIGINT) AS last,
+  CASE WHEN d3 % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS up, d4 FROM es)"""
+
+
+def _placed(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Readings of twelve sensors, their number of steps, and the episodes."""
+    rows = events(spark, sf_dir).withColumn("sensor", F.col("sensor") % 12)
+    rows = rows.withColumn("step", (F.row_number().over(S.w) - 1).cast("bigint")).select("sensor", "step", "v")
+    timelines = rows.groupBy("sensor").agg(F.count("*").alias("n_steps"))
+    return rows, timelines, placement.episodes(timelines, [], "sensor", "n_steps", PLAN, SEED)
+
+
+@query(f"WITH {PLACED} SELECT sensor, kind, cast(episode AS INTEGER) AS episode, start, last, up AS direction FROM ep")
+def place_episodes(spark, sf_dir):
+    """Injected faults: disjoint sensors for each kind, an episode in each half of a timeline."""
+    return _placed(spark, sf_dir)[2]
+
+
+@query(
+    f"""WITH {PLACED}, sp AS (SELECT sensor, avg(v) - stddev_samp(v) AS lo, avg(v) + stddev_samp(v) AS hi FROM rd GROUP BY sensor),
+  wr AS (SELECT ep.sensor, ep.start, min(v) AS a, max(v) AS b FROM ep JOIN rd ON rd.sensor = ep.sensor AND step BETWEEN start AND last GROUP BY ep.sensor, ep.start)
+  SELECT sensor, cast(episode AS INTEGER) AS episode, {rs("m")} AS magnitude, {rs("CASE kind WHEN 'ramp' THEN m * 3600.0 / 180.0 / w ELSE m / w END")} AS widths FROM (
+  SELECT ep.sensor, episode, kind, hi - lo AS w, CASE kind WHEN 'offset' THEN CASE WHEN up > 0 THEN hi - a + 0.35 * (hi - lo) ELSE lo - b - 0.35 * (hi - lo) END
+    WHEN 'spike' THEN up * {_between_sql("d4", 1.5, 4.0)} * (hi - lo) WHEN 'ramp' THEN up * {_between_sql("d4", 13.0, 17.0)} * (hi - lo) * 180.0 / 3600.0 ELSE 0.0 END AS m
+  FROM ep JOIN sp ON sp.sensor = ep.sensor JOIN wr ON wr.sensor = ep.sensor AND wr.start = ep.start)"""
+)
+def size_episodes(spark, sf_dir):
+    """How large the placed faults are, from the envelopes and, for an offset, from the worst value of its window."""
+    rows, _, placed = _placed(spark, sf_dir)
+    mean, sd = F.avg("v"), F.stddev_samp("v")
+    envelopes = rows.groupBy("sensor").agg((mean - sd).alias("alarm_low"), (mean + sd).alias("alarm_high"))
+    got = placement.sized(placed, rows, envelopes, [], "sensor", "step", "v", 180.0, PLAN, SEED)
+    return got.select("sensor", "episode", r(F.col("magnitude")).alias("magnitude"), r(F.col("widths")).alias("widths"))
+
+
+@query(
+    f"""WITH {PLACED} SELECT fault_type, count(*) AS n, count(DISTINCT sensor) AS n_sensors, cast(sum(step) AS BIGINT) AS steps FROM (SELECT DISTINCT sensor, fault_type, step FROM (
+  SELECT sensor, last_step, 'kalman_anomaly' AS fault_type, unnest(range(start, last + 2)) AS step FROM ep UNION ALL
+  SELECT sensor, last_step, 'stuck', unnest(range(start + 1, last + 1)) FROM ep WHERE kind = 'freeze' UNION ALL
+  SELECT sensor, last_step, 'sensor_drift', unnest(range(start, last + 1)) FROM ep WHERE kind = 'ramp' UNION ALL
+  SELECT sensor, last_step, 'noise_spike', unnest(CASE WHEN kind IN ('offset', 'spike') THEN [start, last + 1] ELSE [last + 1] END) FROM ep) WHERE step <= last_step) GROUP BY fault_type"""
+)
+def injected_truth(spark, sf_dir):
+    """Where the placed faults must be found."""
+    _, timelines, placed = _placed(spark, sf_dir)
+    lines = timelines.select("sensor", (F.col("n_steps") - 1).alias("last_step"))
+    found = placement.truth(placed.join(lines, "sensor"), ["sensor"], "last_step")
+    return found.groupBy("fault_type").agg(F.count("*").alias("n"), F.countDistinct("sensor").alias("n_sensors"), F.sum("step").alias("steps"))

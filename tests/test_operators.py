@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fluxgauge.functions import scalar
 from fluxgauge.functions.windows import Series
-from fluxgauge.operators import checks, coverage, detect, features, inject, kalman, labels, rules, spans, splits, store, tracks
+from fluxgauge.operators import checks, coverage, detect, features, inject, kalman, labels, placement, rules, spans, splits, store, tracks
 
 S = Series(("sensor",), ("step",))
 
@@ -429,3 +429,67 @@ def test_noise_is_gaussian_and_repeats(spark):
 def test_a_gate_needs_all_kinds(spark):
     df = spark.createDataFrame([("a", True), ("a", False), ("b", False)], "kind string, covered boolean")
     assert coverage.typed_gate(df, 0.3, "kind", 1).first().passed and not coverage.typed_gate(df, 0.3, "kind", 2).first().passed
+
+
+def lines(spark, sensors=30, steps=200, runs=2):
+    return spark.createDataFrame([(f"r{k}", f"s{i}", steps + 10 * k) for k in range(runs) for i in range(sensors)], "run string, sensor string, n bigint")
+
+
+def test_episodes_are_placed_apart(spark):
+    """Disjoint sensors for each kind, one episode in each segment with its guard, the same for any partitioning."""
+    df, plan = lines(spark), placement.Plan(sensors_per_kind=5, episodes_per_sensor=3)
+    placed = [sorted(map(tuple, placement.episodes(x, ["run"], "sensor", "n", plan, 9).collect())) for x in (df, df.repartition(7), df.coalesce(1).orderBy(F.desc("sensor")))]
+    assert placed[0] == placed[1] == placed[2] and len(placed[0]) == 2 * 4 * 5 * 3
+    kinds = {}
+    for run, sensor, kind, episode, start, last, direction in placed[0]:
+        kinds.setdefault((run, sensor), set()).add(kind)
+        segment = (200 if run == "r0" else 210) // 3
+        low, high = plan.lengths[kind]
+        assert low <= last - start + 1 <= high and direction in (-1.0, 1.0)
+        assert episode * segment + 3 <= start and last < (episode + 1) * segment - 3
+    assert all(len(k) == 1 for k in kinds.values())
+    per = [list(kinds.values()).count({k}) for k in plan.lengths]
+    assert per == [10] * 4 and {s for r, s in kinds if r == "r0"} != {s for r, s in kinds if r == "r1"}
+    other = placement.episodes(df, ["run"], "sensor", "n", plan, 10).collect()
+    assert sorted(map(tuple, other)) != placed[0]
+
+
+def test_placement_says_what_does_not_fit(spark):
+    with pytest.raises(Exception, match="24 sensors with a span are needed, there are 20"):
+        placement.episodes(lines(spark, 20), ["run"], "sensor", "n", placement.Plan(), 1).collect()
+    with pytest.raises(Exception, match="doesn't fit its segment of 20"):
+        placement.episodes(lines(spark, 30, 40, 1), ["run"], "sensor", "n", placement.Plan(), 1).collect()
+    with pytest.raises(ValueError):
+        placement.Plan(lengths={"freeze": (3, 2)})
+
+
+def test_permutation_is_one(spark):
+    df = spark.range(5000).selectExpr("id % 3 AS k", "id")
+    got = placement.permuted(df, ["k"], ["id"], 4).toPandas()
+    for _, g in got.groupby("k"):
+        assert sorted(g["place"]) == list(range(len(g))) and list(g.sort_values("id")["place"]) != list(range(len(g)))
+    # A place's neighbours are far apart: ranks are like uniform draws.
+    assert abs(np.corrcoef(got["id"], got["place"])[0, 1]) < 0.05
+    assert placement.permuted(df.where("false"), ["k"], ["id"], 4).count() == 0
+
+
+def test_offsets_leave_the_envelope_and_faults_are_found(spark):
+    """From placement to detection: an injected offset is out of range at every step of its window, a freeze is stuck."""
+    rng = np.random.default_rng(1)
+    rows = [(f"s{i:02d}", t, float(v)) for i in range(24) for t, v in enumerate(rng.normal(50, 1, 400))]
+    readings = spark.createDataFrame(rows, "sensor string, step bigint, v double")
+    span = spans.derive(readings, "sensor", "v")
+    plan = placement.Plan()
+    placed = placement.episodes(readings.groupBy("sensor").agg(F.count("*").alias("n")), [], "sensor", "n", plan, 3)
+    known = placement.sized(placed, readings, span, [], "sensor", "step", "v", 180.0, plan, 3)
+    changed = inject.inject(readings, known, "sensor", "step", "v")
+    attached = spans.attach(changed.withColumns({"s": F.col("step") * 180.0, "quality": F.lit("good")}), span, "sensor")
+    judged = detect.all_faults(attached, S, "v", "s")
+    truth = placement.truth(known.withColumn("end", F.lit(399)), ["sensor"], "end")
+    found = judged.select("sensor", "step", F.explode("faults.fault_type").alias("fault_type")).distinct()
+    hit = truth.join(found, ["sensor", "step", "fault_type"]).groupBy("fault_type").count()
+    hits, all_of = dict(map(tuple, hit.collect())), dict(map(tuple, truth.groupBy("fault_type").count().collect()))
+    assert hits["stuck"] / all_of["stuck"] > 0.6 and hits["noise_spike"] / all_of["noise_spike"] > 0.6
+    offsets = known.where("kind = 'offset'").select("sensor", F.explode(F.sequence("start", "last")).alias("step"))
+    assert offsets.join(found.where("fault_type = 'bias_out_of_range'"), ["sensor", "step"], "left_anti").count() == 0
+    assert known.where("kind = 'spike' AND abs(widths) NOT BETWEEN 1.5 AND 4").count() == 0
