@@ -5,6 +5,8 @@ Roles: a user is a sensor, an event a reading, its type the class; props.k is a
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -1397,3 +1399,35 @@ def injected_truth(spark, sf_dir):
     lines = timelines.select("sensor", (F.col("n_steps") - 1).alias("last_step"))
     found = placement.truth(placed.join(lines, "sensor"), ["sensor"], "last_step")
     return found.groupBy("fault_type").agg(F.count("*").alias("n"), F.countDistinct("sensor").alias("n_sensors"), F.sum("step").alias("steps"))
+
+
+# --- Tables that are written.
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder that all machines share; of this machine only where the session names none and runs here alone."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    return f"{named or 'file://' + tempfile.gettempdir()}/{uuid.uuid4().hex}"
+
+
+def _dropped(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@query(
+    """SELECT 'P' AS plant, strftime(ts, '%Y') AS year, strftime(ts, '%m') AS month, strftime(ts, '%d') AS day, strftime(ts, '%H') AS hour,
+  CASE WHEN count(CASE WHEN NOT (day(ts) <= 20 AND event_id % 5 <> 0) THEN 1 END) > 0 THEN 'created' ELSE 'existing' END AS answer,
+  count(CASE WHEN NOT (day(ts) <= 20 AND event_id % 5 <> 0) THEN 1 END) AS added FROM events GROUP BY ALL"""
+)
+def append_answers(spark, sf_dir):
+    """What an archive says of a batch that it holds in part: which hours it created and which were there."""
+    e = read(spark, sf_dir, "events").withColumns({"plant_id": F.lit("P"), "ts": F.col("ts").cast("timestamp")}).select("event_id", "ts", "plant_id", "value")
+    folder = _folder(spark)
+    try:
+        archive.append(spark, e.where("dayofmonth(ts) <= 20 AND event_id % 5 <> 0"), folder, "ts", "event_id")
+        return archive.append(spark, e, folder, "ts", "event_id")
+    finally:
+        _dropped(spark, folder)

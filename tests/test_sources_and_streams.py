@@ -64,6 +64,58 @@ def test_archive_appends_once_and_prunes(spark, tmp_path):
     assert "PartitionFilters" in got._jdf.queryExecution().toString()
 
 
+def hours_of(spark, low, high):
+    rows = [(f"r{i}", f"2024-01-01 {i // 20:02d}:{3 * (i % 20):02d}:00", "P 1/x", float(i)) for i in range(low, high)]
+    return spark.createDataFrame(rows, "reading_id string, timestamp string, plant_id string, v double").withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+
+
+def test_archive_answers_what_it_created(spark, tmp_path):
+    path = str(tmp_path / "archive")
+    first = {(r.hour, r.answer): r.added for r in archive.append(spark, hours_of(spark, 0, 50), path).collect()}
+    assert first == {("00", "created"): 20, ("01", "created"): 20, ("02", "created"): 10}
+    again = {(r.hour, r.answer): r.added for r in archive.append(spark, hours_of(spark, 30, 70), path).collect()}
+    assert again == {("01", "existing"): 0, ("02", "created"): 10, ("03", "created"): 10}
+    assert {r.answer for r in archive.append(spark, hours_of(spark, 0, 70), path).collect()} == {"existing"}
+    stored = spark.read.parquet(path)
+    assert stored.count() == 70 == stored.select("reading_id").distinct().count()
+    assert archive.read_range(stored, "P 1/x", "2024-01-01 01:00:00", "2024-01-01 02:00:00").count() == 20
+    assert archive.append(spark, hours_of(spark, 0, 0), path).count() == 0
+    assert not list((tmp_path / "archive" / "_staging").iterdir())
+
+
+def test_archive_appends_at_once(spark, tmp_path):
+    """Four writers of overlapping batches leave each reading once, and their answers add up."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "archive")
+    with ThreadPoolExecutor(4) as pool:
+        told = list(pool.map(lambda k: archive.append(spark, hours_of(spark, 20 * k, 20 * k + 60), path).collect(), range(4)))
+    stored = spark.read.parquet(path)
+    assert stored.count() == 120 == stored.select("reading_id").distinct().count()
+    assert sum(r.added for rows in told for r in rows) == 120
+
+
+def test_a_killed_append_that_runs_again_adds_the_rest(spark, tmp_path, monkeypatch):
+    path, claim, made = str(tmp_path / "archive"), archive._Folders.claim, []
+
+    def dies(self, source, hour, n):
+        if len(made) == 1:
+            raise RuntimeError("killed")
+        made.append(hour)
+        return claim(self, source, hour, n)
+
+    monkeypatch.setattr(archive._Folders, "claim", dies)
+    with pytest.raises(RuntimeError, match="killed"):
+        archive.append(spark, hours_of(spark, 0, 60), path)
+    monkeypatch.setattr(archive._Folders, "claim", claim)
+    assert spark.read.parquet(path).count() == 20
+    answers = [r.answer for r in archive.append(spark, hours_of(spark, 0, 60), path).collect()]
+    assert sorted(answers) == ["created", "created", "existing"]
+    assert archive.append(spark, hours_of(spark, 0, 60), path).where("added > 0").count() == 0
+    stored = spark.read.parquet(path)
+    assert stored.count() == 60 == stored.select("reading_id").distinct().count()
+
+
 def test_kafka_options():
     c = kafka.Connection("h:9092", "SASL_SSL", "u", "secret")
     assert "secret" not in repr(c) and kafka.source_options(c, "t")["startingOffsets"] == "earliest"
