@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..functions.windows import Series
-from ..operators import checks, coverage, detect, features, inject, kalman, labels, placement, rules, spans, splits, stats, store, studies
+from ..operators import checks, coverage, detect, features, inject, kalman, labels, placement, rules, sketches, spans, splits, stats, store, studies
 from ..sources import archive, readings
 from ..streaming import windows as stream
 
@@ -1431,3 +1431,25 @@ def append_answers(spark, sf_dir):
         return archive.append(spark, e, folder, "ts", "event_id")
     finally:
         _dropped(spark, folder)
+
+
+# --- Sketches.
+
+ERROR = 0.02
+_BUCKET = f"CASE WHEN x > 0 THEN cast(ceil(ln(x) / ln({sketches.gamma(ERROR)!r}::DOUBLE)) AS BIGINT) ELSE {sketches.NONE} END"
+
+
+@query(
+    f"""WITH late AS (SELECT event_type AS kind, value AS x FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 500),
+  c AS (SELECT kind, b, n, sum(n) OVER (PARTITION BY kind) AS total, sum(n) OVER (PARTITION BY kind ORDER BY b) AS so_far FROM (
+    SELECT kind, {_BUCKET} AS b, count(*) AS n FROM late WHERE x IS NOT NULL GROUP BY ALL))
+  SELECT kind, cast(max(total) AS BIGINT) AS n, {", ".join(
+    f"{rs(f'2 * pow({sketches.gamma(ERROR)!r}::DOUBLE, min(CASE WHEN so_far >= greatest(1, ceil({q} * total)) THEN b END)) / {sketches.gamma(ERROR) + 1!r}::DOUBLE')} AS {name}"
+    for name, q in (("p50", 0.5), ("p99", 0.99)))} FROM c GROUP BY kind"""
+)
+def latency_percentiles(spark, sf_dir):
+    """Median and 99th percentile of each kind's last 500 readings, within two hundredths, from counts that add up."""
+    e = read(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), "ts", "event_id", F.col("value").alias("x"))
+    last = e.withColumn("rn", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("ts"), F.desc("event_id")))).where("rn <= 500")
+    got = sketches.quantiles(sketches.counts(last, ["kind"], "x", ERROR), ["kind"], {"p50": 0.5, "p99": 0.99}, ERROR)
+    return got.select("kind", "n", r(F.col("p50")).alias("p50"), r(F.col("p99")).alias("p99"))

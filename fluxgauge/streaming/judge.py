@@ -134,7 +134,7 @@ def judged(
     followed = met.groupBy("sensor_id").transformWithStateInPandas(SensorProcessor(), schema, "Append", mode)
     of_pairs = F.transform("seen", lambda p: detect.apart(limit, lambda name: p[name]))
     near = F.coalesce(width * tolerance, F.lit(0.0))
-    return detect.verdict(followed, "value", of_pairs, stuck_run, rate_limit, near).drop("seen", *BOUNDS)
+    return detect.verdict(followed, "value", of_pairs, stuck_run, rate_limit, near).drop("seen")
 
 
 def flat(judged: DataFrame) -> DataFrame:

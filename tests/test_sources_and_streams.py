@@ -10,9 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from fluxgauge.functions.windows import Series
-from fluxgauge.operators import detect, spans, tracks
+from fluxgauge.operators import detect, sketches, spans, tracks
 from fluxgauge.sources import archive, kafka, port, readings, reports, text_matrix, versioned
-from fluxgauge.streaming import judge, loop, windows
+from fluxgauge.streaming import judge, loop, telemetry, windows
 
 
 def test_text_matrix_turns_and_refuses(spark, tmp_path):
@@ -428,3 +428,78 @@ def test_matrix_file_and_descriptions(spark, tmp_path):
         ("flow", "kg_s", "primary_loop"), ("pressure", "bar", "primary_loop"), ("thermocouple", "celsius", "primary_loop"),
         ("normalized", "normalized", "containment"), ("position", "percent", "core"),
     ]
+
+
+def test_telemetry_of_a_stream(spark, sf, tmp_path):
+    """Counters of three micro-batches are those of the batch; latencies are within their error; the heartbeat is there."""
+    import time
+
+    e = coarse_events(spark, sf)
+    times = e.select(F.percentile("at", [0.3, 0.6]).alias("q")).first()[0]
+    for k, (a, b) in enumerate([(0, times[0]), (times[0], times[1]), (times[1], 1e18)]):
+        e.where((F.col("at") >= a) & (F.col("at") < b)).coalesce(1).write.parquet(f"{tmp_path}/in/part{k}")
+    source = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    told = telemetry.listening(spark)
+    try:
+        late = F.abs(F.xxhash64("reading_id") % 1000) / 100.0
+        q = telemetry.observed(judge.judged(source), late).writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+        until = time.time() + 20
+        while told.batches < 3 and time.time() < until:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(told)
+    got = told.snapshot()
+    judged = detect.all_faults(e, Series(("sensor_id",), ("at", "reading_id")), "value", "at")
+    want = detect.counters(judged, "value").first()
+    assert (got["readings"], got["without_value"], got["unknown_sensor"]) == (want.readings_total, want.readings_without_value, want.readings_unknown_sensor)
+    by_type = dict(map(tuple, judged.select(F.explode("faults.fault_type").alias("t")).groupBy("t").count().collect()))
+    assert got["faults"] == by_type and sum(got["severities"].values()) == want.faults_total and sum(got["qualities"].values()) == want.readings_total
+    assert got["batches"] == 3 == got["batch_sizes"][float("inf")] and got["errors"] == 0 and got["heartbeat"] is not None
+    values = sorted(r[0] for r in e.select(late).collect())
+    for q, name in ((0.5, "latency_p50"), (0.99, "latency_p99")):
+        true = values[max(1, -(-len(values) * int(100 * q) // 100)) - 1]
+        assert abs(got[name] - true) <= telemetry.ERROR * true + 1e-4
+
+
+def test_lag_of_a_stream_that_falls_behind():
+    from pyspark.sql.streaming.listener import StreamingQueryProgress
+
+    told = telemetry.Telemetry()
+    for n in range(3):
+        source = {
+            "description": "KafkaV2[Subscribe[raw]]", "startOffset": None, "endOffset": json.dumps({"raw": {"0": 10 * n + 10, "1": 5 * n + 5}}),
+            "latestOffset": json.dumps({"raw": {"0": 100 * (n + 1), "1": 5 * n + 5}}), "numInputRows": 15, "inputRowsPerSecond": 1.0, "processedRowsPerSecond": 1.0, "metrics": {},
+        }
+        progress = {
+            "id": "7f4e9a3c-0000-4000-8000-000000000000", "runId": "7f4e9a3c-0000-4000-8000-000000000001", "name": None, "timestamp": f"2026-01-01T00:00:0{n}.000Z", "batchId": n,
+            "batchDuration": 1, "durationMs": {}, "eventTime": {}, "stateOperators": [], "sources": [source], "sink": {"description": "x", "numOutputRows": 0, "metrics": {}},
+            "numInputRows": 15, "inputRowsPerSecond": 1.0, "processedRowsPerSecond": 1.0, "observedMetrics": {},
+        }
+        told.progressed(StreamingQueryProgress.fromJson(progress))
+        assert told.lag == {"raw-0": 90 * (n + 1), "raw-1": 0} and told.heartbeat.second == n
+
+
+def test_sketches_add_up_and_slide(spark):
+    rows = spark.range(20_000).selectExpr("id % 2 AS k", "pow(1.0007D, id) - 1 AS x")
+    whole = sketches.counts(rows, ["k"], "x", 0.01)
+    parts = sketches.merged(sketches.counts(rows.where("id < 5000"), ["k"], "x", 0.01).unionByName(sketches.counts(rows.where("id >= 5000"), ["k"], "x", 0.01)), ["k"])
+    qs = {"p0": 0.0, "p50": 0.5, "p99": 0.99, "p100": 1.0}
+    a, b = (sorted(map(tuple, sketches.quantiles(x, ["k"], qs, 0.01).collect())) for x in (whole, parts))
+    assert a == b
+    for k, n, *found in a:
+        values = sorted(1.0007**i - 1 for i in range(k, 20_000, 2))
+        for q, x in zip(qs.values(), found, strict=True):
+            true = values[max(1, __import__("math").ceil(q * n)) - 1]
+            assert abs(x - true) <= 0.0101 * true
+    sliding = sketches.Sliding(0.01, 100)
+    for i in range(50):
+        sliding.add({i: 30})
+    assert sum(sliding.total.values()) == 120 and sliding.quantile(0.0) == pytest.approx(2 * sketches.gamma(0.01) ** 46 / (sketches.gamma(0.01) + 1))
+    one, two = telemetry.Histogram((1, 2)), telemetry.Histogram((1, 2))
+    for x in (0.5, 1, 3):
+        one.add(x)
+    two.add(2)
+    one.merge(two)
+    assert one.cumulative() == {1: 2, 2: 3, float("inf"): 4} and one.sum == 6.5
+    assert sketches.Sliding(0.1, 5).quantile(0.5) is None
