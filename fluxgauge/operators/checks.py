@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass, field
+from functools import reduce
 from itertools import zip_longest
 
 from pyspark.sql import Column, DataFrame
@@ -106,6 +108,64 @@ def sound(dimension: DataFrame, rules: Mapping[str, Column], key: str) -> DataFr
     return dimension
 
 
+@dataclass(frozen=True)
+class Dimension:
+    """A small table, its key, conditions that its rows must keep, columns that name rows of other dimensions, and a column that names a row's parent in its own."""
+
+    rows: DataFrame
+    key: str
+    rules: Mapping[str, Column] = field(default_factory=dict)
+    #: Column to the dimension it names; nulls name nothing.
+    references: Mapping[str, str] = field(default_factory=dict)
+    #: Columns that must lie within two columns of the row of another dimension: column to (reference column, low, high).
+    ranges: Mapping[str, tuple[str, str, str]] = field(default_factory=dict)
+    parent: str | None = None
+
+
+def defects(dimensions: Mapping[str, Dimension], deepest: int = 64) -> DataFrame:
+    """dimension, kind, key, detail of everything that is wrong in a set of dimensions that name each other, in one plan.
+
+    Kinds: absent_key and repeated keys, broken rules, an orphan (a reference to no row), out_of_range, and cyclic parents: rows from
+    which no way of up to `deepest` parents ends, followed by doubling.
+    """
+    found = []
+    for place, (name, d) in enumerate(dimensions.items()):
+        key = F.col(d.key).cast("string")
+
+        def told(rows: DataFrame, order: int, kind: str, key: Column, detail: Column, name: str = name, place: int = place) -> None:
+            found.append(rows.select(F.lit(place).alias("place"), F.lit(order).alias("order"), F.lit(name).alias("dimension"), F.lit(kind).alias("kind"), key.alias("key"), detail.cast("string").alias("detail")))
+
+        told(d.rows.where(key.isNull()), 0, "absent_key", key, F.lit(None))
+        told(repeated(d.rows.where(key.isNotNull()), [d.key]), 1, "repeated", key, F.col("n"))
+        told(violations(d.rows.withColumn("__k", key), d.rules, ["__k"]), 2, "rule", F.col("__k"), F.col("rule"))
+        for column, target in d.references.items():
+            other = dimensions[target].rows.select(F.col(dimensions[target].key).cast("string").alias("__to")).distinct()
+            named = d.rows.select(key.alias("__k"), F.col(column).cast("string").alias("__to")).where("__to IS NOT NULL")
+            told(named.join(other, "__to", "left_anti"), 3, "orphan", F.col("__k"), F.concat_ws(" ", F.lit(column), "__to"))
+        for column, (through, low, high) in d.ranges.items():
+            other = dimensions[d.references[through]]
+            bounds = other.rows.select(F.col(other.key).cast("string").alias("__to"), F.col(low).alias("__low"), F.col(high).alias("__high"))
+            mine = d.rows.select(key.alias("__k"), F.col(through).cast("string").alias("__to"), F.col(column).alias("__x"))
+            outside = mine.join(bounds, "__to").where("__x IS NULL OR __x < __low OR __x > __high")
+            told(outside, 4, "out_of_range", F.col("__k"), F.concat_ws(" ", F.lit(column), F.col("__x").cast("string")))
+        if d.parent is not None:
+            up = d.rows.select(key.alias("__k"), F.col(d.parent).cast("string").alias("__up")).where("__k IS NOT NULL AND __up IS NOT NULL").dropDuplicates(["__k"])
+            steps = 1
+            while steps < deepest:  # a row's ancestor at twice the distance
+                above = up.select(F.col("__k").alias("__up"), F.col("__up").alias("__next"))
+                up, steps = up.join(above, "__up").select("__k", F.col("__next").alias("__up")), 2 * steps
+            told(up, 5, "cyclic", F.col("__k"), F.lit(d.parent))
+    return reduce(DataFrame.unionByName, found)
+
+
+def whole(dimensions: Mapping[str, Dimension], deepest: int = 64) -> Mapping[str, Dimension]:
+    """The dimensions, or an error that names their first defect, in the order of dimensions, kinds and keys."""
+    first = defects(dimensions, deepest).orderBy("place", "order", "key", "detail").first()
+    if first is not None:
+        raise ValueError(f"{first.dimension} {first.key}: {first.kind}" + (f" ({first.detail})" if first.detail else ""))
+    return dimensions
+
+
 def require(df: DataFrame, columns: list[str]) -> DataFrame:
     """df, or an error that names the missing columns."""
     missing = [c for c in columns if c not in df.columns]

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..sources.files import Files
 
 
 def as_of(queries: DataFrame, features: DataFrame, keys: list[str], at: str, values: list[str], ttl: float) -> DataFrame:
@@ -30,17 +36,74 @@ def latest(rows: DataFrame, keys: list[str], at: str, tie: str) -> DataFrame:
     return best.select(*keys, "__r.*")
 
 
-def materialize(rows: DataFrame, path: str, keys: list[str], at: str, tie: str, version: int) -> DataFrame:
+#: Buckets of a table of latest rows.
+BUCKETS = 64
+
+
+def _bucket(keys: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def _listed(files: Files, version: int) -> dict:
+    """What a version has: its schema, number of buckets, and the folder of each bucket that has rows."""
+    name = f"{files.root}/_versions/{version}.json"
+    if not files.exists(name):
+        raise ValueError(f"version {version} is not there, or not complete")
+    return json.loads(files.text(name))
+
+
+def _folders(files: Files, listed: dict, wanted: set[int] | None = None) -> list[str]:
+    return [f"{files.root}/{folder}" for bucket, folder in listed["folders"].items() if wanted is None or int(bucket) in wanted]
+
+
+def _rows(spark: SparkSession, listed: dict, folders: list[str]) -> DataFrame:
+    schema = StructType.fromJson(listed["schema"])
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The complete versions of a table of latest rows."""
+    return sorted(int(n.removesuffix(".json")) for n in Files(spark, path).names(f"{path}/_versions"))
+
+
+def materialize(rows: DataFrame, path: str, keys: list[str], at: str, tie: str, version: int, buckets: int = BUCKETS) -> DataFrame:
     """Merge rows into the table of latest rows under path: its version `version` from the one before.
 
-    Versions are whole folders, so that a version that is written again replaces itself and readers of the
-    one before are left alone.
+    Rows lie in buckets by their keys, sorted. A merge reads and writes the buckets that its rows fall into; the others stay where
+    an earlier version put them. A version is there once its list of buckets is, which is put there as a whole; a version
+    that is written again replaces itself, and readers of other versions are left alone. The number of buckets is
+    that of the first version.
     """
     spark = rows.sparkSession
-    before = spark.read.schema(rows.schema).parquet(f"{path}/version={version - 1}") if version else None
-    both = rows if before is None else before.unionByName(rows)
-    latest(both, keys, at, tie).select(*rows.columns).write.mode("overwrite").parquet(f"{path}/version={version}")
-    return spark.read.schema(rows.schema).parquet(f"{path}/version={version}")
+    files = Files(spark, path)
+    before = _listed(files, version - 1) if version else {"schema": rows.schema.jsonValue(), "buckets": buckets, "folders": {}, "keys": keys}
+    if before["keys"] != keys or StructType.fromJson(before["schema"]).fieldNames() != rows.columns:
+        raise ValueError("the table has other keys or columns")
+    placed = rows.withColumn("bucket", _bucket(keys, before["buckets"]))
+    touched = {r[0] for r in placed.select("bucket").distinct().collect()}  # numbers of buckets
+    old = _rows(spark, before, _folders(files, before, touched)).withColumn("bucket", _bucket(keys, before["buckets"]))
+    merged = latest(old.unionByName(placed), keys, at, tie).select(*rows.columns, "bucket")
+    folder = f"data/{version}-{uuid.uuid4().hex}"
+    dealt = merged.repartition(max(1, len(touched)), "bucket").sortWithinPartitions("bucket", *keys)
+    dealt.write.partitionBy("bucket").parquet(f"{path}/{folder}")
+    now = before | {"folders": before["folders"] | {str(b): f"{folder}/bucket={b}" for b in sorted(touched)}}
+    files.put(f"{path}/_versions/{version}.json", json.dumps(now, sort_keys=True), replace=True)
+    return _rows(spark, now, _folders(files, now))
+
+
+def lookup(asked: DataFrame, path: str, version: int | None = None) -> DataFrame:
+    """asked (with the table's keys) with the table's columns of its keys, or nulls: only the buckets of the keys asked for are read.
+
+    Without a version it is the last complete one.
+    """
+    spark = asked.sparkSession
+    files = Files(spark, path)
+    if version is None:
+        version = max(versions(spark, path), default=-1)
+    listed = _listed(files, version)
+    keys = listed["keys"]
+    wanted = {r[0] for r in asked.select(_bucket(keys, listed["buckets"])).distinct().collect()}  # numbers of buckets
+    return asked.join(_rows(spark, listed, _folders(files, listed, wanted)), keys, "left")
 
 
 def served(asked: DataFrame, last: DataFrame, keys: list[str], at: str, now: Column, ttl: float) -> DataFrame:

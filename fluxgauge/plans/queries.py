@@ -1453,3 +1453,61 @@ def latency_percentiles(spark, sf_dir):
     last = e.withColumn("rn", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("ts"), F.desc("event_id")))).where("rn <= 500")
     got = sketches.quantiles(sketches.counts(last, ["kind"], "x", ERROR), ["kind"], {"p50": 0.5, "p99": 0.99}, ERROR)
     return got.select("kind", "n", r(F.col("p50")).alias("p50"), r(F.col("p99")).alias("p99"))
+
+
+@query(
+    """SELECT c.c_custkey AS user_id, CASE WHEN c.c_custkey IN (SELECT user_id FROM events WHERE user_id IS NOT NULL) THEN cast(l.event_id AS DOUBLE) END AS event_id, l.value FROM customer c
+  LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1) l ON l.user_id = c.c_custkey"""
+)
+def key_lookup(spark, sf_dir):
+    """The latest reading of each customer, from a table in buckets that three merges made."""
+    e = read(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
+    folder = _folder(spark)
+    try:
+        for version, part in enumerate(("ts < '2024-01-11'", "ts >= '2024-01-21'", "ts >= '2024-01-11' AND ts < '2024-01-21'")):
+            store.materialize(e.where(part), folder, ["user_id"], "ts", "event_id", version, 16)
+        asked = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
+        got = store.lookup(asked, folder).select("user_id", F.col("event_id").cast("double").alias("event_id"), "value").toArrow()
+        return spark.createDataFrame(got)
+    finally:
+        _dropped(spark, folder)
+
+
+# --- Coverage by sets.
+
+_SCOPES = [["l_linestatus", "l_returnflag", "l_linenumber"], ["l_returnflag", "l_linenumber"], ["l_linestatus"], []]
+
+
+@query(
+    f"""SELECT scope, l_linestatus, l_returnflag, l_linenumber, n_rows, corrupted, n_episodes, n_runs FROM ({" UNION ALL ".join(
+    f"""SELECT {k} AS scope, {', '.join(a if a in scope else f'NULL AS {a}' for a in _SCOPES[0])}, count(*) AS n_rows, cast(sum(CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END) AS BIGINT) AS corrupted,
+  count(DISTINCT l_orderkey) AS n_episodes, count(DISTINCT l_suppkey) AS n_runs FROM lineitem GROUP BY ALL""" for k, scope in enumerate(_SCOPES))})"""
+)
+def coverage_sets(spark, sf_dir):
+    """Rows, corrupted ones, distinct episodes and runs of every cell, type, partition and of all, from one pass: sets that add up."""
+    rows = read(spark, sf_dir, "lineitem").select("l_linestatus", "l_returnflag", "l_linenumber", "l_orderkey", "l_suppkey", "l_discount")
+    sets = coverage.id_sets(rows, _SCOPES[0], {"episodes": "l_orderkey", "runs": "l_suppkey"}, {"corrupted": (F.col("l_discount") > 0.05).cast("bigint")})
+    return coverage.scoped(sets, _SCOPES[0], _SCOPES, ["episodes", "runs"], ["corrupted"])
+
+
+# --- Dimensions that name each other.
+
+
+@query(
+    """WITH n AS (SELECT n_nationkey AS k, n_nationkey % 5 AS parent FROM nation), s AS (SELECT s_suppkey AS k, s_nationkey + CASE WHEN s_suppkey % 7 = 0 THEN 100 ELSE 0 END AS nation, s_acctbal AS bal FROM supplier),
+  b AS (SELECT n_nationkey AS k, -100.0 * n_nationkey AS lo, 4000.0 + 200.0 * n_nationkey AS hi FROM nation)
+  SELECT 'supplier' AS dimension, 'orphan' AS kind, cast(k AS VARCHAR) AS key FROM s WHERE nation NOT IN (SELECT k FROM n)
+  UNION ALL SELECT 'supplier', 'out_of_range', cast(s.k AS VARCHAR) FROM s JOIN b ON b.k = s.nation WHERE bal < lo OR bal > hi
+  UNION ALL SELECT 'supplier', 'rule', cast(k AS VARCHAR) FROM s WHERE NOT bal > -900
+  UNION ALL SELECT 'nation', 'cyclic', cast(k AS VARCHAR) FROM n"""
+)
+def dimension_defects(spark, sf_dir):
+    """What is wrong with suppliers and nations that name each other: every nation here ends in a circle of parents."""
+    nation = read(spark, sf_dir, "nation").select("n_nationkey", (F.col("n_nationkey") % 5).alias("parent"), (-100.0 * F.col("n_nationkey")).alias("lo"), (4000.0 + 200.0 * F.col("n_nationkey")).alias("hi"))
+    moved = F.col("s_nationkey") + F.when(F.col("s_suppkey") % 7 == 0, 100).otherwise(0)
+    supplier = read(spark, sf_dir, "supplier").select("s_suppkey", moved.alias("nation"), "s_acctbal")
+    got = checks.defects({
+        "nation": checks.Dimension(nation, "n_nationkey", parent="parent"),
+        "supplier": checks.Dimension(supplier, "s_suppkey", {"balance": F.col("s_acctbal") > -900}, {"nation": "nation"}, {"s_acctbal": ("nation", "lo", "hi")}),
+    })
+    return got.select("dimension", "kind", "key")

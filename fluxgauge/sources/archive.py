@@ -11,6 +11,8 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .files import Files
+
 HOUR = ["plant", "year", "month", "day", "hour"]
 #: Hours whose folders are looked up or claimed at once.
 CLAIMS = 16
@@ -69,20 +71,12 @@ def append(spark: SparkSession, readings: DataFrame, path: str, at: str = "times
     return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in HOUR) + ", answer string, added bigint")
 
 
-class _Folders:
-    """The archive's folders, in any file system that Spark reads."""
+class _Folders(Files):
+    """The archive's folders."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self.jvm = spark._jvm
+        super().__init__(spark, path)
         self.plants: dict[str, str] = {}
-        self.root = self.jvm.org.apache.hadoop.fs.Path(self.path)
-        self.conf = spark._jsc.hadoopConfiguration()
-        self.fs = self.root.getFileSystem(self.conf)
-        self.context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.root.toUri() if self.root.toUri().getScheme() else self.fs.getUri(), self.conf)
-
-    def _at(self, path: str):
-        return self.jvm.org.apache.hadoop.fs.Path(path)
 
     def name(self, hour: tuple) -> str:
         if hour[0] not in self.plants:
@@ -90,43 +84,27 @@ class _Folders:
         return "/".join(f"{c}={v}" for c, v in zip(HOUR, (self.plants[hour[0]], *hour[1:]), strict=True))
 
     def part(self, hour: tuple, n: int) -> str:
-        return f"{self.path}/{self.name(hour)}/part={n}"
+        return f"{self.root}/{self.name(hour)}/part={n}"
 
     def parts(self, hour: tuple) -> list[int]:
-        folder = self._at(f"{self.path}/{self.name(hour)}")
-        if not self.fs.exists(folder):
-            return []
-        names = [f.getPath().getName() for f in self.fs.listStatus(folder)]
+        names = self.names(f"{self.root}/{self.name(hour)}")
         return sorted(int(n.removeprefix("part=")) for n in names if n.startswith("part="))
 
     def staging(self) -> str:
-        return f"{self.path}/_staging/{uuid.uuid4().hex}"
+        return f"{self.root}/_staging/{uuid.uuid4().hex}"
 
     def staged(self, folder: str) -> list[tuple[tuple, int]]:
         """The hours that a staging folder has, with their numbers of rows."""
-        if not self.fs.exists(self._at(folder)) or not any(f.isDirectory() for f in self.fs.listStatus(self._at(folder))):
+        if not any(n.startswith(f"{HOUR[0]}=") for n in self.names(folder)):
             return []
-        rows = self.spark.read.option("partitionOverwriteMode", "static").parquet(folder)
+        rows = self.spark.read.parquet(folder)
         counts = rows.groupBy(*[F.col(c).cast("string").alias(c) for c in HOUR]).agg(F.count("*").alias("n")).collect()
         pads = (0, 4, 2, 2, 2)
         return [(tuple(r[c].zfill(p) for c, p in zip(HOUR, pads, strict=True)), r["n"]) for r in counts]
 
     def claim(self, source: str, hour: tuple, n: int) -> bool:
         """Move a folder to an hour's part n; False if somebody else has it."""
-        target = self._at(self.part(hour, n))
-        self.fs.mkdirs(target.getParent())
-        options = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = self.jvm.org.apache.hadoop.fs.Options.Rename.NONE
-        try:
-            self.context.rename(self._at(source), target, options)
-        except Exception as e:
-            if "FileAlreadyExists" in str(e) or "already exists" in str(e) or self.fs.exists(target):
-                return False
-            raise
-        return True
-
-    def drop(self, folder: str) -> None:
-        self.fs.delete(self._at(folder), True)
+        return self.move(source, self.part(hour, n))
 
 
 def read_range(archive: DataFrame, plant: str, start: str, end: str, at: str = "timestamp", key: str = "reading_id") -> DataFrame:

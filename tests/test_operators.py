@@ -493,3 +493,81 @@ def test_offsets_leave_the_envelope_and_faults_are_found(spark):
     offsets = known.where("kind = 'offset'").select("sensor", F.explode(F.sequence("start", "last")).alias("step"))
     assert offsets.join(found.where("fault_type = 'bias_out_of_range'"), ["sensor", "step"], "left_anti").count() == 0
     assert known.where("kind = 'spike' AND abs(widths) NOT BETWEEN 1.5 AND 4").count() == 0
+
+
+def keyed(spark, rows):
+    return spark.createDataFrame(rows, "k string, at bigint, tie bigint, v int")
+
+
+def test_merges_rewrite_their_buckets_alone_and_lookups_read_theirs(spark, tmp_path):
+    path = str(tmp_path / "latest")
+    store.materialize(keyed(spark, [(f"k{i}", 1, 0, i) for i in range(200)]), path, ["k"], "at", "tie", 0, 16)
+    before = {f: f.stat().st_mtime_ns for f in tmp_path.rglob("*.parquet")}
+    got = store.materialize(keyed(spark, [("k7", 2, 0, -7), ("k8", 0, 0, -8), ("new", 1, 0, 1)]), path, ["k"], "at", "tie", 1)
+    after = {f: f.stat().st_mtime_ns for f in tmp_path.rglob("*.parquet")}
+    assert before.items() <= after.items() and 1 <= len(after) - len(before) <= 3
+    assert {r.k: r.v for r in got.collect()} == {f"k{i}": i for i in range(200)} | {"k7": -7, "new": 1}
+    asked = spark.createDataFrame([("k7",), ("nobody",)], "k string")
+    found = store.lookup(asked, path)
+    assert {r.k: r.v for r in found.collect()} == {"k7": -7, "nobody": None}
+    whole = {r.k: r.v for r in store.lookup(asked, path, 0).collect()}
+    assert whole["k7"] == 7
+    read = {f.rsplit("/", 1)[-1] for f in found.inputFiles()}
+    assert 1 <= len(read) <= 2 < 16 and store.versions(spark, path) == [0, 1]
+
+
+def test_versions_that_are_not_complete_are_refused(spark, tmp_path):
+    path = str(tmp_path / "latest")
+    with pytest.raises(ValueError, match="version 1 is not there"):
+        store.materialize(keyed(spark, [("a", 1, 0, 1)]), path, ["k"], "at", "tie", 2)
+    with pytest.raises(ValueError, match="not there"):
+        store.lookup(keyed(spark, []).select("k"), path)
+    store.materialize(keyed(spark, []), path, ["k"], "at", "tie", 0)
+    assert store.lookup(keyed(spark, [("a", 1, 0, 1)]).select("k"), path).collect()[0].v is None
+    with pytest.raises(ValueError, match="other keys"):
+        store.materialize(keyed(spark, [("a", 1, 0, 1)]), path, ["k", "v"], "at", "tie", 1)
+
+
+def test_sets_of_ids_add_up(spark):
+    rng = np.random.default_rng(2)
+    rows = [("ab"[i % 2], int(i % 3), int(rng.integers(0, 90_000)), None if i % 11 == 0 else int(rng.integers(0, 40)), i % 5) for i in range(4000)]
+    df = spark.createDataFrame(rows, "part string, kind int, episode bigint, run bigint, bad bigint")
+    scopes = [["part", "kind"], ["part"], []]
+    sets = coverage.id_sets(df, ["part", "kind"], {"episodes": "episode", "runs": "run"}, {"bad": F.col("bad")})
+    got = {(r.scope, r.part, r.kind): (r.n_rows, r.bad, r.n_episodes, r.n_runs) for r in coverage.scoped(sets, ["part", "kind"], scopes, ["episodes", "runs"], ["bad"]).collect()}
+    want = {}
+    for k, scope in enumerate(scopes):
+        for part, kind, episode, run, bad in rows:
+            cell = want.setdefault((k, part if "part" in scope else None, kind if "kind" in scope else None), [0, 0, set(), set()])
+            cell[0] += 1
+            cell[1] += bad
+            cell[2].add(episode)
+            if run is not None:
+                cell[3].add(run)
+    assert got == {k: (n, bad, len(e), len(r)) for k, (n, bad, e, r) in want.items()}
+    assert coverage.scoped(coverage.id_sets(df.where("false"), ["part", "kind"], {"runs": "run"}, {}), ["part", "kind"], scopes, ["runs"], []).where("n_rows > 0").count() == 0
+
+
+def test_dimensions_that_name_each_other(spark):
+    plants = spark.createDataFrame([("p1", None, 0.0, 10.0), ("p2", "p1", 0.0, 5.0), ("p3", "p2", 0.0, 5.0)], "id string, owner string, low double, high double")
+    sensors = spark.createDataFrame([("s1", "p1", 9.0), ("s2", "p2", 4.0), ("s3", None, 1.0)], "id string, plant string, x double")
+
+    def dims(plants=plants, sensors=sensors):
+        return {
+            "plants": checks.Dimension(plants, "id", {"span": F.col("low") < F.col("high")}, {"owner": "plants"}, parent="owner"),
+            "sensors": checks.Dimension(sensors, "id", {}, {"plant": "plants"}, {"x": ("plant", "low", "high")}),
+        }
+
+    checks.whole(dims())
+    cases = {
+        "sensors s4: orphan .plant p9.": dims(sensors=sensors.union(spark.createDataFrame([("s4", "p9", 1.0)], sensors.schema))),
+        "sensors s4: out_of_range .x 7.0.": dims(sensors=sensors.union(spark.createDataFrame([("s4", "p2", 7.0)], sensors.schema))),
+        "sensors s1: repeated .2.": dims(sensors=sensors.union(spark.createDataFrame([("s1", "p1", 1.0)], sensors.schema))),
+        "plants None: absent_key": dims(plants=plants.union(spark.createDataFrame([(None, None, 0.0, 1.0)], plants.schema))),
+        "plants p4: rule .span.": dims(plants=plants.union(spark.createDataFrame([("p4", None, 2.0, 1.0)], plants.schema))),
+        "plants p4: cyclic .owner.": dims(plants=plants.union(spark.createDataFrame([("p4", "p5", 0.0, 1.0), ("p5", "p4", 0.0, 1.0), ("p6", "p5", 0.0, 1.0)], plants.schema))),
+        "plants p4: orphan .owner p0.": dims(plants=plants.union(spark.createDataFrame([("p4", "p0", 0.0, 1.0)], plants.schema)), sensors=sensors.union(spark.createDataFrame([("s4", "p9", 1.0)], sensors.schema))),
+    }
+    for message, case in cases.items():
+        with pytest.raises(ValueError, match=message):
+            checks.whole(case)
