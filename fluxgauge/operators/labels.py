@@ -23,9 +23,11 @@ def label(readings: DataFrame, episodes: DataFrame, on: list[str], step: str = "
     low, high = F.floor(F.col("start") / bin_steps), F.floor(F.col("last") / bin_steps)
     binned = bounded.where("start <= last").withColumn("__bin", F.explode(F.sequence(low, high)))
     placed = readings.withColumn("__bin", F.floor(F.col(step) / bin_steps))
-    inside = [placed[k] == binned[k] for k in (*on, "__bin")] + [placed[step].between(binned["start"], binned["last"])]
-    extra = [binned[c] for c in binned.columns if c not in (*on, "__bin")]
-    return placed.join(binned, inside, "left").select(*[placed[c] for c in readings.columns], *extra)
+    # Names of their own, as episodes are often made from the readings themselves.
+    theirs = binned.select(*[F.col(c).alias(f"__e_{c}") for c in binned.columns])
+    inside = [F.col(k) == F.col(f"__e_{k}") for k in (*on, "__bin")] + [F.col(step).between(F.col("__e_start"), F.col("__e_last"))]
+    extra = [F.col(f"__e_{c}").alias(c) for c in binned.columns if c not in (*on, "__bin")]
+    return placed.join(theirs, inside, "left").select(*readings.columns, *extra)
 
 
 def merge_disjoint(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

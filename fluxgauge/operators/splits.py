@@ -46,15 +46,15 @@ def _is_time(df: DataFrame, column: str) -> bool:
 def temporal_split(rows: DataFrame, by: list[str], step: str, train: float = TRAIN, validation: float = VALIDATION) -> DataFrame:
     """rows with `split`: distinct steps are ranked in each class and cut at floor(n * share).
 
-    Ranks are made over the distinct steps and joined back; see `ranked`.
+    Ranks are made over the distinct steps and joined back; see `ranked`. A row without a class or a step has no split.
     """
-    ranks = ranked(rows.select(*by, step).distinct(), by, step)
+    ranks = ranked(rows.select(*by, step).dropna().distinct(), by, step)
     first = F.floor(F.col("__n") * F.lit(train))
     second = first + F.floor(F.col("__n") * F.lit(validation))
     named = ranks.withColumn(
         "split", F.when(F.col("__r") < first, "train").when(F.col("__r") < second, "validation").otherwise("test")
     )
-    return rows.join(named.select(*by, step, "split"), [*by, step])
+    return rows.join(named.select(*by, step, "split"), [*by, step], "left")
 
 
 def metrics(split: DataFrame, step: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..functions.windows import Series
-from ..operators import checks, coverage, detect, features, inject, kalman, labels, placement, rules, sketches, spans, splits, stats, store, studies
+from ..operators import checks, coverage, dataset, detect, features, inject, kalman, labels, placement, rules, sketches, spans, splits, stats, store, studies, views
 from ..sources import archive, readings
 from ..streaming import windows as stream
 
@@ -860,9 +860,8 @@ def asof_ttl(spark, sf_dir):
 def latest_freshness(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     last = store.latest(e.select("user_id", "ts", "event_id", "value"), ["user_id"], "ts", "event_id")
-    asked = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
-    now = F.lit(e.agg(F.max("ts")).first()[0])
-    return store.served(asked, last, ["user_id"], "ts", now, 86400).select("user_id", F.col("event_id").cast("double").alias("event_id"), "value", "verdict")
+    asked = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id")).join(F.broadcast(e.agg(F.max("ts").alias("now"))))  # one row
+    return store.served(asked, last, ["user_id"], "ts", F.col("now"), 86400).select("user_id", F.col("event_id").cast("double").alias("event_id"), "value", "verdict")
 
 
 @query(
@@ -1511,3 +1510,99 @@ def dimension_defects(spark, sf_dir):
         "supplier": checks.Dimension(supplier, "s_suppkey", {"balance": F.col("s_acctbal") > -900}, {"nation": "nation"}, {"s_acctbal": ("nation", "lo", "hi")}),
     })
     return got.select("dimension", "kind", "key")
+
+
+# --- Labelled data sets.
+
+_FAULTY = {"click": "void_formation", "view": "drift", "purchase": "stuck", "signup": "coolant_flow_reduction"}
+_FAULT_OF = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{f}'" for k, f in _FAULTY.items()) + " END"
+_SEVERITY_OF = "CASE {} " + " ".join(f"WHEN '{k}' THEN '{s}'" for k, (_, s) in dataset.SCENARIOS.items() if s) + " END"
+_PROCESS = ", ".join(f"'{k}'" for k, (a, _) in dataset.SCENARIOS.items() if a == "process")
+# A run is a kind of event, with four sensors; a reading's true value is whole.
+_RUNS = f"""(SELECT kind AS run_id, sensor % 4 AS sensor_id, ts, event_id, CASE WHEN {_FAULT_OF} IN ('drift', 'stuck') AND v > 60 THEN v ELSE floor(v) END AS value, floor(v) AS true_value, v,
+  coalesce({_FAULT_OF}, 'normal') AS scenario, cast(row_number() OVER (PARTITION BY kind, sensor % 4 ORDER BY ts, event_id) - 1 AS BIGINT) AS timestep FROM {EVENTS})"""
+LABELLED = f"""rr AS {_RUNS}, fe AS (SELECT run_id, CASE WHEN scenario IN ({_PROCESS}) THEN NULL ELSE sensor_id END AS sensor_id, scenario AS fault, min(timestep) AS start
+  FROM rr WHERE scenario <> 'normal' AND v > 40 GROUP BY ALL),
+ee AS (SELECT *, CASE WHEN start % 3 = 0 THEN NULL ELSE start + 19 END AS last, concat_ws('/', run_id, cast(sensor_id AS VARCHAR), fault, cast(start AS VARCHAR)) AS id FROM fe),
+lb AS (SELECT rr.*, p.fault AS pf, i.fault AS f, coalesce(i.id, p.id) AS episode_id, coalesce(i.start, p.start) AS injected_at_step FROM rr
+  LEFT JOIN ee p ON p.sensor_id IS NULL AND p.run_id = rr.run_id AND timestep >= p.start AND (p.last IS NULL OR timestep <= p.last)
+  LEFT JOIN ee i ON i.sensor_id = rr.sensor_id AND i.run_id = rr.run_id AND timestep >= i.start AND (i.last IS NULL OR timestep <= i.last))"""
+
+
+def _labelled(spark, sf_dir) -> DataFrame:
+    e = events(spark, sf_dir).where("v IS NOT NULL")
+    fault = F.create_map(*[F.lit(x) for pair in _FAULTY.items() for x in pair])[F.col("kind")]
+    bent = fault.isin("drift", "stuck") & (F.col("v") > 60)
+    rows = e.select(
+        F.col("kind").alias("run_id"), (F.col("sensor") % 4).alias("sensor_id"), "ts", "event_id", "v", F.coalesce(fault, F.lit("normal")).alias("scenario"),
+        F.when(bent, F.col("v")).otherwise(F.floor("v").cast("double")).alias("value"), F.floor("v").cast("double").alias("true_value"),
+    )
+    rows = rows.withColumn("timestep", (F.row_number().over(Series(("run_id", "sensor_id"), ("ts", "event_id")).w) - 1).cast("bigint"))
+    sensor = F.when(dataset.axis_of(F.col("scenario")) == "instrument", F.col("sensor_id"))
+    episodes = rows.where("scenario <> 'normal' AND v > 40").groupBy("run_id", sensor.alias("sensor_id"), F.col("scenario").alias("fault")).agg(F.min("timestep").alias("start"))
+    episodes = episodes.withColumns({"last": F.when(F.col("start") % 3 != 0, F.col("start") + 19), "level": F.lit("full")})
+    return dataset.assemble(rows, episodes, dataset.Columns(at="ts"))
+
+
+@query(
+    f"""WITH {LABELLED} SELECT event_id, coalesce(pf, 'none') AS process_fault, {_SEVERITY_OF.format("pf")} AS process_severity, coalesce(f, 'none') AS instrument_fault,
+  {_SEVERITY_OF.format("f")} AS instrument_severity, episode_id, cast(injected_at_step AS DOUBLE) AS injected_at_step, CASE WHEN episode_id IS NOT NULL THEN epoch_us(min(CASE WHEN timestep = injected_at_step THEN ts END)
+  OVER (PARTITION BY episode_id, run_id)) END::DOUBLE AS injected_us, f IS NOT NULL AND value <> true_value AS corrupted, pf IS NOT NULL OR f IS NOT NULL AS labelled FROM lb"""
+)
+def label_axes(spark, sf_dir):
+    """Every reading's labels on both axes: the process's, for all sensors of a run, and the instrument's."""
+    got = _labelled(spark, sf_dir)
+    us = F.unix_micros(F.col("injected_at").cast("timestamp")).cast("double")
+    return got.select(
+        "event_id", "process_fault", "process_severity", "instrument_fault", "instrument_severity", "episode_id",
+        F.col("injected_at_step").cast("double").alias("injected_at_step"), us.alias("injected_us"), "corrupted", "labelled",
+    )
+
+
+@query(
+    f"""WITH {LABELLED} SELECT scenario, count(DISTINCT run_id) AS runs, count(*) AS readings, count(CASE WHEN pf IS NOT NULL OR f IS NOT NULL THEN 1 END) AS labelled,
+  count(CASE WHEN f IS NOT NULL AND value <> true_value THEN 1 END) AS corrupted, count(DISTINCT episode_id) AS episodes FROM lb GROUP BY ROLLUP (scenario)"""
+)
+def dataset_summary(spark, sf_dir):
+    """What a labelled data set holds, by scenario and in all."""
+    return dataset.by_scenario(_labelled(spark, sf_dir))
+
+
+@query(
+    f"""WITH {LABELLED}, t AS (SELECT coalesce({_SEVERITY_OF.format("f")}, {_SEVERITY_OF.format("pf")}) AS s FROM lb)
+  SELECT severity, count(CASE WHEN s = severity THEN 1 END) AS readings, {rs("count(CASE WHEN s = severity THEN 1 END) / count(*)")} AS fraction
+  FROM t, (SELECT unnest(['low', 'medium', 'high', 'critical']) AS severity) GROUP BY severity"""
+)
+def severity_fractions(spark, sf_dir):
+    """The share of all readings that each severity labels."""
+    return dataset.by_severity(_labelled(spark, sf_dir)).select("severity", "readings", r(F.col("fraction")).alias("fraction"))
+
+
+_RULES = {"above_80": "value > 80", "below_5": "value < 5", "uncertain": "value <> true_value"}
+
+
+@query(
+    f"""WITH {LABELLED} SELECT scenario, {", ".join(f"count(CASE WHEN {c} THEN 1 END) AS {n}" for n, c in _RULES.items())} FROM lb GROUP BY scenario
+  HAVING count(CASE WHEN {" OR ".join(_RULES.values())} THEN 1 END) > 0"""
+)
+def scenario_rule_matrix(spark, sf_dir):
+    """How often each scenario breaks each rule."""
+    rows = _labelled(spark, sf_dir)
+    broken = checks.violations(rows, {n: ~F.expr(c) for n, c in _RULES.items()}, ["scenario"])
+    return dataset.rule_matrix(broken, "scenario", "rule", list(_RULES))
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN o.us - f.us <= 172800000000 THEN f.value END AS value FROM (SELECT o_orderkey, cast(o_custkey % 15 AS VARCHAR) AS e,
+    epoch_us(TIMESTAMP '2024-01-01' + to_seconds(cast(o_orderkey % 2592000 AS BIGINT))) AS us FROM orders) o
+  ASOF LEFT JOIN (SELECT e, us, value FROM (SELECT *, row_number() OVER (PARTITION BY e, us ORDER BY event_id DESC) AS n FROM (
+    SELECT cast(user_id % 15 AS VARCHAR) AS e, epoch_us(date_trunc('hour', ts)) AS us, event_id, value FROM events)) WHERE n = 1) f ON o.e = f.e AND o.us >= f.us"""
+)
+def feature_view_history(spark, sf_dir):
+    """The feature that held for each order's entity and time, through a view with its time to live; of an hour's rows the last made counts."""
+    view = views.FeatureView("readings", 172800, features=("value",))
+    made = F.timestamp_seconds(F.col("event_id"))
+    rows = read(spark, sf_dir, "events").select((F.col("user_id") % 15).cast("string").alias("sensor_id"), F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("event_timestamp"), made.alias("created_timestamp"), "value")
+    at = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00")) + F.col("o_orderkey") % 2592000)
+    asked = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 15).cast("string").alias("sensor_id"), at.alias("event_timestamp"))
+    return view.history(asked, rows).select("o_orderkey", "value")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fluxgauge.functions import scalar
 from fluxgauge.functions.windows import Series
-from fluxgauge.operators import checks, coverage, detect, features, inject, kalman, labels, placement, rules, spans, splits, store, tracks
+from fluxgauge.operators import checks, coverage, dataset, detect, features, inject, kalman, labels, placement, rules, spans, splits, store, tracks, views
 
 S = Series(("sensor",), ("step",))
 
@@ -571,3 +571,68 @@ def test_dimensions_that_name_each_other(spark):
     for message, case in cases.items():
         with pytest.raises(ValueError, match=message):
             checks.whole(case)
+
+
+def two_axes(spark, episodes):
+    rows = [(run, sensor, step, f"2024-01-01 00:{step:02d}:00", float(step), float(step) + (run == "b" and sensor == "s2" and step > 4)) for run in "ab" for sensor in ("s1", "s2") for step in range(10)]
+    readings = spark.createDataFrame(rows, "run_id string, sensor_id string, timestep bigint, timestamp string, true_value double, value double")
+    planned = spark.createDataFrame(episodes, "run_id string, sensor_id string, fault string, level string, start bigint, last bigint")
+    return dataset.assemble(readings, planned)
+
+
+def test_both_axes_are_labelled(spark):
+    """A process fault labels all sensors, an instrument's its own; where both are, the instrument's episode names the row."""
+    got = two_axes(spark, [("a", None, "void_formation", "deep", 6, None), ("b", "s2", "drift", "slow", 4, 7), ("b", None, "core_temp_excursion", "one", 7, 8), ("c", "s1", "bias", "x", 0, 1)])
+    rows = {(r.run_id, r.sensor_id, r.timestep): r for r in got.collect()}
+    assert len(rows) == 40 and got.columns[-1] == "labelled"
+    assert all((r.process_fault == "void_formation") == (t >= 6) for (run, _, t), r in rows.items() if run == "a")
+    r = rows["b", "s2", 7]
+    assert (r.process_fault, r.process_severity, r.instrument_fault, r.instrument_severity, r.fault_level, r.injected_at_step, r.injected_at) == (
+        "core_temp_excursion", "critical", "drift", "high", "slow", 4, "2024-01-01 00:04:00",
+    )
+    assert rows["b", "s1", 7].episode_id == "b/core_temp_excursion/7" and rows["b", "s1", 4].instrument_fault == "none"
+    assert {k for k, r in rows.items() if r.corrupted} == {("b", "s2", t) for t in (5, 6, 7)}
+    assert sum(r.labelled for r in rows.values()) == 8 + 4 + 3
+    assert {(r.severity, r.readings, r.fraction) for r in dataset.by_severity(got).collect()} == {("low", 0, 0.0), ("medium", 0, 0.0), ("high", 4, 0.1), ("critical", 11, 0.275)}
+    whole = dataset.by_scenario(got.withColumn("scenario", F.col("run_id"))).where("scenario IS NULL").first()
+    assert (whole.runs, whole.readings, whole.labelled, whole.corrupted, whole.episodes) == (2, 40, 15, 3, 3)
+    assert dataset.by_severity(got.where("false")).where("readings > 0 OR fraction > 0").count() == 0
+
+
+def test_overlapping_episodes_are_refused(spark):
+    with pytest.raises(Exception, match="overlapping episodes: a, s1, 3"):
+        two_axes(spark, [("a", "s1", "drift", "x", 0, 3), ("a", "s1", "bias", "x", 3, 5)]).collect()
+    assert two_axes(spark, [("a", "s1", "drift", "x", 0, 3), ("a", "s2", "bias", "x", 3, 5)]).where("labelled").count() == 7
+    assert two_axes(spark, []).where("labelled OR corrupted").count() == 0
+
+
+def test_rows_without_a_step_or_class_have_no_split(spark):
+    df = spark.createDataFrame([("a", i) for i in range(10)] + [("a", None), (None, 3)], "c string, step bigint")
+    got = splits.temporal_split(df, ["c"], "step").collect()
+    assert len(got) == 12 and sum(r.split is None for r in got) == 2 and {r.step for r in got if r.split == "test"} == {8, 9}
+
+
+def test_feature_views(spark, tmp_path):
+    view = views.FeatureView("levels", ttl=60.0, features=("x", "y"))
+    rows = spark.createDataFrame(
+        [("s1", "2024-01-01 00:00:00", "2024-01-02", 1.0, 1.0), ("s1", "2024-01-01 00:00:00", "2024-01-03", 2.0, 1.0), ("s1", "2024-01-01 00:05:00", "2024-01-02", 3.0, None), ("s2", "2024-01-01 00:00:30", "2024-01-02", 4.0, 4.0)],
+        "sensor_id string, event_timestamp string, created_timestamp string, x double, y double",
+    )
+    assert view.source(rows).count() == 3 and view.source(rows).schema == view.schema
+    asked = spark.createDataFrame([("s1", "2024-01-01 00:01:00"), ("s1", "2024-01-01 00:01:01"), ("s2", "2024-01-01 00:00:00"), ("s3", "2024-01-01 00:00:00")], "sensor_id string, event_timestamp string").withColumn("event_timestamp", F.col("event_timestamp").cast("timestamp"))
+    got = {(r.sensor_id, str(r.event_timestamp)[14:]): r.x for r in view.history(asked, rows).collect()}
+    assert got == {("s1", "01:00"): 2.0, ("s1", "01:01"): None, ("s2", "00:00"): None, ("s3", "00:00"): None}
+    service = views.FeatureService("all", ((view, ("y",)), (views.FeatureView("others", 600.0, features=("x", "y")), ("x",))))
+    both = {(r.sensor_id, str(r.event_timestamp)[14:]): (r.y, r.x) for r in service.history(asked, {"levels": rows, "others": rows}).collect()}
+    assert both["s1", "01:01"] == (None, 2.0)
+    view.register(rows)
+    assert spark.sql("SELECT max(x) AS x FROM levels").first().x == 4.0
+    view.materialize(rows, str(tmp_path / "t"), 0)
+    now = F.lit("2024-01-01 00:05:30").cast("timestamp")
+    found = {r.sensor_id: (r.x, r.verdict) for r in view.online(asked.select("sensor_id").distinct(), str(tmp_path / "t"), now).collect()}
+    assert found == {"s1": (3.0, "fresh"), "s2": (4.0, "stale"), "s3": (None, "missing")}
+    with pytest.raises(ValueError, match="missing columns: y"):
+        view.source(rows.drop("y"))
+    with pytest.raises(ValueError):
+        views.FeatureView("v", 0.0)
+    assert len(views.FeatureView("all", 1.0).schema) == 31

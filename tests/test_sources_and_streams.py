@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fluxgauge.functions.windows import Series
 from fluxgauge.operators import detect, sketches, spans, tracks
-from fluxgauge.sources import archive, kafka, port, readings, reports, text_matrix, versioned
+from fluxgauge.sources import archive, kafka, port, readings, reports, runs, text_matrix, versioned
 from fluxgauge.streaming import judge, loop, telemetry, windows
 
 
@@ -503,3 +503,28 @@ def test_sketches_add_up_and_slide(spark):
     one.merge(two)
     assert one.cumulative() == {1: 2, 2: 3, float("inf"): 4} and one.sum == 6.5
     assert sketches.Sliding(0.1, 5).quantile(0.5) is None
+
+
+def test_stored_runs_are_found_and_read_in_order(spark, tmp_path):
+    root = str(tmp_path / "tep")
+    with pytest.raises(FileNotFoundError, match="run adapt first"):
+        runs.discover(spark, root, "adapt")
+    (tmp_path / "tep").mkdir()
+    with pytest.raises(FileNotFoundError, match="no fault_type= folder"):
+        runs.discover(spark, root, "adapt")
+    for n in (10, 2, 0):
+        spark.createDataFrame([(n, float(n))], "step int, v double").write.parquet(f"{root}/fault_type={n}")
+    (tmp_path / "tep" / "fault_type=x").mkdir()
+    (tmp_path / "tep" / "fault_type=7").mkdir()
+    (tmp_path / "tep" / "notes").mkdir()
+    assert list(runs.discover(spark, root, "adapt")) == [0, 2, 10]
+    read = runs.in_order(spark, root, "adapt", columns=["v"])
+    assert [(n, [tuple(r) for r in rows.collect()]) for n, rows in read] == [(n, [(float(n), n)]) for n in (0, 2, 10)]
+    (tmp_path / "tep" / "fault_type=1").mkdir()
+    (tmp_path / "tep" / "fault_type=1" / "bad.parquet").write_text("no")
+    turn = runs.in_order(spark, root, "adapt")
+    assert next(turn)[0] == 0
+    with pytest.raises(ValueError, match="fault_type=1 is not readable"):
+        next(turn)
+    with pytest.raises(ValueError, match="missing columns: w"):
+        next(runs.in_order(spark, root, "adapt", columns=["w"]))
