@@ -59,6 +59,7 @@ distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
 _UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
 publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
 commercial or non-commercial, and by any means."""
+_LGPL = _GPL.replace("GNU General", "GNU Lesser General")
 #: Licence texts and notices by name; a name's part after the slash tells its forms apart.
 TEMPLATES: dict[str, str] = {
     "MIT/text": _MIT,
@@ -72,6 +73,12 @@ TEMPLATES: dict[str, str] = {
     "GPL-3.0/header": _GPL.format(3),
     "MPL-2.0/header": _MPL,
     "Unlicense/text": _UNLICENSE,
+    "AGPL-3.0/header": _GPL.replace("GNU General", "GNU Affero General").format(3),
+    "BSD-3-Clause/text": f"""{_BSD} Neither the name of the copyright holder nor the names of its contributors may be used
+to endorse or promote products derived from this software without specific prior written permission.""",
+    "LGPL-2.1/header": _LGPL.replace("program", "library").format("2.1"),
+    "LGPL-3.0/header": _LGPL.format(3),
+    "LGPL-3.0/library": _LGPL.replace("program", "library").format(3),
 } | {
     f"{name}-{v}.0/{form}": text.format(v=v)
     for name, form, text, versions in (
@@ -85,16 +92,6 @@ TEMPLATES: dict[str, str] = {
 }
 
 
-_LGPL = _GPL.replace("GNU General", "GNU Lesser General")
-#: Templates of windows alone; without them these licences' texts would count as their nearest relatives'.
-WINDOW_TEMPLATES: dict[str, str] = {
-    "AGPL-3.0/header": _GPL.replace("GNU General", "GNU Affero General").format(3),
-    "BSD-3-Clause/text": f"""{_BSD} Neither the name of the copyright holder nor the names of its contributors may be used
-to endorse or promote products derived from this software without specific prior written permission.""",
-    "LGPL-2.1/header": _LGPL.replace("program", "library").format("2.1"),
-    "LGPL-3.0/header": _LGPL.format(3),
-    "LGPL-3.0/library": _LGPL.replace("program", "library").format(3),
-}
 #: Words that many texts have; they are keywords only where a template needs them.
 COMMON = frozenset("a an and any as at be by for free from in is it not of on or other person same that the this to under use which will with work you".split())
 
@@ -181,19 +178,18 @@ def common(t: Column, grams: Column) -> Column:
 
 def by_window(docs: DataFrame, keep: list[str], text_col: str, templates: Mapping[str, str], threshold: float) -> DataFrame:
     """Windows that reach the threshold, in what is left of each text without the passages that do."""
-    all_of = templates | WINDOW_TEMPLATES if templates is TEMPLATES else dict(templates)
     rows = []
-    for name, text in sorted(all_of.items()):
+    for name, text in sorted(templates.items()):
         grams = bigrams_of(text)
         n = sum(grams.values())
         if n:
-            rows.append((name, n, sizes(n, threshold)[0], sizes(n, threshold)[-1], name in templates, list(grams), list(grams.values())))
-    schema = "__all array<struct<license: string, n: int, low: int, high: int, own: boolean, bigrams: array<string>, counts: array<int>>>, __grams array<string>"
-    every = docs.sparkSession.createDataFrame([(rows, sorted({g for r in rows for g in r[5]}))], schema)
+            rows.append((name, n, sizes(n, threshold)[0], sizes(n, threshold)[-1], list(grams), list(grams.values())))
+    schema = "__all array<struct<license: string, n: int, low: int, high: int, bigrams: array<string>, counts: array<int>>>, __grams array<string>"
+    every = docs.sparkSession.createDataFrame([(rows, sorted({g for r in rows for g in r[4]}))], schema)
     # More words than a window has, so that none goes over a matched passage.
     gap = " \n" * (max((r[3] for r in rows), default=0) + 2) + " "
     able = F.lit(False)
-    for w in keywords(all_of, threshold):
+    for w in keywords(templates, threshold):
         able = able | F.col("__lower").contains(w)
 
     def plain(p: Column) -> Column:
@@ -212,7 +208,7 @@ def by_window(docs: DataFrame, keep: list[str], text_col: str, templates: Mappin
         return F.struct(u["p"].alias("p"), u["n"].alias("n"), u["b"].alias("b"), F.array_intersect("__grams", u["b"]).alias("g"))
 
     def matches(u: Column) -> Column:
-        fits = lambda t: t["own"] & (u["n"] >= t["low"]) & (u["n"] <= t["high"]) & able_of(t, u["g"])
+        fits = lambda t: (u["n"] >= t["low"]) & (u["n"] <= t["high"]) & able_of(t, u["g"])
         return F.exists(F.filter("__all", fits), lambda t: 2.0 * common(t, u["b"]) / (u["n"] + t["n"]) >= threshold)
 
     def left_of(p: Column) -> Column:
@@ -246,41 +242,54 @@ def by_window(docs: DataFrame, keep: list[str], text_col: str, templates: Mappin
     )
 
     def marks(t: Column) -> Column:
+        """Where the template's bigrams are, and for each of these marks the last one before it that it is one too many with."""
         at = F.filter(F.sequence(F.lit(1), F.size("__b")), lambda i: F.array_contains(t["bigrams"], F.element_at("__b", i)))
-        return F.struct(t.alias("t"), at.alias("at"))
+        return F.struct(t.alias("t"), at.alias("at"), F.transform(at, lambda i: F.element_at("__b", i)).alias("gram"))
+
+    def repeats(m: Column) -> Column:
+        """A bigram that the template has c times counts in a window unless c of its kind come before it there: `past` is the c-th of those, or 0."""
+        t, gram = m["t"], m["gram"]
 
-    near = F.transform("__able", marks)
+        def past(g: Column, k: Column) -> Column:  # k from 0
+            c = F.element_at(t["counts"], F.array_position(t["bigrams"], g).cast("int"))
+            first = F.greatest(k - t["high"], F.lit(0))
+            same = F.filter(F.transform(F.slice(gram, first + 1, k - first), lambda x, d: F.when(x == g, first + d + 1)), lambda d: d.isNotNull())
+            return F.coalesce(F.get(same, F.size(same) - c), F.lit(0))
+
+        return F.struct(t.alias("t"), m["at"].alias("at"), F.transform(gram, past).alias("past"))
+
+    near = F.transform(F.transform("__able", marks), repeats)
 
     def windows(m: Column) -> Column:
-        t, at, k = m["t"], m["at"], F.size(m["at"])
+        t, at, past, k = m["t"], m["at"], m["past"], F.size(m["at"])
 
         def size(i: Column, j: Column) -> Column:
             return F.element_at(at, j) - F.element_at(at, i) + 1
 
         def of(i: Column) -> Column:
-            # A window can't have more in common than it has bigrams of the template.
-            able = F.filter(
-                F.sequence(i, F.least(k, i + t["high"] - 1)),
-                lambda j: (size(i, j) <= t["high"]) & (2.0 * (j - i + 1) / (size(i, j) + t["n"]) >= threshold),
-            )
-            shared = F.transform(
-                able,
-                lambda j: F.struct(
-                    common(t, F.slice("__b", F.element_at(at, i), size(i, j))).alias("c"), size(i, j).alias("n"),
-                    F.element_at(at, i).alias("s"), F.element_at(at, j).alias("e"),
-                ),
+            """Windows from mark i on; bigrams in common with those of marks i to j are the marks among them that aren't one too many."""
+            far = F.filter(F.sequence(i, F.least(k, i + t["high"] - 1)), lambda j: size(i, j) <= t["high"])
+            shared = F.aggregate(
+                F.slice(past, i, F.size(far)), F.array().cast("array<int>"),
+                lambda c, p: F.concat(c, F.array(F.coalesce(F.get(c, F.size(c) - 1), F.lit(0)) + F.when(p < i, 1).otherwise(0))),
             )
+            reached = F.filter(
+                F.transform(shared, lambda c, d: F.struct(c.alias("c"), size(i, i + d).alias("n"), F.element_at(at, i).alias("s"), F.element_at(at, i + d).alias("e"))),
+                lambda w: 2.0 * w["c"] / (w["n"] + t["n"]) >= threshold,
+            )
             return F.transform(
-                shared,
+                reached,
                 lambda w: F.struct(
                     (w["n"] + t["n"] - 3 * w["c"]).alias("loss"), (-2.0 * w["c"] / (w["n"] + t["n"])).alias("minus"),
                     t["license"].alias("license"), w["s"].alias("s"), w["e"].alias("e"),
                 ),
             )
 
-        return F.flatten(F.transform(F.sequence(F.lit(1), k), of))
+        # A window has `low` marks at least, so that many must lie within the longest one.
+        able = F.filter(F.sequence(F.lit(1), F.greatest(k - t["low"] + 1, F.lit(1))), lambda i: (i + t["low"] - 1 <= k) & (size(i, F.least(k, i + t["low"] - 1)) <= t["high"]))
+        return F.flatten(F.transform(able, of))
 
-    every_window = F.filter(F.flatten(F.transform("__near", windows)), lambda w: w["minus"] <= -threshold)
+    every_window = F.flatten(F.transform("__near", windows))
     none = F.array().cast("array<struct<loss: int, minus: double, license: string, s: int, e: int>>")
     best = F.aggregate(
         F.array_sort("__windows"),

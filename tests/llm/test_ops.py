@@ -509,8 +509,81 @@ def test_licenses_across_lines_and_within_them(spark):
     assert 8 not in found
 
 
+def test_one_line_headers_are_their_own_licences(spark):
+    names = ["GPL-3.0/header", "LGPL-3.0/header", "AGPL-3.0/header", "LGPL-2.1/header", "BSD-3-Clause/text", "BSD-2-Clause/text"]
+    lines = [" ".join(licenses.TEMPLATES[n].split()) for n in names]
+    texts = [x for line in lines for x in (line, f"Some words before it. {line} And some words behind it.")]
+    got = {}
+    for r in licenses.scan(docs(spark, texts), ["doc_id"]).collect():
+        got.setdefault(r.doc_id, []).append((r.license, r.score))
+    assert {i: [x[0] for x in v] for i, v in got.items()} == {i: [names[i // 2]] for i in range(12)}
+    # A line that is near enough as a whole counts as a whole.
+    assert all(v[0][1] == 1.0 if i % 2 == 0 else 0.9 < v[0][1] < 1.0 for i, v in got.items())
+
+
+def plain_windows(text, templates, threshold):
+    """All runs of words from one of a template's bigrams to another, compared by counting; the best of those that overlap."""
+    words = licenses.words_of(text)
+    grams = list(zip(words, words[1:], strict=False))
+    found = []
+    for name, template in templates.items():
+        have = Counter({tuple(g.split(" ")): k for g, k in licenses.bigrams_of(template).items()})
+        n = sum(have.values())
+        at = [i for i, g in enumerate(grams) if g in have]
+        for i in at:
+            for j in at:
+                if j >= i:
+                    c = sum((Counter(grams[i : j + 1]) & have).values())
+                    dice = 2 * c / (j - i + 1 + n)
+                    if dice >= threshold:
+                        found.append((j - i + 1 + n - 3 * c, -dice, name, i, j))
+    kept = []
+    for w in sorted(found):
+        if not any(x[3] <= w[4] and w[3] <= x[4] for x in kept):
+            kept.append(w)
+    return sorted({(w[2], round(-w[1], 6), w[4] - w[3] + 1, " ".join(words[w[3] : w[4] + 2])) for w in kept})
+
+
+def test_windows_are_those_of_a_plain_search(spark):
+    """On texts whose windows overlap, repeat bigrams and lack words."""
+    rng = random.Random(11)
+    templates = {"A": "a b c d e f g h", "B": "a b a b c d a b e", "C": "e f g h i j", "D": "x y"}
+    texts = []
+    for _ in range(120):
+        words = rng.choices("abcdefghijxyz", k=rng.randint(0, 5))
+        for _ in range(rng.randint(1, 4)):
+            part = rng.choice(list(templates.values())).split()
+            if rng.random() < 0.6:
+                part[rng.randrange(len(part))] = rng.choice("abcdez")
+            words += part + rng.choices("abcdefghijxyz", k=rng.randint(0, 4))
+        texts.append(" ".join(words))
+    rows = docs(spark, texts).select(F.struct("doc_id").alias("r"), "text")
+    got = {}
+    for r in licenses.by_window(rows, ["r"], "text", templates, 0.8).collect():
+        got.setdefault(r.r.doc_id, []).append((r.license, r.score, r.n_bigrams, r.passage))
+    whole = {r.r.doc_id for r in licenses.by_passage(rows, ["r"], "text", templates, 0.8).collect()}
+    # A text that is a passage as a whole has no windows left.
+    want = {i: plain_windows(t, templates, 0.8) for i, t in enumerate(texts) if i not in whole}
+    assert {i: sorted(v) for i, v in got.items()} == {i: v for i, v in want.items() if v}
+    assert sum(map(len, want.values())) > 150
+
+
+def test_a_bundle_of_many_notices(spark):
+    """A file of 160 licences, in paragraphs that hold other words too, takes seconds, not minutes."""
+    import time
+
+    filler = sentences(160, 5, words=12)
+    bundle = "\n".join(f"{f}. {licenses.TEMPLATES['MIT/text']} Copyright {i}" for i, f in enumerate(filler))
+    licenses.scan(docs(spark, ["Released under the MIT License, maybe. " + filler[0]]), ["doc_id"]).collect()
+    began = time.perf_counter()
+    got = licenses.scan(docs(spark, [bundle.replace("\n", " ")]), ["doc_id"]).groupBy("license").agg(F.count("*").alias("n"), F.min("score").alias("s")).collect()
+    took = time.perf_counter() - began
+    # Equal passages of a text count once.
+    assert [(r.license, r.s) for r in got] == [("MIT/text", 1.0)] and took < 40
+
+
 def test_license_keywords_lose_nothing():
-    every = licenses.TEMPLATES | licenses.WINDOW_TEMPLATES
+    every = licenses.TEMPLATES
     keys = licenses.keywords(every, licenses.THRESHOLD)
     for text in every.values():
         grams = licenses.bigrams_of(text)
