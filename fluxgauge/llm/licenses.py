@@ -12,7 +12,7 @@ Licences also stand across lines and paragraphs, in comments, and in the middle
 passage above has matched is searched for windows: any run of words, of whatever lines, from one of a
 template's bigrams to another, that reaches the threshold. Of windows that overlap, that one counts which
 has the most bigrams in common, less those that it or the template has alone; so a whole header goes
-before a notice in it. A text is searched if it has one of `keywords`, without which no window can reach it.
+before a notice in it. A text is searched if it has one of `keywords`, without which no passage or window can reach it.
 
 Null and empty texts, and passages of fewer than two words, match nothing; an empty table has no rows. A
 text of any length is scanned whole. Columns may have any names. Of several templates that
@@ -132,6 +132,15 @@ def keywords(templates: Mapping[str, str], threshold: float) -> list[str]:
     return sorted(w for w in found if not any(o != w and o in w for o in found))
 
 
+def searched(docs: DataFrame, text_col: str, templates: Mapping[str, str], threshold: float) -> DataFrame:
+    """The rows whose text has one of the keywords, without which nothing in it can reach the threshold."""
+    lower = docs.select("*", F.explode(F.array(F.lower(F.col(text_col).cast("string")))).alias("__lower"))
+    able = F.lit(False)
+    for w in keywords(templates, threshold):
+        able = able | F.col("__lower").contains(w)
+    return lower.where(able).drop("__lower")
+
+
 def by_size(spark: SparkSession, templates: Mapping[str, str], threshold: float) -> DataFrame:
     """Columns __n, __templates (array of license, n, bigrams, counts): the candidates of each size."""
     rows: dict[int, list] = {}
@@ -188,9 +197,6 @@ def by_window(docs: DataFrame, keep: list[str], text_col: str, templates: Mappin
     every = docs.sparkSession.createDataFrame([(rows, sorted({g for r in rows for g in r[4]}))], schema)
     # More words than a window has, so that none goes over a matched passage.
     gap = " \n" * (max((r[3] for r in rows), default=0) + 2) + " "
-    able = F.lit(False)
-    for w in keywords(templates, threshold):
-        able = able | F.col("__lower").contains(w)
 
     def plain(p: Column) -> Column:
         return F.trim(F.regexp_replace(F.translate(p, "\n", " "), "  +", " "))
@@ -222,8 +228,7 @@ def by_window(docs: DataFrame, keep: list[str], text_col: str, templates: Mappin
     words = F.split("__rest", " ")
     texts = (
         docs.select(*keep, F.col(text_col).alias("__text"))
-        .select(*once(F.lower(F.col("__text").cast("string")), "__lower"))
-        .where(able)
+        .transform(lambda d: searched(d, "__text", templates, threshold))
         .select(*keep, F.explode(F.array(normalised(F.col("__text")))).alias("__flat"))
         .join(F.broadcast(every))
         .select(*once(F.filter(F.transform(passages(F.col("__flat")), sized), lambda u: u["n"] >= 1), "__sized"))
@@ -254,7 +259,7 @@ def by_window(docs: DataFrame, keep: list[str], text_col: str, templates: Mappin
             c = F.element_at(t["counts"], F.array_position(t["bigrams"], g).cast("int"))
             first = F.greatest(k - t["high"], F.lit(0))
             same = F.filter(F.transform(F.slice(gram, first + 1, k - first), lambda x, d: F.when(x == g, first + d + 1)), lambda d: d.isNotNull())
-            return F.coalesce(F.get(same, F.size(same) - c), F.lit(0))
+            return F.coalesce(F.try_element_at(same, -c), F.lit(0))
 
         return F.struct(t.alias("t"), m["at"].alias("at"), F.transform(gram, past).alias("past"))
 
@@ -322,7 +327,8 @@ def by_passage(docs: DataFrame, keep: list[str], text_col: str, templates: Mappi
     grams = grams_of(F.split("__p", " "), F.col("__n"))
     # explode() of one element keeps an expression from being put into the lambdas that use it.
     units = (
-        docs.select(*keep, F.explode(F.array(normalised(F.col(text_col)))).alias("__flat"))
+        searched(docs, text_col, templates, threshold)
+        .select(*keep, F.explode(F.array(normalised(F.col(text_col)))).alias("__flat"))
         .select(*keep, F.explode(passages(F.col("__flat"))).alias("__p"))
         # As many spaces as bigrams.
         .withColumn("__n", F.length("__p") - F.length(F.translate("__p", " ", "")))
