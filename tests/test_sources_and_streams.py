@@ -506,25 +506,50 @@ def test_sketches_add_up_and_slide(spark):
 
 
 def test_stored_runs_are_found_and_read_in_order(spark, tmp_path):
-    root = str(tmp_path / "tep")
+    root = str(tmp_path / "stored")
     with pytest.raises(FileNotFoundError, match="run adapt first"):
         runs.discover(spark, root, "adapt")
-    (tmp_path / "tep").mkdir()
+    (tmp_path / "stored").mkdir()
     with pytest.raises(FileNotFoundError, match="no fault_type= folder"):
         runs.discover(spark, root, "adapt")
     for n in (10, 2, 0):
         spark.createDataFrame([(n, float(n))], "step int, v double").write.parquet(f"{root}/fault_type={n}")
-    (tmp_path / "tep" / "fault_type=x").mkdir()
-    (tmp_path / "tep" / "fault_type=7").mkdir()
-    (tmp_path / "tep" / "notes").mkdir()
+    (tmp_path / "stored" / "fault_type=x").mkdir()
+    (tmp_path / "stored" / "fault_type=7").mkdir()
+    (tmp_path / "stored" / "notes").mkdir()
     assert list(runs.discover(spark, root, "adapt")) == [0, 2, 10]
     read = runs.in_order(spark, root, "adapt", columns=["v"])
     assert [(n, [tuple(r) for r in rows.collect()]) for n, rows in read] == [(n, [(float(n), n)]) for n in (0, 2, 10)]
-    (tmp_path / "tep" / "fault_type=1").mkdir()
-    (tmp_path / "tep" / "fault_type=1" / "bad.parquet").write_text("no")
+    (tmp_path / "stored" / "fault_type=1").mkdir()
+    (tmp_path / "stored" / "fault_type=1" / "bad.parquet").write_text("no")
     turn = runs.in_order(spark, root, "adapt")
     assert next(turn)[0] == 0
     with pytest.raises(ValueError, match="fault_type=1 is not readable"):
         next(turn)
     with pytest.raises(ValueError, match="missing columns: w"):
         next(runs.in_order(spark, root, "adapt", columns=["w"]))
+
+
+def test_dimension_files(spark, tmp_path):
+    path = str(tmp_path / "spans.json")
+    df = spans.derive(spark.createDataFrame([("s2", 1.0), ("s2", 4.0), ("s1", 1 / 3)], "sensor string, v double"), "sensor", "v")
+    text = reports.write_dimension(df, path, "sensors", "sensor")
+    assert text == pathlib.Path(path).read_text() == reports.write_dimension(df.repartition(3), path, "sensors", "sensor")
+    table = json.loads(text)["sensors"]
+    assert list(table) == ["s1", "s2"] and table["s1"]["low"] == round(table["s1"]["low"], 6)
+    again = reports.read_dimension(spark, path, "sensors", "sensor", df.schema)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, df.select([F.round(c, 6).alias(c) if t == "double" else c for c, t in df.dtypes]).collect()))
+    with pytest.raises(ValueError, match="no section water"):
+        reports.read_dimension(spark, path, "water", "sensor", df.schema)
+    with pytest.raises(ValueError, match="other columns"):
+        reports.read_dimension(spark, path, "sensors", "sensor", df.drop("low").schema)
+    for rows in ([("a", 1.0), ("a", 2.0)], [(None, 1.0)], [("a", float("nan"))]):
+        with pytest.raises(ValueError):
+            reports.write_dimension(spark.createDataFrame(rows, "k string, v double"), path, "x", "k")
+    assert pathlib.Path(path).read_text() == text
+
+
+def test_placeholders_are_resolved_or_named():
+    assert reports.expanded("redis://${HOST}:${PORT}/$x ${HOST}", {"HOST": "h", "PORT": "1"}) == "redis://h:1/$x h"
+    with pytest.raises(ValueError, match="not set: A, B"):
+        reports.expanded("${B} ${A} ${B}", {"A": ""})
