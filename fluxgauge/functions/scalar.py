@@ -28,6 +28,12 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def mean(x: Column) -> Column:
+    """The mean of a group, the same in whatever order it is added up: what 14 decimal places hold is summed exactly, the rest as doubles."""
+    exact = F.when(F.abs(x) < 1e14, x.cast("decimal(28,14)")).when(x.isNotNull(), F.lit(0).cast("decimal(28,14)"))
+    return F.avg(exact).cast("double") + F.avg(x - exact.cast("double"))
+
+
 def clamp(x: Column, low: Column | float, high: Column | float) -> Column:
     low, high = (v if isinstance(v, Column) else F.lit(float(v)) for v in (low, high))
     return F.when(x.isNotNull(), F.least(F.greatest(x, low), high))

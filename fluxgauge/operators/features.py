@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import clean
+from ..functions.scalar import clean, mean
 from ..functions.windows import Series
 from . import kalman
 
@@ -53,12 +53,13 @@ def look_back(x: np.ndarray, place: np.ndarray, interval: float, least: int = LE
     out: dict[str, np.ndarray] = {}
     for w in WINDOWS:
         c = there[:w].sum(axis=0)
-        mean = filled[:w].sum(axis=0) / np.maximum(c, 1)
-        square = np.where(there[:w], (lags[:w] - mean) ** 2, 0.0).sum(axis=0)
+        low = np.where(there[:w], lags[:w], np.inf).min(axis=0)
+        above = np.where(there[:w], lags[:w] - np.where(c > 0, low, 0.0), 0.0)  # equal values have no spread, whatever their sum rounds to
+        square = np.where(there[:w], (above - above.sum(axis=0) / np.maximum(c, 1)) ** 2, 0.0).sum(axis=0)
         enough = c >= least
         out |= {
-            f"mean_{w}": _nothing(enough, mean), f"std_{w}": _nothing(enough & (c > 1), np.sqrt(square / np.maximum(c - 1, 1))),
-            f"min_{w}": _nothing(enough, np.where(there[:w], lags[:w], np.inf).min(axis=0)),
+            f"mean_{w}": _nothing(enough, filled[:w].sum(axis=0) / np.maximum(c, 1)), f"std_{w}": _nothing(enough & (c > 1), np.sqrt(square / np.maximum(c - 1, 1))),
+            f"min_{w}": _nothing(enough, low),
             f"max_{w}": _nothing(enough, np.where(there[:w], lags[:w], -np.inf).max(axis=0)),
         }
     out |= {f"lag_{k}": lags[k] for k in LAGS}
@@ -68,7 +69,10 @@ def look_back(x: np.ndarray, place: np.ndarray, interval: float, least: int = LE
     at = -np.arange(SLOPE, dtype=float)[:, None] + (places - 1) / 2  # places about their middle
     inside = np.arange(SLOPE)[:, None] < places
     spread = np.where(inside, at**2, 0.0).sum(axis=0)
-    level = filled[:SLOPE].sum(axis=0) / places
+    level = np.zeros(n)
+    for k in range(SLOPE - 1, -1, -1):  # the oldest first, as a window's average is, so that the same values lie on it
+        level += filled[k]
+    level /= places
     slope = np.where(inside, at * (filled[:SLOPE] - level), 0.0).sum(axis=0) / np.where(spread > 0, spread, 1.0) / interval
     enough = there[:SLOPE].sum(axis=0) >= least
     out[f"slope_{SLOPE}"] = _nothing(enough & whole, slope)
@@ -146,7 +150,7 @@ def feature_table(
         *[F.col(c) for c in dict.fromkeys((run, step, sensor, *keep))], x.alias("__x"), (F.unix_micros(moment) / 1e6).alias("__s"),
         F.hour(moment).cast("double").alias("hour_of_day"), F.weekday(moment).cast("double").alias("day_of_week"), F.col(kind).alias("__kind"),
     )
-    power = rows.where("__kind = 'position'").groupBy(run, step).agg(F.avg("__x").alias("power_level_pct"))
+    power = rows.where("__kind = 'position'").groupBy(run, step).agg(mean(F.col("__x")).alias("power_level_pct"))
     rows = rows.drop("__kind").join(power, [run, step], "left")
     extra = []
     for a, b in pairs:

@@ -186,6 +186,28 @@ def test_feature_table_has_28_features_and_does_not_cross_runs(spark):
     assert last.slope_10 == pytest.approx(1 / 60) and last.mean_10 == pytest.approx(106.5) and last.power_level_pct == 111.0
 
 
+def _features_of(spark, rows):
+    df = spark.createDataFrame(rows, "run_id int, step bigint, sensor string, at string, value double, kind string").withColumn("at", F.col("at").cast("timestamp"))
+    return features.feature_table(df.coalesce(1), "run_id", "sensor", "step", "at", "value", "kind", 60.0).toPandas().sort_values("step")
+
+
+def test_an_instants_mean_is_exact(spark):
+    # Added up as doubles, ten tenths are 0.9999999999999999.
+    got = _features_of(spark, [(0, 0, f"p{k}", "2024-01-01 00:00:00", 0.1, "position") for k in range(10)])
+    assert (got.power_level_pct == 0.1).all()
+    rows = [(0, 0, f"p{k}", "2024-01-01 00:00:00", v, "position") for k, v in enumerate([1e300, 3e300, None, 2e-20])]
+    assert _features_of(spark, rows).power_level_pct.tolist() == [pytest.approx(4e300 / 3)] * 4
+
+
+def test_equal_values_have_no_spread_and_a_windows_mean_is_added_up_from_the_oldest(spark):
+    rows = [(0, i, "q", f"2024-01-01 00:{i:02d}:00", 0.1, "flow") for i in range(3)]
+    got = _features_of(spark, rows)
+    assert got.std_10[2] == 0.0 and got.variance_ratio.isna().all()
+    values = [10.08, 6.98, 5.64, 19.13, 21.14, 52.4, 17.24, 15.36, 3.83, 1.8]  # their sum, from the oldest, is 153.60000000000005
+    got = _features_of(spark, [(0, i, "q", f"2024-01-01 00:{i:02d}:00", v, "flow") for i, v in enumerate(values)])
+    assert got.zero_crossing_rate_10[9] == pytest.approx(2 / 9)
+
+
 def test_features_of_missing_readings(spark):
     rows = [(0, i, "q", f"2024-01-01 00:{i:02d}:00", v, "flow") for i, v in enumerate([1.0, 9.0, None, 9.0, float("inf"), 9.0, 9.0])]
     df = spark.createDataFrame(rows, "run_id int, step bigint, sensor string, at string, value double, kind string").withColumn("at", F.col("at").cast("timestamp"))
