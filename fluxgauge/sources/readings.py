@@ -21,7 +21,8 @@ MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 def parse(messages: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
     """Valid readings, and quarantined messages with `broken`: tombstone, not_json or the rules they break."""
     text = F.col(value).cast("string")
-    parsed = messages.withColumn("__r", F.from_json(text, SCHEMA, {"mode": "PERMISSIVE"}))
+    # One row each: filters stay above the explode, so that a message is parsed once and not for each rule.
+    parsed = messages.select("*", F.explode(F.array(F.from_json(text, SCHEMA, {"mode": "PERMISSIVE"}))).alias("__r"))
     tests = [F.when(~F.coalesce(ok, F.lit(False)), F.lit(n)) for n, ok in rules("__r").items()]
     broken = F.when(text.isNull(), F.array(F.lit("tombstone"))).when(
         F.col("__r").isNull() | F.col("__r.reading_id").isNull() & F.col("__r.sensor").isNull(), F.array(F.lit("not_json"))

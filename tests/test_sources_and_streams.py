@@ -553,3 +553,14 @@ def test_placeholders_are_resolved_or_named():
     assert reports.expanded("redis://${HOST}:${PORT}/$x ${HOST}", {"HOST": "h", "PORT": "1"}) == "redis://h:1/$x h"
     with pytest.raises(ValueError, match="not set: A, B"):
         reports.expanded("${B} ${A} ${B}", {"A": ""})
+
+
+def _parses(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("from_json(")
+
+
+def test_a_quarantined_message_is_parsed_once(spark):
+    messages = spark.createDataFrame([("a", None), ("b", "{}"), ("c", "no json")], "key string, value string")
+    _, bad = readings.parse(messages)
+    assert _parses(bad.select(F.explode("broken").alias("what")).groupBy("what").count()) == 1
+    assert {r["key"] for r in bad.collect()} == {"a", "b", "c"} and bad.columns == ["key", "value", "broken"]
