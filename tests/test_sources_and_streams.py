@@ -564,3 +564,9 @@ def test_a_quarantined_message_is_parsed_once(spark):
     _, bad = readings.parse(messages)
     assert _parses(bad.select(F.explode("broken").alias("what")).groupBy("what").count()) == 1
     assert {r["key"] for r in bad.collect()} == {"a", "b", "c"} and bad.columns == ["key", "value", "broken"]
+
+
+def test_a_valid_message_is_parsed_once(spark, sf):
+    from fluxgauge.plans.queries import message_roundtrip
+
+    assert _parses(message_roundtrip(spark, sf)) == 1
