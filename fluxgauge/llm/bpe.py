@@ -32,6 +32,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
@@ -91,7 +92,9 @@ class Vocabulary:
         self.mark = END if self.end else ""
         self.lookahead = sufficient_lookahead(merges, self.end)
         self.names = {i: str(i) for i in self.texts}
-        self.pairs: dict[int, bool] = {}
+        #: Of a token the tokens that were tried at its right, and whether they stand rightly there; and how many in all.
+        self.right: defaultdict[int, dict[int, bool]] = defaultdict(dict)
+        self.tried = 0
         self.matches = self._automaton()
 
     def symbols(self, token: str) -> list[str]:
@@ -142,10 +145,10 @@ class Vocabulary:
         Merges come by rank, the leftmost first: follow both edges at the border through the
         merges until a merge across it would come first.
         """
-        key = a << 32 | b
-        if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) >= CACHE_PAIRS:
-                self.pairs.clear()
+        if (known := self.right[a].get(b)) is None:
+            if self.tried >= CACHE_PAIRS:
+                self.right.clear()
+                self.tried = 0
             left, right = self.edge(self.texts[a], 1), self.edge(self.texts[b], 0)
             i = j = 0
             known = True
@@ -161,7 +164,8 @@ class Vocabulary:
                     i += 1
                 else:
                     j += 1
-            self.pairs[key] = known
+            self.right[a][b] = known
+            self.tried += 1
         return known
 
 
@@ -186,7 +190,7 @@ class Encoder:
 
     def feed(self, block: str) -> list[int]:
         """block: printable characters of bytes; the one that ends a word is followed by END."""
-        found, began, pairs, beside = self.found, self.began, self.v.pairs, self.v.beside
+        found, began, beside = self.found, self.began, self.v.beside
         base = len(found)
         found += [None] * len(block)
         began += [0] * len(block)
@@ -200,9 +204,7 @@ class Encoder:
             before = found[k] if k >= 0 else None
             if before is None:
                 continue
-            if before >= 0 and (ok := pairs.get(before << 32 | token)) is None:
-                ok = beside(before, token)
-            if before < 0 or ok:
+            if before < 0 or beside(before, token):
                 found[end] = token
                 began[end] = k
         self.text = kept + block
@@ -244,12 +246,54 @@ class Encoder:
         return self._chain(len(self.found) - 1)
 
 
+def written_form(part: str, v: Vocabulary) -> str:
+    """The printable characters of a part's bytes."""
+    if part.isascii() and part.isprintable():
+        return part
+    return part.encode("utf-8", "surrogatepass").decode("latin-1").translate(v.byte)
+
+
+def encode_short(word: str, v: Vocabulary) -> list[int]:
+    """The tokens of a word that is read at once: the encoder's steps, with nothing to settle before the end.
+
+    Of a place is kept what was tried at the right of its token, so that a token that ends later is looked up by itself.
+    """
+    written = written_form(word, v) + v.mark
+    n = len(written)
+    found, began, right = [-1] * (n + 1), [0] * (n + 1), [None] * (n + 1)
+    right[0] = {}
+    every, beside = v.right, v.beside
+    for last, (length, token) in v.matches.iter(written):  # at each end the longest first
+        end = last + 1
+        if right[end] is not None:
+            continue
+        k = end - length
+        tried = right[k]
+        if tried is None:
+            continue
+        if k:
+            ok = tried.get(token)
+            if ok is None:
+                ok = beside(found[k], token)
+            if not ok:
+                continue
+        found[end], began[end], right[end] = token, k, every[token]
+    if right[n] is None:
+        raise ValueError("the vocabulary lacks a symbol")
+    out = []
+    while n:
+        out.append(found[n])
+        n = began[n]
+    out.reverse()
+    return out
+
+
 def encode_word(word: str, v: Vocabulary) -> Iterator[list[int]]:
     """The tokens of one word, which the splitter made, as they are settled."""
     encoder = Encoder(v)
     for at in range(0, len(word), BLOCK):
         part = word[at : at + BLOCK]
-        written = part if part.isascii() and part.isprintable() else part.encode("utf-8", "surrogatepass").decode("latin-1").translate(v.byte)
+        written = written_form(part, v)
         if ids := encoder.feed(written + v.mark if at + BLOCK >= len(word) else written):
             yield ids
     yield encoder.finish()
@@ -284,7 +328,7 @@ class Codec:
         self.words = Memory(self._word, CACHE_WORDS)
 
     def _word(self, word: str) -> list[int]:
-        return [i for ids in encode_word(word, self.v) for i in ids]
+        return encode_short(word, self.v)
 
     def _chunk(self, chunk: str) -> list[int]:
         """The tokens of a chunk's words."""

@@ -849,3 +849,11 @@ def test_decoder_is_incremental():
     ids = [t for w in ("日本", "é") for part in bpe.encode_word(w, v) for t in part]
     d = bpe.Decoder(v)
     assert "".join([*(d.push(t) for t in ids), d.finish()]) == "日本 é "
+
+
+def test_bpe_reads_short_words_at_once_as_the_encoder_does():
+    v = bpe.Vocabulary(vocabulary("word_bpe_49k.json"))
+    words = ["a", "the", "entwicklung", "naïve", "日本語", "x" * 64, "zq" * 30, "1234567", "\x1fé", "😀😀"]
+    for _ in range(2):  # with and without what was tried before
+        for w in words:
+            assert bpe.encode_short(w, v) == [i for ids in bpe.encode_word(w, v) for i in ids]
