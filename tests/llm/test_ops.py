@@ -322,6 +322,34 @@ def test_lm_learns_what_a_plain_loop_counts():
         assert {k: v for k, v in got.items() if v} == dict(c)
 
 
+def test_lm_prices_and_learns_equal_bytes_once(monkeypatch):
+    once, again = sentences(40, 8, vocabulary=30, words=200), 20
+    texts = once * again
+    o = stream(texts)
+    info = np.zeros((len(lm_scoring.Words(o).end), 3), np.uint8)
+    code = lm_scoring.Code(np.bincount(o, minlength=256))
+    bits, done = int(code.length[o].sum()), [0]
+    expand = lm_scoring.expand
+
+    def counted(*args):
+        e = expand(*args)
+        done[0] += len(e.bit)
+        return e
+
+    monkeypatch.setattr(lm_scoring, "expand", counted)
+    m = random_model(code, 12)
+    got = m.score(o, info)
+    assert done[0] < bits / 5
+    assert np.allclose(got.reshape(again, -1), got[: len(once)], atol=1e-3)
+    monkeypatch.setattr(lm_scoring, "PIECE", 1 << 12)
+    done[0] = 0
+    learner = lm_scoring.Learner(code, 12)
+    learner.learn(o, info, np.ones(len(texts), bool))
+    assert done[0] < bits / 2 and learner.bits.sum() == bits
+    for t in learner.tables:
+        assert int((t & np.uint64(2**32 - 1)).sum() + (t >> np.uint64(32)).sum()) == bits
+
+
 def test_lm_probabilities_add_up():
     m = random_model(lm_scoring.Code(np.ones(256)), 10)
     total = 0.0
